@@ -21,6 +21,8 @@ ACTIVATED = "<ACTIVATED>"
 # Prefix that stands for a leading blank in byte-level token strings.
 SPACE_PREFIX = "ġ"
 PAD_TOKEN = "[PAD]"
+# End-of-text token; also pads the fixed-length sequences of the segment step.
+EOS = "<|end_of_text|>"
 # Request prices per million tokens (input, output); other engines cost 0.
 PRICES = (("gpt-4o", 2.5, 10.0), ("gpt-4o-mini", 0.15, 0.6))
 # Text of an interpretation result that could not be scored.

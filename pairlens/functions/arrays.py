@@ -61,3 +61,14 @@ def explode_indexed(col: Column | str) -> Column:
     """
     c = F.col(col) if isinstance(col, str) else col
     return F.posexplode_outer(c)
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and pass it to ``body``.
+
+    The optimizer inlines a projected column into every expression that uses
+    it; for an expensive value used per array element (a split text used by
+    every chunk, a token array used by every position) that repeats the whole
+    computation. Binding it to a lambda variable keeps it computed once.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -12,12 +12,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.config import TEST
+import re
+
+from pairlens.config import MARKER, TEST
 from pairlens.functions.arrays import explode_indexed, round6
 from pairlens.operators import vectors as vec
 from pairlens.plans import discovery, inputs
 
 P = TEST
+MARKER_RE = re.escape(MARKER)
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -75,3 +78,82 @@ QUERIES: dict[str, Query] = {
     "feature_contrast": q_feature_contrast,
     "top_features": q_top_features,
 }
+
+
+# ---------------------------------------------------------------- steps 2-3: text
+
+from pairlens.operators import text as txo  # noqa: E402
+from pairlens.sources.tables import spread  # noqa: E402
+
+DOC_KEYS = ["doc_id"]
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(inputs.table(spark, sf_dir, "documents").select("doc_id", "text"), DOC_KEYS)
+
+
+def _csv(col: str) -> F.Column:
+    return F.array_join(F.transform(col, lambda v: v.cast("string")), ",")
+
+
+def q_normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = txo.normalize_text(_docs(spark, sf_dir))
+    return d.select(_long("doc_id"), "norm", F.size(F.split("norm", " ", -1)).cast("long").alias("n_words"))
+
+
+def q_mark_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = txo.mark_boundaries(txo.normalize_text(_docs(spark, sf_dir)))
+    n_marks = F.size(F.split("marked", F.lit(MARKER_RE), -1)) - 1
+    return d.select(_long("doc_id"), "marked", n_marks.cast("long").alias("n_marks"))
+
+
+def q_chunk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = txo.chunk_words(_docs(spark, sf_dir), DOC_KEYS, P.chunk_words, P.min_tail)
+    return c.select(_long("doc_id"), _long("chunk_id"), _long("start"), "chunk")
+
+
+def q_chunk_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = txo.chunk_plain(_docs(spark, sf_dir), DOC_KEYS, P.plain_words, P.plain_min_tail)
+    return c.select(_long("doc_id"), _long("chunk_id"), _long("start"), "chunk")
+
+
+def _doc_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = txo.chunk_words(_docs(spark, sf_dir), DOC_KEYS, P.chunk_words, P.min_tail)
+    return txo.to_sequences(c, P.max_length)
+
+
+def q_fixed_length_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _doc_sequences(spark, sf_dir)
+    return s.select(_long("doc_id"), _long("chunk_id"), _long("n_tokens"),
+                    F.array_join("tokens", " ").alias("tokens"),
+                    F.array_join(F.transform("mask", lambda m: m.cast("string")), "").alias("mask"))
+
+
+def q_segment_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = txo.segment_ends(_doc_sequences(spark, sf_dir), P.gap)
+    return s.select(_long("doc_id"), _long("chunk_id"), F.size("cands").cast("long").alias("n_cands"),
+                    _csv("cands").alias("cands"), _csv("ends").alias("ends"))
+
+
+def doc_segment_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seqs = txo.segment_ends(_doc_sequences(spark, sf_dir), P.gap)
+    return txo.segments(seqs, DOC_KEYS, P.vector_width)
+
+
+def q_segment_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = doc_segment_vectors(spark, sf_dir)
+    return (v.select("doc_id", "chunk_id", "seg_no", "end_pos", explode_indexed("vec").alias("bucket", "n"))
+            .filter(F.col("n") > 0)
+            .select(_long("doc_id"), _long("chunk_id"), _long("seg_no"), _long("end_pos"),
+                    _long("bucket"), _long("n")))
+
+
+QUERIES.update({
+    "normalize_text": q_normalize_text,
+    "mark_boundaries": q_mark_boundaries,
+    "chunk_words": q_chunk_words,
+    "chunk_plain": q_chunk_plain,
+    "fixed_length_sequences": q_fixed_length_sequences,
+    "segment_ends": q_segment_ends,
+    "segment_vectors": q_segment_vectors,
+})

@@ -129,3 +129,116 @@ SQL["top_features"] = with_(*VEC_CHAIN, dense_sums("topk"), contrast(), top_abs(
 SELECT CAST(rank AS BIGINT) AS rank, CAST(latent AS BIGINT) AS latent, {R6('diff')} AS diff,
        {R6('v_chosen')} AS v_chosen, {R6('v_rejected')} AS v_rejected
 FROM ranked"""
+
+
+# ---------------------------------------------------------------- text fragments
+
+from pairlens.config import EOS, MARKER  # noqa: E402
+
+# Same character classes as pairlens.functions.text, in RE2 syntax.
+WS_RE2 = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+RUN_RE2 = r"([.,?!;\n]+(?:\s+[.,?!;\n]+)*)"
+
+
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+M = q(MARKER)
+
+
+def norm_expr(text: str) -> str:
+    t = f"coalesce({text}, '')"
+    t = f"CASE WHEN ends_with({t}, chr(10)) THEN {t} ELSE {t} || chr(10) END"
+    t = f"replace({t}, chr(10), ' <NEWLINE> ')"
+    t = f"trim(regexp_replace({t}, '{WS_RE2}', ' ', 'g'), ' ')"
+    return f"replace({t}, '<NEWLINE>', chr(10))"
+
+
+def marked_expr(norm: str) -> str:
+    return f"regexp_replace({norm}, '{RUN_RE2}', '\\1' || {M}, 'g')"
+
+
+def text_chain(src: str, keys: str, W: int, min_tail: int, max_len: int, gap: int,
+               prefix: str = "") -> list[str]:
+    """T1-T8 as CTEs: {prefix}t (norm, marked), {prefix}ch (chunks),
+    {prefix}sq (tokens), {prefix}en (cands, ends)."""
+    k = keys
+    return [
+        f"""{prefix}t AS (
+  SELECT {k}, {norm_expr('text')} AS norm FROM {src}),
+{prefix}tm AS (
+  SELECT {k}, norm, {marked_expr('norm')} AS marked FROM {prefix}t)""",
+        f"""{prefix}ch AS (
+  SELECT {k}, CAST(s // {W} AS BIGINT) AS chunk_id, CAST(s AS BIGINT) AS start,
+         array_to_string(words[s + 1 : s + {W}], ' ') AS chunk
+  FROM (SELECT {k}, words, unnest(range(0, len(words) - {min_tail}, {W})) AS s
+        FROM (SELECT {k}, string_split(marked, ' ') AS words FROM {prefix}tm)))""",
+        f"""{prefix}sq AS (
+  SELECT {k}, chunk_id, toks, len(toks) AS n_tokens,
+         toks || [{q(EOS)} FOR x IN range({max_len} - len(toks))] AS tokens
+  FROM (SELECT {k}, chunk_id,
+               list_filter(string_split(replace(chunk, {M}, ' ' || {M} || ' '), ' '),
+                           lambda x: x <> '')[1:{max_len}] AS toks
+        FROM {prefix}ch))""",
+        f"""{prefix}en AS (
+  SELECT *, list_reduce(cands, lambda acc, x: CASE WHEN x >= acc[-1] + {gap} THEN list_append(acc, x) ELSE acc END,
+                        [0::BIGINT])[2:] AS ends
+  FROM (SELECT *, [i - 1 FOR i IN range(len(toks)) IF toks[i + 1] = {M} AND i >= 1] AS cands
+        FROM {prefix}sq))""",
+    ]
+
+
+def seg_fragment(keys: str, width: int, src: str = "en", name: str = "sv") -> str:
+    """T9 + T10 long form: one row per (segment, bucket) with the count n."""
+    return f"""{name}_seg AS (
+  SELECT {keys}, chunk_id, toks, seg_no, ends[seg_no + 1] AS end_pos,
+         CASE WHEN seg_no = 0 THEN 0 ELSE ends[seg_no] + 1 END AS begin_pos
+  FROM (SELECT {keys}, chunk_id, toks, ends, unnest(range(len(ends))) AS seg_no FROM {src})),
+{name} AS (
+  SELECT {keys}, chunk_id, seg_no, end_pos, bucket, count(*) AS n
+  FROM (SELECT {keys}, chunk_id, seg_no, end_pos,
+               CAST(('0x' || substr(md5(toks[pos + 1]), 1, 8)) AS BIGINT) % {width} AS bucket
+        FROM (SELECT *, unnest(range(begin_pos, end_pos + 1)) AS pos FROM {name}_seg)
+        WHERE toks[pos + 1] <> {M})
+  GROUP BY ALL)"""
+
+
+DOC_TEXT = text_chain("documents", "doc_id", P.chunk_words, P.min_tail, P.max_length, P.gap)
+
+SQL["normalize_text"] = with_(DOC_TEXT[0]) + """
+SELECT CAST(doc_id AS BIGINT) AS doc_id, norm, CAST(len(string_split(norm, ' ')) AS BIGINT) AS n_words FROM t"""
+
+SQL["mark_boundaries"] = with_(DOC_TEXT[0]) + f"""
+SELECT CAST(doc_id AS BIGINT) AS doc_id, marked,
+       CAST((length(marked) - length(replace(marked, {M}, ''))) // length({M}) AS BIGINT) AS n_marks
+FROM tm"""
+
+SQL["chunk_words"] = with_(*DOC_TEXT[:2]) + """
+SELECT CAST(doc_id AS BIGINT) AS doc_id, chunk_id, start, chunk FROM ch"""
+
+SQL["chunk_plain"] = f"""
+WITH w AS (
+  SELECT doc_id, CASE WHEN trim(regexp_replace(coalesce(text, ''), '{WS_RE2}', ' ', 'g'), ' ') = '' THEN []::VARCHAR[]
+                      ELSE string_split(trim(regexp_replace(coalesce(text, ''), '{WS_RE2}', ' ', 'g'), ' '), ' ') END AS words
+  FROM documents)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(s // {P.plain_words} AS BIGINT) AS chunk_id, CAST(s AS BIGINT) AS start,
+       array_to_string(words[s + 1 : s + {P.plain_words}], ' ') AS chunk
+FROM (SELECT doc_id, words, unnest(range(0, len(words) - {P.plain_min_tail}, {P.plain_words})) AS s FROM w)"""
+
+SQL["fixed_length_sequences"] = with_(*DOC_TEXT[:3]) + f"""
+SELECT CAST(doc_id AS BIGINT) AS doc_id, chunk_id, CAST(n_tokens AS BIGINT) AS n_tokens,
+       array_to_string(tokens, ' ') AS tokens,
+       array_to_string([CASE WHEN i < n_tokens AND tokens[i + 1] <> {M} THEN 1 ELSE 0 END
+                        FOR i IN range({P.max_length})], '') AS mask
+FROM sq"""
+
+SQL["segment_ends"] = with_(*DOC_TEXT) + """
+SELECT CAST(doc_id AS BIGINT) AS doc_id, chunk_id, CAST(len(cands) AS BIGINT) AS n_cands,
+       array_to_string(cands, ',') AS cands, array_to_string(ends, ',') AS ends
+FROM en"""
+
+SQL["segment_vectors"] = with_(*DOC_TEXT, seg_fragment("doc_id", P.vector_width)) + """
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(chunk_id AS BIGINT) AS chunk_id, CAST(seg_no AS BIGINT) AS seg_no,
+       CAST(end_pos AS BIGINT) AS end_pos, CAST(bucket AS BIGINT) AS bucket, CAST(n AS BIGINT) AS n
+FROM sv"""
