@@ -157,3 +157,108 @@ QUERIES.update({
     "segment_ends": q_segment_ends,
     "segment_vectors": q_segment_vectors,
 })
+
+
+# ---------------------------------------------------------------- steps 4, 6, 7: pair corpus
+
+from pairlens.operators import interpret as itp  # noqa: E402
+from pairlens.plans import corpus  # noqa: E402
+
+
+def q_corpus_feature_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus.corpus_contrast(corpus.run_pairs(spark, sf_dir, P))
+    return c.select(_long("latent"), _dbl("diff"), _dbl("v_chosen"), _dbl("v_rejected"))
+
+
+def q_segment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus.corpus_segment_counts(corpus.run_pairs(spark, sf_dir, P))
+    return c.select(_long("pair_id"), _long("n_chosen"), _long("n_rejected"))
+
+
+def q_signed_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = corpus.corpus_signed_sums(corpus.run_pairs(spark, sf_dir, P), spark, sf_dir)
+    return s.select(_long("pair_id"), _dbl("s_chosen"), _dbl("s_rejected"))
+
+
+def q_pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = corpus.corpus_scores(corpus.run_pairs(spark, sf_dir, P), spark, sf_dir)
+    return s.select(_long("pair_id"), _dbl("saescore"))
+
+
+def q_activation_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus.corpus_contexts(corpus.run_pairs(spark, sf_dir, P))
+    return c.select(_long("pair_id"), "side", _long("chunk_id"), _long("seg_no"), _long("end_pos"),
+                    _long("latent"), _dbl("value"), "context", "token_class")
+
+
+def q_top_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = corpus.corpus_top_contexts(corpus.run_pairs(spark, sf_dir, P))
+    return t.select(_long("latent"), "token_class", _long("ctx_rank"), _dbl("value"), "context")
+
+
+def q_context_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = corpus.run_pairs(spark, sf_dir, P)
+    from pairlens.operators import contexts as ctx
+    f = ctx.context_features(corpus.corpus_top_contexts(run), P.max_classes, P.min_lines)
+    return f.select(_long("latent"), _long("n_classes"), _long("n_contexts"))
+
+
+def q_feature_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pr = corpus.corpus_prompts(corpus.run_pairs(spark, sf_dir, P))
+    return pr.select(_long("latent"), "prompt")
+
+
+def q_interpretation_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = corpus.corpus_results(corpus.run_pairs(spark, sf_dir, P), spark, sf_dir)
+    return r.select("latent_key", _long("latent"), _long("score"), "explanation")
+
+
+def q_safety_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = corpus.safety_list(corpus.run_pairs(spark, sf_dir, P), spark, sf_dir)
+    return s.select(_long("rank"), _long("latent"))
+
+
+def q_signed_feature_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = corpus.signed_lists(corpus.run_pairs(spark, sf_dir, P), spark, sf_dir)
+    return s.select(_long("rank"), _long("latent"), _dbl("diff"), _long("sign"))
+
+
+def _dictionary_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = inputs.test_dictionary(spark, sf_dir, P.latent_size)
+    return d.latents.select(F.col("latent").cast("string").alias("latent_key"))
+
+
+def q_parse_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = itp.interpretation_results(_dictionary_keys(spark, sf_dir), inputs.responses(spark, sf_dir, P.latent_size))
+    return r.select("latent_key", _long("latent"), _long("score"), "explanation")
+
+
+def q_request_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = itp.request_costs(inputs.responses(spark, sf_dir, P.latent_size), inputs.prices(spark), P.engine)
+    return c.select(_long("latent"), _long("n_in"), _long("n_out"), _dbl("cost"))
+
+
+def q_score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resp = inputs.responses(spark, sf_dir, P.latent_size)
+    r = itp.interpretation_results(_dictionary_keys(spark, sf_dir), resp)
+    c = itp.request_costs(resp, inputs.prices(spark), P.engine)
+    s = itp.score_summary(r, c, P.engine)
+    return s.select("engine", _long("features_scored"), _dbl("average_score"), _dbl("cost"))
+
+
+QUERIES.update({
+    "corpus_feature_contrast": q_corpus_feature_contrast,
+    "segment_counts": q_segment_counts,
+    "signed_sums": q_signed_sums,
+    "pair_scores": q_pair_scores,
+    "activation_contexts": q_activation_contexts,
+    "top_contexts": q_top_contexts,
+    "context_features": q_context_features,
+    "feature_prompts": q_feature_prompts,
+    "interpretation_results": q_interpretation_results,
+    "safety_features": q_safety_features,
+    "signed_feature_lists": q_signed_feature_lists,
+    "parse_scores": q_parse_scores,
+    "request_cost": q_request_cost,
+    "score_summary": q_score_summary,
+})

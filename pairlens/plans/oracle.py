@@ -242,3 +242,216 @@ SQL["segment_vectors"] = with_(*DOC_TEXT, seg_fragment("doc_id", P.vector_width)
 SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(chunk_id AS BIGINT) AS chunk_id, CAST(seg_no AS BIGINT) AS seg_no,
        CAST(end_pos AS BIGINT) AS end_pos, CAST(bucket AS BIGINT) AS bucket, CAST(n AS BIGINT) AS n
 FROM sv"""
+
+
+# ---------------------------------------------------------------- pair corpus fragments
+
+from pairlens.config import ACTIVATED, SENTENCE_ENDERS, CONTEXT_TRIM  # noqa: E402
+from pairlens.operators.interpret import PROMPT_HEAD, PROMPT_TAIL, RESPONSE_PATTERN  # noqa: E402
+
+PAIRS = """pc AS (
+  SELECT d.doc_id, d.text, row_number() OVER (ORDER BY d.doc_id) AS pair_id
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality = 1 AND l.toxic = 0),
+pr AS (
+  SELECT d.doc_id, d.text, row_number() OVER (ORDER BY d.doc_id) AS pair_id
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE NOT (l.quality = 1 AND l.toxic = 0)),
+pairs AS (
+  SELECT pc.pair_id, pc.text AS chosen, pr.text AS rejected FROM pc JOIN pr ON pc.pair_id = pr.pair_id),
+ptext AS (
+  SELECT pair_id, 'chosen' AS side, chosen AS text FROM pairs
+  UNION ALL SELECT pair_id, 'rejected' AS side, rejected AS text FROM pairs)"""
+
+PK = "pair_id, side"
+SEGK = "pair_id, side, chunk_id, seg_no"
+
+P_CHAIN = [PAIRS, *text_chain("ptext", PK, P.chunk_words, P.min_tail, P.max_length, P.gap, prefix="p"),
+           seg_fragment(PK, P.vector_width, src="pen", name="psv"),
+           f"""pdense AS (
+  SELECT s.pair_id, s.side, s.chunk_id, s.seg_no, s.end_pos, r.range AS dim, CAST(coalesce(v.n, 0) AS DOUBLE) AS v
+  FROM psv_seg s CROSS JOIN range({P.vector_width}) r
+  LEFT JOIN psv v ON v.pair_id = s.pair_id AND v.side = s.side AND v.chunk_id = s.chunk_id
+                 AND v.seg_no = s.seg_no AND v.bucket = r.range),
+pzs AS (
+  SELECT {SEGK}, avg(v) AS mean, stddev_samp(v) AS std FROM pdense GROUP BY ALL),
+pz AS (
+  SELECT d.*, (d.v - s.mean) / (s.std + {P.eps}) AS x FROM pdense d JOIN pzs s USING ({SEGK}))""",
+           EMB, EL, DICT,
+           pre_acts("pz", SEGK + ", end_pos", name="ppre"),
+           topk("ppre", SEGK, P.k, name="ptopk"),
+           "pact AS (SELECT * FROM ptopk WHERE value > 0)",
+           dense_sums("pact", name="psums"),
+           contrast("psums", name="pcontrast"),
+           top_abs("pcontrast", P.contrast_top, name="ptop")]
+
+
+def _in(x: str, values) -> str:
+    return f"{x} IN ({', '.join(q(v) for v in values)})"
+
+
+W = P.window
+H = W // 2
+CONTEXTS = f"""pwin AS (
+  SELECT a.pair_id, a.side, a.chunk_id, a.seg_no, a.end_pos, a.latent, a.value, s.tokens,
+         greatest(a.end_pos - {H + 1}, 0) AS lo, least(len(s.tokens) - 1, a.end_pos + {H + 1}) AS hi
+  FROM pact a SEMI JOIN ptop t ON a.latent = t.latent
+  JOIN psq s ON s.pair_id = a.pair_id AND s.side = a.side AND s.chunk_id = a.chunk_id),
+pwin2 AS (
+  SELECT *, lo + coalesce(list_max([i FOR i IN range(end_pos - lo) IF {_in('tokens[lo + i + 1]', SENTENCE_ENDERS)}]), -1) + 1 AS start,
+         coalesce(end_pos + list_min([i FOR i IN range(greatest(hi - end_pos, 0)) IF {_in('tokens[end_pos + i + 1]', SENTENCE_ENDERS)}]), hi) AS stop
+  FROM pwin),
+pwin3 AS (
+  SELECT *, stop - start AS length, end_pos - start AS a0 FROM pwin2),
+pwin4 AS (
+  SELECT *, CASE WHEN length > {W} THEN greatest(0, a0 - {H}) ELSE 0 END AS cl,
+            CASE WHEN length > {W} THEN least(length, a0 + {H + 1}) ELSE length END AS cr
+  FROM pwin3),
+pwin5 AS (
+  SELECT *, tokens[start + cl + 1 : start + cr] AS ctx, a0 - cl AS a FROM pwin4),
+pwin6 AS (
+  SELECT *, [CASE WHEN i = a THEN {q(ACTIVATED + ' ')} ELSE ctx[i + 1] END FOR i IN range(len(ctx))] AS marked
+  FROM pwin5),
+pwin7 AS (
+  SELECT *, list_min([i FOR i IN range(len(marked)) IF NOT {_in('marked[i + 1]', CONTEXT_TRIM)}]) AS lead,
+            list_max([i FOR i IN range(len(marked)) IF NOT {_in('marked[i + 1]', CONTEXT_TRIM)}]) AS last_keep
+  FROM pwin6),
+pctx AS (
+  SELECT pair_id, side, chunk_id, seg_no, end_pos, latent, value, '' AS token_class,
+         regexp_replace(regexp_replace(
+           array_to_string(list_filter(CASE WHEN lead IS NULL THEN []::VARCHAR[] ELSE marked[lead + 1 : last_keep + 1] END,
+                                       lambda x: x <> {M}), ' '),
+           '^\\s+|\\s+$', '', 'g'), '^"+|"+$', '', 'g') AS context, a, ctx
+  FROM pwin7),
+pctxv AS (
+  SELECT * EXCLUDE (a, ctx) FROM pctx WHERE a >= 0 AND a < len(ctx) AND context <> ''),
+ptopctx AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY latent, token_class ORDER BY round(value, 9) DESC, context DESC) AS ctx_rank
+    FROM pctxv) WHERE ctx_rank <= {P.contexts_per_class}),
+pfeat AS (
+  SELECT latent, count(DISTINCT token_class) AS n_classes, count(*) AS n_contexts FROM ptopctx
+  GROUP BY latent HAVING count(DISTINCT token_class) <= {P.max_classes} AND count(*) > {P.min_lines}),
+psample AS (
+  SELECT latent FROM pfeat ORDER BY md5('{P.seed}:' || CAST(latent AS VARCHAR)), latent LIMIT {P.sample_features})"""
+
+RESPONSES = f"""resp AS (
+  SELECT CAST(vec_id AS INTEGER) AS latent,
+         CASE WHEN vec_id % 7 = 1 THEN 'no score here'
+              ELSE concat('Score: ', CAST(1 + vec_id % 5 AS VARCHAR), chr(10), 'Explanation: feature ', CAST(vec_id AS VARCHAR)) END AS response,
+         CAST(100 + vec_id AS INTEGER) AS n_in, CAST(10 + vec_id AS INTEGER) AS n_out
+  FROM embeddings WHERE vec_id < {P.latent_size} AND vec_id % 7 <> 0)"""
+
+
+def parse_fragment(keys_src: str, name: str = "results") -> str:
+    """I2 + I3 over ``keys_src`` (latent_key VARCHAR) left-joined to resp."""
+    pat = RESPONSE_PATTERN.replace("'", "''")
+    return f"""{name}_j AS (
+  SELECT k.latent_key, TRY_CAST(k.latent_key AS INTEGER) AS latent, r.response,
+         regexp_extract(r.response, '{pat}', 1) AS st, regexp_extract(r.response, '{pat}', 2) AS ex
+  FROM {keys_src} k LEFT JOIN resp r ON r.latent = TRY_CAST(k.latent_key AS INTEGER)),
+{name} AS (
+  SELECT latent_key, latent,
+         CASE WHEN latent IS NULL OR response IS NULL OR st = '' THEN NULL ELSE CAST(st AS INTEGER) END AS score,
+         CASE WHEN latent IS NULL THEN 'Invalid latent ID.'
+              WHEN response IS NULL THEN 'Error during processing.'
+              WHEN st = '' THEN 'Failed to parse response.'
+              ELSE regexp_replace(ex, '^\\s+|\\s+$', '', 'g') END AS explanation
+  FROM {name}_j)"""
+
+
+SCORING = [RESPONSES,
+           "pkeys AS (SELECT CAST(latent AS VARCHAR) AS latent_key FROM psample)",
+           parse_fragment("pkeys", "presults"),
+           f"""psafe AS (
+  SELECT * FROM (
+    SELECT t.latent, row_number() OVER (ORDER BY t.rank, t.latent) AS rank
+    FROM ptop t JOIN presults r ON r.latent = t.latent
+    WHERE r.score IS NULL OR r.score >= {P.score_threshold})
+  WHERE rank <= {P.safety_top}),
+psigned AS (
+  SELECT *, CASE WHEN diff > 0 THEN 1 ELSE -1 END AS sign FROM (
+    SELECT latent, diff, row_number() OVER (ORDER BY abs(diff) DESC, latent) AS rank
+    FROM pcontrast WHERE latent IN (SELECT latent FROM psafe))
+  WHERE rank <= {P.sign_top} AND diff <> 0),
+pcounts AS (
+  SELECT pair_id, count_if(side = 'chosen') AS n_chosen, count_if(side = 'rejected') AS n_rejected
+  FROM psv_seg GROUP BY pair_id),
+psums_pair AS (
+  SELECT a.pair_id,
+         sum(CASE WHEN a.side = 'chosen' THEN s.sign * a.value ELSE 0.0 END) AS s_chosen,
+         sum(CASE WHEN a.side = 'rejected' THEN s.sign * a.value ELSE 0.0 END) AS s_rejected
+  FROM pact a JOIN psigned s ON a.latent = s.latent GROUP BY a.pair_id),
+pscores AS (
+  SELECT p.pair_id,
+         coalesce(s.s_chosen, 0.0) / greatest(coalesce(c.n_chosen, 0), 1)
+         - coalesce(s.s_rejected, 0.0) / greatest(coalesce(c.n_rejected, 0), 1) AS saescore
+  FROM pairs p LEFT JOIN pcounts c ON c.pair_id = p.pair_id LEFT JOIN psums_pair s ON s.pair_id = p.pair_id)"""]
+
+SQL["corpus_feature_contrast"] = with_(*P_CHAIN) + f"""
+SELECT CAST(latent AS BIGINT) AS latent, {R6('diff')} AS diff,
+       {R6('v_chosen')} AS v_chosen, {R6('v_rejected')} AS v_rejected
+FROM pcontrast"""
+
+SQL["segment_counts"] = with_(*P_CHAIN, CONTEXTS, *SCORING) + """
+SELECT CAST(pair_id AS BIGINT) AS pair_id, CAST(n_chosen AS BIGINT) AS n_chosen, CAST(n_rejected AS BIGINT) AS n_rejected
+FROM pcounts"""
+
+SQL["signed_sums"] = with_(*P_CHAIN, CONTEXTS, *SCORING) + f"""
+SELECT CAST(pair_id AS BIGINT) AS pair_id, {R6('s_chosen')} AS s_chosen, {R6('s_rejected')} AS s_rejected
+FROM psums_pair"""
+
+SQL["pair_scores"] = with_(*P_CHAIN, CONTEXTS, *SCORING) + f"""
+SELECT CAST(pair_id AS BIGINT) AS pair_id, {R6('saescore')} AS saescore FROM pscores"""
+
+SQL["activation_contexts"] = with_(*P_CHAIN, CONTEXTS) + f"""
+SELECT CAST(pair_id AS BIGINT) AS pair_id, side, CAST(chunk_id AS BIGINT) AS chunk_id, CAST(seg_no AS BIGINT) AS seg_no,
+       CAST(end_pos AS BIGINT) AS end_pos, CAST(latent AS BIGINT) AS latent, {R6('value')} AS value, context, token_class
+FROM pctxv"""
+
+SQL["top_contexts"] = with_(*P_CHAIN, CONTEXTS) + f"""
+SELECT CAST(latent AS BIGINT) AS latent, token_class, CAST(ctx_rank AS BIGINT) AS ctx_rank, {R6('value')} AS value, context
+FROM ptopctx"""
+
+SQL["context_features"] = with_(*P_CHAIN, CONTEXTS) + """
+SELECT CAST(latent AS BIGINT) AS latent, CAST(n_classes AS BIGINT) AS n_classes, CAST(n_contexts AS BIGINT) AS n_contexts
+FROM pfeat"""
+
+SQL["feature_prompts"] = with_(*P_CHAIN, CONTEXTS) + f"""
+SELECT CAST(latent AS BIGINT) AS latent,
+       {q(PROMPT_HEAD)} || string_agg(
+         'Token: ' || CASE WHEN starts_with(token_class, 'ġ') THEN ' ' || token_class[2:] ELSE token_class END
+         || ' | Activation: ' || printf('%.6f', value) || ' | Context: ' || context || chr(10) || chr(10), ''
+         ORDER BY token_class, ctx_rank) || {q(PROMPT_TAIL)} AS prompt
+FROM ptopctx WHERE latent IN (SELECT latent FROM psample)
+GROUP BY latent"""
+
+SQL["interpretation_results"] = with_(*P_CHAIN, CONTEXTS, *SCORING) + """
+SELECT latent_key, CAST(latent AS BIGINT) AS latent, CAST(score AS BIGINT) AS score, explanation FROM presults"""
+
+SQL["safety_features"] = with_(*P_CHAIN, CONTEXTS, *SCORING) + """
+SELECT CAST(rank AS BIGINT) AS rank, CAST(latent AS BIGINT) AS latent FROM psafe"""
+
+SQL["signed_feature_lists"] = with_(*P_CHAIN, CONTEXTS, *SCORING) + f"""
+SELECT CAST(rank AS BIGINT) AS rank, CAST(latent AS BIGINT) AS latent, {R6('diff')} AS diff, CAST(sign AS BIGINT) AS sign
+FROM psigned"""
+
+DICT_KEYS = f"dkeys AS (SELECT CAST(vec_id AS VARCHAR) AS latent_key FROM embeddings WHERE vec_id < {P.latent_size})"
+
+SQL["parse_scores"] = with_(RESPONSES, DICT_KEYS, parse_fragment("dkeys")) + """
+SELECT latent_key, CAST(latent AS BIGINT) AS latent, CAST(score AS BIGINT) AS score, explanation FROM results"""
+
+COSTS = f"""cost AS (
+  SELECT r.latent, r.n_in, r.n_out,
+         (r.n_in * coalesce((SELECT max(price_in) FROM (VALUES ('gpt-4o', 2.5, 10.0), ('gpt-4o-mini', 0.15, 0.6)) p(engine, price_in, price_out) WHERE engine = '{P.engine}'), 0.0)
+          + r.n_out * coalesce((SELECT max(price_out) FROM (VALUES ('gpt-4o', 2.5, 10.0), ('gpt-4o-mini', 0.15, 0.6)) p(engine, price_in, price_out) WHERE engine = '{P.engine}'), 0.0))
+         / 1000000 AS cost
+  FROM resp r)"""
+
+SQL["request_cost"] = with_(RESPONSES, COSTS) + f"""
+SELECT CAST(latent AS BIGINT) AS latent, CAST(n_in AS BIGINT) AS n_in, CAST(n_out AS BIGINT) AS n_out, {R6('cost')} AS cost
+FROM cost"""
+
+SQL["score_summary"] = with_(RESPONSES, DICT_KEYS, parse_fragment("dkeys"), COSTS) + f"""
+SELECT '{P.engine}' AS engine, CAST(count(score) AS BIGINT) AS features_scored,
+       {R6('coalesce(avg(score), 0.0)')} AS average_score,
+       {R6('(SELECT coalesce(sum(cost), 0.0) FROM cost)')} AS cost
+FROM results"""
