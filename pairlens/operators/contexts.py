@@ -14,8 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlens.config import ACTIVATED, CONTEXT_TRIM, MARKER, SENTENCE_ENDERS
 from pairlens.functions.arrays import let
+from pairlens.config import ACTIVATED, CONTEXT_TRIM, MARKER, SENTENCE_ENDERS
 
 
 def _member(t: Column, values) -> Column:
@@ -32,48 +32,61 @@ def _leading(arr: Column, values) -> Column:
         lambda s: s["n"])
 
 
-def context_window(tokens: Column, pos: Column, window: int) -> Column:
-    """T14 for one activation: struct(context string, act_index) or a null context.
+def _nearest(arr: Column, values) -> Column:
+    """1-based position of the first element of ``arr`` in ``values``; null if none."""
+    return F.least(*[F.nullif(F.array_position(arr, v), F.lit(0)) for v in values])
+
+
+def _trim_ends(arr: Column, values) -> Column:
+    """Drop leading and trailing elements in ``values`` (only scanned when one occurs)."""
+    lead = _leading(arr, values)
+    trail = _leading(F.reverse(arr), values)
+    trimmed = F.slice(arr, lead + 1, F.greatest(F.size(arr) - lead - trail, F.lit(0)))
+    return F.when(F.arrays_overlap(arr, F.array(*[F.lit(v) for v in values])), trimmed).otherwise(arr)
+
+
+def with_context(df: DataFrame, tokens: str, pos: str, window: int, out: str = "context") -> DataFrame:
+    """T14 for one activation per row: adds ``out`` (null when there is no valid context).
 
     Bounds: scan left at most window//2 + 1 tokens and right at most
-    window//2 + 1 (end exclusive) stopping at end tokens; if the span is longer
+    window//2 + 1 (end exclusive), stopping at end tokens; if the span is longer
     than ``window``, re-clip to half + 1 + half around the position. The
     activated token becomes the mark; blank and end tokens are trimmed at both
     ends; markers render as nothing; the text is stripped of blanks, then of
-    double quotes.
+    double quotes. Each stage is bound once (``let``) so the optimizer cannot
+    multiply the expression when it pushes the validity filter down.
     """
     half = window // 2
-
-    def cut(t):
-        n = F.size(t)
-        lo = F.greatest(pos - (half + 1), F.lit(0))
-        left = F.slice(t, lo + 1, pos - lo)
-        last = F.array_max(F.transform(left, lambda x, i: F.when(_member(x, SENTENCE_ENDERS), i).otherwise(-1)))
-        start = lo + F.coalesce(last, F.lit(-1)) + 1
-        hi = F.least(n - 1, pos + half + 1)
-        right = F.slice(t, pos + 1, F.greatest(hi - pos, F.lit(0)))
-        first = F.array_min(F.filter(F.transform(right, lambda x, i: F.when(_member(x, SENTENCE_ENDERS), i)
-                                                 .otherwise(-1)), lambda i: i >= 0))
-        end = F.coalesce(pos + first, hi)
-        length = end - start
-        a0 = pos - start
+    t, p = F.col(tokens), F.col(pos)
+
+    def bounds(b):
+        lo, hi = b["lo"], b["hi"]
+        back = _nearest(F.reverse(F.slice(t, lo + 1, p - lo)), SENTENCE_ENDERS)
+        ahead = _nearest(F.slice(t, p + 1, F.greatest(hi - p, F.lit(0))), SENTENCE_ENDERS)
+        start = F.when(back.isNull(), lo).otherwise(p - back + 1)
+        end = F.when(ahead.isNull(), hi).otherwise(p + ahead - 1)
+        return F.struct(start.alias("start"), (end - start).alias("length"))
+
+    def window_of(b):
+        start, length = b["start"], b["length"]
+        a0 = p - start
         clip_l = F.when(length > window, F.greatest(F.lit(0), a0 - half)).otherwise(F.lit(0))
         clip_r = F.when(length > window, F.least(length, a0 + half + 1)).otherwise(length)
         ctx = F.slice(t, start + clip_l + 1, F.greatest(clip_r - clip_l, F.lit(0)))
         return F.struct(ctx.alias("ctx"), (a0 - clip_l).alias("a"))
 
-    def finish(w):
+    def render(w):
         ctx, a = w["ctx"], w["a"]
-        marked = F.transform(ctx, lambda x, i: F.when(i == a, F.lit(ACTIVATED + " ")).otherwise(x))
-        lead = _leading(marked, CONTEXT_TRIM)
-        trail = _leading(F.reverse(marked), CONTEXT_TRIM)
-        kept = F.slice(marked, lead + 1, F.greatest(F.size(marked) - lead - trail, F.lit(0)))
-        text = F.array_join(F.filter(kept, lambda x: x != MARKER), " ")
+        valid = (a >= 0) & (a < F.size(ctx))
+        marked = F.concat(F.slice(ctx, 1, a), F.array(F.lit(ACTIVATED + " ")),
+                          F.slice(ctx, a + 2, F.greatest(F.size(ctx) - a - 1, F.lit(0))))
+        text = F.array_join(F.array_remove(let(marked, lambda m: _trim_ends(m, CONTEXT_TRIM)), MARKER), " ")
         text = F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), r'^"+|"+$', "")
-        valid = (a >= 0) & (a < F.size(ctx)) & (text != "")
-        return F.when(valid, text)
+        return F.when(valid, let(text, lambda x: F.when(x != "", x)))
 
-    return let(let(tokens, cut), finish)
+    lo_hi = F.struct(F.greatest(p - (half + 1), F.lit(0)).alias("lo"),
+                     F.least(F.size(t) - 1, p + half + 1).alias("hi"))
+    return df.withColumn(out, let(let(let(lo_hi, bounds), window_of), render))
 
 
 def activation_contexts(acts: DataFrame, chunks: DataFrame, chunk_keys: list[str], window: int,
@@ -83,15 +96,15 @@ def activation_contexts(acts: DataFrame, chunks: DataFrame, chunk_keys: list[str
     ``chunks`` holds ``chunk_keys`` and ``tokens``. Output adds ``context`` and
     ``token_class``; activations without a valid context are dropped.
     """
-    joined = acts.join(chunks.select(*chunk_keys, "tokens"), chunk_keys)
-    ctx = context_window(F.col("tokens"), F.col("end_pos"), window)
+    joined = with_context(acts.join(chunks.select(*chunk_keys, "tokens"), chunk_keys),
+                          "tokens", "end_pos", window)
     if class_from_token:
         cls = F.lower(F.trim(F.element_at("tokens", F.col("end_pos") + 1)))
     else:
         # The mark replaces the activated token before its class is read, so the
         # class is always empty.
         cls = F.lit("")
-    return (joined.withColumn("context", ctx).withColumn("token_class", cls)
+    return (joined.withColumn("token_class", cls)
             .drop("tokens").filter(F.col("context").isNotNull()))
 
 

@@ -38,15 +38,21 @@ def test_dictionary(spark: SparkSession, sf_dir: str, n_latents: int = 32) -> Fe
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Preference pairs: the i-th good labelled document (by doc_id) is chosen,
-    the i-th other labelled document is rejected. ``pair_id, chosen, rejected``."""
+    the i-th other labelled document is rejected. ``pair_id, chosen, rejected``.
+
+    One global rank (G1) over (class, doc_id) numbers both classes at once:
+    good documents take ranks 0..g-1, the others g..n-1.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels")
+    labels = table(spark, sf_dir, "labels").select(
+        "doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
     labelled = docs.join(labels, "doc_id")
-    good = (F.col("quality") == 1) & (F.col("toxic") == 0)
-    c = global_rank(labelled.filter(good).select("doc_id", "text"), [F.col("doc_id")], "r")
-    r = global_rank(labelled.filter(~good).select("doc_id", "text"), [F.col("doc_id")], "r")
-    return (c.select((F.col("r") + 1).alias("pair_id"), F.col("text").alias("chosen"))
-            .join(r.select((F.col("r") + 1).alias("pair_id"), F.col("text").alias("rejected")), "pair_id"))
+    n_good = labels.filter("good").select(F.count("*")).scalar()
+    ranked = global_rank(labelled, [F.col("good").desc(), F.col("doc_id")], "r")
+    pair_id = F.when(F.col("good"), F.col("r") + 1).otherwise(F.col("r") - n_good + 1)
+    ranked = ranked.select(pair_id.alias("pair_id"), "good", "text")
+    return (ranked.filter("good").select("pair_id", F.col("text").alias("chosen"))
+            .join(ranked.filter("not good").select("pair_id", F.col("text").alias("rejected")), "pair_id"))
 
 
 def pair_texts(pairs_df: DataFrame) -> DataFrame:
