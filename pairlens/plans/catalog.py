@@ -262,3 +262,35 @@ QUERIES.update({
     "request_cost": q_request_cost,
     "score_summary": q_score_summary,
 })
+
+
+# ---------------------------------------------------------------- step 5: curation
+
+from pairlens.operators import curate  # noqa: E402
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = corpus.run_pairs(spark, sf_dir, P)
+    return curate.attach_scores(run.pairs, corpus.corpus_scores(run, spark, sf_dir))
+
+
+def q_scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _scored(spark, sf_dir)
+    return s.select(_long("pair_id"), "chosen", "rejected", _dbl("saescore"))
+
+
+def q_flip_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = curate.flip_variants(_scored(spark, sf_dir))
+    return f.select("variant", _long("pair_id"), _long("rank"), "chosen", "rejected", _dbl("saescore"))
+
+
+def q_drop_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = curate.drop_variants(_scored(spark, sf_dir))
+    return d.select("variant", _long("pair_id"), _long("rank"), "chosen", "rejected", _dbl("saescore"))
+
+
+QUERIES.update({
+    "scored_pairs": q_scored_pairs,
+    "flip_variants": q_flip_variants,
+    "drop_variants": q_drop_variants,
+})

@@ -455,3 +455,38 @@ SELECT '{P.engine}' AS engine, CAST(count(score) AS BIGINT) AS features_scored,
        {R6('coalesce(avg(score), 0.0)')} AS average_score,
        {R6('(SELECT coalesce(sum(cost), 0.0) FROM cost)')} AS cost
 FROM results"""
+
+
+# ---------------------------------------------------------------- curation
+
+from pairlens.config import DROP_SHARES, FLIP_SHARES  # noqa: E402
+from pairlens.operators.curate import drop_name, flip_name  # noqa: E402
+
+SCORED = """scored AS (
+  SELECT p.pair_id, p.chosen, p.rejected, coalesce(s.saescore, 0.0) AS saescore
+  FROM pairs p LEFT JOIN pscores s ON s.pair_id = p.pair_id)"""
+
+
+def _values(pairs_) -> str:
+    return ", ".join(f"('{name}', CAST({share!r} AS DOUBLE))" for name, share in pairs_)
+
+
+SQL["scored_pairs"] = with_(*P_CHAIN, CONTEXTS, *SCORING, SCORED) + f"""
+SELECT CAST(pair_id AS BIGINT) AS pair_id, chosen, rejected, {R6('saescore')} AS saescore FROM scored"""
+
+SQL["flip_variants"] = with_(*P_CHAIN, CONTEXTS, *SCORING, SCORED, """franked AS (
+  SELECT *, row_number() OVER (ORDER BY round(saescore, 9) DESC, pair_id) - 1 AS rank,
+         count(*) OVER () AS n FROM scored)""") + f"""
+SELECT v.variant, CAST(pair_id AS BIGINT) AS pair_id, CAST(rank AS BIGINT) AS rank,
+       CASE WHEN rank < floor(CAST(n AS DOUBLE) * v.share) THEN rejected ELSE chosen END AS chosen,
+       CASE WHEN rank < floor(CAST(n AS DOUBLE) * v.share) THEN chosen ELSE rejected END AS rejected,
+       {R6('CASE WHEN rank < floor(CAST(n AS DOUBLE) * v.share) THEN -saescore ELSE saescore END')} AS saescore
+FROM franked, (VALUES {_values([(flip_name(s), s) for s in FLIP_SHARES])}) v(variant, share)"""
+
+SQL["drop_variants"] = with_(*P_CHAIN, CONTEXTS, *SCORING, SCORED, """dranked AS (
+  SELECT *, row_number() OVER (ORDER BY round(saescore, 9), pair_id) - 1 AS rank,
+         count(*) OVER () AS n FROM scored)""") + f"""
+SELECT v.variant, CAST(pair_id AS BIGINT) AS pair_id, CAST(rank AS BIGINT) AS rank, chosen, rejected,
+       {R6('saescore')} AS saescore
+FROM dranked, (VALUES {_values([(drop_name(s), s) for s in DROP_SHARES])}) v(variant, share)
+WHERE rank >= floor(CAST(n AS DOUBLE) * v.share)"""
