@@ -294,3 +294,42 @@ QUERIES.update({
     "flip_variants": q_flip_variants,
     "drop_variants": q_drop_variants,
 })
+
+
+# ---------------------------------------------------------------- step 8: reconstruction metrics
+
+from pairlens.operators import evaluate as ev  # noqa: E402
+
+
+def _reconstructed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = inputs.test_dictionary(spark, sf_dir, P.latent_size)
+    z = vec.zscore(inputs.side_vectors(spark, sf_dir), "vec", "x", P.eps)
+    r = vec.reconstruct(z, d, P.k, keys=["vec_id"])
+    return z.select("vec_id", "batch", "seq", "x", "mean", "std").join(r, "vec_id")
+
+
+def q_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = vec.undo_zscore(_reconstructed(spark, sf_dir), "x_hat", "y_hat")
+    z = F.arrays_zip("x_hat", "y_hat")
+    return (r.select("vec_id", explode_indexed(z).alias("dim", "v"))
+            .select(_long("vec_id"), _long("dim"), round6("v.x_hat").alias("x_hat"), round6("v.y_hat").alias("y_hat")))
+
+
+def q_normalized_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _reconstructed(spark, sf_dir)
+    a = ev.normalized_mse(r)
+    b = ev.normalized_mse(r, batch_col="batch").select(F.col("nmse").alias("nmse_batch_mean"))
+    return a.select(_dbl("nmse"), b.select("nmse_batch_mean").scalar().alias("v")).select(
+        "nmse", round6("v").alias("nmse_batch_mean"))
+
+
+def q_kl_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = ev.kl_divergence(_reconstructed(spark, sf_dir), "x", "x_hat", "seq")
+    return k.select(_dbl("kl"), _long("n_sequences"))
+
+
+QUERIES.update({
+    "reconstruct": q_reconstruct,
+    "normalized_mse": q_normalized_mse,
+    "kl_divergence": q_kl_divergence,
+})

@@ -490,3 +490,34 @@ SELECT v.variant, CAST(pair_id AS BIGINT) AS pair_id, CAST(rank AS BIGINT) AS ra
        {R6('saescore')} AS saescore
 FROM dranked, (VALUES {_values([(drop_name(s), s) for s in DROP_SHARES])}) v(variant, share)
 WHERE rank >= floor(CAST(n AS DOUBLE) * v.share)"""
+
+
+# ---------------------------------------------------------------- reconstruction metrics
+
+XHAT = [EMB, EL, ZS, Z, DICT, pre_acts("z", "vec_id"), topk("pre", "vec_id", P.k),
+        """xh AS (
+  SELECT t.vec_id, d.dim, sum(t.value * d.dec) + max(d.pre_bias) AS x_hat
+  FROM topk t JOIN dict d ON d.latent = t.latent GROUP BY t.vec_id, d.dim),
+rec AS (
+  SELECT z.vec_id, z.batch, z.seq, z.dim, z.x, xh.x_hat, z.mean, z.std
+  FROM z JOIN xh ON xh.vec_id = z.vec_id AND xh.dim = z.dim)"""]
+
+SQL["reconstruct"] = with_(*XHAT) + f"""
+SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(dim AS BIGINT) AS dim, {R6('x_hat')} AS x_hat,
+       {R6('x_hat * std + mean')} AS y_hat
+FROM rec"""
+
+SQL["normalized_mse"] = with_(*XHAT, """rown AS (
+  SELECT vec_id, batch, avg((x_hat - x) * (x_hat - x)) / avg(x * x) AS nmse FROM rec GROUP BY vec_id, batch)""") + f"""
+SELECT {R6('(SELECT avg(nmse) FROM rown)')} AS nmse,
+       {R6('(SELECT avg(b) FROM (SELECT avg(nmse) AS b FROM rown GROUP BY batch))')} AS nmse_batch_mean"""
+
+SQL["kl_divergence"] = with_(*XHAT, """lse AS (
+  SELECT vec_id, seq,
+         max(x) + ln(sum(exp(x - mx))) AS lse_x, max(x_hat) + ln(sum(exp(x_hat - mxh))) AS lse_h
+  FROM (SELECT *, max(x) OVER (PARTITION BY vec_id) AS mx, max(x_hat) OVER (PARTITION BY vec_id) AS mxh FROM rec)
+  GROUP BY vec_id, seq),
+klr AS (
+  SELECT r.vec_id, l.seq, sum(exp(r.x - l.lse_x) * ((r.x - l.lse_x) - (r.x_hat - l.lse_h))) AS kl
+  FROM rec r JOIN lse l ON l.vec_id = r.vec_id GROUP BY r.vec_id, l.seq)""") + f"""
+SELECT {R6('sum(kl) / count(DISTINCT seq)')} AS kl, CAST(count(DISTINCT seq) AS BIGINT) AS n_sequences FROM klr"""
