@@ -32,6 +32,12 @@ REQUEST_FAILED = "Error during processing."
 # Flip and drop shares of the curation step.
 FLIP_SHARES = (0.005, 0.01, 0.025, 0.05)
 DROP_SHARES = (0.02, 0.04, 0.06, 0.08, 0.1)
+# Chat format of the reward-model tokenizer: one header per message, content
+# trimmed, end-of-turn token after it; the begin-of-text token is removed.
+BOS = "<|begin_of_text|>"
+HEADER_START = "<|start_header_id|>"
+HEADER_END = "<|end_header_id|>"
+END_OF_TURN = "<|eot_id|>"
 # ---- end of fixed values ----
 
 
@@ -58,6 +64,7 @@ class Params:
     seed: int = 42
     engine: str = "gpt-4o"
     vector_width: int = 2048        # d
+    rm_max_length: int = 4096       # reward-model tokens, left-truncated
     extra: dict = field(default_factory=dict)
 
     def with_(self, **kw) -> "Params":
@@ -70,5 +77,5 @@ TEST = Params(
     chunk_words=48, max_length=128, min_tail=5, plain_words=64, plain_min_tail=1,
     gap=5, k=8, latent_size=32, contrast_top=16, safety_top=8, sign_top=32,
     contexts_per_class=10, window=128, min_lines=4, sample_features=300,
-    vector_width=64,
+    vector_width=64, rm_max_length=64,
 )

@@ -333,3 +333,70 @@ QUERIES.update({
     "normalized_mse": q_normalized_mse,
     "kl_divergence": q_kl_divergence,
 })
+
+
+# ---------------------------------------------------------------- step 9: chat, ordering, reward metrics
+
+from pairlens.operators import chat  # noqa: E402
+from pairlens.operators.ranking import sample_ids, seeded_shuffle  # noqa: E402
+
+
+def _chat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = inputs.table(spark, sf_dir, "conversations")
+    return chat.conversation_pairs(turns)
+
+
+def q_render_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _chat_pairs(spark, sf_dir)
+    return c.select(_long("pair_id"), _long("n_turns"),
+                    chat.render_messages(F.col("chosen")).alias("chosen"),
+                    chat.render_messages(F.col("rejected")).alias("rejected"))
+
+
+def q_tokenize_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = chat.tokenize_pairs(_chat_pairs(spark, sf_dir), P.rm_max_length)
+    return t.select(_long("pair_id"),
+                    F.size("tokens_j").cast("long").alias("n_j"), F.size("tokens_k").cast("long").alias("n_k"),
+                    F.array_join("tokens_j", " ").alias("tokens_j"), F.array_join("tokens_k", " ").alias("tokens_k"))
+
+
+def q_pairs_to_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = chat.pairs_to_sequences(chat.tokenize_pairs(_chat_pairs(spark, sf_dir), P.rm_max_length))
+    return s.select(_long("pair_id"), "side", F.size("tokens").cast("long").alias("n_tokens"),
+                    F.array_join("tokens", " ").alias("tokens"),
+                    F.aggregate("mask", F.lit(0), lambda a, m: a + m).cast("long").alias("mask_sum"))
+
+
+def q_seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = seeded_shuffle(inputs.pairs(spark, sf_dir).select("pair_id"), "pair_id", P.seed)
+    return s.select(_long("pair_id"), _long("position"))
+
+
+def q_sample_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = inputs.table(spark, sf_dir, "documents").select("doc_id")
+    return sample_ids(ids, "doc_id", P.sample_features, P.seed).select(_long("doc_id"))
+
+
+def _rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.rewards(spark, sf_dir, inputs.pairs(spark, sf_dir))
+
+
+def q_preference_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = ev.preference_accuracy(_rewards(spark, sf_dir))
+    return a.select(_dbl("accuracy"), _long("n_pairs"))
+
+
+def q_pairwise_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = ev.pairwise_loss(_rewards(spark, sf_dir))
+    return a.select(_dbl("loss"), _long("n_pairs"))
+
+
+QUERIES.update({
+    "render_chat": q_render_chat,
+    "tokenize_pairs": q_tokenize_pairs,
+    "pairs_to_sequences": q_pairs_to_sequences,
+    "seeded_shuffle": q_seeded_shuffle,
+    "sample_features": q_sample_features,
+    "preference_accuracy": q_preference_accuracy,
+    "pairwise_loss": q_pairwise_loss,
+})

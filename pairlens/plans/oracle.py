@@ -521,3 +521,74 @@ klr AS (
   SELECT r.vec_id, l.seq, sum(exp(r.x - l.lse_x) * ((r.x - l.lse_x) - (r.x_hat - l.lse_h))) AS kl
   FROM rec r JOIN lse l ON l.vec_id = r.vec_id GROUP BY r.vec_id, l.seq)""") + f"""
 SELECT {R6('sum(kl) / count(DISTINCT seq)')} AS kl, CAST(count(DISTINCT seq) AS BIGINT) AS n_sequences FROM klr"""
+
+
+# ---------------------------------------------------------------- chat, ordering, reward metrics
+
+from pairlens.config import END_OF_TURN, HEADER_END, HEADER_START  # noqa: E402
+
+PIECE = (f"{q(HEADER_START)} || role || {q(HEADER_END)} || chr(10) || chr(10) || "
+         f"regexp_replace(text, '^\\s+|\\s+$', '', 'g') || {q(END_OF_TURN)}")
+
+CHAT = f"""ct AS (
+  SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last_turn FROM conversations),
+chat AS (
+  SELECT conv_id AS pair_id, count(*) AS n_turns,
+         string_agg({PIECE}, '' ORDER BY turn) AS chosen,
+         coalesce(string_agg({PIECE}, '' ORDER BY turn) FILTER (WHERE turn < last_turn), '') AS rejected
+  FROM ct GROUP BY conv_id)"""
+
+
+def words_sql(t: str) -> str:
+    w = f"trim(regexp_replace(coalesce({t}, ''), '{WS_RE2}', ' ', 'g'), ' ')"
+    return f"CASE WHEN {w} = '' THEN []::VARCHAR[] ELSE string_split({w}, ' ') END"
+
+
+def left_sql(tokens: str, m: int) -> str:
+    return f"{tokens}[greatest(len({tokens}) - {m} + 1, 1):]"
+
+
+CHAT_TOK = CHAT + f""",
+ctok AS (
+  SELECT pair_id, {left_sql('wj', P.rm_max_length)} AS tj, {left_sql('wk', P.rm_max_length)} AS tk
+  FROM (SELECT pair_id, {words_sql('chosen')} AS wj, {words_sql('rejected')} AS wk FROM chat))"""
+
+SQL["render_chat"] = with_(CHAT) + """
+SELECT CAST(pair_id AS BIGINT) AS pair_id, CAST(n_turns AS BIGINT) AS n_turns, chosen, rejected FROM chat"""
+
+SQL["tokenize_pairs"] = with_(CHAT_TOK) + """
+SELECT CAST(pair_id AS BIGINT) AS pair_id, CAST(len(tj) AS BIGINT) AS n_j, CAST(len(tk) AS BIGINT) AS n_k,
+       array_to_string(tj, ' ') AS tokens_j, array_to_string(tk, ' ') AS tokens_k
+FROM ctok"""
+
+SQL["pairs_to_sequences"] = with_(CHAT_TOK) + """
+SELECT CAST(pair_id AS BIGINT) AS pair_id, 'j' AS side, CAST(len(tj) AS BIGINT) AS n_tokens,
+       array_to_string(tj, ' ') AS tokens, CAST(len(tj) AS BIGINT) AS mask_sum FROM ctok
+UNION ALL
+SELECT CAST(pair_id AS BIGINT), 'k', CAST(len(tk) AS BIGINT), array_to_string(tk, ' '), CAST(len(tk) AS BIGINT) FROM ctok"""
+
+SQL["seeded_shuffle"] = with_(PAIRS) + f"""
+SELECT CAST(pair_id AS BIGINT) AS pair_id,
+       CAST(row_number() OVER (ORDER BY md5('{P.seed}:' || CAST(pair_id AS VARCHAR)), pair_id) - 1 AS BIGINT) AS position
+FROM pairs"""
+
+SQL["sample_features"] = f"""
+SELECT CAST(doc_id AS BIGINT) AS doc_id FROM (
+  SELECT doc_id FROM documents ORDER BY md5('{P.seed}:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT {P.sample_features})"""
+
+REWARDS = PAIRS + """,
+em AS (
+  SELECT vec_id, list_avg(CAST(embedding AS DOUBLE[])) * 100 AS m FROM embeddings),
+rw AS (
+  SELECT p.pair_id, c.m AS r_chosen, r.m AS r_rejected
+  FROM pairs p
+  JOIN em c ON c.vec_id = (p.pair_id * 2) % (SELECT count(*) FROM embeddings)
+  JOIN em r ON r.vec_id = (p.pair_id * 2 + 1) % (SELECT count(*) FROM embeddings))"""
+
+SQL["preference_accuracy"] = with_(REWARDS) + f"""
+SELECT {R6('avg(CASE WHEN r_chosen > r_rejected THEN 1.0 ELSE 0.0 END)')} AS accuracy,
+       CAST(count(*) AS BIGINT) AS n_pairs FROM rw"""
+
+SQL["pairwise_loss"] = with_(REWARDS) + f"""
+SELECT {R6('avg(greatest(r_rejected - r_chosen, 0.0) + ln(1 + exp(-abs(r_rejected - r_chosen))))')} AS loss,
+       CAST(count(*) AS BIGINT) AS n_pairs FROM rw"""
