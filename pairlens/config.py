@@ -7,7 +7,7 @@ generated test tables (see FIXTURES.md).
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 # ---- fixed values (must equal the original pipeline's for equal results) ----
 # Marker appended after every run of boundary characters.
@@ -65,7 +65,6 @@ class Params:
     engine: str = "gpt-4o"
     vector_width: int = 2048        # d
     rm_max_length: int = 4096       # reward-model tokens, left-truncated
-    extra: dict = field(default_factory=dict)
 
     def with_(self, **kw) -> "Params":
         return replace(self, **kw)

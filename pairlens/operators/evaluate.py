@@ -24,9 +24,11 @@ def normalized_mse(df: DataFrame, x: str = "x", x_hat: str = "x_hat", batch_col:
 
 
 def _log_softmax(v) -> F.Column:
-    m = F.array_max(v)
-    lse = m + F.log(F.aggregate(v, F.lit(0.0), lambda acc, y: acc + F.exp(y - m)))
-    return F.transform(v, lambda y: y - lse)
+    """Stable log-softmax; the max and the log-sum-exp are bound once per row."""
+    def with_max(m):
+        lse = m + F.log(F.aggregate(v, F.lit(0.0), lambda acc, y: acc + F.exp(y - m)))
+        return let(lse, lambda c: F.transform(v, lambda y: y - c))
+    return let(F.array_max(v), with_max)
 
 
 def kl_rows(df: DataFrame, logits: str, logits_hat: str) -> DataFrame:

@@ -82,11 +82,13 @@ def segment_ends(seqs: DataFrame, gap: int) -> DataFrame:
 
 def segments(seqs: DataFrame, keys: list[str], width: int | None = None) -> DataFrame:
     """T9 + T10: one row per selected segment end, keyed by keys + chunk_id +
-    seg_no. A segment spans the tokens after the previous end up to this end;
-    with ``width`` its real words (mask 1) are hashed into a count vector.
+    seg_no. A segment spans the tokens after the previous end up to this end.
 
+    With ``width``, the real words of the segment (mask 1) are hashed into
+    ``buckets`` (their bucket ids, 0..width-1). ``bucket_counts`` and
+    ``dense_counts`` turn those into the sparse or the dense count vector.
     Each chunk hashes its tokens once and builds all its segments in one
-    expression, so nothing is recomputed per segment or per dimension.
+    expression, so nothing is recomputed per segment.
     """
     def build(c):
         ends, bk = c["ends"], c["buckets"]
@@ -95,10 +97,8 @@ def segments(seqs: DataFrame, keys: list[str], width: int | None = None) -> Data
             begin = F.when(j == 0, F.lit(0)).otherwise(F.element_at(ends, j) + 1)
             fields = [j.alias("seg_no"), begin.alias("begin_pos"), e.alias("end_pos")]
             if width is not None:
-                part = F.slice(bk, begin + 1, e - begin + 1)
-                vec = F.transform(F.sequence(F.lit(0), F.lit(width - 1)),
-                                  lambda d: F.size(F.filter(part, lambda b: b == d)).cast("double"))
-                fields.append(vec.alias("vec"))
+                part = F.filter(F.slice(bk, begin + 1, e - begin + 1), lambda b: b >= 0)
+                fields.append(part.alias("buckets"))
             return F.struct(*fields)
         return F.transform(ends, seg)
 
@@ -110,3 +110,15 @@ def segments(seqs: DataFrame, keys: list[str], width: int | None = None) -> Data
     segs = let(F.struct(F.col("ends").alias("ends"), buckets.alias("buckets")), build)
     return (seqs.select(*keys, "chunk_id", F.inline_outer(segs))
             .filter(F.col("seg_no").isNotNull()))
+
+
+def bucket_counts(buckets: str = "buckets") -> F.Column:
+    """Sparse count vector: array<struct<bucket, n>> over the distinct buckets."""
+    return let(F.col(buckets), lambda b: F.transform(
+        F.array_distinct(b), lambda u: F.struct(u.alias("bucket"), F.size(F.filter(b, lambda x: x == u)).alias("n"))))
+
+
+def dense_counts(width: int, buckets: str = "buckets") -> F.Column:
+    """Dense count vector of ``width`` doubles."""
+    return let(F.col(buckets), lambda b: F.transform(
+        F.sequence(F.lit(0), F.lit(width - 1)), lambda d: F.size(F.filter(b, lambda x: x == d)).cast("double")))

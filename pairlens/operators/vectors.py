@@ -131,7 +131,26 @@ def _topk_mask(pre: np.ndarray, k: int) -> np.ndarray:
     return gt | (eq & (np.cumsum(eq, axis=1) <= need))
 
 
-def _encode_fn(keys: list[str], vec_col: str, k: int, bc, emit_dense: bool):
+def _stack(pdf: pd.DataFrame, col: str) -> np.ndarray:
+    return np.stack(pdf[col].to_numpy()).astype(np.float64)
+
+
+def _zscored_counts(col: str, width: int, eps: float):
+    """Rows of bucket-id arrays -> dense count vectors -> row z-score (V1)."""
+    def to_matrix(pdf: pd.DataFrame) -> np.ndarray:
+        ids = pdf[col].to_numpy()
+        lens = np.fromiter((len(a) for a in ids), dtype=np.int64, count=len(ids))
+        dense = np.zeros((len(ids), width), dtype=np.float64)
+        if lens.sum():
+            rows = np.repeat(np.arange(len(ids)), lens)
+            np.add.at(dense, (rows, np.concatenate([np.asarray(a, dtype=np.int64) for a in ids])), 1.0)
+        mean = dense.mean(axis=1, keepdims=True)
+        std = dense.std(axis=1, ddof=1, keepdims=True)
+        return (dense - mean) / (std + eps)
+    return to_matrix
+
+
+def _encode_fn(keys: list[str], to_matrix, k: int, bc, emit_dense: bool):
     def run(batches):
         pre_bias, ids, enc, bias, dec = bc.value
         L = len(ids)
@@ -139,7 +158,7 @@ def _encode_fn(keys: list[str], vec_col: str, k: int, bc, emit_dense: bool):
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            x = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
+            x = to_matrix(pdf)
             for s in range(0, len(pdf), rows_per_step):
                 xs = x[s:s + rows_per_step]
                 pre = (xs - pre_bias) @ enc.T + bias
@@ -161,9 +180,17 @@ def _encode_fn(keys: list[str], vec_col: str, k: int, bc, emit_dense: bool):
 
 
 def encode(df: DataFrame, dictionary: FeatureDictionary, k: int, keys: list[str],
-           vec_col: str = "x", max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+           vec_col: str = "x", max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+           counts_width: int | None = None, eps: float = 1e-6) -> DataFrame:
     """V2 + V3: pre-activations and row top-k, as a long sparse table
-    ``keys..., latent int, value double`` (k rows per vector, values may be <= 0)."""
+    ``keys..., latent int, value double`` (k rows per vector, values may be <= 0).
+
+    ``vec_col`` holds the (already normalised) vectors. With ``counts_width``
+    it instead holds bucket-id arrays (T10 output): the dense count vector and
+    its row z-score (V1) are built inside the same Arrow batch as the matmul.
+    """
+    to_matrix = (_zscored_counts(vec_col, counts_width, eps) if counts_width
+                 else lambda pdf: _stack(pdf, vec_col))
     key_fields = [df.schema[c] for c in keys]
     schema = T.StructType(key_fields + [T.StructField("latent", T.IntegerType()),
                                         T.StructField("value", T.DoubleType())])
@@ -172,12 +199,12 @@ def encode(df: DataFrame, dictionary: FeatureDictionary, k: int, keys: list[str]
     blocks = _plan_blocks(dictionary, False, max_broadcast_bytes)
     if blocks is None:
         bc = sc.broadcast(_collect_weights(dictionary, False))
-        return src.mapInPandas(_encode_fn(keys, vec_col, k, bc, False), schema)
+        return src.mapInPandas(_encode_fn(keys, to_matrix, k, bc, False), schema)
     # Dictionary above the broadcast limit: exact top-k over per-block candidates.
     parts = None
     for blk in blocks:
         bc = sc.broadcast(_collect_weights(dictionary, False, blk))
-        cand = src.mapInPandas(_encode_fn(keys, vec_col, k, bc, False), schema)
+        cand = src.mapInPandas(_encode_fn(keys, to_matrix, k, bc, False), schema)
         parts = cand if parts is None else parts.unionByName(cand)
     w = Window.partitionBy(*keys).orderBy(F.col("value").desc(), F.col("latent"))
     return parts.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
@@ -203,7 +230,7 @@ def reconstruct(df: DataFrame, dictionary: FeatureDictionary, k: int, keys: list
     if blocks is None:
         schema = T.StructType(key_fields + [T.StructField("x_hat", T.ArrayType(T.DoubleType()))])
         bc = df.sparkSession.sparkContext.broadcast(_collect_weights(dictionary, True))
-        return src.mapInPandas(_encode_fn(keys, vec_col, k, bc, True), schema)
+        return src.mapInPandas(_encode_fn(keys, lambda pdf: _stack(pdf, vec_col), k, bc, True), schema)
     acts = encode(df, dictionary, k, keys, vec_col, max_broadcast_bytes)
     terms = (acts.join(dictionary.latents.select("latent", "dec"), "latent")
              .select(*keys, F.posexplode(F.transform("dec", lambda v: v * F.col("value")))

@@ -142,8 +142,7 @@ def doc_segment_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_segment_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = doc_segment_vectors(spark, sf_dir)
-    return (v.select("doc_id", "chunk_id", "seg_no", "end_pos", explode_indexed("vec").alias("bucket", "n"))
-            .filter(F.col("n") > 0)
+    return (v.select("doc_id", "chunk_id", "seg_no", "end_pos", F.inline(txo.bucket_counts()))
             .select(_long("doc_id"), _long("chunk_id"), _long("seg_no"), _long("end_pos"),
                     _long("bucket"), _long("n")))
 

@@ -45,16 +45,34 @@ class PairRun:
     acts: DataFrame      # active sparse activations, checkpointed
     dictionary: vec.FeatureDictionary
     p: Params
+    top_contexts: DataFrame | None = None  # checkpointed on first use (bounded size)
+
+
+_RUNS: dict[tuple, PairRun] = {}
 
 
 def run_pairs(spark: SparkSession, sf_dir: str, p: Params = TEST) -> PairRun:
+    """Encode the pair corpus once per session and input.
+
+    The chunk table (tokens and segment ends) and the active sparse
+    activations are checkpointed to the shared checkpoint folder: the first
+    feeds the encode, the context join and the segment counts, the second the
+    sums, the contexts and the scores. Later calls with the same session, input
+    folder and parameters reuse both tables instead of re-running the text
+    pipeline and the encode.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, p)
+    if key in _RUNS:
+        return _RUNS[key]
     pairs = inputs.pairs(spark, sf_dir)
-    seqs = pair_sequences(pairs, p)
-    segs = txo.segments(seqs, PAIR_KEYS, p.vector_width)
+    seqs = materialize(pair_sequences(pairs, p).select(*CHUNK_KEYS, "n_tokens", "tokens", "mask", "ends"))
     d = inputs.test_dictionary(spark, sf_dir, p.latent_size)
-    z = vec.zscore(segs, "vec", "x", p.eps)
-    acts = materialize(vec.active(vec.encode(z, d, p.k, keys=SEG_KEYS)))
-    return PairRun(pairs, seqs, segs.drop("vec"), acts, d, p)
+    segs = txo.segments(seqs, PAIR_KEYS, p.vector_width)
+    acts = materialize(vec.active(vec.encode(segs, d, p.k, keys=SEG_KEYS, vec_col="buckets",
+                                             counts_width=p.vector_width, eps=p.eps)))
+    run = PairRun(pairs, seqs, txo.segments(seqs, PAIR_KEYS), acts, d, p)
+    _RUNS[key] = run
+    return run
 
 
 def corpus_sums(run: PairRun) -> DataFrame:
@@ -77,7 +95,12 @@ def corpus_contexts(run: PairRun) -> DataFrame:
 
 
 def corpus_top_contexts(run: PairRun) -> DataFrame:
-    return ctx.top_contexts(corpus_contexts(run), run.p.contexts_per_class)
+    """W4 over the corpus contexts. At most contexts_per_class x classes rows per
+    ranked feature, so the table is small; it is checkpointed on first use and
+    shared by the interpretation, safety and scoring steps."""
+    if run.top_contexts is None:
+        run.top_contexts = materialize(ctx.top_contexts(corpus_contexts(run), run.p.contexts_per_class))
+    return run.top_contexts
 
 
 def context_feature_set(run: PairRun) -> DataFrame:
