@@ -399,3 +399,79 @@ QUERIES.update({
     "preference_accuracy": q_preference_accuracy,
     "pairwise_loss": q_pairwise_loss,
 })
+
+
+# ---------------------------------------------------------------- step 10: sources and sinks
+
+from pairlens.operators.validate import violations  # noqa: E402
+from pairlens.plans import roundtrip as rt  # noqa: E402
+
+
+def q_jsonl_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rt.jsonl_scan(spark, sf_dir).select(_long("line_no"), "text")
+
+
+def q_line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rt.line_pairs(spark, sf_dir).select(_long("pair_id"), "side", "text")
+
+
+def q_feature_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rt.feature_tsv(spark, sf_dir, P).select(_long("latent"), _dbl("diff"), _dbl("v_chosen"), _dbl("v_rejected"))
+
+
+def q_id_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rt.id_lists(spark, sf_dir, P).select(_long("rank"), _long("latent"))
+
+
+def q_contrast_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rt.contrast_scan(spark, sf_dir, P).select(_long("latent"), _dbl("diff"))
+
+
+def q_context_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rt.context_json(spark, sf_dir, P).select(_long("latent_key"), "token_class", "context", _dbl("activation"))
+
+
+def q_interpretation_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rt.interpretation_json(spark, sf_dir, P).select("latent_key", _long("score"), "explanation")
+
+
+def q_score_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rt.score_scan(spark, sf_dir, P).select(_long("pair_id"), _dbl("saescore"))
+
+
+def q_dataset_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rt.dataset_scan(spark, sf_dir).select(_long("pair_id"), "chosen", "rejected")
+
+
+def q_variant_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rt.variant_scan(spark, sf_dir, P).select("variant", _long("n_rows"), _long("first_rank"))
+
+
+def q_dictionary_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = rt.dictionary_scan(spark, sf_dir, P)
+    return d.latents.select("latent", "latent_bias", explode_indexed(F.arrays_zip("enc", "dec")).alias("dim", "w")).select(
+        _long("latent"), _long("dim"), round6("w.enc").alias("enc"), round6("w.dec").alias("dec"), _dbl("latent_bias"))
+
+
+def q_validate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # every pre-activation (k = L), so non-positive values are present to flag
+    acts = discovery.vector_activations(spark, sf_dir, P.with_(k=P.latent_size)).withColumn(
+        "mode", F.when(F.col("side") == "chosen", 0).otherwise(1))
+    v = violations(acts, P.latent_size)
+    return v.select(_long("vec_id"), _long("latent"), _dbl("value"), _long("mode"), "violation")
+
+
+QUERIES.update({
+    "jsonl_scan": q_jsonl_scan,
+    "line_pairs": q_line_pairs,
+    "feature_tsv": q_feature_tsv,
+    "id_lists": q_id_lists,
+    "contrast_scan": q_contrast_scan,
+    "context_json": q_context_json,
+    "interpretation_json": q_interpretation_json,
+    "score_scan": q_score_scan,
+    "dataset_scan": q_dataset_scan,
+    "variant_scan": q_variant_scan,
+    "dictionary_scan": q_dictionary_scan,
+    "validate_features": q_validate_features,
+})

@@ -592,3 +592,51 @@ SELECT {R6('avg(CASE WHEN r_chosen > r_rejected THEN 1.0 ELSE 0.0 END)')} AS acc
 SQL["pairwise_loss"] = with_(REWARDS) + f"""
 SELECT {R6('avg(greatest(r_rejected - r_chosen, 0.0) + ln(1 + exp(-abs(r_rejected - r_chosen))))')} AS loss,
        CAST(count(*) AS BIGINT) AS n_pairs FROM rw"""
+
+
+# ---------------------------------------------------------------- sources and sinks (round trips)
+
+SQL["jsonl_scan"] = """
+SELECT CAST(row_number() OVER (ORDER BY doc_id) AS BIGINT) AS line_no, coalesce(text, '') AS text FROM documents"""
+
+SQL["line_pairs"] = with_(PAIRS) + """
+SELECT CAST(pair_id AS BIGINT) AS pair_id, side, text FROM ptext"""
+
+SQL["feature_tsv"] = SQL["feature_contrast"]
+
+SQL["id_lists"] = with_(*VEC_CHAIN, dense_sums("topk"), contrast(), top_abs("contrast", P.contrast_top)) + """
+SELECT CAST(rank AS BIGINT) AS rank, CAST(latent AS BIGINT) AS latent FROM ranked"""
+
+SQL["contrast_scan"] = with_(*VEC_CHAIN, dense_sums("topk"), contrast()) + f"""
+SELECT CAST(latent AS BIGINT) AS latent, {R6('diff')} AS diff FROM contrast"""
+
+SQL["context_json"] = with_(*P_CHAIN, CONTEXTS) + f"""
+SELECT CAST(latent AS BIGINT) AS latent_key, token_class, context, {R6('value')} AS activation
+FROM ptopctx WHERE latent IN (SELECT latent FROM pfeat)"""
+
+SQL["interpretation_json"] = with_(RESPONSES, DICT_KEYS, parse_fragment("dkeys")) + """
+SELECT latent_key, CAST(score AS BIGINT) AS score, explanation FROM results"""
+
+SQL["score_scan"] = SQL["pair_scores"]
+
+SQL["dataset_scan"] = with_(PAIRS) + """
+SELECT CAST(pair_id AS BIGINT) AS pair_id, chosen, rejected FROM pairs"""
+
+SQL["variant_scan"] = with_(*P_CHAIN, CONTEXTS, *SCORING, SCORED, """dranked AS (
+  SELECT *, row_number() OVER (ORDER BY round(saescore, 9), pair_id) - 1 AS rank,
+         count(*) OVER () AS n FROM scored)""") + f"""
+SELECT v.variant, CAST(count(*) AS BIGINT) AS n_rows, CAST(min(rank) AS BIGINT) AS first_rank
+FROM dranked, (VALUES {_values([(drop_name(s), s) for s in DROP_SHARES])}) v(variant, share)
+WHERE rank >= floor(CAST(n AS DOUBLE) * v.share)
+GROUP BY v.variant"""
+
+SQL["dictionary_scan"] = SQL["feature_dictionary"]
+
+SQL["validate_features"] = with_(*VEC_CHAIN[:-1], topk("pre", "vec_id", P.latent_size)) + f"""
+SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(latent AS BIGINT) AS latent, {R6('value')} AS value,
+       CAST(CASE WHEN side = 'chosen' THEN 0 ELSE 1 END AS BIGINT) AS mode,
+       CASE WHEN NOT (latent >= 0 AND latent < {P.latent_size}) THEN 'latent out of range'
+            WHEN NOT (value > 0) THEN 'value not above zero'
+            WHEN NOT (CASE WHEN side = 'chosen' THEN 0 ELSE 1 END IN (0, 1)) THEN 'mode not 0 or 1' END AS violation
+FROM topk
+WHERE NOT (latent >= 0 AND latent < {P.latent_size}) OR NOT (value > 0)"""
