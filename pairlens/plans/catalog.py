@@ -475,3 +475,23 @@ QUERIES.update({
     "dictionary_scan": q_dictionary_scan,
     "validate_features": q_validate_features,
 })
+
+
+# ---------------------------------------------------------------- streaming
+
+from pairlens.streaming import feature_stream as fs  # noqa: E402
+
+
+def q_stream_feature_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1 as a streaming aggregate over the documents folder (runs to the end of
+    the available input, then reports the dense sums)."""
+    import uuid as _uuid
+    name = f"stream_sums_{_uuid.uuid4().hex[:8]}"
+    labels = inputs.table(spark, sf_dir, "labels")
+    d = inputs.test_dictionary(spark, sf_dir, P.latent_size)
+    q = fs.start_feature_sums(spark, sf_dir, labels, d, P, name, glob="documents.parquet")
+    q.awaitTermination()
+    return fs.dense_sums(spark, name, P.latent_size).select(_long("latent"), _dbl("v_chosen"), _dbl("v_rejected"))
+
+
+QUERIES["stream_feature_sums"] = q_stream_feature_sums

@@ -640,3 +640,27 @@ SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(latent AS BIGINT) AS latent, {R6('
             WHEN NOT (CASE WHEN side = 'chosen' THEN 0 ELSE 1 END IN (0, 1)) THEN 'mode not 0 or 1' END AS violation
 FROM topk
 WHERE NOT (latent >= 0 AND latent < {P.latent_size}) OR NOT (value > 0)"""
+
+
+# ---------------------------------------------------------------- streaming feature sums
+
+LDOCS = """ldocs AS (
+  SELECT d.doc_id, CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 'chosen' ELSE 'rejected' END AS side, d.text
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+
+DK = "doc_id, side"
+DSEGK = "doc_id, side, chunk_id, seg_no"
+S_CHAIN = [LDOCS, *text_chain("ldocs", DK, P.chunk_words, P.min_tail, P.max_length, P.gap, prefix="s"),
+           seg_fragment(DK, P.vector_width, src="sen", name="ssv"),
+           f"""sdense AS (
+  SELECT s.doc_id, s.side, s.chunk_id, s.seg_no, r.range AS dim, CAST(coalesce(v.n, 0) AS DOUBLE) AS v
+  FROM ssv_seg s CROSS JOIN range({P.vector_width}) r
+  LEFT JOIN ssv v ON v.doc_id = s.doc_id AND v.side = s.side AND v.chunk_id = s.chunk_id
+                 AND v.seg_no = s.seg_no AND v.bucket = r.range),
+szs AS (SELECT {DSEGK}, avg(v) AS mean, stddev_samp(v) AS std FROM sdense GROUP BY ALL),
+sz AS (SELECT d.*, (d.v - s.mean) / (s.std + {P.eps}) AS x FROM sdense d JOIN szs s USING ({DSEGK}))""",
+           EMB, EL, DICT, pre_acts("sz", DSEGK, name="spre"), topk("spre", DSEGK, P.k, name="stopk"),
+           dense_sums("stopk", name="ssums")]
+
+SQL["stream_feature_sums"] = with_(*S_CHAIN) + f"""
+SELECT CAST(latent AS BIGINT) AS latent, {R6('v_chosen')} AS v_chosen, {R6('v_rejected')} AS v_rejected FROM ssums"""
