@@ -121,6 +121,23 @@ def top_contexts(contexts: DataFrame, per_class: int) -> DataFrame:
     return contexts.withColumn("ctx_rank", F.row_number().over(w)).filter(F.col("ctx_rank") <= per_class)
 
 
+def strongest_contexts(acts: DataFrame, chunks: DataFrame, chunk_keys: list[str], window: int,
+                       per_class: int) -> DataFrame:
+    """T14 + T15 + W4 with windows cut only for candidates (class '' as in the original).
+
+    ``acts`` carries ``end_ok`` (the segment end has a window: see
+    operators.text.segments). Among valid activations, the top ``per_class``
+    by (activation, context) all have at most ``per_class - 1`` strictly larger
+    activations, so ``rank() <= per_class`` on the activation alone keeps every
+    candidate (ties included) and only those are joined to their chunk and cut.
+    """
+    w_val = Window.partitionBy("latent", "token_class").orderBy(F.round("value", 9).desc())
+    cand = (acts.filter(F.col("end_ok")).withColumn("token_class", F.lit(""))
+            .withColumn("_vr", F.rank().over(w_val)).filter(F.col("_vr") <= per_class).drop("_vr"))
+    joined = with_context(cand.join(chunks.select(*chunk_keys, "tokens"), chunk_keys), "tokens", "end_pos", window)
+    return top_contexts(joined.drop("tokens").filter(F.col("context").isNotNull()), per_class)
+
+
 def context_features(top: DataFrame, max_classes: int, min_lines: int) -> DataFrame:
     """Features with at most ``max_classes`` classes and more than
     ``min_lines`` kept contexts."""

@@ -31,6 +31,16 @@ def _log_softmax(v) -> F.Column:
     return let(F.array_max(v), with_max)
 
 
+def normalized_mse_both(df: DataFrame, batch_col: str, x: str = "x", x_hat: str = "x_hat") -> DataFrame:
+    """A7 both ways in one pass: row mean (``nmse``) and mean of batch means
+    (``nmse_batch_mean``), from per-batch sums and counts."""
+    row = (array_sq_error(F.col(x_hat), F.col(x)) / array_mean_square(F.col(x))).alias("nmse")
+    per_batch = df.select(batch_col, row).groupBy(batch_col).agg(
+        F.sum("nmse").alias("s"), F.count("nmse").alias("n"))
+    return per_batch.agg((F.sum("s") / F.sum("n")).alias("nmse"),
+                         F.avg(F.col("s") / F.col("n")).alias("nmse_batch_mean"))
+
+
 def kl_rows(df: DataFrame, logits: str, logits_hat: str) -> DataFrame:
     """KL(softmax(logits) || softmax(logits_hat)) summed over the vocabulary, per row."""
     def kl(pair):

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.config import EOS, MARKER
+from pairlens.config import EOS, MARKER, SENTENCE_ENDERS
 from pairlens.functions import text as tx
 from pairlens.functions.arrays import explode_indexed, let
 
@@ -91,11 +91,14 @@ def segments(seqs: DataFrame, keys: list[str], width: int | None = None) -> Data
     expression, so nothing is recomputed per segment.
     """
     def build(c):
-        ends, bk = c["ends"], c["buckets"]
+        ends, bk, toks = c["ends"], c["buckets"], c["tokens"]
 
         def seg(e, j):
             begin = F.when(j == 0, F.lit(0)).otherwise(F.element_at(ends, j) + 1)
-            fields = [j.alias("seg_no"), begin.alias("begin_pos"), e.alias("end_pos")]
+            # a context window around this end exists: the end is not the last
+            # token and not an end token itself (see operators.contexts)
+            end_ok = (e < F.size(toks) - 1) & ~F.element_at(toks, e + 1).isin(*SENTENCE_ENDERS)
+            fields = [j.alias("seg_no"), begin.alias("begin_pos"), e.alias("end_pos"), end_ok.alias("end_ok")]
             if width is not None:
                 part = F.filter(F.slice(bk, begin + 1, e - begin + 1), lambda b: b >= 0)
                 fields.append(part.alias("buckets"))
@@ -107,7 +110,7 @@ def segments(seqs: DataFrame, keys: list[str], width: int | None = None) -> Data
             F.element_at("mask", i + 1) == 1, tx.hash_bucket(t, width)).otherwise(F.lit(-1)))
     else:
         buckets = F.array().cast("array<long>")
-    segs = let(F.struct(F.col("ends").alias("ends"), buckets.alias("buckets")), build)
+    segs = let(F.struct(F.col("ends").alias("ends"), buckets.alias("buckets"), F.col("tokens").alias("tokens")), build)
     return (seqs.select(*keys, "chunk_id", F.inline_outer(segs))
             .filter(F.col("seg_no").isNotNull()))
 

@@ -27,7 +27,7 @@ from pairlens.sources.tables import spread
 
 PAIR_KEYS = ["pair_id", "side"]
 CHUNK_KEYS = PAIR_KEYS + ["chunk_id"]
-SEG_KEYS = CHUNK_KEYS + ["seg_no", "end_pos"]
+SEG_KEYS = CHUNK_KEYS + ["seg_no", "end_pos", "end_ok"]
 
 
 def pair_sequences(pairs: DataFrame, p: Params) -> DataFrame:
@@ -99,7 +99,9 @@ def corpus_top_contexts(run: PairRun) -> DataFrame:
     ranked feature, so the table is small; it is checkpointed on first use and
     shared by the interpretation, safety and scoring steps."""
     if run.top_contexts is None:
-        run.top_contexts = materialize(ctx.top_contexts(corpus_contexts(run), run.p.contexts_per_class))
+        listed = feat.keep_listed(run.acts, corpus_top(run))
+        run.top_contexts = materialize(ctx.strongest_contexts(listed, run.seqs, CHUNK_KEYS, run.p.window,
+                                                              run.p.contexts_per_class))
     return run.top_contexts
 
 
