@@ -7,12 +7,16 @@ a fresh scratch folder when it is unset (local runs and tests).
 
 from __future__ import annotations
 
+import hashlib
+import io
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
+_SHIPPED: set[str] = set()
 
 
 def get_spark(master: str | None = None, app: str = "pairlens",
@@ -49,13 +53,48 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
+        ship_package(spark, current)
         return current
     configured = spark.conf.get(_CHECKPOINT_CONF, None) or sc.getConf().get(_CHECKPOINT_CONF, None)
     if not configured:
         configured = tempfile.mkdtemp(prefix="pairlens-ckpt-")
         spark.conf.set(_CHECKPOINT_CONF, configured)
     sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+    folder = sc.getCheckpointDir() or configured
+    ship_package(spark, folder)
+    return folder
+
+
+def ship_package(spark: SparkSession, folder: str) -> None:
+    """Make ``pairlens`` importable in the Python workers.
+
+    The Arrow-batch steps reference functions of this package, so executors
+    must be able to import it. The package is zipped into the shared folder
+    (any Hadoop file system) and added with ``addPyFile`` once per application.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in sorted(os.walk(root)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    data = buf.getvalue()
+    digest = hashlib.sha1(data).hexdigest()[:12]
+    target = f"{folder.rstrip('/')}/pyfiles/pairlens-{digest}.zip"
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        out = fs.create(path, True)
+        out.write(bytearray(data))
+        out.close()
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
 
 
 def materialize(df: DataFrame) -> DataFrame:
