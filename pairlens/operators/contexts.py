@@ -81,7 +81,9 @@ def with_context(df: DataFrame, tokens: str, pos: str, window: int, out: str = "
         marked = F.concat(F.slice(ctx, 1, a), F.array(F.lit(ACTIVATED + " ")),
                           F.slice(ctx, a + 2, F.greatest(F.size(ctx) - a - 1, F.lit(0))))
         text = F.array_join(F.array_remove(let(marked, lambda m: _trim_ends(m, CONTEXT_TRIM)), MARKER), " ")
-        text = F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), r'^"+|"+$', "")
+        # strip blanks, then double quotes (after normalisation the only blanks
+        # left are ASCII ones, so a character-set trim is exact)
+        text = F.btrim(F.btrim(text, F.lit(" \t\n\r\x0b\x0c")), F.lit('"'))
         return F.when(valid, let(text, lambda x: F.when(x != "", x)))
 
     lo_hi = F.struct(F.greatest(p - (half + 1), F.lit(0)).alias("lo"),

@@ -51,10 +51,9 @@ def _variants(names_shares) -> F.Column:
 def flip_variants(scored: DataFrame, shares=FLIP_SHARES) -> DataFrame:
     """W5 + U3: rank by score desc (pair_id breaks ties); in each variant swap
     chosen/rejected and negate the score of the first floor(n * share) rows."""
-    n = scored.select(F.count("*")).scalar()
-    ranked = global_rank(scored, [F.round("saescore", _RANK_DIGITS).desc(), F.col("pair_id")], "rank")
+    ranked = global_rank(scored, [F.round("saescore", _RANK_DIGITS).desc(), F.col("pair_id")], "rank", "_n")
     tagged = ranked.select("*", _variants([(flip_name(s), s) for s in shares]))
-    flip = F.col("rank") < _cut(n, F.col("v.share"))
+    flip = F.col("rank") < _cut(F.col("_n"), F.col("v.share"))
     return tagged.select(
         F.col("v.variant").alias("variant"), "pair_id",
         F.when(flip, F.col("rejected")).otherwise(F.col("chosen")).alias("chosen"),
@@ -66,10 +65,9 @@ def flip_variants(scored: DataFrame, shares=FLIP_SHARES) -> DataFrame:
 def drop_variants(scored: DataFrame, shares=DROP_SHARES) -> DataFrame:
     """Rank by score asc (pair_id breaks ties); each variant drops the
     first floor(n * share) rows."""
-    n = scored.select(F.count("*")).scalar()
-    ranked = global_rank(scored, [F.round("saescore", _RANK_DIGITS), F.col("pair_id")], "rank")
+    ranked = global_rank(scored, [F.round("saescore", _RANK_DIGITS), F.col("pair_id")], "rank", "_n")
     tagged = ranked.select("*", _variants([(drop_name(s), s) for s in shares]))
-    keep = F.col("rank") >= _cut(n, F.col("v.share"))
+    keep = F.col("rank") >= _cut(F.col("_n"), F.col("v.share"))
     return tagged.filter(keep).select(F.col("v.variant").alias("variant"), "pair_id", "chosen",
                                       "rejected", "saescore", "rank")
 

@@ -20,9 +20,12 @@ from pairlens.session import materialize
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition << 33 | row in partition
 
 
-def global_rank(df: DataFrame, order: list[Column], out_col: str = "rank") -> DataFrame:
+def global_rank(df: DataFrame, order: list[Column], out_col: str = "rank",
+                total_col: str | None = None) -> DataFrame:
     """G1: dense 0-based row number in ``order`` (must be a total order: end it
-    with a unique key). No window without partitioning; one shuffle (the sort)."""
+    with a unique key). No window without partitioning; one shuffle (the sort).
+    With ``total_col`` the row count (known from the partition counts) is added
+    as a literal column, so callers need no second pass to count."""
     ordered = materialize(df.orderBy(*order))
     tagged = ordered.select(
         "*",
@@ -37,9 +40,12 @@ def global_rank(df: DataFrame, order: list[Column], out_col: str = "rank") -> Da
     schema = T.StructType([T.StructField("_pid", T.IntegerType()), T.StructField("_off", T.LongType())])
     offsets = spark.createDataFrame(list(zip(range(n_parts), starts)), schema)
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), _LOCAL_BITS)
-    return (tagged.join(F.broadcast(offsets), "_pid")
-            .withColumn(out_col, F.col("_off") + local)
-            .drop("_pid", "_mid", "_off"))
+    ranked = (tagged.join(F.broadcast(offsets), "_pid")
+              .withColumn(out_col, F.col("_off") + local)
+              .drop("_pid", "_mid", "_off"))
+    if total_col:
+        ranked = ranked.withColumn(total_col, F.lit(sum(sizes)).cast("long"))
+    return ranked
 
 
 def seeded_key(id_col: str, seed: int) -> Column:

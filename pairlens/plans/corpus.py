@@ -139,7 +139,10 @@ def corpus_segment_counts(run: PairRun) -> DataFrame:
 
 
 def corpus_signed_sums(run: PairRun, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sco.signed_sums(run.acts, signed_lists(run, spark, sf_dir))
+    """U1 + J2 (keep activations of the safe or unsafe features) then J3 + A5."""
+    signs = signed_lists(run, spark, sf_dir)
+    keep = feat.keep_set(signs.filter("sign > 0"), signs.filter("sign < 0"))
+    return sco.signed_sums(feat.keep_listed(run.acts, keep), signs)
 
 
 def corpus_scores(run: PairRun, spark: SparkSession, sf_dir: str) -> DataFrame:

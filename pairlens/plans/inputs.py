@@ -47,7 +47,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(
         "doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
     labelled = docs.join(labels, "doc_id")
-    n_good = labels.filter("good").select(F.count("*")).scalar()
+    n_good = labelled.filter("good").select(F.count("*")).scalar()
     ranked = global_rank(labelled, [F.col("good").desc(), F.col("doc_id")], "r")
     pair_id = F.when(F.col("good"), F.col("r") + 1).otherwise(F.col("r") - n_good + 1)
     ranked = ranked.select(pair_id.alias("pair_id"), "good", "text")
