@@ -7,17 +7,27 @@ rounded the same way as the matching SQL in ``pairlens.plans.oracle``
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import re
-
 from pairlens.config import MARKER, TEST
 from pairlens.functions.arrays import explode_indexed, round6
+from pairlens.operators import chat, curate
+from pairlens.operators import contexts as ctx
+from pairlens.operators import evaluate as ev
+from pairlens.operators import interpret as itp
+from pairlens.operators import text as txo
 from pairlens.operators import vectors as vec
-from pairlens.plans import discovery, inputs
+from pairlens.operators.ranking import sample_ids, seeded_shuffle
+from pairlens.operators.validate import violations
+from pairlens.plans import corpus, discovery, inputs
+from pairlens.plans import roundtrip as rt
+from pairlens.sources.tables import spread
+from pairlens.streaming import feature_stream as fs
 
 P = TEST
 MARKER_RE = re.escape(MARKER)
@@ -82,8 +92,6 @@ QUERIES: dict[str, Query] = {
 
 # ---------------------------------------------------------------- steps 2-3: text
 
-from pairlens.operators import text as txo  # noqa: E402
-from pairlens.sources.tables import spread  # noqa: E402
 
 DOC_KEYS = ["doc_id"]
 
@@ -160,8 +168,6 @@ QUERIES.update({
 
 # ---------------------------------------------------------------- steps 4, 6, 7: pair corpus
 
-from pairlens.operators import interpret as itp  # noqa: E402
-from pairlens.plans import corpus  # noqa: E402
 
 
 def q_corpus_feature_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +203,6 @@ def q_top_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_context_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = corpus.run_pairs(spark, sf_dir, P)
-    from pairlens.operators import contexts as ctx
     f = ctx.context_features(corpus.corpus_top_contexts(run), P.max_classes, P.min_lines)
     return f.select(_long("latent"), _long("n_classes"), _long("n_contexts"))
 
@@ -265,7 +270,6 @@ QUERIES.update({
 
 # ---------------------------------------------------------------- step 5: curation
 
-from pairlens.operators import curate  # noqa: E402
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,7 +301,6 @@ QUERIES.update({
 
 # ---------------------------------------------------------------- step 8: reconstruction metrics
 
-from pairlens.operators import evaluate as ev  # noqa: E402
 
 
 def _reconstructed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,8 +336,6 @@ QUERIES.update({
 
 # ---------------------------------------------------------------- step 9: chat, ordering, reward metrics
 
-from pairlens.operators import chat  # noqa: E402
-from pairlens.operators.ranking import sample_ids, seeded_shuffle  # noqa: E402
 
 
 def _chat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -400,8 +401,6 @@ QUERIES.update({
 
 # ---------------------------------------------------------------- step 10: sources and sinks
 
-from pairlens.operators.validate import violations  # noqa: E402
-from pairlens.plans import roundtrip as rt  # noqa: E402
 
 
 def q_jsonl_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -476,14 +475,12 @@ QUERIES.update({
 
 # ---------------------------------------------------------------- streaming
 
-from pairlens.streaming import feature_stream as fs  # noqa: E402
 
 
 def q_stream_feature_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1 as a streaming aggregate over the documents folder (runs to the end of
     the available input, then reports the dense sums)."""
-    import uuid as _uuid
-    name = f"stream_sums_{_uuid.uuid4().hex[:8]}"
+    name = f"stream_sums_{uuid.uuid4().hex[:8]}"
     labels = inputs.table(spark, sf_dir, "labels")
     d = inputs.test_dictionary(spark, sf_dir, P.latent_size)
     q = fs.start_feature_sums(spark, sf_dir, labels, d, P, name, glob="documents.parquet")

@@ -8,7 +8,10 @@ Doubles are rounded with ``R6`` exactly like ``round6`` on the Spark side.
 
 from __future__ import annotations
 
-from pairlens.config import TEST
+from pairlens.config import (ACTIVATED, CONTEXT_TRIM, DROP_SHARES, END_OF_TURN, EOS, FLIP_SHARES,
+                             HEADER_END, HEADER_START, MARKER, SENTENCE_ENDERS, TEST)
+from pairlens.operators.curate import drop_name, flip_name
+from pairlens.operators.interpret import PROMPT_HEAD, PROMPT_TAIL, RESPONSE_PATTERN
 
 P = TEST
 
@@ -133,7 +136,6 @@ FROM ranked"""
 
 # ---------------------------------------------------------------- text fragments
 
-from pairlens.config import EOS, MARKER  # noqa: E402
 
 # Same character classes as pairlens.functions.text, in RE2 syntax.
 WS_RE2 = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -246,8 +248,6 @@ FROM sv"""
 
 # ---------------------------------------------------------------- pair corpus fragments
 
-from pairlens.config import ACTIVATED, SENTENCE_ENDERS, CONTEXT_TRIM  # noqa: E402
-from pairlens.operators.interpret import PROMPT_HEAD, PROMPT_TAIL, RESPONSE_PATTERN  # noqa: E402
 
 PAIRS = """pc AS (
   SELECT d.doc_id, d.text, row_number() OVER (ORDER BY d.doc_id) AS pair_id
@@ -459,8 +459,6 @@ FROM results"""
 
 # ---------------------------------------------------------------- curation
 
-from pairlens.config import DROP_SHARES, FLIP_SHARES  # noqa: E402
-from pairlens.operators.curate import drop_name, flip_name  # noqa: E402
 
 SCORED = """scored AS (
   SELECT p.pair_id, p.chosen, p.rejected, coalesce(s.saescore, 0.0) AS saescore
@@ -525,7 +523,6 @@ SELECT {R6('sum(kl) / count(DISTINCT seq)')} AS kl, CAST(count(DISTINCT seq) AS
 
 # ---------------------------------------------------------------- chat, ordering, reward metrics
 
-from pairlens.config import END_OF_TURN, HEADER_END, HEADER_START  # noqa: E402
 
 PIECE = (f"{q(HEADER_START)} || role || {q(HEADER_END)} || chr(10) || chr(10) || "
          f"regexp_replace(text, '^\\s+|\\s+$', '', 'g') || {q(END_OF_TURN)}")

@@ -25,10 +25,15 @@ from pairlens.session import checkpoint_dir
 DOC_SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
 
 
-def labelled_documents(stream: DataFrame, labels: DataFrame) -> DataFrame:
-    """Stream-static join: good labelled documents are chosen, the other labelled ones rejected."""
+def labelled_documents(stream: DataFrame, labels: DataFrame, partitions: int) -> DataFrame:
+    """Stream-static join: good labelled documents are chosen, the other labelled
+    ones rejected. The labels are joined by a shuffle on doc_id (the label table
+    grows with the corpus, so it is not broadcast); the same shuffle spreads the
+    text work of a micro-batch over ``partitions`` tasks, whatever the file
+    layout of the batch."""
     side = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit("chosen")).otherwise(F.lit("rejected"))
-    return stream.join(F.broadcast(labels), "doc_id").select("doc_id", side.alias("side"), "text")
+    docs = stream.select("doc_id", "text").repartition(partitions, "doc_id")
+    return docs.join(labels.select("doc_id", "quality", "toxic"), "doc_id").select("doc_id", side.alias("side"), "text")
 
 
 def stream_activations(docs: DataFrame, dictionary: vec.FeatureDictionary, p: Params) -> DataFrame:
@@ -52,7 +57,8 @@ def start_feature_sums(spark: SparkSession, source_dir: str, labels: DataFrame,
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     stream = reader.parquet(source_dir)
-    acts = stream_activations(labelled_documents(stream, labels), dictionary, p)
+    docs = labelled_documents(stream, labels, spark.sparkContext.defaultParallelism)
+    acts = stream_activations(docs, dictionary, p)
     sums = acts.groupBy("latent").agg(
         F.sum(F.when(F.col("side") == "chosen", F.col("value")).otherwise(0.0)).alias("v_chosen"),
         F.sum(F.when(F.col("side") == "rejected", F.col("value")).otherwise(0.0)).alias("v_rejected"))
