@@ -43,6 +43,13 @@ def _cut(n: F.Column, share: F.Column) -> F.Column:
     return F.floor(n.cast("double") * share).cast("long")
 
 
+def _ranked(scored: DataFrame, order: list[F.Column]) -> DataFrame:
+    """G1 on (pair_id, score) only; the texts join back on pair_id, so the
+    ranking step never sorts or checkpoints the texts."""
+    keys = global_rank(scored.select("pair_id", "saescore"), order, "rank", "_n")
+    return scored.join(keys.select("pair_id", "rank", "_n"), "pair_id")
+
+
 def _variants(names_shares) -> F.Column:
     return F.explode(F.array(*[F.struct(F.lit(name).alias("variant"), F.lit(share).alias("share"))
                                for name, share in names_shares])).alias("v")
@@ -51,7 +58,7 @@ def _variants(names_shares) -> F.Column:
 def flip_variants(scored: DataFrame, shares=FLIP_SHARES) -> DataFrame:
     """W5 + U3: rank by score desc (pair_id breaks ties); in each variant swap
     chosen/rejected and negate the score of the first floor(n * share) rows."""
-    ranked = global_rank(scored, [F.round("saescore", _RANK_DIGITS).desc(), F.col("pair_id")], "rank", "_n")
+    ranked = _ranked(scored, [F.round("saescore", _RANK_DIGITS).desc(), F.col("pair_id")])
     tagged = ranked.select("*", _variants([(flip_name(s), s) for s in shares]))
     flip = F.col("rank") < _cut(F.col("_n"), F.col("v.share"))
     return tagged.select(
@@ -65,7 +72,7 @@ def flip_variants(scored: DataFrame, shares=FLIP_SHARES) -> DataFrame:
 def drop_variants(scored: DataFrame, shares=DROP_SHARES) -> DataFrame:
     """Rank by score asc (pair_id breaks ties); each variant drops the
     first floor(n * share) rows."""
-    ranked = global_rank(scored, [F.round("saescore", _RANK_DIGITS), F.col("pair_id")], "rank", "_n")
+    ranked = _ranked(scored, [F.round("saescore", _RANK_DIGITS), F.col("pair_id")])
     tagged = ranked.select("*", _variants([(drop_name(s), s) for s in shares]))
     keep = F.col("rank") >= _cut(F.col("_n"), F.col("v.share"))
     return tagged.filter(keep).select(F.col("v.variant").alias("variant"), "pair_id", "chosen",

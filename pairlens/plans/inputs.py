@@ -41,18 +41,19 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     the i-th other labelled document is rejected. ``pair_id, chosen, rejected``.
 
     One global rank (G1) over (class, doc_id) numbers both classes at once:
-    good documents take ranks 0..g-1, the others g..n-1.
+    good documents take ranks 0..g-1, the others g..n-1. Only the keys are
+    ranked (and checkpointed); the texts join back on doc_id.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select(
         "doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
-    labelled = docs.join(labels, "doc_id")
-    n_good = labelled.filter("good").select(F.count("*")).scalar()
-    ranked = global_rank(labelled, [F.col("good").desc(), F.col("doc_id")], "r")
+    keys = labels.join(docs.select("doc_id"), "doc_id", "left_semi")
+    n_good = keys.filter("good").select(F.count("*")).scalar()
+    ranked = global_rank(keys, [F.col("good").desc(), F.col("doc_id")], "r")
     pair_id = F.when(F.col("good"), F.col("r") + 1).otherwise(F.col("r") - n_good + 1)
-    ranked = ranked.select(pair_id.alias("pair_id"), "good", "text")
-    return (ranked.filter("good").select("pair_id", F.col("text").alias("chosen"))
-            .join(ranked.filter("not good").select("pair_id", F.col("text").alias("rejected")), "pair_id"))
+    numbered = ranked.select("doc_id", pair_id.alias("pair_id"), "good").join(docs, "doc_id")
+    return (numbered.filter("good").select("pair_id", F.col("text").alias("chosen"))
+            .join(numbered.filter("not good").select("pair_id", F.col("text").alias("rejected")), "pair_id"))
 
 
 def pair_texts(pairs_df: DataFrame) -> DataFrame:
