@@ -7,7 +7,7 @@ parameter that does not grow with the data.
 
 Encoding multiplies every vector with the whole encoder (n x d x L
 multiply-adds). That is dense linear algebra, so it runs as one Arrow-batched
-NumPy step per partition (``mapInPandas``) against weights shipped to the
+NumPy step per partition (``mapInArrow``) against weights shipped to the
 executors as a broadcast variable. The weights are only broadcast after their
 size is checked; above the limit the dictionary is split into latent blocks,
 each block gives per-vector top-k candidates, and an exact top-k over the
@@ -19,7 +19,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,14 +101,15 @@ def _collect_weights(d: FeatureDictionary, with_dec: bool, block: tuple[int, int
     lat = d.latents.select(*cols)
     if block is not None:
         lat = lat.filter((F.col("latent") >= block[0]) & (F.col("latent") < block[1]))
-    pdf = lat.orderBy("latent").toPandas()
+    table = lat.orderBy("latent").toArrow()
     pre_bias = np.asarray(d.pre_bias.first()["pre_bias"], dtype=np.float64)
-    ids = pdf["latent"].to_numpy(dtype=np.int32)
-    enc = np.stack(pdf["enc"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, len(pre_bias)))
-    bias = pdf["latent_bias"].to_numpy(dtype=np.float64)
+    ids = table.column("latent").to_numpy().astype(np.int32)
+    width = len(pre_bias)
+    enc = _dense_rows(table.column("enc").combine_chunks()) if len(ids) else np.zeros((0, width))
+    bias = table.column("latent_bias").to_numpy().astype(np.float64)
     dec = None
     if with_dec:
-        dec = np.stack(pdf["dec"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, len(pre_bias)))
+        dec = _dense_rows(table.column("dec").combine_chunks()) if len(ids) else np.zeros((0, width))
     return pre_bias, ids, enc, bias, dec
 
 
@@ -137,51 +137,92 @@ def _topk_mask(pre: np.ndarray, k: int) -> np.ndarray:
     return gt | (eq & (np.cumsum(eq, axis=1) <= need))
 
 
-def _stack(pdf: pd.DataFrame, col: str) -> np.ndarray:
-    return np.stack(pdf[col].to_numpy()).astype(np.float64)
+def _topk(pre: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row top-k as (column indices, values), k per row.
 
-
-def _zscored_counts(col: str, width: int, eps: float):
-    """Rows of bucket-id arrays -> dense count vectors -> row z-score (V1)."""
-    def to_matrix(pdf: pd.DataFrame) -> np.ndarray:
-        ids = pdf[col].to_numpy()
-        lens = np.fromiter((len(a) for a in ids), dtype=np.int64, count=len(ids))
-        dense = np.zeros((len(ids), width), dtype=np.float64)
-        if lens.sum():
-            rows = np.repeat(np.arange(len(ids)), lens)
-            np.add.at(dense, (rows, np.concatenate([np.asarray(a, dtype=np.int64) for a in ids])), 1.0)
+    ``argpartition`` finds a top-k set in O(L); it is the exact answer unless
+    the k-th value is tied with values outside the set, which only the rows
+    with such ties resolve through ``_topk_mask`` (lower latent wins).
+    """
+    n, L = pre.shape
+    if k >= L:
+        idx = np.tile(np.arange(L), (n, 1))
+        return idx, pre.copy()
+    idx = np.argpartition(pre, L - k, axis=1)[:, L - k:]
+    vals = np.take_along_axis(pre, idx, axis=1)
+    kth = vals.min(axis=1)
+    tied = np.nonzero((pre >= kth[:, None]).sum(axis=1) > k)[0]
+    if len(tied):
+        exact = _topk_mask(pre[tied], k)
+        for j, row in enumerate(tied):
+            cols = np.nonzero(exact[j])[0]
+            idx[row] = cols
+            vals[row] = pre[row, cols]
+    return idx, vals
+
+
+def _list_parts(col) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets (rebased to 0) and flat values of an Arrow list column."""
+    offsets = col.offsets.to_numpy()
+    values = col.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]]
+    return offsets - offsets[0], values
+
+
+def _dense_rows(col) -> np.ndarray:
+    """Arrow list column of equal-length vectors -> (n, d) float64 matrix, no per-row Python."""
+    offsets, values = _list_parts(col)
+    n = len(offsets) - 1
+    width = int(offsets[1]) if n else 0
+    if n and not (np.diff(offsets) == width).all():
+        raise ValueError("vectors of different widths in one column")
+    return values.astype(np.float64, copy=False).reshape(n, width)
+
+
+def _zscored_counts(width: int, eps: float):
+    """Arrow list column of bucket ids -> dense count vectors -> row z-score (V1)."""
+    def to_matrix(col) -> np.ndarray:
+        offsets, ids = _list_parts(col)
+        n = len(offsets) - 1
+        dense = np.zeros((n, width), dtype=np.float64)
+        rows = np.repeat(np.arange(n), np.diff(offsets))
+        np.add.at(dense, (rows, ids.astype(np.int64)), 1.0)
         mean = dense.mean(axis=1, keepdims=True)
         std = dense.std(axis=1, ddof=1, keepdims=True)
         return (dense - mean) / (std + eps)
     return to_matrix
 
 
-def _encode_fn(keys: list[str], to_matrix, k: int, bc, emit_dense: bool):
+def _encode_fn(keys: list[str], vec_col: str, to_matrix, k: int, bc, emit_dense: bool):
+    """Arrow batches in, Arrow batches out: keys are carried with ``take``."""
+    import pyarrow as pa
+
     def run(batches):
         pre_bias, ids, enc, bias, dec = bc.value
         L = len(ids)
         rows_per_step = max(1, _SCRATCH_BYTES // max(8 * L, 1))
-        for pdf in batches:
-            if len(pdf) == 0:
+        for batch in batches:
+            if batch.num_rows == 0:
                 continue
-            x = to_matrix(pdf)
-            for s in range(0, len(pdf), rows_per_step):
+            x = to_matrix(batch.column(vec_col))
+            key_cols = batch.select(keys)
+            for s in range(0, batch.num_rows, rows_per_step):
                 xs = x[s:s + rows_per_step]
                 pre = (xs - pre_bias) @ enc.T + bias
-                mask = _topk_mask(pre, k)
-                part = pdf.iloc[s:s + rows_per_step]
+                idx, vals = _topk(pre, k)
+                part = key_cols.slice(s, len(xs))
                 if emit_dense:
-                    z = np.where(mask, pre, 0.0)
+                    z = np.zeros_like(pre)
+                    np.put_along_axis(z, idx, vals, axis=1)
                     x_hat = z @ dec + pre_bias
-                    out = part[keys].copy()
-                    out["x_hat"] = list(x_hat)
-                    yield out
+                    offs = pa.array(np.arange(0, x_hat.size + 1, x_hat.shape[1], dtype=np.int32))
+                    arr = pa.ListArray.from_arrays(offs, pa.array(x_hat.ravel()))
+                    yield pa.RecordBatch.from_arrays(list(part.columns) + [arr], names=keys + ["x_hat"])
                 else:
-                    r, c = np.nonzero(mask)
-                    out = part[keys].iloc[r].reset_index(drop=True)
-                    out["latent"] = ids[c]
-                    out["value"] = pre[r, c]
-                    yield out
+                    r = pa.array(np.repeat(np.arange(len(xs)), idx.shape[1]))
+                    taken = part.take(r)
+                    yield pa.RecordBatch.from_arrays(
+                        list(taken.columns) + [pa.array(ids[idx.ravel()], pa.int32()), pa.array(vals.ravel())],
+                        names=keys + ["latent", "value"])
     return run
 
 
@@ -195,8 +236,7 @@ def encode(df: DataFrame, dictionary: FeatureDictionary, k: int, keys: list[str]
     it instead holds bucket-id arrays (T10 output): the dense count vector and
     its row z-score (V1) are built inside the same Arrow batch as the matmul.
     """
-    to_matrix = (_zscored_counts(vec_col, counts_width, eps) if counts_width
-                 else lambda pdf: _stack(pdf, vec_col))
+    to_matrix = _zscored_counts(counts_width, eps) if counts_width else _dense_rows
     key_fields = [df.schema[c] for c in keys]
     schema = T.StructType(key_fields + [T.StructField("latent", T.IntegerType()),
                                         T.StructField("value", T.DoubleType())])
@@ -205,12 +245,12 @@ def encode(df: DataFrame, dictionary: FeatureDictionary, k: int, keys: list[str]
     blocks = _plan_blocks(dictionary, False, max_broadcast_bytes)
     if blocks is None:
         bc = sc.broadcast(_collect_weights(dictionary, False))
-        return src.mapInPandas(_encode_fn(keys, to_matrix, k, bc, False), schema)
+        return src.mapInArrow(_encode_fn(keys, vec_col, to_matrix, k, bc, False), schema)
     # Dictionary above the broadcast limit: exact top-k over per-block candidates.
     parts = None
     for blk in blocks:
         bc = sc.broadcast(_collect_weights(dictionary, False, blk))
-        cand = src.mapInPandas(_encode_fn(keys, to_matrix, k, bc, False), schema)
+        cand = src.mapInArrow(_encode_fn(keys, vec_col, to_matrix, k, bc, False), schema)
         parts = cand if parts is None else parts.unionByName(cand)
     w = Window.partitionBy(*keys).orderBy(F.col("value").desc(), F.col("latent"))
     return parts.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
@@ -236,7 +276,7 @@ def reconstruct(df: DataFrame, dictionary: FeatureDictionary, k: int, keys: list
     if blocks is None:
         schema = T.StructType(key_fields + [T.StructField("x_hat", T.ArrayType(T.DoubleType()))])
         bc = df.sparkSession.sparkContext.broadcast(_collect_weights(dictionary, True))
-        return src.mapInPandas(_encode_fn(keys, lambda pdf: _stack(pdf, vec_col), k, bc, True), schema)
+        return src.mapInArrow(_encode_fn(keys, vec_col, _dense_rows, k, bc, True), schema)
     acts = encode(df, dictionary, k, keys, vec_col, max_broadcast_bytes)
     terms = (acts.join(dictionary.latents.select("latent", "dec"), "latent")
              .select(*keys, F.posexplode(F.transform("dec", lambda v: v * F.col("value")))

@@ -36,6 +36,9 @@ def get_spark(master: str | None = None, app: str = "pairlens",
         # bounds the rows x L scratch of the encode UDF (see operators.vectors)
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
         .config("spark.sql.session.timeZone", "UTC")
+        # one BLAS thread per Python worker: Spark already runs one task per core
+        .config("spark.executorEnv.OPENBLAS_NUM_THREADS", "1")
+        .config("spark.executorEnv.OMP_NUM_THREADS", "1")
         # checkpoint files of unreferenced tables are removed during the session
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "16g")
