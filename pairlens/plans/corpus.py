@@ -46,6 +46,19 @@ class PairRun:
     dictionary: vec.FeatureDictionary
     p: Params
     top_contexts: DataFrame | None = None  # checkpointed on first use (bounded size)
+    derived: dict | None = None            # other checkpointed results of this run
+
+
+def _once(run: PairRun, name: str, build) -> DataFrame:
+    """Checkpoint a derived table of this run the first time it is needed.
+
+    Used for results that several steps read (the sign list, the pair scores),
+    so each is computed once instead of once per reader."""
+    if run.derived is None:
+        run.derived = {}
+    if name not in run.derived:
+        run.derived[name] = materialize(build())
+    return run.derived[name]
 
 
 _RUNS: dict[tuple, PairRun] = {}
@@ -129,9 +142,12 @@ def safety_list(run: PairRun, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signed_lists(run: PairRun, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J5 + W3: contrast rows of the safety features, top by |diff|, split by sign."""
-    rows = feat.restrict_contrast(corpus_contrast(run), safety_list(run, spark, sf_dir))
-    return feat.split_by_sign(feat.top_by_abs(rows, run.p.sign_top))
+    """J5 + W3: contrast rows of the safety features, top by |diff|, split by sign
+    (at most sign_top rows, checkpointed once per run)."""
+    def build():
+        rows = feat.restrict_contrast(corpus_contrast(run), safety_list(run, spark, sf_dir))
+        return feat.split_by_sign(feat.top_by_abs(rows, run.p.sign_top))
+    return _once(run, "signs", build)
 
 
 def corpus_segment_counts(run: PairRun) -> DataFrame:
@@ -146,4 +162,7 @@ def corpus_signed_sums(run: PairRun, spark: SparkSession, sf_dir: str) -> DataFr
 
 
 def corpus_scores(run: PairRun, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sco.pair_scores(run.pairs, corpus_segment_counts(run), corpus_signed_sums(run, spark, sf_dir))
+    """A6 for every pair (``pair_id, saescore``), checkpointed once per run: the
+    curation, the score file and the variants all read it."""
+    return _once(run, "scores", lambda: sco.pair_scores(
+        run.pairs.select("pair_id"), corpus_segment_counts(run), corpus_signed_sums(run, spark, sf_dir)))
