@@ -124,7 +124,7 @@ def top_contexts(contexts: DataFrame, per_class: int) -> DataFrame:
 
 
 def strongest_contexts(acts: DataFrame, chunks: DataFrame, chunk_keys: list[str], window: int,
-                       per_class: int) -> DataFrame:
+                       per_class: int, class_from_token: bool = False) -> DataFrame:
     """T14 + T15 + W4 with windows cut only for candidates (class '' as in the original).
 
     ``acts`` carries ``end_ok`` (the segment end has a window: see
@@ -133,6 +133,9 @@ def strongest_contexts(acts: DataFrame, chunks: DataFrame, chunk_keys: list[str]
     activations, so ``rank() <= per_class`` on the activation alone keeps every
     candidate (ties included) and only those are joined to their chunk and cut.
     """
+    if class_from_token:
+        # the class comes from the token, so every context is needed to know its group
+        return top_contexts(activation_contexts(acts, chunks, chunk_keys, window, True), per_class)
     w_val = Window.partitionBy("latent", "token_class").orderBy(F.round("value", 9).desc())
     cand = (acts.filter(F.col("end_ok")).withColumn("token_class", F.lit(""))
             .withColumn("_vr", F.rank().over(w_val)).filter(F.col("_vr") <= per_class).drop("_vr"))

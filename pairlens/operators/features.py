@@ -85,11 +85,6 @@ def keep_set(safe: DataFrame, unsafe: DataFrame) -> DataFrame:
     return safe.select("latent").unionByName(unsafe.select("latent")).distinct()
 
 
-def feature_signs(signed: DataFrame) -> DataFrame:
-    """J3 input: ``latent, sign`` where a feature in both lists keeps both entries."""
-    return signed.select("latent", "sign")
-
-
 def safety_filter(ranked: DataFrame, results: DataFrame, threshold: int, n: int) -> DataFrame:
     """J4 + W2: ranked ids whose interpretation score is null or >= threshold,
     rank order kept, first n. ``results``: latent, score (nullable)."""

@@ -75,3 +75,15 @@ def test_long_window_is_reclipped(spark):
     # 65 left + 65 right (end exclusive) = 130 > 128 -> 64 + 1 + 64
     assert len([t for t in ctx if t]) == 129
     assert ctx[0] == "t86" and ctx[-1] == "t214"
+
+
+def test_class_from_token_groups_by_token(spark):
+    from pairlens.operators import contexts as ctx
+    toks = ["Alpha", "beta.", "<|reserved_special_token_1|>", "Gamma", "beta.", "<|reserved_special_token_1|>"]
+    chunks = spark.createDataFrame([(0, toks)], "chunk_id int, tokens array<string>")
+    acts = spark.createDataFrame([(0, 1, 7, 2.0, True), (0, 4, 7, 1.0, True), (0, 3, 7, 0.5, True)],
+                                 "chunk_id int, end_pos int, latent int, value double, end_ok boolean")
+    plain = ctx.strongest_contexts(acts, chunks, ["chunk_id"], 128, 10).collect()
+    assert {r.token_class for r in plain} == {""} and len(plain) == 3
+    by_tok = ctx.strongest_contexts(acts, chunks, ["chunk_id"], 128, 1, class_from_token=True).collect()
+    assert sorted((r.token_class, r.value) for r in by_tok) == [("beta.", 2.0), ("gamma", 0.5)]
