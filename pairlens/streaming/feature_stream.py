@@ -10,7 +10,6 @@ driver resumes where it stopped.
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,7 +61,8 @@ def start_feature_sums(spark: SparkSession, source_dir: str, labels: DataFrame,
     sums = acts.groupBy("latent").agg(
         F.sum(F.when(F.col("side") == "chosen", F.col("value")).otherwise(0.0)).alias("v_chosen"),
         F.sum(F.when(F.col("side") == "rejected", F.col("value")).otherwise(0.0)).alias("v_rejected"))
-    ckpt = os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex}")
+    # one folder per query name: restarting a query with the same name resumes it
+    ckpt = os.path.join(checkpoint_dir(spark), "streams", name)
     writer = (sums.writeStream.outputMode("complete").format("memory").queryName(name)
               .option("checkpointLocation", ckpt))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
