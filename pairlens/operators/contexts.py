@@ -33,8 +33,9 @@ def _leading(arr: Column, values) -> Column:
 
 
 def _nearest(arr: Column, values) -> Column:
-    """1-based position of the first element of ``arr`` in ``values``; null if none."""
-    return F.least(*[F.nullif(F.array_position(arr, v), F.lit(0)) for v in values])
+    """1-based position of the first element of ``arr`` in ``values``; null if none.
+    The array is built once and searched once per value."""
+    return let(arr, lambda a: F.least(*[F.nullif(F.array_position(a, v), F.lit(0)) for v in values]))
 
 
 def _trim_ends(arr: Column, values) -> Column:
