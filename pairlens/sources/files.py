@@ -4,8 +4,8 @@ Line order matters for several inputs (pair identity comes from the line
 number; id lists are ranked by line order). Spark's text source gives no line
 numbers, so ``numbered_lines`` derives them without gathering a file in one
 place: the scan tags each line with its file, its split offset and a
-per-partition increasing id, and the global rank (G1) over (file name, split,
-id) numbers all lines 1..n in file-name order.
+per-partition increasing id; per-split counts give each split's first line
+number.
 """
 
 from __future__ import annotations
@@ -21,7 +21,15 @@ from pairlens.operators.vectors import FeatureDictionary
 
 
 def numbered_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """``line_no`` (1-based, over all files sorted by name), ``file``, ``value``."""
+    """``line_no`` (1-based, over all files sorted by name), ``file``, ``value``.
+
+    The lines of one file split are contiguous inside their task and in file
+    order, so a line's number is the number of lines in the splits before its
+    own (by file name, then split offset) plus its position in the split. One
+    small aggregate gives the count of every split (one row per split, not per
+    line); the offsets go back as a broadcast join. No sort and no copy of the
+    text: both scans see the same splits, so the per-task ids agree.
+    """
     reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -31,8 +39,18 @@ def numbered_lines(spark: SparkSession, path: str, glob: str | None = None) -> D
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_seq"),
     )
-    ranked = global_rank(lines, [F.col("file"), F.col("_block"), F.col("_seq")], "_r")
-    return ranked.select((F.col("_r") + 1).alias("line_no"), "file", "value")
+    splits = (lines.groupBy("file", "_block")
+              .agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
+              .orderBy("file", "_block").collect())
+    offsets, total = [], 0
+    for r in splits:
+        offsets.append((r["file"], r["_block"], r["_first"], total))
+        total += r["_n"]
+    schema = T.StructType([T.StructField("file", T.StringType()), T.StructField("_block", T.LongType()),
+                           T.StructField("_first", T.LongType()), T.StructField("_off", T.LongType())])
+    off = spark.createDataFrame(offsets, schema)
+    return (lines.join(F.broadcast(off), ["file", "_block"])
+            .select((F.col("_off") + F.col("_seq") - F.col("_first") + 1).alias("line_no"), "file", "value"))
 
 
 def read_jsonl_corpus(spark: SparkSession, path: str, field: str = "text",
@@ -77,7 +95,7 @@ def read_id_list(spark: SparkSession, path: str) -> DataFrame:
     lines = numbered_lines(spark, path)
     ids = lines.select("line_no", F.regexp_extract("value", r"^\s*(\d+)", 1).alias("id"))
     kept = ids.filter(F.col("id") != "").select("line_no", F.col("id").cast("int").alias("latent"))
-    ranked = global_rank(kept, [F.col("line_no")], "_r")
+    ranked = global_rank(kept.select("line_no", "latent"), [F.col("line_no")], "_r")
     return ranked.select((F.col("_r") + 1).alias("rank"), "latent")
 
 
