@@ -113,14 +113,41 @@ def _collect_weights(d: FeatureDictionary, with_dec: bool, block: tuple[int, int
     return pre_bias, ids, enc, bias, dec
 
 
+_BROADCASTS: dict[tuple, object] = {}
+
+
+def _weights_broadcast(d: FeatureDictionary, with_dec: bool, block: tuple[int, int] | None = None):
+    """Broadcast of the (block of the) dictionary, once per session and plan.
+
+    Keyed by the semantic hash of the dictionary's plans: within a session the
+    same dictionary is collected and shipped once, however many queries encode
+    with it (input files are taken as unchanged during a session)."""
+    sc = d.latents.sparkSession.sparkContext
+    key = (sc.applicationId, d.latents.semanticHash(), d.pre_bias.semanticHash(), with_dec, block)
+    if key not in _BROADCASTS:
+        _BROADCASTS[key] = sc.broadcast(_collect_weights(d, with_dec, block))
+    return _BROADCASTS[key]
+
+
+_PLANS: dict[tuple, object] = {}
+
+
 def _plan_blocks(d: FeatureDictionary, with_dec: bool, max_bytes: int):
+    """None when the dictionary fits one broadcast, else latent blocks that do.
+    The size check runs once per session and dictionary plan."""
+    sc = d.latents.sparkSession.sparkContext
+    key = (sc.applicationId, d.latents.semanticHash(), with_dec, max_bytes)
+    if key in _PLANS:
+        return _PLANS[key]
     n, w = _dictionary_shape(d)
     per_latent = w * 8 * (2 if with_dec else 1)
-    if n * per_latent <= max_bytes:
-        return None
-    lo, hi = d.latents.select(F.min("latent"), F.max("latent")).first()
-    step = max(1, max_bytes // max(per_latent, 1))
-    return [(b, b + step) for b in range(int(lo), int(hi) + 1, step)]
+    blocks = None
+    if n * per_latent > max_bytes:
+        lo, hi = d.latents.select(F.min("latent"), F.max("latent")).first()
+        step = max(1, max_bytes // max(per_latent, 1))
+        blocks = [(b, b + step) for b in range(int(lo), int(hi) + 1, step)]
+    _PLANS[key] = blocks
+    return blocks
 
 
 # --------------------------------------------------------------------------- V2, V3
@@ -244,12 +271,12 @@ def encode(df: DataFrame, dictionary: FeatureDictionary, k: int, keys: list[str]
     sc = df.sparkSession.sparkContext
     blocks = _plan_blocks(dictionary, False, max_broadcast_bytes)
     if blocks is None:
-        bc = sc.broadcast(_collect_weights(dictionary, False))
+        bc = _weights_broadcast(dictionary, False)
         return src.mapInArrow(_encode_fn(keys, vec_col, to_matrix, k, bc, False), schema)
     # Dictionary above the broadcast limit: exact top-k over per-block candidates.
     parts = None
     for blk in blocks:
-        bc = sc.broadcast(_collect_weights(dictionary, False, blk))
+        bc = _weights_broadcast(dictionary, False, blk)
         cand = src.mapInArrow(_encode_fn(keys, vec_col, to_matrix, k, bc, False), schema)
         parts = cand if parts is None else parts.unionByName(cand)
     w = Window.partitionBy(*keys).orderBy(F.col("value").desc(), F.col("latent"))
@@ -275,7 +302,7 @@ def reconstruct(df: DataFrame, dictionary: FeatureDictionary, k: int, keys: list
     blocks = _plan_blocks(dictionary, True, max_broadcast_bytes)
     if blocks is None:
         schema = T.StructType(key_fields + [T.StructField("x_hat", T.ArrayType(T.DoubleType()))])
-        bc = df.sparkSession.sparkContext.broadcast(_collect_weights(dictionary, True))
+        bc = _weights_broadcast(dictionary, True)
         return src.mapInArrow(_encode_fn(keys, vec_col, _dense_rows, k, bc, True), schema)
     acts = encode(df, dictionary, k, keys, vec_col, max_broadcast_bytes)
     terms = (acts.join(dictionary.latents.select("latent", "dec"), "latent")
