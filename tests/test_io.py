@@ -59,3 +59,20 @@ def test_preference_dataset_prefers_train_split(spark, tmp_path):
     d = str(tmp_path / "ds")
     spark.createDataFrame([(1, "a", "b")], "pair_id long, chosen string, rejected string").write.parquet(d + "/train")
     assert src.read_preference_dataset(spark, d).count() == 1
+
+
+def test_line_numbers_across_many_splits_of_one_file(spark, tmp_path):
+    d = str(tmp_path / "big")
+    lines = [f'{{"text": "line {i:05d}"}}' for i in range(5000)]
+    _write(d, "a.jsonl", "\n".join(lines[:3000]) + "\n")
+    _write(d, "b.jsonl", "\n".join(lines[3000:]) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")   # each file becomes many splits
+    try:
+        numbered = src.numbered_lines(spark, d)
+        assert numbered.rdd.getNumPartitions() > 10
+        rows = src.read_jsonl_corpus(spark, d).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(rows) == 5000
+    assert all(r.text == f"line {r.line_no - 1:05d}" for r in rows)
