@@ -15,14 +15,18 @@ def array_sum(col: Column) -> Column:
     return F.aggregate(col, F.lit(0.0), lambda acc, x: acc + x)
 
 
+# Divisors that are zero only for degenerate rows (empty or one-element arrays,
+# all-zero vectors) use try_divide: such a row gets null instead of failing the
+# job under ANSI mode.
+
 def array_mean(col: Column) -> Column:
-    return array_sum(col) / F.size(col)
+    return F.try_divide(array_sum(col), F.size(col))
 
 
 def array_std(col: Column, mean: Column) -> Column:
     """Sample standard deviation (n - 1) of an array."""
     ss = F.aggregate(col, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
-    return F.sqrt(ss / (F.size(col) - 1))
+    return F.sqrt(F.try_divide(ss, F.size(col) - 1))
 
 
 def array_norm(col: Column) -> Column:
@@ -30,13 +34,13 @@ def array_norm(col: Column) -> Column:
 
 
 def array_mean_square(col: Column) -> Column:
-    return F.aggregate(col, F.lit(0.0), lambda acc, x: acc + x * x) / F.size(col)
+    return F.try_divide(F.aggregate(col, F.lit(0.0), lambda acc, x: acc + x * x), F.size(col))
 
 
 def array_sq_error(a: Column, b: Column) -> Column:
     """Mean squared difference of two equally long arrays."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)),
-                       F.lit(0.0), lambda acc, x: acc + x) / F.size(a)
+    return F.try_divide(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)),
+                                    F.lit(0.0), lambda acc, x: acc + x), F.size(a))
 
 
 def softplus(z: Column) -> Column:

@@ -16,7 +16,7 @@ from pairlens.functions.arrays import array_mean_square, array_sq_error, let, so
 def normalized_mse(df: DataFrame, x: str = "x", x_hat: str = "x_hat", batch_col: str | None = None) -> DataFrame:
     """Mean over rows of mse(row) / mean-square(row). With ``batch_col``
     the mean of per-batch means (short batches weigh more, as in the original)."""
-    row = (array_sq_error(F.col(x_hat), F.col(x)) / array_mean_square(F.col(x))).alias("nmse")
+    row = F.try_divide(array_sq_error(F.col(x_hat), F.col(x)), array_mean_square(F.col(x))).alias("nmse")
     rows = df.select(*([batch_col] if batch_col else []), row)
     if batch_col is None:
         return rows.agg(F.avg("nmse").alias("nmse"))
@@ -34,7 +34,7 @@ def _log_softmax(v) -> F.Column:
 def normalized_mse_both(df: DataFrame, batch_col: str, x: str = "x", x_hat: str = "x_hat") -> DataFrame:
     """A7 both ways in one pass: row mean (``nmse``) and mean of batch means
     (``nmse_batch_mean``), from per-batch sums and counts."""
-    row = (array_sq_error(F.col(x_hat), F.col(x)) / array_mean_square(F.col(x))).alias("nmse")
+    row = F.try_divide(array_sq_error(F.col(x_hat), F.col(x)), array_mean_square(F.col(x))).alias("nmse")
     per_batch = df.select(batch_col, row).groupBy(batch_col).agg(
         F.sum("nmse").alias("s"), F.count("nmse").alias("n"))
     return per_batch.agg((F.sum("s") / F.sum("n")).alias("nmse"),

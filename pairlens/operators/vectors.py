@@ -59,7 +59,7 @@ def dictionary_from_vectors(vectors: DataFrame, id_col: str, vec_col: str,
 def unit_norm_decoder(latents: DataFrame) -> DataFrame:
     """V7: every decoder column (one dictionary row here) divided by its norm."""
     norm = array_norm(F.col("dec"))
-    return latents.withColumn("dec", F.transform("dec", lambda v: v / norm))
+    return latents.withColumn("dec", F.transform("dec", lambda v: F.try_divide(v, norm)))
 
 
 # --------------------------------------------------------------------------- V1, V6

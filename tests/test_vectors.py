@@ -57,3 +57,14 @@ def test_at_most_k_activations(spark):
     x = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(30)], "id long, x array<double>")
     counts = vec.encode(x, d, 5, ["id"]).groupBy("id").count().select(F.max("count")).first()[0]
     assert counts == 5
+
+
+def test_degenerate_rows_do_not_fail_the_job(spark):
+    from pairlens.operators import evaluate as ev
+    df = spark.createDataFrame([(0, [5.0]), (1, [0.0, 0.0])], "id long, v array<double>")
+    z = {r.id: r for r in vec.zscore(df, "v", "x").collect()}
+    assert z[0].std is None                      # one element: sample std undefined
+    zeros = spark.createDataFrame([(0, 0, [0.0, 0.0], [1.0, 1.0])], "id long, b long, x array<double>, x_hat array<double>")
+    assert ev.normalized_mse(zeros).first().nmse is None
+    lat = spark.createDataFrame([(0, [0.0, 0.0], [0.0, 0.0], 0.0)], "latent int, enc array<double>, dec array<double>, latent_bias double")
+    assert vec.unit_norm_decoder(lat).first().dec == [None, None]
