@@ -40,6 +40,7 @@ def pair_sequences(pairs: DataFrame, p: Params) -> DataFrame:
 @dataclass
 class PairRun:
     pairs: DataFrame
+    pair_ids: DataFrame
     seqs: DataFrame
     segs: DataFrame
     acts: DataFrame      # active sparse activations, checkpointed
@@ -77,13 +78,14 @@ def run_pairs(spark: SparkSession, sf_dir: str, p: Params = TEST) -> PairRun:
     key = (spark.sparkContext.applicationId, sf_dir, p)
     if key in _RUNS:
         return _RUNS[key]
-    pairs = inputs.pairs(spark, sf_dir)
+    keys = inputs.pair_keys(spark, sf_dir)
+    pairs = inputs.pairs_from_keys(spark, sf_dir, keys)
     seqs = materialize(pair_sequences(pairs, p).select(*CHUNK_KEYS, "n_tokens", "tokens", "mask", "ends"))
     d = inputs.test_dictionary(spark, sf_dir, p.latent_size)
     segs = txo.segments(seqs, PAIR_KEYS, p.vector_width)
     acts = materialize(vec.active(vec.encode(segs, d, p.k, keys=SEG_KEYS, vec_col="buckets",
                                              counts_width=p.vector_width, eps=p.eps)))
-    run = PairRun(pairs, seqs, txo.segments(seqs, PAIR_KEYS), acts, d, p)
+    run = PairRun(pairs, inputs.pair_ids(keys), seqs, txo.segments(seqs, PAIR_KEYS), acts, d, p)
     _RUNS[key] = run
     return run
 
@@ -165,4 +167,4 @@ def corpus_scores(run: PairRun, spark: SparkSession, sf_dir: str) -> DataFrame:
     """A6 for every pair (``pair_id, saescore``), checkpointed once per run: the
     curation, the score file and the variants all read it."""
     return _once(run, "scores", lambda: sco.pair_scores(
-        run.pairs.select("pair_id"), corpus_segment_counts(run), corpus_signed_sums(run, spark, sf_dir)))
+        run.pair_ids, corpus_segment_counts(run), corpus_signed_sums(run, spark, sf_dir)))

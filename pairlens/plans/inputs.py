@@ -36,26 +36,43 @@ def test_dictionary(spark: SparkSession, sf_dir: str, n_latents: int = 32) -> Fe
     return dictionary_from_vectors(emb, "vec_id", "embedding", F.col("vec_id") < n_latents)
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Preference pairs: the i-th good labelled document (by doc_id) is chosen,
-    the i-th other labelled document is rejected. ``pair_id, chosen, rejected``.
+def pair_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, pair_id, good``: the i-th good labelled document (by doc_id) and
+    the i-th other labelled document share pair i.
 
     One global rank (G1) over (class, doc_id) numbers both classes at once:
-    good documents take ranks 0..g-1, the others g..n-1. Only the keys are
-    ranked (and checkpointed); the texts join back on doc_id.
+    good documents take ranks 0..g-1, the others g..n-1. Only keys are ranked
+    and checkpointed, never texts.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id")
     labels = table(spark, sf_dir, "labels").select(
         "doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
-    keys = labels.join(docs.select("doc_id"), "doc_id", "left_semi")
+    keys = labels.join(docs, "doc_id", "left_semi")
     n_good = keys.filter("good").select(F.count("*")).scalar()
     ranked = global_rank(keys, [F.col("good").desc(), F.col("doc_id")], "r")
     pair_id = F.when(F.col("good"), F.col("r") + 1).otherwise(F.col("r") - n_good + 1)
-    numbered = ranked.select("doc_id", pair_id.alias("pair_id"), "good").join(docs, "doc_id")
+    return ranked.select("doc_id", pair_id.alias("pair_id"), "good")
+
+
+def pair_ids(keys: DataFrame) -> DataFrame:
+    """Pair ids that have both a chosen and a rejected document (no text read)."""
+    return (keys.filter("good").select("pair_id")
+            .join(keys.filter("not good").select("pair_id"), "pair_id"))
+
+
+def pairs_from_keys(spark: SparkSession, sf_dir: str, keys: DataFrame) -> DataFrame:
+    """``pair_id, chosen, rejected``: texts join the ranked keys on doc_id."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    numbered = keys.join(docs, "doc_id")
     return (numbered.filter("good").select("pair_id", F.col("text").alias("chosen"))
             .join(numbered.filter("not good").select("pair_id", F.col("text").alias("rejected")), "pair_id"))
 
 
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preference pairs ``pair_id, chosen, rejected`` from the labelled documents."""
+    return pairs_from_keys(spark, sf_dir, pair_keys(spark, sf_dir))
+
+
 def pair_texts(pairs_df: DataFrame) -> DataFrame:
     """Long form: one row per (pair_id, side, text)."""
     return pairs_df.select(
