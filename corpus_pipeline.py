@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlens.llm import contamination, quality, simhash
+from pairlens.llm import contamination, packing, quality, secrets, simhash
 from pairlens.llm.common import stored, table
 
 
@@ -24,10 +24,22 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return contamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a finding of any rule."""
+    return secrets.without_secrets(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece, placed in a sequence."""
+    return packing.pack(docs)
+
+
 STAGES = [
     ("quality_rules", quality_stage),
     ("simhash_near_dedup", near_duplicate_stage),
     ("decontamination", decontamination_stage),
+    ("secret_scans", secret_stage),
+    ("best_fit_packing", packing_stage),
 ]
 
 #: Stages run regular expressions, fingerprints and a genetic search that SQL can't express.

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import contamination, quality, simhash
-from pairlens.llm.common import table
+from pairlens.llm import contamination, packing, prefix_counts, quality, secrets, simhash
+from pairlens.llm.common import stored, table
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,15 +19,40 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         contamination.contaminated("hits").alias("contaminated"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.empty_ledger(spark))
+    base = secrets.of_kind(F.col("findings"), *(r.kind for r in secrets.BASE_RULES))
+    count = lambda kind: F.size(secrets.of_kind(F.col("findings"), kind)).cast("bigint")
+    return found.select(
+        F.col("path").alias("doc_id"), count("assign").alias("n_assign"), count("access").alias("n_access"),
+        count("hex").alias("n_hex"), F.sha2(secrets.spans_text(base), 256).alias("base_sha256"),
+        secrets.spans_text(F.col("findings")).alias("spans"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.verdicts(docs, name="q").select("doc_id", "q.*")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str, limit: int = 1024) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = stored(prefix_counts.prefix_table(docs, name="p").select("doc_id", "p"), "prefixes")
+    answered = counted.select("doc_id", "p.n_bytes", prefix_counts.tokens_at("p", F.col("p.n_chars")).alias("n_tokens"),
+                              prefix_counts.truncation("p", limit).alias("limit_chars"))
+    return answered.withColumn("over_limit", F.col("n_tokens") > limit)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.classes(docs).select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op4_decontaminate, op7_quality_rules, op10_simhash)}
+QUERIES = {f.__name__: f for f in (
+    op4_decontaminate, op5_packing, op6_secrets, op7_quality_rules, op8_token_counts, op10_simhash)}
 SQL: dict[str, str] = {}
