@@ -5,8 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import contamination, packing, prefix_counts, quality, secrets, simhash
-from pairlens.llm.common import stored, table
+from pairlens.llm import (contamination, language, packing, prefix_counts, quality, secrets, simhash, substrings,
+                          token_codes, urls)
+from pairlens.llm.common import fresh_path, stored, table
+
+
+def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(spark, "token-codes")
+    token_codes.write(table(spark, sf_dir, "documents"), folder)
+    return token_codes.documents(spark, folder)
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", substrings.digest("kept").alias("kept_sha256"))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.identify(docs, name="p").select(
+        "doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "p.lang_pred", "p.score", "p.rejected")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,11 +66,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str, limit: int = 1024) -> Dat
     return answered.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.verdicts(table(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.classes(docs).select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
 
 
 QUERIES = {f.__name__: f for f in (
-    op4_decontaminate, op5_packing, op6_secrets, op7_quality_rules, op8_token_counts, op10_simhash)}
+    op1_token_codes, op2_substring_dedup, op3_language, op4_decontaminate, op5_packing, op6_secrets, op7_quality_rules,
+    op8_token_counts, op9_url_filters, op10_simhash)}
 SQL: dict[str, str] = {}
