@@ -58,7 +58,7 @@ class PrefixCounter:
         self.apart: dict[tuple[bytes, bytes], bool] = {}
         self.states: dict[bytes, tuple[int, bytes]] = {b"": (0, b"")}
         self.runs = tokens.RunCache(self.run_deltas)
-        self.cache = tokens.PieceCache(lambda texts: [self.deltas(t) for t in texts], limit=400_000)
+        self.cache = tokens.PieceCache(lambda texts: [self.deltas(t) for t in texts], limit=100_000)
 
     def spines(self) -> None:
         """For each token the tokens at its right (left) end while it is being merged, each with
@@ -202,14 +202,16 @@ class PrefixCounter:
         return out + [base + x for x in self.plain_counts(text)]
 
     def deltas(self, text: str) -> bytes:
-        if tokens.SIMPLE.fullmatch(text):
-            runs = self.runs
-            return b"".join([runs[r] for r in tokens.RUNS.findall(text)])
         counts = self.counts(text) if text else []
         return array.array("b", map(int.__sub__, counts, [0, *counts])).tobytes()
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(v) for v in self.cache.values(texts)]
+        run = self.runs.__getitem__
+        out = [b"".join(map(run, tokens.RUNS.findall(t))) if tokens.plain(t, self.special) else None for t in texts]
+        rest = [i for i, v in enumerate(out) if v is None]
+        for i, v in zip(rest, self.cache.values([texts[i] for i in rest])):
+            out[i] = b"".join(v)
+        return out
 
 
 @functools.lru_cache(maxsize=1)

@@ -5,7 +5,9 @@ stands between two characters that are not white space, and nothing on one side
 of that cut depends on the other. Texts are therefore cut there into pieces,
 each distinct piece is encoded once by the tokenizers library, and a worker keeps
 the ids of the pieces it has met (beyond ``CACHE_PIECES`` only the short ones, which recur).
-The ids are those of the library for the whole text.
+In texts of plain characters the pre-tokens
+themselves are plain runs; there each distinct run goes through the library's BPE
+model once. The ids are those of the library for the whole text.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark already runs o
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
-CACHE_PIECES = 500_000
+CACHE_PIECES = 200_000
 #: longer pieces are encoded each time
 CACHED_CHARS = 64
 SHORT_CHARS = 8
@@ -100,10 +102,16 @@ def _packed(ids: list[int]) -> bytes:
     return a.tobytes()
 
 
-#: letters up to U+00FF and ASCII punctuation without the apostrophe, a line break between words:
-#: the pre-tokens of such a piece are its runs, without any of the pattern's special cases
-SIMPLE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+[!-&(-/:-@\[-`{-~]*(?:\n[A-Za-zÀ-ÖØ-öø-ÿ]+[!-&(-/:-@\[-`{-~]*)*")
-RUNS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+|\n")
+#: Texts of letters up to U+00FF, ASCII digits and punctuation without the apostrophe, with single
+#: blanks or line breaks between: their pre-tokens are their runs, without the pattern's special cases.
+_LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+PLAIN = re.compile(rf"(?:[ \n]?[{_LETTER}0-9{_MARK}]++)*+")
+RUNS = re.compile(rf" ?[{_LETTER}]+| ?[0-9]+| ?[{_MARK}]+|\n")
+
+
+def plain(text: str, special: Iterable[str] = ()) -> bool:
+    """Whether the pre-tokens of ``text`` are its ``RUNS`` (no special string may be in it)."""
+    return PLAIN.fullmatch(text) is not None and not any(x in text for x in special)
 
 
 def byte_letters() -> dict[str, int]:
@@ -117,7 +125,7 @@ def byte_letters() -> dict[str, int]:
 class RunCache(dict):
     """run -> what ``fn`` gives for it; long runs are not kept, and beyond ``limit`` only short ones are."""
 
-    def __init__(self, fn: Callable[[str], bytes], limit: int = 400_000):
+    def __init__(self, fn: Callable[[str], bytes], limit: int = 600_000):
         self.fn, self.limit = fn, limit
 
     def __missing__(self, run: str) -> bytes:
@@ -143,6 +151,7 @@ class Encoder:
         #: only a byte-level tokenizer with the usual pattern can be cut at blanks
         self.cuts = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) \
             and not pre.get("add_prefix_space") and not any(t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
+        self.special = [t["content"] for t in spec["added_tokens"]]
         self.letters = {b: ord(ch) for ch, b in byte_letters().items()}
         self.runs = RunCache(self._run)
         self.cache = PieceCache(self._encode)
@@ -151,17 +160,17 @@ class Encoder:
         return _packed([t.id for t in self.tokenizer.model.tokenize(run.encode().decode("latin-1").translate(self.letters))])
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        runs, simple = self.runs, SIMPLE.fullmatch
-        out: list[bytes | None] = [b"".join([runs[r] for r in RUNS.findall(t)]) if simple(t) else None for t in texts]
-        rest = [i for i, v in enumerate(out) if v is None]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
-            out[i] = _packed(e.ids)
-        return out
+        return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
-            return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return [b"".join(v) for v in self.cache.values(texts)]
+            return self._encode(texts)
+        run = self.runs.__getitem__
+        out = [b"".join(map(run, RUNS.findall(t))) if plain(t, self.special) else None for t in texts]
+        rest = [i for i, v in enumerate(out) if v is None]
+        for i, v in zip(rest, self.cache.values([texts[i] for i in rest])):
+            out[i] = b"".join(v)
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
