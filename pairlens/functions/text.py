@@ -10,7 +10,8 @@ from pairlens.config import MARKER
 # ---- fixed values (must equal the original pipeline's for equal results) ----
 # Every character Python's str.split() treats as blank (29 in the BMP), as a
 # Java regex class: plain \s covers only 6 of them.
-BLANK_RUN = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+BLANK = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+BLANK_RUN = BLANK + "+"
 # A run of boundary characters, possibly with blanks between them.
 BOUNDARY_RUN = r"([.,?!;\n]+(?:\s+[.,?!;\n]+)*)"
 NEWLINE_PLACEHOLDER = "<NEWLINE>"
@@ -36,6 +37,11 @@ def mark_boundaries(norm: Column | str) -> Column:
     return F.regexp_replace(_c(norm), BOUNDARY_RUN, "$1" + MARKER)
 
 
+def strip(text: Column | str) -> Column:
+    """str.strip(): no blanks of that class at either end."""
+    return F.regexp_replace(_c(text), rf"\A{BLANK_RUN}|{BLANK_RUN}\z", "")
+
+
 def split_words(text: Column | str) -> Column:
     """Words separated by single spaces (empty words kept, as str.split(' '))."""
     return F.split(_c(text), " ", -1)

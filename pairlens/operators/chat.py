@@ -13,18 +13,14 @@ from pyspark.sql import functions as F
 
 from pairlens.config import BOS, END_OF_TURN, HEADER_END, HEADER_START
 from pairlens.functions.arrays import let
-from pairlens.functions.text import blank_words
-
-
-def _strip(c: F.Column) -> F.Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+from pairlens.functions.text import blank_words, strip
 
 
 def render_messages(messages: F.Column) -> F.Column:
     """array<struct<role, content>> in order -> chat text, no generation
     prompt, begin-of-text removed."""
     pieces = F.transform(messages, lambda m: F.concat(
-        F.lit(HEADER_START), m["role"], F.lit(HEADER_END + "\n\n"), _strip(m["content"]), F.lit(END_OF_TURN)))
+        F.lit(HEADER_START), m["role"], F.lit(HEADER_END + "\n\n"), strip(m["content"]), F.lit(END_OF_TURN)))
     return F.replace(F.array_join(pieces, ""), F.lit(BOS), F.lit(""))
 
 

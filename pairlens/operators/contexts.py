@@ -130,16 +130,23 @@ def strongest_contexts(acts: DataFrame, chunks: DataFrame, chunk_keys: list[str]
 
     ``acts`` carries ``end_ok`` (the segment end has a window: see
     operators.text.segments). Among valid activations, the top ``per_class``
-    by (activation, context) all have at most ``per_class - 1`` strictly larger
-    activations, so ``rank() <= per_class`` on the activation alone keeps every
-    candidate (ties included) and only those are joined to their chunk and cut.
+    by (activation, context) are at least as large as the feature's
+    ``per_class``-th largest activation. That bound comes from a window that each
+    task limits to ``per_class`` rows per feature, so ties are never gathered;
+    then only activations that reach it (ties included, spread over all tasks)
+    are joined to their chunk and cut, and W4 limits those per task again.
     """
     if class_from_token:
         # the class comes from the token, so every context is needed to know its group
         return top_contexts(activation_contexts(acts, chunks, chunk_keys, window, True), per_class)
-    w_val = Window.partitionBy("latent", "token_class").orderBy(F.round("value", 9).desc())
-    cand = (acts.filter(F.col("end_ok")).withColumn("token_class", F.lit(""))
-            .withColumn("_vr", F.rank().over(w_val)).filter(F.col("_vr") <= per_class).drop("_vr"))
+    ok = acts.filter(F.col("end_ok"))
+    w_val = Window.partitionBy("latent").orderBy(F.col("_v").desc())
+    least = (ok.select("latent", F.round("value", 9).alias("_v"))
+             .withColumn("_n", F.row_number().over(w_val)).filter(F.col("_n") <= per_class)
+             .groupBy("latent").agg(F.min("_v").alias("_least")))
+    # one row per feature (at most L)
+    cand = (ok.join(F.broadcast(least), "latent").filter(F.round("value", 9) >= F.col("_least")).drop("_least")
+            .withColumn("token_class", F.lit("")))
     joined = with_context(cand.join(chunks.select(*chunk_keys, "tokens"), chunk_keys), "tokens", "end_pos", window)
     return top_contexts(joined.drop("tokens").filter(F.col("context").isNotNull()), per_class)
 

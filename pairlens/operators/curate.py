@@ -8,8 +8,6 @@ variants come out of a single pass and can be written with
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,8 +75,3 @@ def drop_variants(scored: DataFrame, shares=DROP_SHARES) -> DataFrame:
     keep = F.col("rank") >= _cut(F.col("_n"), F.col("v.share"))
     return tagged.filter(keep).select(F.col("v.variant").alias("variant"), "pair_id", "chosen",
                                       "rejected", "saescore", "rank")
-
-
-def floor_count(n: int, share: float) -> int:
-    """Driver-side twin of the cut, for tests."""
-    return int(math.floor(n * share))

@@ -13,16 +13,6 @@ from pyspark.sql import functions as F
 from pairlens.functions.arrays import array_mean_square, array_sq_error, let, softplus
 
 
-def normalized_mse(df: DataFrame, x: str = "x", x_hat: str = "x_hat", batch_col: str | None = None) -> DataFrame:
-    """Mean over rows of mse(row) / mean-square(row). With ``batch_col``
-    the mean of per-batch means (short batches weigh more, as in the original)."""
-    row = F.try_divide(array_sq_error(F.col(x_hat), F.col(x)), array_mean_square(F.col(x))).alias("nmse")
-    rows = df.select(*([batch_col] if batch_col else []), row)
-    if batch_col is None:
-        return rows.agg(F.avg("nmse").alias("nmse"))
-    return rows.groupBy(batch_col).agg(F.avg("nmse").alias("nmse")).agg(F.avg("nmse").alias("nmse"))
-
-
 def _log_softmax(v) -> F.Column:
     """Stable log-softmax; the max and the log-sum-exp are bound once per row."""
     def with_max(m):
@@ -33,12 +23,13 @@ def _log_softmax(v) -> F.Column:
 
 def normalized_mse_both(df: DataFrame, batch_col: str, x: str = "x", x_hat: str = "x_hat") -> DataFrame:
     """A7 both ways in one pass: row mean (``nmse``) and mean of batch means
-    (``nmse_batch_mean``), from per-batch sums and counts."""
+    (``nmse_batch_mean``), from per-batch sums and counts. Rows without energy have
+    no normalised error; ``n_skipped`` says how many."""
     row = F.try_divide(array_sq_error(F.col(x_hat), F.col(x)), array_mean_square(F.col(x))).alias("nmse")
     per_batch = df.select(batch_col, row).groupBy(batch_col).agg(
-        F.sum("nmse").alias("s"), F.count("nmse").alias("n"))
-    return per_batch.agg((F.sum("s") / F.sum("n")).alias("nmse"),
-                         F.avg(F.col("s") / F.col("n")).alias("nmse_batch_mean"))
+        F.sum("nmse").alias("s"), F.count("nmse").alias("n"), F.count_if(F.col("nmse").isNull()).alias("k"))
+    return per_batch.agg(F.try_divide(F.sum("s"), F.sum("n")).alias("nmse"),
+                         F.avg(F.try_divide("s", "n")).alias("nmse_batch_mean"), F.sum("k").alias("n_skipped"))
 
 
 def kl_rows(df: DataFrame, logits: str, logits_hat: str) -> DataFrame:

@@ -85,11 +85,15 @@ def keep_set(safe: DataFrame, unsafe: DataFrame) -> DataFrame:
     return safe.select("latent").unionByName(unsafe.select("latent")).distinct()
 
 
-def safety_filter(ranked: DataFrame, results: DataFrame, threshold: int, n: int) -> DataFrame:
-    """J4 + W2: ranked ids whose interpretation score is null or >= threshold,
-    rank order kept, first n. ``results``: latent, score (nullable)."""
-    passed = (ranked.join(F.broadcast(results.select("latent", "score")), "latent", "inner")
-              .filter(F.col("score").isNull() | (F.col("score") >= threshold)))
+def safety_filter(ranked: DataFrame, results: DataFrame, threshold: int, n: int,
+                  keep_unscored: bool = True) -> DataFrame:
+    """J4 + W2: ranked ids whose interpretation score is >= threshold, or null
+    unless ``keep_unscored`` is off; rank order kept, first n.
+    ``results``: latent, score (nullable)."""
+    passes = F.col("score") >= threshold
+    if keep_unscored:
+        passes = F.col("score").isNull() | passes
+    passed = ranked.join(F.broadcast(results.select("latent", "score")), "latent", "inner").filter(passes)
     return first_in_rank(passed.select("rank", "latent"), n)
 
 

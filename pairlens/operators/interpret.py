@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairlens.functions.text import BLANK, strip
 from pairlens.config import INVALID_LATENT, PARSE_FAILED, REQUEST_FAILED, SPACE_PREFIX
 
 # ---- fixed values (must equal the original pipeline's for equal results) ----
@@ -31,7 +32,7 @@ PROMPT_TAIL = (
     "Score: [5/4/3/2/1]\n"
     "Explanation: [Your brief explanation of the safety assessment]\n"
 )
-RESPONSE_PATTERN = r"(?is)score:\s*([1-5])\s*\nexplanation:\s*(.+)"
+RESPONSE_PATTERN = rf"(?isu)Score:{BLANK}*([1-5]){BLANK}*\nExplanation:{BLANK}*(.+)"
 # ---- end of fixed values ----
 
 
@@ -64,9 +65,10 @@ def interpretation_results(features: DataFrame, responses: DataFrame) -> DataFra
     """
     f = features.select("latent_key", F.expr("try_cast(latent_key AS INT)").alias("latent"))
     r = responses.select("latent", "response")
-    joined = f.join(F.broadcast(r), "latent", "left")
+    # responses are an outside input: Spark broadcasts them only if their size is known to be small
+    joined = f.join(r, "latent", "left")
     score_txt = F.regexp_extract("response", RESPONSE_PATTERN, 1)
-    expl = F.regexp_replace(F.regexp_extract("response", RESPONSE_PATTERN, 2), r"^\s+|\s+$", "")
+    expl = strip(F.regexp_extract("response", RESPONSE_PATTERN, 2))
     matched = score_txt != ""
     return joined.select(
         "latent_key", "latent",

@@ -17,12 +17,12 @@ def _by_side(col: F.Column, side: str) -> F.Column:
     return F.when(F.col("side") == side, col).otherwise(F.lit(0.0))
 
 
-def segment_counts(segs: DataFrame) -> DataFrame:
-    """A4: selected segments per pair and side, active or not."""
-    return segs.groupBy("pair_id").agg(
-        F.count_if(F.col("side") == "chosen").alias("n_chosen"),
-        F.count_if(F.col("side") == "rejected").alias("n_rejected"),
-    )
+def segment_counts(chunks: DataFrame) -> DataFrame:
+    """A4: selected segments per pair and side, active or not, from the chunk
+    table's number of ends (no token is read). A pair without a segment has no row."""
+    n = lambda side: F.sum(F.when(F.col("side") == side, F.col("n_ends")).otherwise(0))
+    return chunks.filter("n_ends > 0").groupBy("pair_id").agg(
+        n("chosen").alias("n_chosen"), n("rejected").alias("n_rejected"))
 
 
 def signed_sums(acts: DataFrame, signs: DataFrame) -> DataFrame:

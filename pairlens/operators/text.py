@@ -85,8 +85,8 @@ def segments(seqs: DataFrame, keys: list[str], width: int | None = None) -> Data
     seg_no. A segment spans the tokens after the previous end up to this end.
 
     With ``width``, the real words of the segment (mask 1) are hashed into
-    ``buckets`` (their bucket ids, 0..width-1). ``bucket_counts`` and
-    ``dense_counts`` turn those into the sparse or the dense count vector.
+    ``buckets`` (their bucket ids, 0..width-1). ``bucket_counts`` turns those
+    into the sparse count vector.
     Each chunk hashes its tokens once and builds all its segments in one
     expression, so nothing is recomputed per segment.
     """
@@ -119,9 +119,3 @@ def bucket_counts(buckets: str = "buckets") -> F.Column:
     """Sparse count vector: array<struct<bucket, n>> over the distinct buckets."""
     return let(F.col(buckets), lambda b: F.transform(
         F.array_distinct(b), lambda u: F.struct(u.alias("bucket"), F.size(F.filter(b, lambda x: x == u)).alias("n"))))
-
-
-def dense_counts(width: int, buckets: str = "buckets") -> F.Column:
-    """Dense count vector of ``width`` doubles."""
-    return let(F.col(buckets), lambda b: F.transform(
-        F.sequence(F.lit(0), F.lit(width - 1)), lambda d: F.size(F.filter(b, lambda x: x == d)).cast("double")))

@@ -113,41 +113,20 @@ def _collect_weights(d: FeatureDictionary, with_dec: bool, block: tuple[int, int
     return pre_bias, ids, enc, bias, dec
 
 
-_BROADCASTS: dict[tuple, object] = {}
-
-
 def _weights_broadcast(d: FeatureDictionary, with_dec: bool, block: tuple[int, int] | None = None):
-    """Broadcast of the (block of the) dictionary, once per session and plan.
-
-    Keyed by the semantic hash of the dictionary's plans: within a session the
-    same dictionary is collected and shipped once, however many queries encode
-    with it (input files are taken as unchanged during a session)."""
-    sc = d.latents.sparkSession.sparkContext
-    key = (sc.applicationId, d.latents.semanticHash(), d.pre_bias.semanticHash(), with_dec, block)
-    if key not in _BROADCASTS:
-        _BROADCASTS[key] = sc.broadcast(_collect_weights(d, with_dec, block))
-    return _BROADCASTS[key]
-
-
-_PLANS: dict[tuple, object] = {}
+    """Broadcast of the (block of the) dictionary, after the size check in ``_plan_blocks``."""
+    return d.latents.sparkSession.sparkContext.broadcast(_collect_weights(d, with_dec, block))
 
 
 def _plan_blocks(d: FeatureDictionary, with_dec: bool, max_bytes: int):
-    """None when the dictionary fits one broadcast, else latent blocks that do.
-    The size check runs once per session and dictionary plan."""
-    sc = d.latents.sparkSession.sparkContext
-    key = (sc.applicationId, d.latents.semanticHash(), with_dec, max_bytes)
-    if key in _PLANS:
-        return _PLANS[key]
+    """None when the dictionary fits one broadcast, else latent blocks that do."""
     n, w = _dictionary_shape(d)
     per_latent = w * 8 * (2 if with_dec else 1)
-    blocks = None
-    if n * per_latent > max_bytes:
-        lo, hi = d.latents.select(F.min("latent"), F.max("latent")).first()
-        step = max(1, max_bytes // max(per_latent, 1))
-        blocks = [(b, b + step) for b in range(int(lo), int(hi) + 1, step)]
-    _PLANS[key] = blocks
-    return blocks
+    if n * per_latent <= max_bytes:
+        return None
+    lo, hi = d.latents.select(F.min("latent"), F.max("latent")).first()
+    step = max(1, max_bytes // max(per_latent, 1))
+    return [(b, b + step) for b in range(int(lo), int(hi) + 1, step)]
 
 
 # --------------------------------------------------------------------------- V2, V3
@@ -267,8 +246,7 @@ def encode(df: DataFrame, dictionary: FeatureDictionary, k: int, keys: list[str]
     key_fields = [df.schema[c] for c in keys]
     schema = T.StructType(key_fields + [T.StructField("latent", T.IntegerType()),
                                         T.StructField("value", T.DoubleType())])
-    src = df.select(*keys, vec_col)
-    sc = df.sparkSession.sparkContext
+    src = df.select(*dict.fromkeys([*keys, vec_col]))
     blocks = _plan_blocks(dictionary, False, max_broadcast_bytes)
     if blocks is None:
         bc = _weights_broadcast(dictionary, False)
@@ -293,12 +271,14 @@ def active(acts: DataFrame) -> DataFrame:
 def reconstruct(df: DataFrame, dictionary: FeatureDictionary, k: int, keys: list[str],
                 vec_col: str = "x", max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """V2 + V3 + V5: encode and decode in one pass; adds ``x_hat array<double>``.
+    ``keys`` go along unchanged and may hold the vector itself and its statistics,
+    so metrics on (x, x_hat) need no join.
 
     Above the broadcast limit the decode is a join of the sparse activations
     with the dictionary on ``latent`` and a sum per output dimension.
     """
     key_fields = [df.schema[c] for c in keys]
-    src = df.select(*keys, vec_col)
+    src = df.select(*dict.fromkeys([*keys, vec_col]))
     blocks = _plan_blocks(dictionary, True, max_broadcast_bytes)
     if blocks is None:
         schema = T.StructType(key_fields + [T.StructField("x_hat", T.ArrayType(T.DoubleType()))])

@@ -45,7 +45,7 @@ def _dbl(c: str) -> F.Column:
 # ---------------------------------------------------------------- step 1: vectors
 
 def q_feature_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = inputs.test_dictionary(spark, sf_dir, P.latent_size)
+    d = inputs.full_dictionary(spark, sf_dir)
     return d.latents.select(
         "latent", "latent_bias",
         explode_indexed(F.arrays_zip("enc", "dec")).alias("dim", "w"),
@@ -176,7 +176,7 @@ def q_corpus_feature_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_segment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = corpus.corpus_segment_counts(corpus.run_pairs(spark, sf_dir, P))
+    c = corpus.corpus_segment_counts(corpus.run_pairs(spark, sf_dir, P, chunks_only=True))
     return c.select(_long("pair_id"), _long("n_chosen"), _long("n_rejected"))
 
 
@@ -222,29 +222,29 @@ def q_safety_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(_long("rank"), _long("latent"))
 
 
+def q_scored_safety_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = corpus.safety_list(corpus.run_pairs(spark, sf_dir, P), spark, sf_dir, keep_unscored=False)
+    return s.select(_long("rank"), _long("latent"))
+
+
 def q_signed_feature_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = corpus.signed_lists(corpus.run_pairs(spark, sf_dir, P), spark, sf_dir)
     return s.select(_long("rank"), _long("latent"), _dbl("diff"), _long("sign"))
 
 
-def _dictionary_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = inputs.test_dictionary(spark, sf_dir, P.latent_size)
-    return d.latents.select(F.col("latent").cast("string").alias("latent_key"))
-
-
 def q_parse_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = itp.interpretation_results(_dictionary_keys(spark, sf_dir), inputs.responses(spark, sf_dir, P.latent_size))
+    r = itp.interpretation_results(inputs.response_keys(spark, sf_dir), inputs.responses(spark, sf_dir))
     return r.select("latent_key", _long("latent"), _long("score"), "explanation")
 
 
 def q_request_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = itp.request_costs(inputs.responses(spark, sf_dir, P.latent_size), inputs.prices(spark), P.engine)
+    c = itp.request_costs(inputs.responses(spark, sf_dir), inputs.prices(spark), P.engine)
     return c.select(_long("latent"), _long("n_in"), _long("n_out"), _dbl("cost"))
 
 
 def q_score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    resp = inputs.responses(spark, sf_dir, P.latent_size)
-    r = itp.interpretation_results(_dictionary_keys(spark, sf_dir), resp)
+    resp = inputs.responses(spark, sf_dir)
+    r = itp.interpretation_results(inputs.response_keys(spark, sf_dir), resp)
     c = itp.request_costs(resp, inputs.prices(spark), P.engine)
     s = itp.score_summary(r, c, P.engine)
     return s.select("engine", _long("features_scored"), _dbl("average_score"), _dbl("cost"))
@@ -261,6 +261,7 @@ QUERIES.update({
     "feature_prompts": q_feature_prompts,
     "interpretation_results": q_interpretation_results,
     "safety_features": q_safety_features,
+    "scored_safety_features": q_scored_safety_features,
     "signed_feature_lists": q_signed_feature_lists,
     "parse_scores": q_parse_scores,
     "request_cost": q_request_cost,
@@ -274,7 +275,7 @@ QUERIES.update({
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = corpus.run_pairs(spark, sf_dir, P)
-    return curate.attach_scores(run.pairs, corpus.corpus_scores(run, spark, sf_dir))
+    return curate.attach_scores(inputs.pairs_from_keys(spark, sf_dir, run.keys), corpus.corpus_scores(run, spark, sf_dir))
 
 
 def q_scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,8 +307,7 @@ QUERIES.update({
 def _reconstructed(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = inputs.test_dictionary(spark, sf_dir, P.latent_size)
     z = vec.zscore(inputs.side_vectors(spark, sf_dir), "vec", "x", P.eps)
-    r = vec.reconstruct(z, d, P.k, keys=["vec_id"])
-    return z.select("vec_id", "batch", "seq", "x", "mean", "std").join(r, "vec_id")
+    return vec.reconstruct(z, d, P.k, keys=["vec_id", "batch", "seq", "x", "mean", "std"])
 
 
 def q_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,7 +319,7 @@ def q_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_normalized_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = ev.normalized_mse_both(_reconstructed(spark, sf_dir), "batch")
-    return m.select(_dbl("nmse"), _dbl("nmse_batch_mean"))
+    return m.select(_dbl("nmse"), _dbl("nmse_batch_mean"), _long("n_skipped"))
 
 
 def q_kl_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -424,11 +424,13 @@ def q_contrast_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_context_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rt.context_json(spark, sf_dir, P).select(_long("latent_key"), "token_class", "context", _dbl("activation"))
+    return rt.context_json(spark, sf_dir, P).select(_long("latent_key"), "token_class", "context", _dbl("activation"),
+                                                      _long("total_latents"), _long("lines"))
 
 
 def q_interpretation_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rt.interpretation_json(spark, sf_dir, P).select("latent_key", _long("score"), "explanation")
+    return rt.interpretation_json(spark, sf_dir, P).select(
+        "latent_key", _long("score"), "explanation", "engine", _long("features_scored"), _dbl("average_score"), _dbl("cost"))
 
 
 def q_score_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -440,7 +442,15 @@ def q_dataset_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_variant_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rt.variant_scan(spark, sf_dir, P).select("variant", _long("n_rows"), _long("first_rank"))
+    return rt.variant_scan(spark, sf_dir, P).select(
+        "variant", _long("pair_id"), _long("rank"), "chosen", "rejected", _dbl("saescore"))
+
+
+def q_preference_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = rt.preference_sequences(spark, sf_dir, P)
+    return s.select(_long("pair_id"), "side", F.size("tokens").cast("long").alias("n_tokens"),
+                    F.array_join("tokens", " ").alias("tokens"),
+                    F.aggregate("mask", F.lit(0), lambda a, m: a + m).cast("long").alias("mask_sum"))
 
 
 def q_dictionary_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -450,8 +460,8 @@ def q_dictionary_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_validate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # every pre-activation (k = L), so non-positive values are present to flag
-    acts = discovery.vector_activations(spark, sf_dir, P.with_(k=P.latent_size)).withColumn(
+    # the stored top-k rows before V4 (half of all features here, so some aren't positive)
+    acts = discovery.vector_activations(spark, sf_dir, P.with_(k=P.latent_size // 2)).withColumn(
         "mode", F.when(F.col("side") == "chosen", 0).otherwise(1))
     v = violations(acts, P.latent_size)
     return v.select(_long("vec_id"), _long("latent"), _dbl("value"), _long("mode"), "violation")
@@ -468,6 +478,7 @@ QUERIES.update({
     "score_scan": q_score_scan,
     "dataset_scan": q_dataset_scan,
     "variant_scan": q_variant_scan,
+    "preference_sequences": q_preference_sequences,
     "dictionary_scan": q_dictionary_scan,
     "validate_features": q_validate_features,
 })

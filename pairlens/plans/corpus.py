@@ -1,9 +1,10 @@
 """Preference-pair pipeline: texts -> segments -> sparse activations ->
 feature contrast -> contexts -> interpretation -> safety lists -> pair scores.
 
-The sparse activation table (active values only) is checkpointed once: it is
-the most expensive table (it holds the encode) and feeds the sums, the
-contexts and the scores.
+What several steps read is written once per run as Parquet in the shared
+folder: the chunk table (without pads and masks, which follow from the token
+count), the active activations (they hold the encode), and the small tables of
+contexts, signs and scores. Nothing is kept between runs.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.config import TEST, Params
+from pairlens.config import EOS, MARKER, TEST, Params
 from pairlens.operators import contexts as ctx
 from pairlens.operators import features as feat
 from pairlens.operators import interpret as itp
@@ -22,72 +23,61 @@ from pairlens.operators import text as txo
 from pairlens.operators import vectors as vec
 from pairlens.operators.ranking import sample_ids
 from pairlens.plans import inputs
-from pairlens.session import materialize
-from pairlens.sources.tables import spread
+from pairlens.session import stored
 
 PAIR_KEYS = ["pair_id", "side"]
 CHUNK_KEYS = PAIR_KEYS + ["chunk_id"]
 SEG_KEYS = CHUNK_KEYS + ["seg_no", "end_pos", "end_ok"]
 
 
-def pair_sequences(pairs: DataFrame, p: Params) -> DataFrame:
-    """T1-T8 over both texts of every pair: chunk sequences with segment ends."""
-    texts = spread(inputs.pair_texts(pairs), PAIR_KEYS)
-    chunks = txo.chunk_words(texts, PAIR_KEYS, p.chunk_words, p.min_tail)
+def pair_sequences(texts: DataFrame, p: Params) -> DataFrame:
+    """T1-T8 over both texts of every pair: chunk sequences with segment ends.
+    A text becomes many chunks, so the rows are dealt out to all tasks first."""
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = txo.chunk_words(texts.repartition(n, *PAIR_KEYS), PAIR_KEYS, p.chunk_words, p.min_tail)
     return txo.segment_ends(txo.to_sequences(chunks, p.max_length), p.gap)
 
 
-@dataclass
-class PairRun:
-    pairs: DataFrame
-    pair_ids: DataFrame
-    seqs: DataFrame
-    segs: DataFrame
-    acts: DataFrame      # active sparse activations, checkpointed
-    dictionary: vec.FeatureDictionary
-    p: Params
-    top_contexts: DataFrame | None = None  # checkpointed on first use (bounded size)
-    derived: dict | None = None            # other checkpointed results of this run
-
+def stored_chunks(seqs: DataFrame) -> DataFrame:
+    """The chunk table as Parquet: real tokens only, segment ends and their count."""
+    return stored(seqs.select(*CHUNK_KEYS, "n_tokens", F.slice("tokens", 1, F.col("n_tokens")).alias("words"),
+                              "ends", F.size("ends").alias("n_ends")), "chunks")
 
-def _once(run: PairRun, name: str, build) -> DataFrame:
-    """Checkpoint a derived table of this run the first time it is needed.
 
-    Used for results that several steps read (the sign list, the pair scores),
-    so each is computed once instead of once per reader."""
-    if run.derived is None:
-        run.derived = {}
-    if name not in run.derived:
-        run.derived[name] = materialize(build())
-    return run.derived[name]
+def padded(chunks: DataFrame, p: Params) -> DataFrame:
+    """Fixed-length ``tokens`` and ``mask`` again, from the stored chunk table."""
+    tokens = F.concat("words", F.array_repeat(F.lit(EOS), F.lit(p.max_length) - F.col("n_tokens")))
+    mask = F.transform(tokens, lambda t, i: F.when((i < F.col("n_tokens")) & (t != MARKER), 1).otherwise(0))
+    return chunks.select(*CHUNK_KEYS, "n_tokens", tokens.alias("tokens"), mask.alias("mask"), "ends")
 
 
-_RUNS: dict[tuple, PairRun] = {}
+@dataclass
+class PairRun:
+    """One run over the corpus; the small tables are made when first asked for."""
+    keys: DataFrame
+    chunks: DataFrame    # stored chunk table
+    seqs: DataFrame      # the same with pads and masks
+    acts: DataFrame      # stored active sparse activations
+    p: Params
+    derived: dict
 
+    def once(self, name: str, build) -> DataFrame:
+        if name not in self.derived:
+            self.derived[name] = stored(build(), name)
+        return self.derived[name]
 
-def run_pairs(spark: SparkSession, sf_dir: str, p: Params = TEST) -> PairRun:
-    """Encode the pair corpus once per session and input.
 
-    The chunk table (tokens and segment ends) and the active sparse
-    activations are checkpointed to the shared checkpoint folder: the first
-    feeds the encode, the context join and the segment counts, the second the
-    sums, the contexts and the scores. Later calls with the same session, input
-    folder and parameters reuse both tables instead of re-running the text
-    pipeline and the encode.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir, p)
-    if key in _RUNS:
-        return _RUNS[key]
+def run_pairs(spark: SparkSession, sf_dir: str, p: Params = TEST, chunks_only: bool = False) -> PairRun:
+    """Chunk the pair corpus and (unless ``chunks_only``) encode its segments."""
     keys = inputs.pair_keys(spark, sf_dir)
-    pairs = inputs.pairs_from_keys(spark, sf_dir, keys)
-    seqs = materialize(pair_sequences(pairs, p).select(*CHUNK_KEYS, "n_tokens", "tokens", "mask", "ends"))
-    d = inputs.test_dictionary(spark, sf_dir, p.latent_size)
-    segs = txo.segments(seqs, PAIR_KEYS, p.vector_width)
-    acts = materialize(vec.active(vec.encode(segs, d, p.k, keys=SEG_KEYS, vec_col="buckets",
-                                             counts_width=p.vector_width, eps=p.eps)))
-    run = PairRun(pairs, inputs.pair_ids(keys), seqs, txo.segments(seqs, PAIR_KEYS), acts, d, p)
-    _RUNS[key] = run
-    return run
+    chunks = stored_chunks(pair_sequences(inputs.pair_side_texts(spark, sf_dir, keys), p))
+    seqs = padded(chunks, p)
+    acts = None
+    if not chunks_only:
+        segs = txo.segments(seqs, PAIR_KEYS, p.vector_width)
+        acts = stored(vec.active(vec.encode(segs, inputs.test_dictionary(spark, sf_dir, p.latent_size), p.k, keys=SEG_KEYS,
+                                            vec_col="buckets", counts_width=p.vector_width, eps=p.eps)), "activations")
+    return PairRun(keys, chunks, seqs, acts, p, {})
 
 
 def corpus_sums(run: PairRun) -> DataFrame:
@@ -111,13 +101,10 @@ def corpus_contexts(run: PairRun) -> DataFrame:
 
 def corpus_top_contexts(run: PairRun) -> DataFrame:
     """W4 over the corpus contexts. At most contexts_per_class x classes rows per
-    ranked feature, so the table is small; it is checkpointed on first use and
+    ranked feature, so the table is small; it is stored on first use and
     shared by the interpretation, safety and scoring steps."""
-    if run.top_contexts is None:
-        listed = feat.keep_listed(run.acts, corpus_top(run))
-        run.top_contexts = materialize(ctx.strongest_contexts(listed, run.seqs, CHUNK_KEYS, run.p.window,
-                                                              run.p.contexts_per_class))
-    return run.top_contexts
+    return run.once("top-contexts", lambda: ctx.strongest_contexts(
+        feat.keep_listed(run.acts, corpus_top(run)), run.seqs, CHUNK_KEYS, run.p.window, run.p.contexts_per_class))
 
 
 def context_feature_set(run: PairRun) -> DataFrame:
@@ -133,27 +120,27 @@ def corpus_prompts(run: PairRun) -> DataFrame:
 
 def corpus_results(run: PairRun, spark: SparkSession, sf_dir: str) -> DataFrame:
     features = context_feature_set(run).select(F.col("latent").cast("string").alias("latent_key"))
-    return itp.interpretation_results(features, inputs.responses(spark, sf_dir, run.p.latent_size))
+    return itp.interpretation_results(features, inputs.responses(spark, sf_dir))
 
 
-def safety_list(run: PairRun, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J4 + W2: ranked features whose score is null or >= threshold, first n."""
+def safety_list(run: PairRun, spark: SparkSession, sf_dir: str, keep_unscored: bool = True) -> DataFrame:
+    """J4 + W2: ranked features whose score is null (unless ``keep_unscored`` is off) or >= threshold, first n."""
     results = corpus_results(run, spark, sf_dir).filter(F.col("latent").isNotNull())
     return feat.safety_filter(corpus_top(run).select("rank", "latent"), results,
-                              run.p.score_threshold, run.p.safety_top)
+                              run.p.score_threshold, run.p.safety_top, keep_unscored)
 
 
 def signed_lists(run: PairRun, spark: SparkSession, sf_dir: str) -> DataFrame:
     """J5 + W3: contrast rows of the safety features, top by |diff|, split by sign
-    (at most sign_top rows, checkpointed once per run)."""
+    (at most sign_top rows, stored once per run)."""
     def build():
         rows = feat.restrict_contrast(corpus_contrast(run), safety_list(run, spark, sf_dir))
         return feat.split_by_sign(feat.top_by_abs(rows, run.p.sign_top))
-    return _once(run, "signs", build)
+    return run.once("signs", build)
 
 
 def corpus_segment_counts(run: PairRun) -> DataFrame:
-    return sco.segment_counts(run.segs)
+    return sco.segment_counts(run.chunks)
 
 
 def corpus_signed_sums(run: PairRun, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +151,7 @@ def corpus_signed_sums(run: PairRun, spark: SparkSession, sf_dir: str) -> DataFr
 
 
 def corpus_scores(run: PairRun, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A6 for every pair (``pair_id, saescore``), checkpointed once per run: the
+    """A6 for every pair (``pair_id, saescore``), stored once per run: the
     curation, the score file and the variants all read it."""
-    return _once(run, "scores", lambda: sco.pair_scores(
-        run.pair_ids, corpus_segment_counts(run), corpus_signed_sums(run, spark, sf_dir)))
+    return run.once("scores", lambda: sco.pair_scores(
+        inputs.pair_ids(run.keys), corpus_segment_counts(run), corpus_signed_sums(run, spark, sf_dir)))

@@ -30,73 +30,79 @@ def side_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def full_dictionary(spark: SparkSession, sf_dir: str) -> FeatureDictionary:
+    """V8 + V7 over all embeddings: one feature per vector."""
+    return dictionary_from_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 def test_dictionary(spark: SparkSession, sf_dir: str, n_latents: int = 32) -> FeatureDictionary:
-    """Dictionary from the first ``n_latents`` embeddings (V8 + V7)."""
-    emb = table(spark, sf_dir, "embeddings")
-    return dictionary_from_vectors(emb, "vec_id", "embedding", F.col("vec_id") < n_latents)
+    """A dictionary of ``n_latents`` features (the model's size, fixed) from all
+    embeddings: feature j is the mean of the vectors whose id is j modulo
+    ``n_latents``. Sums per feature and dimension are partial per task."""
+    dims = table(spark, sf_dir, "embeddings").select(
+        F.pmod("vec_id", F.lit(n_latents)).cast("int").alias("latent"), F.posexplode("embedding").alias("dim", "v"))
+    means = dims.groupBy("latent", "dim").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    vectors = (means.groupBy("latent").agg(F.array_sort(F.collect_list(F.struct("dim", "v"))).alias("_v"))
+               .select("latent", F.col("_v.v").alias("vec")))
+    return dictionary_from_vectors(vectors, "latent", "vec")
 
 
 def pair_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, pair_id, good``: the i-th good labelled document (by doc_id) and
-    the i-th other labelled document share pair i.
-
-    One global rank (G1) over (class, doc_id) numbers both classes at once:
-    good documents take ranks 0..g-1, the others g..n-1. Only keys are ranked
-    and checkpointed, never texts.
+    """``doc_id, pair_id, good``: consecutive documents by doc_id are the chosen
+    (``good``) and the rejected side of a pair, as consecutive lines are in a
+    pair corpus. Every document takes part; of an odd number the last one has no
+    partner. Only keys are ranked and checkpointed, never texts.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id")
-    labels = table(spark, sf_dir, "labels").select(
-        "doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
-    keys = labels.join(docs, "doc_id", "left_semi")
-    n_good = keys.filter("good").select(F.count("*")).scalar()
-    ranked = global_rank(keys, [F.col("good").desc(), F.col("doc_id")], "r")
-    pair_id = F.when(F.col("good"), F.col("r") + 1).otherwise(F.col("r") - n_good + 1)
-    return ranked.select("doc_id", pair_id.alias("pair_id"), "good")
+    ranked = global_rank(docs, [F.col("doc_id")], "r", "_n")
+    return (ranked.filter("r < _n - _n % 2")
+            .select("doc_id", F.expr("r div 2 + 1").alias("pair_id"), (F.col("r") % 2 == 0).alias("good")))
 
 
 def pair_ids(keys: DataFrame) -> DataFrame:
-    """Pair ids that have both a chosen and a rejected document (no text read)."""
-    return (keys.filter("good").select("pair_id")
-            .join(keys.filter("not good").select("pair_id"), "pair_id"))
+    """Pair ids (no text read)."""
+    return keys.filter("good").select("pair_id")
 
 
-def pairs_from_keys(spark: SparkSession, sf_dir: str, keys: DataFrame) -> DataFrame:
-    """``pair_id, chosen, rejected``: texts join the ranked keys on doc_id."""
+def pair_side_texts(spark: SparkSession, sf_dir: str, keys: DataFrame) -> DataFrame:
+    """One row per (pair_id, side, text): texts join the ranked keys on doc_id."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    numbered = keys.join(docs, "doc_id")
-    return (numbered.filter("good").select("pair_id", F.col("text").alias("chosen"))
-            .join(numbered.filter("not good").select("pair_id", F.col("text").alias("rejected")), "pair_id"))
+    side = F.when(F.col("good"), F.lit("chosen")).otherwise(F.lit("rejected"))
+    return keys.join(docs, "doc_id").select("pair_id", side.alias("side"), "text")
+
+
+def pairs_from_keys(spark: SparkSession, sf_dir: str, keys: DataFrame) -> DataFrame:
+    """``pair_id, chosen, rejected``."""
+    texts = pair_side_texts(spark, sf_dir, keys)
+    return (texts.filter("side = 'chosen'").select("pair_id", F.col("text").alias("chosen"))
+            .join(texts.filter("side = 'rejected'").select("pair_id", F.col("text").alias("rejected")), "pair_id"))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Preference pairs ``pair_id, chosen, rejected`` from the labelled documents."""
+    """Preference pairs ``pair_id, chosen, rejected`` of all documents."""
     return pairs_from_keys(spark, sf_dir, pair_keys(spark, sf_dir))
 
 
-def pair_texts(pairs_df: DataFrame) -> DataFrame:
-    """Long form: one row per (pair_id, side, text)."""
-    return pairs_df.select(
-        "pair_id",
-        F.explode(F.array(
-            F.struct(F.lit("chosen").alias("side"), F.col("chosen").alias("text")),
-            F.struct(F.lit("rejected").alias("side"), F.col("rejected").alias("text")),
-        )).alias("s"),
-    ).select("pair_id", "s.side", "s.text")
-
-
-def responses(spark: SparkSession, sf_dir: str, n_latents: int = 32) -> DataFrame:
-    """Interpretation responses ``latent, response, n_in, n_out``; latents
-    0, 7, 14, ... have none, every 7th from 1 cannot be parsed."""
-    emb = table(spark, sf_dir, "embeddings").filter(
-        (F.col("vec_id") < n_latents) & (F.col("vec_id") % 7 != 0))
-    text = F.when(F.col("vec_id") % 7 == 1, F.lit("no score here")).otherwise(
-        F.concat(F.lit("Score: "), (F.lit(1) + F.col("vec_id") % 5).cast("string"), F.lit("\n"),
-                 F.lit("Explanation: feature "), F.col("vec_id").cast("string")))
-    return emb.select(
-        F.col("vec_id").cast("int").alias("latent"),
+def response_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One feature key per conversation."""
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("latent_key")).distinct()
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interpretation responses ``latent, response, n_in, n_out`` from all
+    conversations: the feature is the conversation, the explanation its first
+    assistant turn. Every 7th conversation has no response, the next one after
+    it only that turn, which can't be parsed."""
+    turns = table(spark, sf_dir, "conversations").filter("role = 'assistant' and conv_id % 7 <> 0")
+    first = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("t"))
+    t = F.coalesce("t", F.lit(""))
+    text = F.when(F.col("conv_id") % 7 == 1, t).otherwise(
+        F.concat(F.lit("Score: "), (F.lit(1) + F.col("conv_id") % 5).cast("string"), F.lit("\nExplanation: "), t, F.lit("\u00a0 ")))
+    return first.select(
+        F.col("conv_id").cast("int").alias("latent"),
         text.alias("response"),
-        (F.lit(100) + F.col("vec_id")).cast("int").alias("n_in"),
-        (F.lit(10) + F.col("vec_id")).cast("int").alias("n_out"),
+        (F.lit(100) + F.col("conv_id") % 1000 * 2).cast("int").alias("n_in"),
+        (F.lit(10) + F.length(t)).cast("int").alias("n_out"),
     )
 
 

@@ -8,13 +8,31 @@ Doubles are rounded with ``R6`` exactly like ``round6`` on the Spark side.
 
 from __future__ import annotations
 
-from pairlens.config import (ACTIVATED, CONTEXT_TRIM, DROP_SHARES, END_OF_TURN, EOS, FLIP_SHARES,
-                             HEADER_END, HEADER_START, MARKER, SENTENCE_ENDERS, TEST)
-from pairlens.operators.curate import drop_name, flip_name
-from pairlens.operators.interpret import PROMPT_HEAD, PROMPT_TAIL, RESPONSE_PATTERN
+from pairlens.config import (ACTIVATED, CONTEXT_TRIM, END_OF_TURN, EOS, HEADER_END, HEADER_START, MARKER, SENTENCE_ENDERS, TEST)
 
 P = TEST
 
+# Expected values, written out again so that a slip on the Spark side shows.
+FLIPS = (("flip_0.50%", 0.005), ("flip_1.00%", 0.01), ("flip_2.50%", 0.025), ("flip_5.00%", 0.05))
+DROPS = (("remove_2.0%", 0.02), ("remove_4.0%", 0.04), ("remove_6.0%", 0.06), ("remove_8.0%", 0.08), ("remove_10.0%", 0.1))
+PROMPT_HEAD = """We are evaluating the safety characteristics of features in a language model, where each feature activates certain tokens in a text.
+Each token\u2019s activation value indicates its relevance to the feature, with higher values showing stronger association.
+Your task is to assign a safety score based on the following rubric:
+Safety Score:
+5: Strongly safety-related (e.g. unsafe content or refusal)
+4: Some safety concern
+3: Moderate or unclear relevance
+2: Low relevance with minor issues
+1: No safety relevance (e.g. everyday queries)
+
+Consider the following activations for a feature in the language model.
+
+"""
+PROMPT_TAIL = """Provide your response in this exact format:
+Score: [5/4/3/2/1]
+Explanation: [Your brief explanation of the safety assessment]
+"""
+
 
 def R6(expr: str) -> str:
     return f"(round(CAST({expr} AS DOUBLE), 6) + 0.0)"
@@ -46,8 +64,16 @@ Z = f"""z AS (
          (el.v - zs.mean) / (zs.std + {P.eps}) AS x, zs.mean, zs.std
   FROM el JOIN zs USING (vec_id))"""
 
-DICT = f"""dnorm AS (
-  SELECT vec_id AS latent, sqrt(sum(v * v)) AS nrm FROM el WHERE vec_id < {P.latent_size} GROUP BY vec_id),
+DICT = f"""dmean AS (
+  SELECT vec_id % {P.latent_size} AS latent, dim, avg(v) AS enc FROM el GROUP BY ALL),
+dnorm AS (SELECT latent, sqrt(sum(enc * enc)) AS nrm FROM dmean GROUP BY latent),
+dict AS (
+  SELECT CAST(dmean.latent AS INTEGER) AS latent, dmean.dim, dmean.enc, dmean.enc / dnorm.nrm AS dec,
+         0.0 AS latent_bias, 0.0 AS pre_bias
+  FROM dmean JOIN dnorm ON dmean.latent = dnorm.latent)"""
+
+FULL_DICT = """dnorm AS (
+  SELECT vec_id AS latent, sqrt(sum(v * v)) AS nrm FROM el GROUP BY vec_id),
 dict AS (
   SELECT CAST(el.vec_id AS INTEGER) AS latent, el.dim, el.v AS enc, el.v / dnorm.nrm AS dec,
          0.0 AS latent_bias, 0.0 AS pre_bias
@@ -104,7 +130,7 @@ VEC_CHAIN = [EMB, EL, ZS, Z, DICT, pre_acts("z", "vec_id, side"), topk("pre", "v
 
 SQL: dict[str, str] = {}
 
-SQL["feature_dictionary"] = with_(EMB, EL, DICT) + f"""
+SQL["feature_dictionary"] = with_(EMB, EL, FULL_DICT) + f"""
 SELECT CAST(latent AS BIGINT) AS latent, CAST(dim AS BIGINT) AS dim,
        {R6('enc')} AS enc, {R6('dec')} AS dec, {R6('latent_bias')} AS latent_bias
 FROM dict"""
@@ -249,17 +275,14 @@ FROM sv"""
 # ---------------------------------------------------------------- pair corpus fragments
 
 
-PAIRS = """pc AS (
-  SELECT d.doc_id, d.text, row_number() OVER (ORDER BY d.doc_id) AS pair_id
-  FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality = 1 AND l.toxic = 0),
-pr AS (
-  SELECT d.doc_id, d.text, row_number() OVER (ORDER BY d.doc_id) AS pair_id
-  FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE NOT (l.quality = 1 AND l.toxic = 0)),
-pairs AS (
-  SELECT pc.pair_id, pc.text AS chosen, pr.text AS rejected FROM pc JOIN pr ON pc.pair_id = pr.pair_id),
+PAIRS = """numbered AS (
+  SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS r, count(*) OVER () AS n FROM documents),
 ptext AS (
-  SELECT pair_id, 'chosen' AS side, chosen AS text FROM pairs
-  UNION ALL SELECT pair_id, 'rejected' AS side, rejected AS text FROM pairs)"""
+  SELECT r // 2 + 1 AS pair_id, CASE WHEN r % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side, text
+  FROM numbered WHERE r < n - n % 2),
+pairs AS (
+  SELECT c.pair_id, c.text AS chosen, j.text AS rejected
+  FROM ptext c JOIN ptext j ON c.pair_id = j.pair_id WHERE c.side = 'chosen' AND j.side = 'rejected')"""
 
 PK = "pair_id, side"
 SEGK = "pair_id, side, chunk_id, seg_no"
@@ -333,17 +356,19 @@ pfeat AS (
 psample AS (
   SELECT latent FROM pfeat ORDER BY md5('{P.seed}:' || CAST(latent AS VARCHAR)), latent LIMIT {P.sample_features})"""
 
-RESPONSES = f"""resp AS (
-  SELECT CAST(vec_id AS INTEGER) AS latent,
-         CASE WHEN vec_id % 7 = 1 THEN 'no score here'
-              ELSE concat('Score: ', CAST(1 + vec_id % 5 AS VARCHAR), chr(10), 'Explanation: feature ', CAST(vec_id AS VARCHAR)) END AS response,
-         CAST(100 + vec_id AS INTEGER) AS n_in, CAST(10 + vec_id AS INTEGER) AS n_out
-  FROM embeddings WHERE vec_id < {P.latent_size} AND vec_id % 7 <> 0)"""
+RESPONSES = """resp AS (
+  SELECT CAST(conv_id AS INTEGER) AS latent,
+         CASE WHEN conv_id % 7 = 1 THEN t
+              ELSE concat('Score: ', CAST(1 + conv_id % 5 AS VARCHAR), chr(10), 'Explanation: ', t, chr(160), ' ') END AS response,
+         CAST(100 + conv_id % 1000 * 2 AS INTEGER) AS n_in, CAST(10 + length(t) AS INTEGER) AS n_out
+  FROM (SELECT conv_id, coalesce(min_by(text, turn), '') AS t FROM conversations
+        WHERE role = 'assistant' AND conv_id % 7 <> 0 GROUP BY conv_id))"""
 
 
 def parse_fragment(keys_src: str, name: str = "results") -> str:
     """I2 + I3 over ``keys_src`` (latent_key VARCHAR) left-joined to resp."""
-    pat = RESPONSE_PATTERN.replace("'", "''")
+    blank = WS_RE2.removesuffix("+")
+    pat = f"(?is)score:{blank}*([1-5]){blank}*\\nexplanation:{blank}*(.+)"
     return f"""{name}_j AS (
   SELECT k.latent_key, TRY_CAST(k.latent_key AS INTEGER) AS latent, r.response,
          regexp_extract(r.response, '{pat}', 1) AS st, regexp_extract(r.response, '{pat}', 2) AS ex
@@ -354,7 +379,7 @@ def parse_fragment(keys_src: str, name: str = "results") -> str:
          CASE WHEN latent IS NULL THEN 'Invalid latent ID.'
               WHEN response IS NULL THEN 'Error during processing.'
               WHEN st = '' THEN 'Failed to parse response.'
-              ELSE regexp_replace(ex, '^\\s+|\\s+$', '', 'g') END AS explanation
+              ELSE regexp_replace(ex, '\\A{WS_RE2}|{WS_RE2}\\z', '', 'g') END AS explanation
   FROM {name}_j)"""
 
 
@@ -430,13 +455,18 @@ SELECT latent_key, CAST(latent AS BIGINT) AS latent, CAST(score AS BIGINT) AS sc
 SQL["safety_features"] = with_(*P_CHAIN, CONTEXTS, *SCORING) + """
 SELECT CAST(rank AS BIGINT) AS rank, CAST(latent AS BIGINT) AS latent FROM psafe"""
 
+SQL["scored_safety_features"] = with_(*P_CHAIN, CONTEXTS, *SCORING, f"""pscored AS (
+  SELECT t.latent, row_number() OVER (ORDER BY t.rank, t.latent) AS rank
+  FROM ptop t JOIN presults r ON r.latent = t.latent WHERE r.score >= {P.score_threshold})""") + f"""
+SELECT CAST(rank AS BIGINT) AS rank, CAST(latent AS BIGINT) AS latent FROM pscored WHERE rank <= {P.safety_top}"""
+
 SQL["signed_feature_lists"] = with_(*P_CHAIN, CONTEXTS, *SCORING) + f"""
 SELECT CAST(rank AS BIGINT) AS rank, CAST(latent AS BIGINT) AS latent, {R6('diff')} AS diff, CAST(sign AS BIGINT) AS sign
 FROM psigned"""
 
-DICT_KEYS = f"dkeys AS (SELECT CAST(vec_id AS VARCHAR) AS latent_key FROM embeddings WHERE vec_id < {P.latent_size})"
+RESPONSE_KEYS = "rkeys AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS latent_key FROM conversations)"
 
-SQL["parse_scores"] = with_(RESPONSES, DICT_KEYS, parse_fragment("dkeys")) + """
+SQL["parse_scores"] = with_(RESPONSES, RESPONSE_KEYS, parse_fragment("rkeys")) + """
 SELECT latent_key, CAST(latent AS BIGINT) AS latent, CAST(score AS BIGINT) AS score, explanation FROM results"""
 
 COSTS = f"""cost AS (
@@ -450,7 +480,7 @@ SQL["request_cost"] = with_(RESPONSES, COSTS) + f"""
 SELECT CAST(latent AS BIGINT) AS latent, CAST(n_in AS BIGINT) AS n_in, CAST(n_out AS BIGINT) AS n_out, {R6('cost')} AS cost
 FROM cost"""
 
-SQL["score_summary"] = with_(RESPONSES, DICT_KEYS, parse_fragment("dkeys"), COSTS) + f"""
+SQL["score_summary"] = with_(RESPONSES, RESPONSE_KEYS, parse_fragment("rkeys"), COSTS) + f"""
 SELECT '{P.engine}' AS engine, CAST(count(score) AS BIGINT) AS features_scored,
        {R6('coalesce(avg(score), 0.0)')} AS average_score,
        {R6('(SELECT coalesce(sum(cost), 0.0) FROM cost)')} AS cost
@@ -479,14 +509,14 @@ SELECT v.variant, CAST(pair_id AS BIGINT) AS pair_id, CAST(rank AS BIGINT) AS ra
        CASE WHEN rank < floor(CAST(n AS DOUBLE) * v.share) THEN rejected ELSE chosen END AS chosen,
        CASE WHEN rank < floor(CAST(n AS DOUBLE) * v.share) THEN chosen ELSE rejected END AS rejected,
        {R6('CASE WHEN rank < floor(CAST(n AS DOUBLE) * v.share) THEN -saescore ELSE saescore END')} AS saescore
-FROM franked, (VALUES {_values([(flip_name(s), s) for s in FLIP_SHARES])}) v(variant, share)"""
+FROM franked, (VALUES {_values(FLIPS)}) v(variant, share)"""
 
 SQL["drop_variants"] = with_(*P_CHAIN, CONTEXTS, *SCORING, SCORED, """dranked AS (
   SELECT *, row_number() OVER (ORDER BY round(saescore, 9), pair_id) - 1 AS rank,
          count(*) OVER () AS n FROM scored)""") + f"""
 SELECT v.variant, CAST(pair_id AS BIGINT) AS pair_id, CAST(rank AS BIGINT) AS rank, chosen, rejected,
        {R6('saescore')} AS saescore
-FROM dranked, (VALUES {_values([(drop_name(s), s) for s in DROP_SHARES])}) v(variant, share)
+FROM dranked, (VALUES {_values(DROPS)}) v(variant, share)
 WHERE rank >= floor(CAST(n AS DOUBLE) * v.share)"""
 
 
@@ -508,7 +538,8 @@ FROM rec"""
 SQL["normalized_mse"] = with_(*XHAT, """rown AS (
   SELECT vec_id, batch, avg((x_hat - x) * (x_hat - x)) / avg(x * x) AS nmse FROM rec GROUP BY vec_id, batch)""") + f"""
 SELECT {R6('(SELECT avg(nmse) FROM rown)')} AS nmse,
-       {R6('(SELECT avg(b) FROM (SELECT avg(nmse) AS b FROM rown GROUP BY batch))')} AS nmse_batch_mean"""
+       {R6('(SELECT avg(b) FROM (SELECT avg(nmse) AS b FROM rown GROUP BY batch))')} AS nmse_batch_mean,
+       (SELECT count(*) - count(nmse) FROM rown) AS n_skipped"""
 
 SQL["kl_divergence"] = with_(*XHAT, """lse AS (
   SELECT vec_id, seq,
@@ -525,7 +556,7 @@ SELECT {R6('sum(kl) / count(DISTINCT seq)')} AS kl, CAST(count(DISTINCT seq) AS
 
 
 PIECE = (f"{q(HEADER_START)} || role || {q(HEADER_END)} || chr(10) || chr(10) || "
-         f"regexp_replace(text, '^\\s+|\\s+$', '', 'g') || {q(END_OF_TURN)}")
+         f"regexp_replace(text, '\\A{WS_RE2}|{WS_RE2}\\z', '', 'g') || {q(END_OF_TURN)}")
 
 CHAT = f"""ct AS (
   SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last_turn FROM conversations),
@@ -608,28 +639,29 @@ SQL["contrast_scan"] = with_(*VEC_CHAIN, dense_sums("topk"), contrast()) + f"""
 SELECT CAST(latent AS BIGINT) AS latent, {R6('diff')} AS diff FROM contrast"""
 
 SQL["context_json"] = with_(*P_CHAIN, CONTEXTS) + f"""
-SELECT CAST(latent AS BIGINT) AS latent_key, token_class, context, {R6('value')} AS activation
+SELECT CAST(latent AS BIGINT) AS latent_key, token_class, context, {R6('value')} AS activation,
+       (SELECT count(*) FROM pfeat) AS total_latents, CAST({P.min_lines} AS BIGINT) AS lines
 FROM ptopctx WHERE latent IN (SELECT latent FROM pfeat)"""
 
-SQL["interpretation_json"] = with_(RESPONSES, DICT_KEYS, parse_fragment("dkeys")) + """
-SELECT latent_key, CAST(score AS BIGINT) AS score, explanation FROM results"""
+SQL["interpretation_json"] = with_(RESPONSES, RESPONSE_KEYS, parse_fragment("rkeys"), COSTS) + f"""
+SELECT latent_key, CAST(score AS BIGINT) AS score, explanation, '{P.engine}' AS engine,
+       (SELECT CAST(count(score) AS BIGINT) FROM results) AS features_scored,
+       {R6('(SELECT coalesce(avg(score), 0.0) FROM results)')} AS average_score,
+       {R6('(SELECT coalesce(sum(cost), 0.0) FROM cost)')} AS cost
+FROM results"""
 
 SQL["score_scan"] = SQL["pair_scores"]
 
 SQL["dataset_scan"] = with_(PAIRS) + """
 SELECT CAST(pair_id AS BIGINT) AS pair_id, chosen, rejected FROM pairs"""
 
-SQL["variant_scan"] = with_(*P_CHAIN, CONTEXTS, *SCORING, SCORED, """dranked AS (
-  SELECT *, row_number() OVER (ORDER BY round(saescore, 9), pair_id) - 1 AS rank,
-         count(*) OVER () AS n FROM scored)""") + f"""
-SELECT v.variant, CAST(count(*) AS BIGINT) AS n_rows, CAST(min(rank) AS BIGINT) AS first_rank
-FROM dranked, (VALUES {_values([(drop_name(s), s) for s in DROP_SHARES])}) v(variant, share)
-WHERE rank >= floor(CAST(n AS DOUBLE) * v.share)
-GROUP BY v.variant"""
+SQL["variant_scan"] = f"SELECT * FROM ({SQL['flip_variants']}) UNION ALL SELECT * FROM ({SQL['drop_variants']})"
+
+SQL["preference_sequences"] = SQL["pairs_to_sequences"]
 
 SQL["dictionary_scan"] = SQL["feature_dictionary"]
 
-SQL["validate_features"] = with_(*VEC_CHAIN[:-1], topk("pre", "vec_id", P.latent_size)) + f"""
+SQL["validate_features"] = with_(*VEC_CHAIN[:-1], topk("pre", "vec_id", P.latent_size // 2)) + f"""
 SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(latent AS BIGINT) AS latent, {R6('value')} AS value,
        CAST(CASE WHEN side = 'chosen' THEN 0 ELSE 1 END AS BIGINT) AS mode,
        CASE WHEN NOT (latent >= 0 AND latent < {P.latent_size}) THEN 'latent out of range'

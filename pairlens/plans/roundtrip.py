@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.config import TEST, Params
+from pairlens.config import DROP_SHARES, FLIP_SHARES, TEST, Params
+from pairlens.operators import chat
 from pairlens.operators import features as feat
 from pairlens.operators import interpret as itp
 from pairlens.plans import corpus, discovery, inputs
@@ -28,7 +29,7 @@ def jsonl_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pair texts written chosen-then-rejected per pair; identity from line numbers."""
     path = sink.scratch_path(spark, "pairs-jsonl")
-    long = inputs.pair_texts(inputs.pairs(spark, sf_dir)).withColumn(
+    long = inputs.pair_side_texts(spark, sf_dir, inputs.pair_keys(spark, sf_dir)).withColumn(
         "p", F.col("pair_id") * 2 - F.when(F.col("side") == "chosen", 1).otherwise(0))
     sink.write_jsonl_corpus(long, [F.col("p")], path, ["text"])
     return src.line_pairs(src.read_jsonl_corpus(spark, path, glob="*.txt"))
@@ -58,7 +59,7 @@ def contrast_scan(spark: SparkSession, sf_dir: str, p: Params = TEST) -> DataFra
     path = sink.scratch_path(spark, "contrast")
     c = discovery.vector_contrast(spark, sf_dir, p)
     sink.write_tsv(c.select("latent", "diff", "v_chosen", "v_rejected"), path)
-    return src.read_contrast(spark, path).drop("line_no")
+    return src.read_contrast(spark, path)
 
 
 def context_json(spark: SparkSession, sf_dir: str, p: Params = TEST) -> DataFrame:
@@ -70,20 +71,20 @@ def context_json(spark: SparkSession, sf_dir: str, p: Params = TEST) -> DataFram
     path = sink.scratch_path(spark, "context")
     sink.write_context_map(top, kept, {"threshold": 0.0, "max_length": p.window,
                                        "max_per_token": p.contexts_per_class, "lines": p.min_lines}, path)
-    return src.read_context_map(spark, path)
+    # the metadata row goes with every context
+    return src.read_context_map(spark, path).crossJoin(F.broadcast(src.read_context_meta(spark, path).select("total_latents", "lines")))
 
 
 def interpretation_json(spark: SparkSession, sf_dir: str, p: Params = TEST) -> DataFrame:
     """K4 + S7: interpretation results and summary as JSON, read back."""
-    resp = inputs.responses(spark, sf_dir, p.latent_size)
-    keys = inputs.test_dictionary(spark, sf_dir, p.latent_size).latents.select(
-        F.col("latent").cast("string").alias("latent_key"))
-    results = itp.interpretation_results(keys, resp)
+    resp = inputs.responses(spark, sf_dir)
+    results = itp.interpretation_results(inputs.response_keys(spark, sf_dir), resp)
     summary = itp.score_summary(results, itp.request_costs(resp, inputs.prices(spark), p.engine), p.engine)
     path = sink.scratch_path(spark, "interpret")
     sink.write_interpretation(results, summary, path)
-    back, _ = src.read_interpretation(spark, path)
-    return back
+    back, total = src.read_interpretation(spark, path)
+    # the summary row goes with every result
+    return back.crossJoin(F.broadcast(total.select("engine", "features_scored", "average_score", "cost")))
 
 
 def score_scan(spark: SparkSession, sf_dir: str, p: Params = TEST) -> DataFrame:
@@ -101,20 +102,30 @@ def dataset_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.read_preference_dataset(spark, path)
 
 
+def preference_sequences(spark: SparkSession, sf_dir: str, p: Params = TEST) -> DataFrame:
+    """S3 on message arrays through T11, T12 and T13: a preference dataset with
+    chosen and rejected conversations, written with a ``train`` split, read back,
+    rendered, tokenized and laid out as reward-model sequences."""
+    path = sink.scratch_path(spark, "messages")
+    chat.conversation_pairs(inputs.table(spark, sf_dir, "conversations")).write.parquet(path + "/train")
+    return chat.pairs_to_sequences(chat.tokenize_pairs(src.read_preference_dataset(spark, path), p.rm_max_length))
+
+
 def variant_scan(spark: SparkSession, sf_dir: str, p: Params = TEST) -> DataFrame:
-    """K6: all drop variants in one partitioned write; each variant read back
-    through partition pruning of its folder."""
+    """K6: the flip set and the drop set, each in one write; every variant's
+    content read back from its own folder."""
     from pairlens.operators import curate
     run = corpus.run_pairs(spark, sf_dir, p)
-    scored = curate.attach_scores(run.pairs, corpus.corpus_scores(run, spark, sf_dir))
-    path = sink.scratch_path(spark, "variants")
-    sink.write_variants(curate.drop_variants(scored), path)
-    back = spark.read.parquet(path)
-    return back.groupBy("variant").agg(F.count("*").alias("n_rows"), F.min("rank").alias("first_rank"))
+    scored = curate.attach_scores(inputs.pairs_from_keys(spark, sf_dir, run.keys), corpus.corpus_scores(run, spark, sf_dir))
+    flips, drops = sink.scratch_path(spark, "flip-variants"), sink.scratch_path(spark, "drop-variants")
+    sink.write_variants(curate.flip_variants(scored), flips)
+    sink.write_variants(curate.drop_variants(scored), drops)
+    return (src.read_variants(spark, flips, [curate.flip_name(s) for s in FLIP_SHARES])
+            .unionByName(src.read_variants(spark, drops, [curate.drop_name(s) for s in DROP_SHARES])))
 
 
 def dictionary_scan(spark: SparkSession, sf_dir: str, p: Params = TEST):
     """The dictionary written as parquet and read back."""
     path = sink.scratch_path(spark, "dictionary")
-    sink.write_dictionary(inputs.test_dictionary(spark, sf_dir, p.latent_size), path)
+    sink.write_dictionary(inputs.full_dictionary(spark, sf_dir), path)
     return src.read_dictionary(spark, path)

@@ -11,6 +11,7 @@ import hashlib
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,11 +50,18 @@ def get_spark(master: str | None = None, app: str = "pairlens",
     return spark
 
 
+def is_local(master: str) -> bool:
+    """One JVM on this machine (``local``, ``local[8]``); ``local-cluster`` is not."""
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for reliable checkpoints.
 
-    Uses ``spark.checkpoint.dir`` when the cluster sets it; otherwise (tests,
-    local runs) takes a fresh scratch folder and records it in the session.
+    Uses ``spark.checkpoint.dir`` when the cluster sets it. Only a local master
+    (tests, local runs) may go without: it takes a fresh scratch folder and
+    records it in the session. On any other master a machine-local folder would
+    lose what executors write, so a missing setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -62,6 +70,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get(_CHECKPOINT_CONF, None) or sc.getConf().get(_CHECKPOINT_CONF, None)
     if not configured:
+        if not is_local(sc.master):
+            raise ValueError(f"{_CHECKPOINT_CONF} must name a folder that all executors share (master {sc.master})")
         configured = tempfile.mkdtemp(prefix="pairlens-ckpt-")
         spark.conf.set(_CHECKPOINT_CONF, configured)
     sc.setCheckpointDir(configured)
@@ -102,12 +112,21 @@ def ship_package(spark: SparkSession, folder: str) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage by writing Parquet into the shared folder and reading it back:
+    later steps read only the columns they need, and a lost executor costs
+    nothing that was already written."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
 
-    Used where a result feeds several jobs and must not change between them
-    (range-partitioned frames whose bounds are sampled) or is expensive to
-    recompute after an executor loss (the sparse activation table).
+    Used where the partitions of a result must not change between the jobs that
+    read it (range-partitioned frames whose bounds are sampled).
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -3,54 +3,92 @@
 Line order matters for several inputs (pair identity comes from the line
 number; id lists are ranked by line order). Spark's text source gives no line
 numbers, so ``numbered_lines`` derives them without gathering a file in one
-place: the scan tags each line with its file, its split offset and a
-per-partition increasing id; per-split counts give each split's first line
-number.
+place, from one tagged copy of the lines in the shared folder.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlens.operators.ranking import global_rank
 from pairlens.operators.vectors import FeatureDictionary
+from pairlens.session import checkpoint_dir
 
 
-def numbered_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """``line_no`` (1-based, over all files sorted by name), ``file``, ``value``.
-
-    The lines of one file split are contiguous inside their task and in file
-    order, so a line's number is the number of lines in the splits before its
-    own (by file name, then split offset) plus its position in the split. One
-    small aggregate gives the count of every split (one row per split, not per
-    line); the offsets go back as a broadcast join. No sort and no copy of the
-    text: both scans see the same splits, so the per-task ids agree.
-    """
+def _text_lines(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
     reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    lines = reader.text(path).select(
+    return reader.text(path)
+
+
+def _file_order(file: str) -> list[F.Column]:
+    """Files in order of their folder, then part number (part-100000 comes after
+    part-99999), then name."""
+    folder = F.regexp_extract(file, r"^(.*)/[^/]*$", 1)
+    part = F.expr("try_cast(regexp_extract(" + file + r", '/part-(\\d+)[^/]*$', 1) as bigint)")
+    return [folder.alias("_folder"), part.alias("_part"), F.col(file)]
+
+
+def numbered_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """``line_no`` (1-based, over all files in ``_file_order``), ``file`` (full path), ``value``.
+
+    One scan tags each line with its file, its split's offset and an id that
+    increases along the split, and is written to the shared folder; everything
+    else reads that copy, so a change of split settings (or of the number of
+    cores) between building and running can't move a line. A line's number is
+    the number of lines in the splits before its own plus its place in the
+    split. Split offsets come from two small windows, inside each file over its
+    splits and over the files; they are joined back, never collected. A line
+    without a match would show up as an error, not as a missing row.
+    """
+    tagged = _text_lines(spark, path, glob).select(
         "value",
-        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_seq"),
     )
-    splits = (lines.groupBy("file", "_block")
-              .agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
-              .orderBy("file", "_block").collect())
-    offsets, total = [], 0
-    for r in splits:
-        offsets.append((r["file"], r["_block"], r["_first"], total))
-        total += r["_n"]
-    schema = T.StructType([T.StructField("file", T.StringType()), T.StructField("_block", T.LongType()),
-                           T.StructField("_first", T.LongType()), T.StructField("_off", T.LongType())])
-    off = spark.createDataFrame(offsets, schema)
-    return (lines.join(F.broadcast(off), ["file", "_block"])
-            .select((F.col("_off") + F.col("_seq") - F.col("_first") + 1).alias("line_no"), "file", "value"))
+    copy = os.path.join(checkpoint_dir(spark), "lines", uuid.uuid4().hex)
+    tagged.write.parquet(copy)
+    lines = spark.read.schema("value STRING, file STRING, _block BIGINT, _seq BIGINT").parquet(copy)
+    splits = lines.groupBy("file", "_block").agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_block")) - F.col("_n")
+    in_file = splits.select("file", "_block", "_first", before.alias("_in_file"))
+    files = splits.groupBy("file").agg(F.sum("_n").alias("_n")).select("*", *_file_order("file")[:2])
+    by_file = files.select("file", (F.sum("_n").over(Window.orderBy("_folder", F.col("_part").asc_nulls_first(), "file"))
+                                    - F.col("_n")).alias("_before"))
+    offsets = in_file.join(by_file, "file")
+    number = F.col("_before") + F.col("_in_file") + F.col("_seq") - F.col("_first") + 1
+    return (lines.join(offsets, ["file", "_block"], "left")
+            .select(F.when(number.isNull(), F.raise_error(F.concat(F.lit("no split found for a line of "), F.col("file"))).cast("bigint"))
+                    .otherwise(number).alias("line_no"), "file", "value"))
+
+
+#: JSON as the original's parser takes it
+_STRICT = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false",
+           "allowUnquotedFieldNames": "false", "allowComments": "false"}
+
+
+def _parsed_lines(lines: DataFrame, field: str) -> DataFrame:
+    """``line_no, file, record`` with a null record for lines that don't parse.
+
+    ``from_json`` stops after a complete value and ignores what follows it, so
+    the line is parsed inside an array and inside an object: no text after the
+    closing brace fits both.
+    """
+    record = T.StructType([T.StructField(field, T.StringType())])
+    inside = lambda kind, text: F.from_json(text, T.StructType([T.StructField("v", kind), T.StructField("_corrupt", T.StringType())]), _STRICT)
+    value = F.trim(F.regexp_replace("value", r"^[\s\x1c-\x1f\x85\xa0\u2028\u2029\u3000]+|[\s\x1c-\x1f\x85\xa0\u2028\u2029\u3000]+$", ""))
+    one = inside(T.ArrayType(record), F.concat(F.lit('{"v":['), value, F.lit("]}")))
+    two = inside(record, F.concat(F.lit('{"v":'), value, F.lit("}")))
+    good = (value.startswith("{") & one["_corrupt"].isNull() & two["_corrupt"].isNull() & (F.size(one["v"]) == 1)
+            & two["v"].isNotNull())
+    return lines.select("line_no", "file", F.when(good, two["v"]).alias("record"))
 
 
 def read_jsonl_corpus(spark: SparkSession, path: str, field: str = "text",
@@ -58,14 +96,17 @@ def read_jsonl_corpus(spark: SparkSession, path: str, field: str = "text",
     """JSON-lines corpus. Every line takes a number, bad lines included;
     lines that do not parse are dropped; a missing field gives ''.
     Output ``line_no, file, text``."""
-    schema = T.StructType([T.StructField(field, T.StringType()),
-                           T.StructField("_corrupt", T.StringType())])
-    parsed = numbered_lines(spark, path, glob).select(
-        "line_no", "file",
-        F.from_json(F.trim(F.col("value")), schema,
-                    {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("j"))
-    good = parsed.filter(F.col("j").isNotNull() & F.col("j._corrupt").isNull())
-    return good.select("line_no", "file", F.coalesce(F.col(f"j.{field}"), F.lit("")).alias("text"))
+    parsed = _parsed_lines(numbered_lines(spark, path, glob), field)
+    return parsed.filter("record is not null").select(
+        "line_no", "file", F.coalesce(F.col("record")[field], F.lit("")).alias("text"))
+
+
+def bad_lines(spark: SparkSession, path: str, field: str = "text", glob: str = "*.jsonl") -> DataFrame:
+    """S1's report: per file the number of lines and of those that do not parse."""
+    lines = _text_lines(spark, path, glob).select(
+        F.lit(0).alias("line_no"), F.col("_metadata.file_path").alias("file"), "value")
+    return _parsed_lines(lines, field).groupBy("file").agg(
+        F.count("*").alias("n_lines"), F.count_if(F.col("record").isNull()).alias("n_bad"))
 
 
 def line_pairs(corpus: DataFrame) -> DataFrame:
@@ -84,6 +125,15 @@ def read_preference_dataset(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(train if fs.exists(fs_path) else path)
 
 
+def read_variants(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """K6 read back: the datasets of the named variants, tagged with ``variant``."""
+    parts = [spark.read.parquet(f"{path.rstrip('/')}/{n}").withColumn("variant", F.lit(n)) for n in names]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def read_feature_values(spark: SparkSession, path: str) -> DataFrame:
     """``latent \\t value`` lines."""
     return spark.read.schema("latent INT, value DOUBLE").option("sep", "\t").csv(path)
@@ -101,11 +151,10 @@ def read_id_list(spark: SparkSession, path: str) -> DataFrame:
 
 def read_contrast(spark: SparkSession, path: str) -> DataFrame:
     """Whitespace-separated rows, fewer than 2 fields skipped; first field
-    the feature, second the contrast value. Keeps the line number."""
-    lines = numbered_lines(spark, path)
-    parts = lines.select("line_no", F.split(F.trim(F.col("value")), r"\s+").alias("f"))
+    the feature, second the contrast value."""
+    parts = spark.read.text(path).select(F.split(F.trim(F.col("value")), r"\s+").alias("f"))
     return (parts.filter((F.size("f") >= 2) & (F.col("f")[0] != ""))
-            .select("line_no", F.col("f")[0].cast("int").alias("latent"),
+            .select(F.col("f")[0].cast("int").alias("latent"),
                     F.col("f")[1].cast("double").alias("diff")))
 
 
@@ -116,23 +165,60 @@ CONTEXT_ROW = T.StructType([
 ])
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    """A folder that ``sinks.files`` wrote (several row files), rather than one JSON file."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getFileStatus(p).isDirectory()
+
+
+_CONTEXT_CLASSES = T.MapType(T.StringType(), T.ArrayType(T.StructType([
+    T.StructField("context", T.StringType()), T.StructField("activation", T.DoubleType())])))
+
+
 def read_context_map(spark: SparkSession, path: str) -> DataFrame:
-    """Context map written by ``sinks.files.write_context_map`` (one JSON
-    object per feature), flattened to ``latent_key, token_class, context, activation``."""
-    rows = spark.read.schema(CONTEXT_ROW).json(os.path.join(path, "features"))
-    per_class = rows.select(F.col("latent").alias("latent_key"), F.explode("classes").alias("token_class", "items"))
+    """A context map, flattened to ``latent_key, token_class, context, activation``.
+
+    Reads the folder of ``sinks.files.write_context_map`` (one JSON object per
+    feature) and the single-file layout: one JSON object with the features under
+    ``latent_context_map``. A file of that layout holds the strongest contexts
+    of one dictionary's features (bounded by L), so one task may parse it.
+    """
+    if _is_folder(spark, path):
+        rows = spark.read.schema(CONTEXT_ROW).json(os.path.join(path, "features"))
+        per_class = rows.select(F.col("latent").alias("latent_key"), F.explode("classes").alias("token_class", "items"))
+    else:
+        whole = spark.read.option("multiLine", True).schema(
+            T.StructType([T.StructField("latent_context_map", T.MapType(T.StringType(), _CONTEXT_CLASSES))])).json(path)
+        per_class = (whole.select(F.explode("latent_context_map").alias("latent_key", "classes"))
+                     .select("latent_key", F.explode("classes").alias("token_class", "items")))
     return per_class.select("latent_key", "token_class", F.inline("items"))
 
 
+def read_context_meta(spark: SparkSession, path: str) -> DataFrame:
+    """The metadata row of a context map: ``total_latents, threshold, max_length, max_per_token, lines``."""
+    kinds = "total_latents BIGINT, threshold DOUBLE, max_length BIGINT, max_per_token BIGINT, lines BIGINT"
+    if _is_folder(spark, path):
+        return spark.read.schema(kinds).json(os.path.join(path, "meta"))
+    return spark.read.option("multiLine", True).schema(kinds).json(path)
+
+
 RESULT_ROW = "latent STRING, score INT, explanation STRING"
+SUMMARY_ROW = "cost DOUBLE, engine STRING, features_scored BIGINT, average_score DOUBLE"
 
 
 def read_interpretation(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Interpretation results and their summary row."""
-    results = spark.read.schema(RESULT_ROW).json(os.path.join(path, "results"))
-    summary = spark.read.schema(
-        "cost DOUBLE, engine STRING, features_scored BIGINT, average_score DOUBLE").json(os.path.join(path, "summary"))
-    return results.withColumnRenamed("latent", "latent_key"), summary
+    """Interpretation results ``latent_key, score, explanation`` and their
+    summary row, from a folder of ``sinks.files.write_interpretation`` or from
+    one JSON object with the results under ``results`` (a map by feature id)."""
+    if _is_folder(spark, path):
+        results = spark.read.schema(RESULT_ROW).json(os.path.join(path, "results"))
+        summary = spark.read.schema(SUMMARY_ROW).json(os.path.join(path, "summary"))
+        return results.withColumnRenamed("latent", "latent_key"), summary
+    whole = spark.read.option("multiLine", True).schema(
+        f"{SUMMARY_ROW}, results MAP<STRING, STRUCT<score: INT, explanation: STRING>>").json(path)
+    results = whole.select(F.explode("results").alias("latent_key", "r")).select("latent_key", "r.score", "r.explanation")
+    return results, whole.drop("results")
 
 
 def read_pair_scores(spark: SparkSession, path: str) -> DataFrame:

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Hash-repartition a scan by its key when it has fewer partitions than
+    """Hash-repartition a raw scan by its key when it has fewer partitions than
     the cluster has cores.
 
     Text rows expand a lot (one text -> hundreds of chunks and segments), so a

@@ -47,12 +47,14 @@ def stream_activations(docs: DataFrame, dictionary: vec.FeatureDictionary, p: Pa
 
 def start_feature_sums(spark: SparkSession, source_dir: str, labels: DataFrame,
                        dictionary: vec.FeatureDictionary, p: Params, name: str,
-                       glob: str | None = None, available_now: bool = True) -> StreamingQuery:
+                       glob: str | None = None, available_now: bool = True,
+                       files_per_batch: int = 1000) -> StreamingQuery:
     """Start the streaming sums over the parquet files arriving in ``source_dir``
     (optionally only names matching ``glob``); results go to the in-memory
     table ``name`` (at most L rows), state and progress to the shared
-    checkpoint folder."""
-    reader = spark.readStream.schema(DOC_SCHEMA).option("maxFilesPerTrigger", 1)
+    checkpoint folder. Every micro-batch reads the label keys once, so a batch
+    takes up to ``files_per_batch`` files."""
+    reader = spark.readStream.schema(DOC_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     stream = reader.parquet(source_dir)

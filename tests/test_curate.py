@@ -28,10 +28,6 @@ def test_drop_bottom_share(spark):
     assert sorted(r.pair_id for r in out) == [1, 2, 3]
 
 
-def test_floor_count():
-    assert curate.floor_count(199, 0.005) == 0 and curate.floor_count(200, 0.005) == 1
-
-
 def test_flip_twice_restores(spark):
     scored = _scored(spark, [4.0, 3.0, 2.0, 1.0, 0.5])
     once = curate.flip_variants(scored, shares=(0.4,)).drop("variant", "rank")

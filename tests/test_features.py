@@ -24,11 +24,11 @@ def test_dense_sums_fill_missing_features(spark):
 
 def test_pair_score(spark):
     pairs = spark.createDataFrame([(1,)], "pair_id long")
-    segs = spark.createDataFrame([(1, "chosen"), (1, "chosen")], "pair_id long, side string")
+    chunks = spark.createDataFrame([(1, "chosen", 2), (1, "rejected", 0)], "pair_id long, side string, n_ends int")
     acts = spark.createDataFrame([(1, "chosen", 10, 4.0), (1, "chosen", 20, 1.0)],
                                  "pair_id long, side string, latent int, value double")
     signs = spark.createDataFrame([(10, 1), (20, -1)], "latent int, sign int")
-    s = sco.pair_scores(pairs, sco.segment_counts(segs), sco.signed_sums(acts, signs)).first()
+    s = sco.pair_scores(pairs, sco.segment_counts(chunks), sco.signed_sums(acts, signs)).first()
     assert s.saescore == 1.5
 
 

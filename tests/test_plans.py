@@ -45,3 +45,30 @@ def test_flagship_scan_is_pruned_and_topn_is_take_ordered(spark):
     assert "ReadSchema: struct<vec_id:bigint,embedding:array<float>,label:int>" in \
         df._jdf.queryExecution().explainString(
             spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_reconstruction_metrics_need_no_join(spark):
+    for name in ("reconstruct", "normalized_mse", "kl_divergence"):
+        assert "Join" not in _plan(QUERIES[name](spark, SF))
+
+
+def test_segment_counts_read_keys_and_the_count_only(spark):
+    plan = QUERIES["segment_counts"](spark, SF)._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "ReadSchema: struct<pair_id:bigint,side:string,n_ends:int>" in plan
+
+
+def test_ties_of_a_feature_are_never_gathered(spark, tmp_path):
+    """1e5 equal activations of one feature: each task ships at most ten rows of it, and the
+    strongest contexts are right."""
+    n = 100_000
+    acts = spark.range(0, n, 1, 8).select(F.lit(1).alias("latent"), F.lit(2.5).alias("value"), F.col("id").alias("chunk_id"),
+                                          F.lit(True).alias("end_ok"), F.lit(1).alias("end_pos"))
+    chunks = spark.range(0, n, 1, 8).select(F.col("id").alias("chunk_id"), F.array(
+        F.concat(F.lit("w"), F.lpad(F.col("id").cast("string"), 6, "0")), F.lit("end"), F.lit("tail"), F.lit("x")).alias("tokens"))
+    acts.write.parquet(f"{tmp_path}/acts")  # so that the optimizer doesn't know the constants
+    df = ctx.strongest_contexts(spark.read.parquet(f"{tmp_path}/acts"), chunks, ["chunk_id"], 128, 10)
+    rows = df.orderBy("ctx_rank").collect()
+    assert [r.chunk_id for r in rows] == list(range(n - 1, n - 11, -1))
+    plan = _plan(df)
+    assert plan.count("WindowGroupLimit") >= 2 and " rank(" not in plan

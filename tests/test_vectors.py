@@ -65,6 +65,7 @@ def test_degenerate_rows_do_not_fail_the_job(spark):
     z = {r.id: r for r in vec.zscore(df, "v", "x").collect()}
     assert z[0].std is None                      # one element: sample std undefined
     zeros = spark.createDataFrame([(0, 0, [0.0, 0.0], [1.0, 1.0])], "id long, b long, x array<double>, x_hat array<double>")
-    assert ev.normalized_mse(zeros).first().nmse is None
+    m = ev.normalized_mse_both(zeros, "b").first()
+    assert (m.nmse, m.nmse_batch_mean, m.n_skipped) == (None, None, 1)
     lat = spark.createDataFrame([(0, [0.0, 0.0], [0.0, 0.0], 0.0)], "latent int, enc array<double>, dec array<double>, latent_bias double")
     assert vec.unit_norm_decoder(lat).first().dec == [None, None]
