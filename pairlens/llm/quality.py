@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from pairlens.llm import common as c
 
 SYMBOLS = "#*$%&|<>"
-TERMINAL = tuple(".!?:;…。！？؟।»”\"')]}")
+#: marks that end a sentence or a clause
+MARKS = re.compile("[.!?:;…。！？؟।]")
 NAV_WORDS = frozenset(
     "home menu login logout sign register search about contact help faq sitemap next previous prev back top "
     "share tweet subscribe newsletter archive categories tags rss privacy terms cookies skip".split())
@@ -38,7 +39,7 @@ BOILERPLATE = re.compile(
 class LineRules:
     min_words: int = 50
     max_repeat_percent: int = 50
-    #: a line of at least so many words must end in a terminal mark
+    #: a line of at least so many words must have a mark that ends a sentence or a clause
     punctuated_from: int = 5
     #: a line of at most so many words can be navigation
     nav_words: int = 12
@@ -77,7 +78,7 @@ def line_fails(line: str, words: list[str], seen_before: bool, rules: LineRules)
             return "navigation"
         if all(w.strip(".,:;|>»").lower() in NAV_WORDS for w in words):
             return "navigation"
-    if len(words) >= rules.punctuated_from and not line.rstrip(c.BLANKS).endswith(TERMINAL):
+    if len(words) >= rules.punctuated_from and not MARKS.search(line):
         return "punctuation"
     return None
 

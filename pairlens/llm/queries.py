@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pairlens.llm import (contamination, language, packing, prefix_counts, quality, secrets, simhash, substrings,
                           token_codes, urls)
 from pairlens.llm.common import fresh_path, stored, table
+from pairlens.llm.sql import SQL  # noqa: F401  (registered by __spark_entry__)
 
 
 def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +79,3 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_token_codes, op2_substring_dedup, op3_language, op4_decontaminate, op5_packing, op6_secrets, op7_quality_rules,
     op8_token_counts, op9_url_filters, op10_simhash)}
-SQL: dict[str, str] = {}
