@@ -11,6 +11,7 @@ sys.path.insert(0, os.path.join(ROOT, "scripts"))
 
 import __spark_entry__ as E  # noqa: E402
 from check_oracle import TABLES, digest  # noqa: E402
+from pairlens.plans.catalog import QUERIES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 SQL = E.oracle_sql()
@@ -32,11 +33,14 @@ def test_entry(spark):
     assert df.count() >= 0
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_every_pipeline_query_has_sql():
+    assert set(QUERIES) <= set(SQL) <= set(E.queries())
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, duck, name):
     df = E.queries()[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
-    assert name in SQL
     cur = duck.execute(SQL[name])
     dcols = [d[0] for d in cur.description]
     drows = cur.fetchall()
