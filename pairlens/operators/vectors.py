@@ -7,27 +7,31 @@ parameter that does not grow with the data.
 
 Encoding multiplies every vector with the whole encoder (n x d x L
 multiply-adds). That is dense linear algebra, so it runs as one Arrow-batched
-NumPy step per partition (``mapInArrow``) against weights shipped to the
-executors as a broadcast variable. The weights are only broadcast after their
-size is checked; above the limit the dictionary is split into latent blocks,
-each block gives per-vector top-k candidates, and an exact top-k over the
-union of candidates (a window per vector) gives the same result.
+NumPy step per partition (``mapInArrow``). The weights are written once to
+matrix files that Spark hands to every executor (``addFile``); its Python
+workers map them into memory, so a dictionary of any size is held once per
+machine. Inside the step the latents are worked off in blocks with a running
+top-k: one pass over the vectors, no shuffle, whatever the dictionary's size.
 """
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlens.functions.arrays import array_mean, array_norm, array_std, as_double_array, let
 
-# Largest dictionary (bytes of float64 weights) shipped as one broadcast.
-MAX_BROADCAST_BYTES = 1 << 30
-# Scratch bound for one rows x L block of pre-activations inside a task.
+# Latents whose pre-activations are computed at a time; also the rows of the
+# dictionary that the driver holds while it writes the matrix files.
+BLOCK_LATENTS = 8192
+# Scratch bound for one rows x block matrix of pre-activations inside a task.
 _SCRATCH_BYTES = 1 << 26
 
 
@@ -87,46 +91,42 @@ def undo_zscore(df: DataFrame, col: str = "x_hat", out_col: str = "y_hat") -> Da
 
 # --------------------------------------------------------------------------- weights
 
-def _dictionary_shape(d: FeatureDictionary) -> tuple[int, int]:
-    row = d.latents.select(F.count("*").alias("n"), F.max(F.size("enc")).alias("w")).first()
-    return int(row["n"]), int(row["w"] or 0)
-
-
-def _collect_weights(d: FeatureDictionary, with_dec: bool, block: tuple[int, int] | None = None):
-    """Bring (a latent block of) the dictionary to the driver as NumPy arrays.
-
-    Only called after the size check in ``_plan_blocks``.
-    """
-    cols = ["latent", "enc", "latent_bias"] + (["dec"] if with_dec else [])
-    lat = d.latents.select(*cols)
-    if block is not None:
-        lat = lat.filter((F.col("latent") >= block[0]) & (F.col("latent") < block[1]))
-    table = lat.orderBy("latent").toArrow()
+@dataclass
+class WeightFiles:
+    """Names of the matrix files on each executor, and the small vectors beside them."""
+    enc: str
+    dec: str | None
+    ids: np.ndarray
+    bias: np.ndarray
+    pre_bias: np.ndarray
+
+    def matrix(self, name: str) -> np.ndarray:
+        from pyspark import SparkFiles
+        return np.load(SparkFiles.get(name), mmap_mode="r")
+
+
+def _weight_files(d: FeatureDictionary, with_dec: bool, block: int) -> WeightFiles:
+    """Write the dictionary as matrix files (rows in order of latent), ``block``
+    latents at a time, and add them to the application."""
+    spark = d.latents.sparkSession
     pre_bias = np.asarray(d.pre_bias.first()["pre_bias"], dtype=np.float64)
-    ids = table.column("latent").to_numpy().astype(np.int32)
     width = len(pre_bias)
-    enc = _dense_rows(table.column("enc").combine_chunks()) if len(ids) else np.zeros((0, width))
-    bias = table.column("latent_bias").to_numpy().astype(np.float64)
-    dec = None
-    if with_dec:
-        dec = _dense_rows(table.column("dec").combine_chunks()) if len(ids) else np.zeros((0, width))
-    return pre_bias, ids, enc, bias, dec
-
-
-def _weights_broadcast(d: FeatureDictionary, with_dec: bool, block: tuple[int, int] | None = None):
-    """Broadcast of the (block of the) dictionary, after the size check in ``_plan_blocks``."""
-    return d.latents.sparkSession.sparkContext.broadcast(_collect_weights(d, with_dec, block))
-
-
-def _plan_blocks(d: FeatureDictionary, with_dec: bool, max_bytes: int):
-    """None when the dictionary fits one broadcast, else latent blocks that do."""
-    n, w = _dictionary_shape(d)
-    per_latent = w * 8 * (2 if with_dec else 1)
-    if n * per_latent <= max_bytes:
-        return None
-    lo, hi = d.latents.select(F.min("latent"), F.max("latent")).first()
-    step = max(1, max_bytes // max(per_latent, 1))
-    return [(b, b + step) for b in range(int(lo), int(hi) + 1, step)]
+    small = d.latents.select("latent", "latent_bias").orderBy("latent").toArrow()
+    ids = small.column("latent").to_numpy().astype(np.int32)
+    bias = small.column("latent_bias").to_numpy().astype(np.float64)
+    folder, tag = tempfile.mkdtemp(prefix="weights-"), uuid.uuid4().hex
+    names = {c: f"{c}-{tag}.npy" for c in (("enc", "dec") if with_dec else ("enc",))}
+    files = {c: np.lib.format.open_memmap(os.path.join(folder, n), mode="w+", dtype=np.float64, shape=(len(ids), width))
+             for c, n in names.items()}
+    for s in range(0, len(ids), block):
+        lo, hi = int(ids[s]), int(ids[min(s + block, len(ids)) - 1])
+        rows = d.latents.filter(F.col("latent").between(lo, hi)).select("latent", *names).orderBy("latent").toArrow()
+        for c, m in files.items():
+            m[s:s + block] = _dense_rows(rows.column(c).combine_chunks())
+    for c, m in files.items():
+        m.flush()
+        spark.sparkContext.addFile(os.path.join(folder, names[c]))
+    return WeightFiles(names["enc"], names.get("dec"), ids, bias, pre_bias)
 
 
 # --------------------------------------------------------------------------- V2, V3
@@ -198,14 +198,30 @@ def _zscored_counts(width: int, eps: float):
     return to_matrix
 
 
-def _encode_fn(keys: list[str], vec_col: str, to_matrix, k: int, bc, emit_dense: bool):
+def _running_topk(xs: np.ndarray, enc: np.ndarray, bias: np.ndarray, k: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row top-k over all latents as (latent rows in ascending order, values); the
+    candidates so far stand before each block, so among equal values the lower latent wins."""
+    idx = np.zeros((len(xs), 0), np.int64)
+    vals = np.zeros((len(xs), 0))
+    for s in range(0, len(enc), block):
+        pre = xs @ enc[s:s + block].T + bias[s:s + block]
+        vals = np.concatenate([vals, pre], axis=1)
+        idx = np.concatenate([idx, np.broadcast_to(np.arange(s, s + pre.shape[1]), pre.shape)], axis=1)
+        own, vals = _topk(vals, k)
+        idx = np.take_along_axis(idx, own, axis=1)
+        order = np.argsort(idx, axis=1)
+        idx, vals = np.take_along_axis(idx, order, axis=1), np.take_along_axis(vals, order, axis=1)
+    return idx, vals
+
+
+def _encode_fn(keys: list[str], vec_col: str, to_matrix, k: int, w: WeightFiles, emit_dense: bool, block: int):
     """Arrow batches in, Arrow batches out: keys are carried with ``take``."""
     import pyarrow as pa
 
     def run(batches):
-        pre_bias, ids, enc, bias, dec = bc.value
-        L = len(ids)
-        rows_per_step = max(1, _SCRATCH_BYTES // max(8 * L, 1))
+        enc = w.matrix(w.enc)
+        dec = w.matrix(w.dec) if emit_dense else None
+        rows_per_step = max(1, _SCRATCH_BYTES // max(8 * min(block, len(w.ids)), 1))
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -213,13 +229,12 @@ def _encode_fn(keys: list[str], vec_col: str, to_matrix, k: int, bc, emit_dense:
             key_cols = batch.select(keys)
             for s in range(0, batch.num_rows, rows_per_step):
                 xs = x[s:s + rows_per_step]
-                pre = (xs - pre_bias) @ enc.T + bias
-                idx, vals = _topk(pre, k)
+                idx, vals = _running_topk(xs - w.pre_bias, enc, w.bias, k, block)
                 part = key_cols.slice(s, len(xs))
                 if emit_dense:
-                    z = np.zeros_like(pre)
-                    np.put_along_axis(z, idx, vals, axis=1)
-                    x_hat = z @ dec + pre_bias
+                    x_hat = np.tile(w.pre_bias, (len(xs), 1))
+                    for j in range(idx.shape[1]):
+                        x_hat += vals[:, j, None] * dec[idx[:, j]]
                     offs = pa.array(np.arange(0, x_hat.size + 1, x_hat.shape[1], dtype=np.int32))
                     arr = pa.ListArray.from_arrays(offs, pa.array(x_hat.ravel()))
                     yield pa.RecordBatch.from_arrays(list(part.columns) + [arr], names=keys + ["x_hat"])
@@ -227,13 +242,13 @@ def _encode_fn(keys: list[str], vec_col: str, to_matrix, k: int, bc, emit_dense:
                     r = pa.array(np.repeat(np.arange(len(xs)), idx.shape[1]))
                     taken = part.take(r)
                     yield pa.RecordBatch.from_arrays(
-                        list(taken.columns) + [pa.array(ids[idx.ravel()], pa.int32()), pa.array(vals.ravel())],
+                        list(taken.columns) + [pa.array(w.ids[idx.ravel()], pa.int32()), pa.array(vals.ravel())],
                         names=keys + ["latent", "value"])
     return run
 
 
 def encode(df: DataFrame, dictionary: FeatureDictionary, k: int, keys: list[str],
-           vec_col: str = "x", max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+           vec_col: str = "x", block_latents: int = BLOCK_LATENTS,
            counts_width: int | None = None, eps: float = 1e-6) -> DataFrame:
     """V2 + V3: pre-activations and row top-k, as a long sparse table
     ``keys..., latent int, value double`` (k rows per vector, values may be <= 0).
@@ -247,18 +262,8 @@ def encode(df: DataFrame, dictionary: FeatureDictionary, k: int, keys: list[str]
     schema = T.StructType(key_fields + [T.StructField("latent", T.IntegerType()),
                                         T.StructField("value", T.DoubleType())])
     src = df.select(*dict.fromkeys([*keys, vec_col]))
-    blocks = _plan_blocks(dictionary, False, max_broadcast_bytes)
-    if blocks is None:
-        bc = _weights_broadcast(dictionary, False)
-        return src.mapInArrow(_encode_fn(keys, vec_col, to_matrix, k, bc, False), schema)
-    # Dictionary above the broadcast limit: exact top-k over per-block candidates.
-    parts = None
-    for blk in blocks:
-        bc = _weights_broadcast(dictionary, False, blk)
-        cand = src.mapInArrow(_encode_fn(keys, vec_col, to_matrix, k, bc, False), schema)
-        parts = cand if parts is None else parts.unionByName(cand)
-    w = Window.partitionBy(*keys).orderBy(F.col("value").desc(), F.col("latent"))
-    return parts.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+    weights = _weight_files(dictionary, False, block_latents)
+    return src.mapInArrow(_encode_fn(keys, vec_col, to_matrix, k, weights, False, block_latents), schema)
 
 
 def active(acts: DataFrame) -> DataFrame:
@@ -269,29 +274,12 @@ def active(acts: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- V5
 
 def reconstruct(df: DataFrame, dictionary: FeatureDictionary, k: int, keys: list[str],
-                vec_col: str = "x", max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+                vec_col: str = "x", block_latents: int = BLOCK_LATENTS) -> DataFrame:
     """V2 + V3 + V5: encode and decode in one pass; adds ``x_hat array<double>``.
     ``keys`` go along unchanged and may hold the vector itself and its statistics,
-    so metrics on (x, x_hat) need no join.
-
-    Above the broadcast limit the decode is a join of the sparse activations
-    with the dictionary on ``latent`` and a sum per output dimension.
-    """
+    so metrics on (x, x_hat) need no join."""
     key_fields = [df.schema[c] for c in keys]
     src = df.select(*dict.fromkeys([*keys, vec_col]))
-    blocks = _plan_blocks(dictionary, True, max_broadcast_bytes)
-    if blocks is None:
-        schema = T.StructType(key_fields + [T.StructField("x_hat", T.ArrayType(T.DoubleType()))])
-        bc = _weights_broadcast(dictionary, True)
-        return src.mapInArrow(_encode_fn(keys, vec_col, _dense_rows, k, bc, True), schema)
-    acts = encode(df, dictionary, k, keys, vec_col, max_broadcast_bytes)
-    terms = (acts.join(dictionary.latents.select("latent", "dec"), "latent")
-             .select(*keys, F.posexplode(F.transform("dec", lambda v: v * F.col("value")))
-                     .alias("dim", "v")))
-    summed = terms.groupBy(*keys, "dim").agg(F.sum("v").alias("v"))
-    pb = dictionary.pre_bias.select(F.posexplode("pre_bias").alias("dim", "b"))
-    return (summed.join(F.broadcast(pb), "dim")
-            .groupBy(*keys)
-            .agg(F.array_sort(F.collect_list(F.struct("dim", (F.col("v") + F.col("b")).alias("v"))))
-                 .alias("_s"))
-            .select(*keys, F.col("_s.v").alias("x_hat")))
+    schema = T.StructType(key_fields + [T.StructField("x_hat", T.ArrayType(T.DoubleType()))])
+    weights = _weight_files(dictionary, True, block_latents)
+    return src.mapInArrow(_encode_fn(keys, vec_col, _dense_rows, k, weights, True, block_latents), schema)

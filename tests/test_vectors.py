@@ -29,28 +29,35 @@ def _dictionary(spark, rng, L=12, d=6):
     return FeatureDictionary(lat, pb)
 
 
-def test_blocked_encode_equals_broadcast(spark):
+def test_blocks_of_latents_give_the_same_encode(spark):
     rng = np.random.default_rng(7)
     d = _dictionary(spark, rng)
     x = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(40)], "id long, x array<double>")
     full = {(r.id, r.latent): r.value for r in vec.encode(x, d, 4, ["id"]).collect()}
-    small = vec.encode(x, d, 4, ["id"], max_broadcast_bytes=3 * 6 * 8)  # 3 latents per block
+    small = vec.encode(x, d, 4, ["id"], block_latents=3)
     blocked = {(r.id, r.latent): r.value for r in small.collect()}
     assert full.keys() == blocked.keys()
     assert all(math.isclose(full[k], blocked[k], rel_tol=1e-12) for k in full)
     assert len(full) == 40 * 4
 
 
-def test_blocked_reconstruct_equals_broadcast(spark):
+def test_blocks_of_latents_give_the_same_reconstruction(spark):
     rng = np.random.default_rng(8)
     d = _dictionary(spark, rng)
     x = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(10)], "id long, x array<double>")
     a = {r.id: r.x_hat for r in vec.reconstruct(x, d, 3, ["id"]).collect()}
-    b = {r.id: r.x_hat for r in vec.reconstruct(x, d, 3, ["id"], max_broadcast_bytes=2 * 6 * 16).collect()}
+    b = {r.id: r.x_hat for r in vec.reconstruct(x, d, 3, ["id"], block_latents=2).collect()}
     for k in a:
         assert np.allclose(a[k], b[k], rtol=1e-12)
 
 
+def test_ties_across_blocks_go_to_the_lower_latent():
+    enc = np.ones((7, 2))
+    for block in (1, 2, 3, 7):
+        idx, vals = vec._running_topk(np.array([[1.0, 1.0], [0.0, 2.0]]), enc, np.array([0, 0, 0, 0, 0, 0, 1.0]), 3, block)
+        assert idx.tolist() == [[0, 1, 6], [0, 1, 6]] and vals.tolist() == [[2, 2, 3], [2, 2, 3]]
+
+
 def test_at_most_k_activations(spark):
     rng = np.random.default_rng(9)
     d = _dictionary(spark, rng)
