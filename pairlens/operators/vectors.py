@@ -16,8 +16,7 @@ top-k: one pass over the vectors, no shuffle, whatever the dictionary's size.
 
 from __future__ import annotations
 
-import os
-import tempfile
+import io
 import uuid
 from dataclasses import dataclass
 
@@ -26,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairlens.session import checkpoint_dir, shared_file
 from pairlens.functions.arrays import array_mean, array_norm, array_std, as_double_array, let
 
 # Latents whose pre-activations are computed at a time; also the rows of the
@@ -106,26 +106,32 @@ class WeightFiles:
 
 
 def _weight_files(d: FeatureDictionary, with_dec: bool, block: int) -> WeightFiles:
-    """Write the dictionary as matrix files (rows in order of latent), ``block``
-    latents at a time, and add them to the application."""
+    """Write the dictionary as matrix files (rows in order of latent) into the
+    shared folder, ``block`` latents at a time, and add them to the application."""
     spark = d.latents.sparkSession
     pre_bias = np.asarray(d.pre_bias.first()["pre_bias"], dtype=np.float64)
     width = len(pre_bias)
     small = d.latents.select("latent", "latent_bias").orderBy("latent").toArrow()
     ids = small.column("latent").to_numpy().astype(np.int32)
     bias = small.column("latent_bias").to_numpy().astype(np.float64)
-    folder, tag = tempfile.mkdtemp(prefix="weights-"), uuid.uuid4().hex
+    tag = uuid.uuid4().hex
     names = {c: f"{c}-{tag}.npy" for c in (("enc", "dec") if with_dec else ("enc",))}
-    files = {c: np.lib.format.open_memmap(os.path.join(folder, n), mode="w+", dtype=np.float64, shape=(len(ids), width))
-             for c, n in names.items()}
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/weights"
+    files = {c: shared_file(spark, f"{folder}/{n}") for c, n in names.items()}
+    header = io.BytesIO()
+    np.lib.format.write_array_header_1_0(header, {"descr": "<f8", "fortran_order": False, "shape": (len(ids), width)})
+    for out in files.values():
+        out.write(bytearray(header.getvalue()))
     for s in range(0, len(ids), block):
         lo, hi = int(ids[s]), int(ids[min(s + block, len(ids)) - 1])
         rows = d.latents.filter(F.col("latent").between(lo, hi)).select("latent", *names).orderBy("latent").toArrow()
-        for c, m in files.items():
-            m[s:s + block] = _dense_rows(rows.column(c).combine_chunks())
-    for c, m in files.items():
-        m.flush()
-        spark.sparkContext.addFile(os.path.join(folder, names[c]))
+        for c, out in files.items():
+            raw = _dense_rows(rows.column(c).combine_chunks()).astype("<f8").tobytes()
+            for i in range(0, len(raw), 1 << 23):
+                out.write(bytearray(raw[i:i + (1 << 23)]))
+    for c, out in files.items():
+        out.close()
+        spark.sparkContext.addFile(f"{folder}/{names[c]}")
     return WeightFiles(names["enc"], names.get("dec"), ids, bias, pre_bias)
 
 

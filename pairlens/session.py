@@ -80,6 +80,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def shared_file(spark: SparkSession, path: str):
+    """A new file on any Hadoop file system, open for ``write(bytearray)``."""
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target, True)
+
+
 def ship_package(spark: SparkSession, folder: str) -> None:
     """Make ``pairlens`` importable in the Python workers.
 
@@ -101,11 +108,9 @@ def ship_package(spark: SparkSession, folder: str) -> None:
     data = buf.getvalue()
     digest = hashlib.sha1(data).hexdigest()[:12]
     target = f"{folder.rstrip('/')}/pyfiles/pairlens-{digest}.zip"
-    jvm = sc._jvm
-    path = jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        out = fs.create(path, True)
+    path = sc._jvm.org.apache.hadoop.fs.Path(target)
+    if not path.getFileSystem(sc._jsc.hadoopConfiguration()).exists(path):
+        out = shared_file(spark, target)
         out.write(bytearray(data))
         out.close()
     sc.addPyFile(target)
