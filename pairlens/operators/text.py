@@ -64,6 +64,15 @@ def to_sequences(chunks: DataFrame, max_length: int, pad: str = EOS) -> DataFram
     return chunks.withColumn("_s", seq).select("*", "_s.n_tokens", "_s.tokens", "_s.mask").drop("_s")
 
 
+def used_tokens(seqs: DataFrame, include_pad: bool = False) -> DataFrame:
+    """Token-grain sequences: the positions that take part. By default only real
+    tokens (mask 1); ``include_pad`` keeps every position, as the original does."""
+    if include_pad:
+        return seqs
+    real = F.filter(F.arrays_zip("tokens", "mask"), lambda x: x["mask"] == 1)
+    return seqs.withColumn("tokens", F.transform(real, lambda x: x["tokens"]))
+
+
 def segment_ends(seqs: DataFrame, gap: int) -> DataFrame:
     """T7 + T8: candidates = marker position - 1 (>= 0); keep a candidate when
     it is at least ``gap`` after the last kept one (the first must be >= gap)."""

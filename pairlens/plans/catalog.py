@@ -137,6 +137,15 @@ def q_fixed_length_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.array_join(F.transform("mask", lambda m: m.cast("string")), "").alias("mask"))
 
 
+def q_plain_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = txo.chunk_plain(_docs(spark, sf_dir), DOC_KEYS, P.plain_words, P.plain_min_tail)
+    seqs = txo.to_sequences(c, P.plain_words)
+    rows = [txo.used_tokens(seqs, pad).select(
+        _long("doc_id"), _long("chunk_id"), F.lit(pad).alias("include_pad"), F.size("tokens").cast("long").alias("n"),
+        F.array_join("tokens", " ").alias("tokens")) for pad in (False, True)]
+    return rows[0].union(rows[1])
+
+
 def q_segment_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = txo.segment_ends(_doc_sequences(spark, sf_dir), P.gap)
     return s.select(_long("doc_id"), _long("chunk_id"), F.size("cands").cast("long").alias("n_cands"),
@@ -161,6 +170,7 @@ QUERIES.update({
     "chunk_words": q_chunk_words,
     "chunk_plain": q_chunk_plain,
     "fixed_length_sequences": q_fixed_length_sequences,
+    "plain_sequences": q_plain_sequences,
     "segment_ends": q_segment_ends,
     "segment_vectors": q_segment_vectors,
 })

@@ -254,6 +254,15 @@ SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(s // {P.plain_words} AS BIGINT) AS
        array_to_string(words[s + 1 : s + {P.plain_words}], ' ') AS chunk
 FROM (SELECT doc_id, words, unnest(range(0, len(words) - {P.plain_min_tail}, {P.plain_words})) AS s FROM w)"""
 
+SQL["plain_sequences"] = f"""
+WITH c AS ({SQL['chunk_plain']}),
+s AS (
+  SELECT doc_id, chunk_id, list_filter(string_split(replace(chunk, {M}, ' ' || {M} || ' '), ' '), lambda x: x <> '')[1:{P.plain_words}] AS t FROM c),
+u AS (
+  SELECT doc_id, chunk_id, false AS include_pad, list_filter(t, lambda x: x <> {M}) AS t FROM s
+  UNION ALL SELECT doc_id, chunk_id, true, t || [{q(EOS)} FOR x IN range({P.plain_words} - len(t))] FROM s)
+SELECT doc_id, chunk_id, include_pad, CAST(len(t) AS BIGINT) AS n, array_to_string(t, ' ') AS tokens FROM u"""
+
 SQL["fixed_length_sequences"] = with_(*DOC_TEXT[:3]) + f"""
 SELECT CAST(doc_id AS BIGINT) AS doc_id, chunk_id, CAST(n_tokens AS BIGINT) AS n_tokens,
        array_to_string(tokens, ' ') AS tokens,
