@@ -15,6 +15,8 @@ words, 31 - 1 + 20 = 50) that starts at a cover position on both sides. Only tho
 3. Extension: each window around a shared anchor is hashed as a whole (two
    independent 64-bit hashes of its words), grouped to its smallest doc_id, and
    joined back; windows of a larger doc_id are repeats.
+   The hashes are worked off in ``PASSES`` rounds, so that only one round's shuffle
+   is on disk at a time.
 4. Repeats go back to their documents, whose words are then kept or removed.
 
 Groups are only ever aggregated (minimum and maximum doc_id, first within each
@@ -75,6 +77,8 @@ _BLANK[[32, 9, 10, 11, 12, 13]] = True
 
 
 SLICE_BYTES = 1 << 21
+#: windows are judged in so many rounds by their hash; a round's shuffle is that part of all windows
+PASSES = 4
 
 
 class Words:
@@ -235,7 +239,7 @@ def _release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", passes: int = PASSES) -> DataFrame:
     """``doc, key, positions``: first words of the repeated windows of each document that has any;
     ``key`` is the XXH64 of the text, so rows that share a doc_id stay apart."""
     spark = docs.sparkSession
@@ -247,16 +251,22 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     by_doc = c.stored(keyed.mapInArrow(_anchors, "h bigint, doc bigint, key bigint").join(shared, "h")
                       .groupBy("doc", "key").agg(F.collect_set("h").alias("hs")), "anchors-by-document")
     _release(spark)
-    found = c.stored(keyed.join(by_doc, ["doc", "key"]).select("doc", "text", "key", "hs")
-                     .mapInArrow(_windows, "k1 bigint, k2 bigint, doc bigint, key bigint, pos int"), "windows")
+    found = (keyed.join(by_doc, ["doc", "key"]).select("doc", "text", "key", "hs")
+             .mapInArrow(_windows, "k1 bigint, k2 bigint, doc bigint, key bigint, pos int")
+             .withColumn("part", F.pmod("k1", F.lit(passes)).cast("int")))
+    path, schema = c.fresh_path(spark, "windows"), found.schema
+    found.write.partitionBy("part").parquet(path)
     _release(spark)
-    owner = c.stored(found.groupBy("k1", "k2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-                     .filter("lo < hi").select("k1", "k2", "lo"), "owners")
-    _release(spark)
-    out = c.stored(found.join(owner, ["k1", "k2"]).filter("doc > lo").groupBy("doc", "key")
-                   .agg(F.collect_set("pos").alias("positions")), "repeats")
-    _release(spark)
-    return out
+    out = None
+    for part in range(passes):
+        own = spark.read.schema(schema).parquet(path).filter(F.col("part") == part)
+        owner = c.stored(own.groupBy("k1", "k2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+                         .filter("lo < hi").select("k1", "k2", "lo"), "owners")
+        gone = c.stored(own.join(owner, ["k1", "k2"]).filter("doc > lo").groupBy("doc", "key")
+                        .agg(F.collect_set("pos").alias("positions")), "repeats")
+        out = gone if out is None else out.union(gone)
+        _release(spark)
+    return c.stored(out.groupBy("doc", "key").agg(F.flatten(F.collect_list("positions")).alias("positions")), "repeats")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
