@@ -158,7 +158,8 @@ def _scanner(key: str, sent, window: int, spans: bool):
 def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
          window: int = WINDOW, shard_bytes: int = 16 << 20, name: str = "hits", spans: bool = False) -> DataFrame:
     """``docs`` with one struct column ``name``: n_words, ranges (merged word ranges that are hit,
-    flat), items (sorted item ids) and, with ``spans``, the code point spans of the ranges."""
+    flat), items (sorted item ids) and, with ``spans``, the code point spans of the ranges. A
+    column of that name is replaced."""
     spark = docs.sparkSession
     out, parts = docs, []
     for items in item_shards(benchmark, item_id, item_text, shard_bytes):
@@ -167,7 +168,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
         parts.append(c.own_name(out, f"{name}{len(parts)}"))
         out = out.withColumn(parts[-1], scan_shard(F.col(text)))
     if len(parts) == 1:
-        return out.withColumnRenamed(parts[0], name)
+        return out.withColumn(name, F.col(parts[0])).drop(*parts)
     merged = F.struct(
         F.col(parts[0])["n_words"].alias("n_words"),
         _union(F.concat(*[F.col(p)["ranges"] for p in parts])).alias("ranges"),

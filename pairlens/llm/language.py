@@ -189,7 +189,7 @@ OUT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("s
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", name: str = "language") -> DataFrame:
-    """``docs`` with the struct column ``name``: lang_pred, score, rejected."""
+    """``docs`` with the struct column ``name`` (in place of a column of that name): lang_pred, score, rejected."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(OUT)

@@ -242,7 +242,8 @@ def _store_of(path: str):
 
 
 def prefix_table(docs: DataFrame, text: str = "text", name: str = "prefixes", path: str | None = None) -> DataFrame:
-    """``docs`` with its texts' prefix counts in the struct column ``name`` (n_chars, n_bytes, deltas, totals)."""
+    """``docs`` with its texts' prefix counts in the struct column ``name`` (n_chars, n_bytes, deltas,
+    totals), in place of a column of that name."""
     return docs.withColumn(name, _store_of(path or tokens.tokenizer_path())(F.col(text)))
 
 

@@ -132,7 +132,8 @@ def clean_text(text: str | None, rules: LineRules = LineRules()) -> str | None:
 
 
 def verdicts(docs: DataFrame, text: str = "text", rules: LineRules = LineRules(), name: str = "quality") -> DataFrame:
-    """``docs`` with one struct column ``name``: counts, removed lines and the verdict."""
+    """``docs`` with one struct column ``name`` (in place of a column of that name): counts, removed
+    lines and the verdict."""
     judge = c.row_results(FIELDS, lambda t: judge_text(t, rules))
     return docs.withColumn(name, judge(F.col(text)))
 

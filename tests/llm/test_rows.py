@@ -95,6 +95,19 @@ def test_decontamination(spark, docs, texts, shard_bytes):
     assert contamination.decontaminate(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_columns_of_the_same_name(spark):
+    """A result column takes the place of one of that name; filters leave all columns alone."""
+    from pairlens.llm import language, prefix_counts
+    bench = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "one two three", 7, 8, 9, 10, "en")],
+                               "doc_id long, text string, hits int, quality int, language int, prefixes int, lang string")
+    for out, name in ((contamination.mark(df, bench), "hits"), (contamination.mark(df, bench, shard_bytes=1), "hits"),
+                      (quality.verdicts(df), "quality"), (language.identify(df), "language"), (prefix_counts.prefix_table(df), "prefixes")):
+        assert sorted(out.columns) == sorted(df.columns)
+        assert isinstance(out.first()[name], tuple)
+    assert contamination.decontaminate(df, bench).columns == quality.keep_good(df).columns == simhash.keep_first(df).columns == df.columns
+
+
 def test_decontamination_query(spark):
     items = [(r.item_id, r.text) for r in rows_of(spark, "benchmark")]
     got = {r.doc_id: r for r in queries.op4_decontaminate(spark, SF).collect()}
