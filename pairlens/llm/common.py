@@ -33,6 +33,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a table of ``fresh_path`` that no later step reads."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def text_batches(column: pa.Array, chars: int = 8_000_000):
     """(first row, texts) slices of a string column; null reads as an empty text.
     Slices end once they hold ``chars`` characters, so Python never holds a whole

@@ -266,7 +266,9 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", passes:
                         .agg(F.collect_set("pos").alias("positions")), "repeats")
         out = gone if out is None else out.union(gone)
         _release(spark)
-    return c.stored(out.groupBy("doc", "key").agg(F.flatten(F.collect_list("positions")).alias("positions")), "repeats")
+    out = c.stored(out.groupBy("doc", "key").agg(F.flatten(F.collect_list("positions")).alias("positions")), "repeats")
+    c.discard(spark, path)
+    return out
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
