@@ -35,6 +35,8 @@ from pairlens.llm import common as c
 from pairlens.llm import tokens
 
 STEP = 1024
+#: what a worker keeps at most: prefixes with their last token, token pairs, runs with their changes
+STATES, PAIRS, RUNS_KEPT = 250_000, 300_000, 350_000
 #: White_Space: what the pre-tokenizer's pattern takes as white space
 SPACE = frozenset("\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))))
 CONTRACTIONS = frozenset(("'s", "'t", "'re", "'ve", "'m", "'ll", "'d"))
@@ -57,7 +59,7 @@ class PrefixCounter:
         self.spines()
         self.apart: dict[tuple[bytes, bytes], bool] = {}
         self.states: dict[bytes, tuple[int, bytes]] = {b"": (0, b"")}
-        self.runs = tokens.RunCache(self.run_deltas)
+        self.runs = tokens.RunCache(self.run_deltas, limit=RUNS_KEPT)
         self.cache = tokens.PieceCache(lambda texts: [self.deltas(t) for t in texts], limit=100_000)
 
     def spines(self) -> None:
@@ -81,7 +83,7 @@ class PrefixCounter:
         both of its sides are used up (of equal ranks, the left one comes first)."""
         ok = self.apart.get((a, b))
         if ok is None:
-            if len(self.apart) > 600_000:
+            if len(self.apart) > PAIRS:
                 self.apart.clear()
             rank = self.rank
             ok = True
@@ -96,7 +98,7 @@ class PrefixCounter:
     def run_counts(self, raw: bytes) -> list[int]:
         """Token counts of the prefixes of one pre-token, by bytes, from length 1 on."""
         states = self.states
-        if len(states) > 600_000:
+        if len(states) > STATES:
             self.states = states = {b"": (0, b"")}
         n = len(raw)
         if n > tokens.CACHED_CHARS:
