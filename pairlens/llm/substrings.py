@@ -76,7 +76,8 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 
 
-SLICE_BYTES = 1 << 21
+#: texts are taken in slices of so many characters (one text at least), bytes in slices of so many
+SLICE_CHARS, SLICE_BYTES = 1_000_000, 1 << 20
 #: windows are judged in so many rounds by their hash; a round's shuffle is that part of all windows
 PASSES = 4
 
@@ -141,7 +142,7 @@ def _anchor_groups(batches):
     """Per slice of documents: each anchor hash with its smallest and largest doc_id."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for first, texts in c.text_batches(batch.column(1), 4_000_000):
+        for first, texts in c.text_batches(batch.column(1), SLICE_CHARS):
             w = Words(_utf8(texts))
             at, text = w.cover_positions()
             if not len(at):
@@ -160,7 +161,7 @@ def _anchors(batches):
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         keys = batch.column(2).to_numpy(zero_copy_only=False)
-        for first, texts in c.text_batches(batch.column(1), 4_000_000):
+        for first, texts in c.text_batches(batch.column(1), SLICE_CHARS):
             w = Words(_utf8(texts))
             at, text = w.cover_positions()
             if not len(at):
@@ -178,7 +179,7 @@ def _windows(batches):
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         keys = batch.column(2).to_numpy(zero_copy_only=False)
-        for first, texts in c.text_batches(batch.column(1), 2_000_000):
+        for first, texts in c.text_batches(batch.column(1), SLICE_CHARS):
             w = Words(_utf8(texts))
             at, text = w.cover_positions()
             if not len(at):
