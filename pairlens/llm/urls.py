@@ -10,8 +10,12 @@ blocked where distrust holds more than ``block_share`` of the two.
 Host edges come from absolute links in the pages' HTML, counted per pair of hosts
 (partial counts first, so a hub is a few rows per task). Each round is a join on
 the edge's source and a grouped sum by its target; ranks are one row per host
-with any score, written to the shared folder every round. Rounds stop when the
-ranks move less than ``tolerance`` of the seeds, or after ``max_rounds``.
+with any score, written to the shared folder every round. Scores only grow, and the
+largest relative growth of a host never rises again once no host is new. Rounds stop
+when no host got its first score and no host's score grew by more than ``tolerance``
+of itself, so their number follows from the graph (its longest way, then a factor of
+``damping`` a round) and unrelated hosts don't count; ``max_rounds`` is None or a bound
+that a caller sets. Scores are doubles: one below 1e-308 is none.
 
 Defined cases: a null url or one without "://" has an empty host and path, fits no
 rule and is allowed; null html has no links; repeated rows are judged each; a host
@@ -50,8 +54,9 @@ RULES = (UrlRule("allow", "org", "/"), UrlRule("block", "example.org", "/es/"),
 @dataclass(frozen=True)
 class Spread:
     damping: float = 0.85
-    max_rounds: int = 20
-    tolerance: float = 1e-3
+    max_rounds: int | None = None
+    #: of each host's own score
+    tolerance: float = 1e-6
     block_share: float = 0.75
 
 
@@ -86,23 +91,31 @@ def host_links(pages: DataFrame, host: str, html: str) -> DataFrame:
 def page_rank(edges: DataFrame, seeds: DataFrame, s: Spread = Spread()) -> DataFrame:
     """``edges(src, dst, n)``, ``seeds(host, seed)`` -> ``host, score``: each round a host keeps
     (1 - damping) of its seed and gets its share of the scores of hosts that link to it."""
-    total = seeds.agg(F.sum("seed")).first()[0] or 0.0
+    spark = edges.sparkSession
     out = edges.groupBy("src").agg(F.sum("n").alias("out"))
     shares = c.stored(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("share")), "shares")
     start = seeds.select("host", (F.col("seed") * (1 - s.damping)).alias("score"))
     ranks = c.stored(start, "ranks")
-    if shares.isEmpty():
+    if shares.isEmpty() or ranks.isEmpty():
         return ranks
-    for _ in range(s.max_rounds):
-        got = (shares.join(ranks, shares.src == ranks.host).groupBy("dst")
-               .agg((F.sum(F.col("score") * F.col("share")) * s.damping).alias("got")))
-        new = (start.withColumnRenamed("score", "kept").join(got, F.col("host") == F.col("dst"), "full")
-               .select(F.coalesce("host", "dst").alias("host"), (F.coalesce("kept", F.lit(0.0)) + F.coalesce("got", F.lit(0.0))).alias("score")))
-        new = c.stored(new, "ranks")
-        moved = (new.join(ranks.withColumnRenamed("score", "before"), "host", "full")
-                 .agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("before", F.lit(0.0))))).first()[0] or 0.0)
-        ranks = new
-        if moved <= s.tolerance * total:
+    none = F.lit(0.0).alias("before")
+    # sums in another order differ in the last digits: no round can be asked for less
+    grew = F.col("score") - F.col("before") > F.col("before") * max(s.tolerance, 1e-12)
+    last, rounds = None, 0
+    while s.max_rounds is None or rounds < s.max_rounds:
+        got = shares.join(ranks, shares.src == ranks.host).select(
+            F.col("dst").alias("host"), (F.col("score") * F.col("share") * s.damping).alias("score"), none)
+        new = (start.select("host", "score", none).union(got)
+               .union(ranks.select("host", F.lit(0.0), F.col("score")))
+               .groupBy("host").agg(F.sum("score").alias("score"), F.sum("before").alias("before")).filter("score > 0"))
+        path = c.fresh_path(spark, "ranks")
+        new.write.parquet(path)
+        kept = spark.read.schema(new.schema).parquet(path)
+        more = not kept.filter(grew).isEmpty()
+        if last:
+            c.discard(spark, last)
+        ranks, last, rounds = kept.select("host", "score"), path, rounds + 1
+        if not more:
             break
     return ranks
 

@@ -231,3 +231,28 @@ def test_link_graph(spark):
     assert got == pytest.approx({"good.org": 0.15, "far.net": 0.15 * 0.85, "farther.net": 0.15 * 0.85 ** 2})
     verdict = {r.host: r.verdict for r in urls.verdicts(df, s=s).collect()}
     assert verdict == {"good.org": "allow", "far.net": "allow", "d.example.org": "block", "spam.net": "block", "pre.net": "block", "mixed.net": "block"}
+
+
+def test_link_graph_to_its_end(spark):
+    """Default rounds: a long chain towards a blocked page is followed to its end, whatever an unrelated hot host holds."""
+    chain = [f"h{k}.net" for k in range(30)] + ["d.example.org"]
+    rows = [(f"http://{a}/a", f'<a href="//{b}/p">') for a, b in zip(chain, chain[1:])] + [("http://d.example.org/es/", None)]
+    rows += [("http://hot.example.org/es/x", None)] * 2000
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.host: r.verdict for r in urls.verdicts(df).collect()}
+    assert got == {h: "block" for h in [*chain, "hot.example.org"]}
+
+
+def test_link_graph_scores_are_settled(spark):
+    """A ring, a way into it and a far larger seed elsewhere: every host's score, also the small ones, is that of power iteration."""
+    links = {("a", "b"): 1, ("b", "c"): 3, ("b", "x"): 1, ("c", "a"): 1, ("x", "y"): 1, ("y", "a"): 2, ("y", "z"): 9}
+    edges = spark.createDataFrame([(s, d, n) for (s, d), n in links.items()], "src string, dst string, n long")
+    seeds = {"a": 1.0, "hot": 1e6}
+    got = {r.host: r.score for r in urls.page_rank(edges, spark.createDataFrame(list(seeds.items()), "host string, seed double")).collect()}
+    want = {}
+    for _ in range(500):
+        new = {h: 0.15 * v for h, v in seeds.items()}
+        for (s, d), n in links.items():
+            new[d] = new.get(d, 0.0) + 0.85 * want.get(s, 0.0) * n / sum(m for (t, _), m in links.items() if t == s)
+        want = {h: v for h, v in new.items() if v}
+    assert got == pytest.approx(want, rel=1e-4)
