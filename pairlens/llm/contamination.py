@@ -6,11 +6,14 @@ consecutive item words, or the whole item if it has fewer. Every document is
 normalised the same way and scanned once by the automaton; hits are counted in
 words and can be mapped back to code point offsets of the original text.
 
-The automaton is built on each worker from the benchmark's patterns. Those are
-broadcast only in shards of at most ``shard_bytes`` of item text, measured
-before anything is collected; a larger benchmark is scanned shard by shard (a
-stated set of queries against all rows, in blocks) and the shards' hits are
-merged per document.
+The automaton is built on each worker from the benchmark's patterns and takes about
+``AUTOMATON_PER_BYTE`` times the items' text. So those are broadcast only in shards of
+at most ``shard_bytes`` of item text, which keeps an automaton within
+``AUTOMATON_BYTES``; sizes are measured before anything is collected, and a long item
+is cut into pieces that share its windows (one window at least stays whole). A benchmark
+of several shards takes one pass over the stored documents for each shard, so a worker
+builds each automaton once; every pass is written, and the passes' hits are merged per
+document.
 
 Defined cases: null texts and null items have no words; an item without words
 is no pattern; repeated items count once by item_id; a null item_id is ignored;
@@ -22,6 +25,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain, islice
 
 import ahocorasick
 import numpy as np
@@ -33,6 +38,10 @@ from pyspark.sql import types as T
 from pairlens.llm import common as c
 
 WINDOW = 13
+#: of memory in each Python worker
+AUTOMATON_BYTES = 320 << 20
+#: automaton bytes for a byte of item text: 13 windows over each word, about 45 bytes a node
+AUTOMATON_PER_BYTE = 600
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _UPPER = bytes(range(65, 91))
 #: byte table: A-Z lower-cased, ASCII other than digits and letters to a blank, bytes beyond ASCII unchanged
@@ -118,16 +127,44 @@ def _automaton(key: str, items: list[tuple[str, str | None]], window: int):
     return _BUILT[key]
 
 
-def item_shards(benchmark: DataFrame, item_id: str, text: str, shard_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """The benchmark's items in shards of at most ``shard_bytes`` of text (one item at least);
-    the number of shards follows from the measured size."""
+def _item_pieces(window: int, piece_bytes: int):
+    """Items' words in pieces of at most ``piece_bytes`` (one window at least) that together have all windows."""
+    def run(batches):
+        for batch in batches:
+            for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = [w for w in normal_words(text) if w]
+                ends = np.cumsum([0, *(len(w) + 1 for w in words)])
+                at = 0
+                while words:
+                    end = min(len(words), max(at + window, int(np.searchsorted(ends, ends[at] + piece_bytes, "right")) - 1))
+                    yield pa.RecordBatch.from_arrays([pa.array([item_id]), pa.array([b" ".join(words[at:end]).decode("utf-8")])], ["i", "t"])
+                    if end == len(words):
+                        break
+                    at = end - window + 1
+    return run
+
+
+def item_shards(benchmark: DataFrame, item_id: str, text: str, shard_bytes: int,
+                window: int = WINDOW) -> Iterator[list[tuple[str, str]]]:
+    """The benchmark's items in shards of at most ``shard_bytes`` of text (one window at least);
+    the number of shards follows from the measured sizes."""
     items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")) \
         .filter("i is not null and t is not null")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("t") + F.octet_length("i") + F.lit(16)), F.lit(0))).first()[0]
-    n = max(1, -(-2 * int(total) // shard_bytes)) if total > shard_bytes else 1
-    for k in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        yield [(r.i, r.t) for r in part.collect()]
+    size = F.octet_length("t") + F.octet_length("i") + F.lit(16)
+    total = items.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    if total <= shard_bytes:
+        yield [(r.i, r.t) for r in items.collect()]
+        return
+    pieces = c.stored(items.mapInArrow(_item_pieces(window, max(1, shard_bytes // 4)), "i string, t string").distinct(), "items")
+    n = -(-2 * int(total) // shard_bytes)
+    while True:
+        shard = F.pmod(F.xxhash64("i", "t"), F.lit(n))
+        sizes = pieces.groupBy(shard.alias("k")).agg(F.sum(size).alias("size"), F.count("*").alias("m"))
+        if sizes.filter((F.col("size") > shard_bytes) & (F.col("m") > 1)).isEmpty():
+            break
+        n *= 2
+    for r in sizes.orderBy("k").collect():
+        yield [(x.i, x.t) for x in pieces.filter(shard == r.k).collect()]
 
 
 FIELDS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("ranges", T.ArrayType(T.IntegerType())),
@@ -156,25 +193,34 @@ def _scanner(key: str, sent, window: int, spans: bool):
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-         window: int = WINDOW, shard_bytes: int = 16 << 20, name: str = "hits", spans: bool = False) -> DataFrame:
+         window: int = WINDOW, shard_bytes: int = AUTOMATON_BYTES // AUTOMATON_PER_BYTE, name: str = "hits",
+         spans: bool = False) -> DataFrame:
     """``docs`` with one struct column ``name``: n_words, ranges (merged word ranges that are hit,
     flat), items (sorted item ids) and, with ``spans``, the code point spans of the ranges. A
     column of that name is replaced."""
     spark = docs.sparkSession
-    out, parts = docs, []
-    for items in item_shards(benchmark, item_id, item_text, shard_bytes):
+
+    def hits(items: list[tuple[str, str]]):
         key = hashlib.sha256(repr((window, sorted(items))).encode()).hexdigest()
-        scan_shard = _scanner(key, spark.sparkContext.broadcast(items), window, spans)
-        parts.append(c.own_name(out, f"{name}{len(parts)}"))
-        out = out.withColumn(parts[-1], scan_shard(F.col(text)))
-    if len(parts) == 1:
-        return out.withColumn(name, F.col(parts[0])).drop(*parts)
-    merged = F.struct(
-        F.col(parts[0])["n_words"].alias("n_words"),
-        _union(F.concat(*[F.col(p)["ranges"] for p in parts])).alias("ranges"),
-        F.array_sort(F.array_distinct(F.concat(*[F.col(p)["items"] for p in parts]))).alias("items"),
-        _union(F.concat(*[F.col(p)["spans"] for p in parts])).alias("spans"))
-    return out.withColumn(name, merged).drop(*parts)
+        return _scanner(key, spark.sparkContext.broadcast(items), window, spans)(F.col(text))
+
+    shards = item_shards(benchmark, item_id, item_text, shard_bytes, window)
+    head = list(islice(shards, 2))
+    if len(head) < 2:
+        return docs.withColumn(name, hits(head[0] if head else []))
+    uid, part = c.own_name(docs, "uid"), c.own_name(docs, "part")
+    rows = c.stored(docs.withColumn(uid, F.monotonically_increasing_id()), "documents")
+    found = []
+    for items in chain(head, shards):
+        one = c.stored(rows.select(uid, hits(items).alias("h")).select(uid, "h.*"), "hits")
+        # the first pass has every document
+        found.append(one.filter(F.size("ranges") > 0) if found else one)
+    merged = reduce(DataFrame.union, found).groupBy(uid).agg(
+        F.max("n_words").alias("n_words"), *(F.flatten(F.collect_list(x)).alias(x) for x in ("ranges", "items", "spans")))
+    merged = merged.select(uid, F.struct(
+        "n_words", _union(F.col("ranges")).alias("ranges"), F.array_sort(F.array_distinct("items")).alias("items"),
+        _union(F.col("spans")).alias("spans")).alias(part))
+    return rows.join(merged, uid).withColumn(name, F.col(part)).drop(uid, part)
 
 
 @F.arrow_udf(T.ArrayType(T.IntegerType()))

@@ -95,6 +95,36 @@ def test_decontamination(spark, docs, texts, shard_bytes):
     assert contamination.decontaminate(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_shards_bound_the_automaton(spark):
+    """Shards hold the text that an automaton may have, also of one long item; they have all windows together."""
+    import random
+    rng = random.Random(8)
+    long = " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(6000))
+    items = [("1", long), ("2", "two WORDS"), ("2", "two WORDS"), ("3", long[5000:5600])]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    shards = list(contamination.item_shards(bench, "item_id", "text", 12_000))
+    assert len(shards) > 2
+    together = {}
+    for own in shards:
+        assert sum(len(t) for _, t in own) <= 12_000
+        assert contamination.build(own).get_stats()["total_size"] <= 12_000 * contamination.AUTOMATON_PER_BYTE
+        for p, ids in contamination.item_patterns(own).items():
+            together.setdefault(p, set()).update(ids)
+    assert together == contamination.item_patterns(items)
+
+
+def test_one_shard_a_pass(spark):
+    """No plan has two automata side by side; repeated rows and other columns stay."""
+    words = [f"w{i}" for i in range(60)]
+    bench = spark.createDataFrame([(1, " ".join(words[:30])), (2, " ".join(words[20:]))], "item_id long, text string")
+    rows = [(1, "x " + " ".join(words[5:25]), 1), (1, "x " + " ".join(words[5:25]), 1), (None, " ".join(words).upper(), 2), (3, None, 3)]
+    got = contamination.mark(spark.createDataFrame(rows, "doc_id long, text string, uid int"), bench, shard_bytes=150, spans=True)
+    assert "ArrowEvalPython [run" not in got._jdf.queryExecution().optimizedPlan().toString()
+    out = sorted(((r.uid, r.hits.n_words, r.hits.ranges, r.hits["items"]) for r in got.collect()))
+    assert out == [(1, 21, [1, 21], ["1"])] * 2 + [(2, 60, [0, 60], ["1", "2"]), (3, 0, [], [])]
+    assert got.columns == ["doc_id", "text", "uid", "hits"]
+
+
 def test_columns_of_the_same_name(spark):
     """A result column takes the place of one of that name; filters leave all columns alone."""
     from pairlens.llm import language, prefix_counts
