@@ -2,10 +2,11 @@
 
 A blob is the SHA-256 of a text. The ledger is a Parquet table in the shared
 folder with one row per blob and scan: which rule versions ran, and what they
-found. A scan content-addresses every row (every historical version of every
+found (each span with the rule version it is from). A scan content-addresses every row (every historical version of every
 path), takes one owner row per blob, drops the blob and rule-version pairs that
 the ledger has, runs the remaining rules over whole texts, appends the result to
-the ledger, and joins the ledger's findings back to all paths.
+the ledger, and joins the ledger's findings of exactly the asked rule versions back to
+all paths; spans of other versions stay in the ledger and out of the result.
 
 Texts are never grouped: the owner of a blob is a grouped minimum over hashes and
 ids (partial first, so a hot group of copies is one row per task), and the text
@@ -66,15 +67,18 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 
 SPAN = "struct<start:int,k:int,kind:string,end:int>"
+#: in the ledger: with the rule's key (null in a ledger written before spans had one)
+KEPT_SPAN = "struct<start:int,k:int,kind:string,end:int,rule:string>"
 _SPAN_TYPE = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("k", T.IntegerType()),
-                           T.StructField("kind", T.StringType()), T.StructField("end", T.IntegerType())])
+                           T.StructField("kind", T.StringType()), T.StructField("end", T.IntegerType()),
+                           T.StructField("rule", T.StringType())])
 LEDGER = T.StructType([T.StructField("blob", T.StringType()), T.StructField("rules", T.ArrayType(T.StringType())),
                        T.StructField("findings", T.ArrayType(_SPAN_TYPE))])
 
 
 def rule_spans(text: Column, rule: Rule, order: int) -> Column:
     """All spans of one rule as an array, in order; code point offsets, end exclusive."""
-    none = F.array().cast(f"array<{SPAN}>")
+    none = F.array().cast(f"array<{KEPT_SPAN}>")
     matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else matches
     found = F.zip_with(F.zip_with(F.split(text, rule.pattern, -1), matches, lambda p, m: F.struct(p.alias("p"), m.alias("m"))),
@@ -83,7 +87,8 @@ def rule_spans(text: Column, rule: Rule, order: int) -> Column:
 
     def step(acc: Column, x: Column) -> Column:
         first, end = acc["at"] + x["gap"], acc["at"] + x["gap"] + x["n"]
-        one = F.array(F.struct(first.alias("start"), F.lit(order).alias("k"), F.lit(rule.kind).alias("kind"), end.alias("end")))
+        one = F.array(F.struct(first.alias("start"), F.lit(order).alias("k"), F.lit(rule.kind).alias("kind"), end.alias("end"),
+                               F.lit(rule.key).alias("rule")))
         return F.when(x["n"].isNull(), acc).otherwise(F.struct(
             end.alias("at"), F.when(x["own"] >= rule.least, F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans")))
 
@@ -95,16 +100,23 @@ def rule_spans(text: Column, rule: Rule, order: int) -> Column:
 def empty_ledger(spark: SparkSession) -> str:
     """A new ledger in the shared folder; returns its path."""
     path = c.fresh_path(spark, "ledger")
-    spark.range(0).select(F.lit("").alias("blob"), F.array(F.lit("")).alias("rules"), F.array().cast(f"array<{SPAN}>").alias("findings")) \
+    spark.range(0).select(F.lit("").alias("blob"), F.array(F.lit("")).alias("rules"), F.array().cast(f"array<{KEPT_SPAN}>").alias("findings")) \
         .write.parquet(path)
     return path
 
 
+def ledger_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger's rows, one per blob and scan; a span without a rule's key gets that of its kind in its row."""
+    own = lambda x, rules: F.coalesce(x["rule"], F.get(F.filter(rules, lambda r: F.startswith(r, F.concat(x["kind"], F.lit("@")))), F.lit(0)))
+    return spark.read.schema(LEDGER).parquet(path).withColumn(
+        "findings", F.transform("findings", lambda x: x.withField("rule", own(x, F.col("rules")))))
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """One row per blob: rules that ran and all findings."""
-    rows = spark.read.schema(LEDGER).parquet(path)
-    return rows.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("rules"),
-                                    F.array_sort(F.array_distinct(F.flatten(F.collect_list("findings")))).alias("findings"))
+    return ledger_rows(spark, path).groupBy("blob").agg(
+        F.array_distinct(F.flatten(F.collect_list("rules"))).alias("rules"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("findings")))).alias("findings"))
 
 
 def scan(docs: DataFrame, ledger: str, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -122,16 +134,19 @@ def scan(docs: DataFrame, ledger: str, path: str = "doc_id", text: str = "text",
     owner = owners.alias("o")
     unseen = rows.alias("r").join(owner, F.col("r.blob").eqNullSafe(F.col("o.blob")) & F.col("r.path").eqNullSafe(F.col("o.path"))) \
         .select("o.blob", "o.todo", "r.text")
-    none = F.array().cast(f"array<{SPAN}>")
+    none = F.array().cast(f"array<{KEPT_SPAN}>")
     found = F.concat(*[F.when(F.array_contains("todo", r.key), rule_spans(F.col("text"), r, k)).otherwise(none)
                        for k, r in enumerate(rules)])
     (unseen.select("blob", F.col("todo").alias("rules"), found.alias("findings"))
      .dropDuplicates(["blob"]).write.mode("append").parquet(ledger))
-    hits = spark.read.schema(LEDGER).parquet(ledger).filter(F.size("findings") > 0).groupBy("blob").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("findings")))).alias("findings"))
-    kinds = F.array(*[F.lit(r.kind) for r in rules])
-    return (paths.join(hits, "blob", "left")
-            .select("path", "blob", F.filter(F.coalesce("findings", none), lambda x: F.array_contains(kinds, x["kind"])).alias("findings")))
+    # the order of kinds is that of ``rules``, whatever it was in the scan that found a span
+    asked = F.filter("findings", lambda x: F.array_contains(wanted, x["rule"]))
+    spans = F.transform(asked, lambda x: F.struct(
+        x["start"].alias("start"), (F.array_position(wanted, x["rule"]) - 1).cast("int").alias("k"), x["kind"].alias("kind"), x["end"].alias("end")))
+    hits = (ledger_rows(spark, ledger).select("blob", spans.alias("findings")).filter(F.size("findings") > 0).groupBy("blob")
+            .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("findings")))).alias("findings")))
+    return paths.join(hits, "blob", "left").select(
+        "path", "blob", F.coalesce("findings", F.array().cast(f"array<{SPAN}>")).alias("findings"))
 
 
 def spans_text(findings: Column) -> Column:

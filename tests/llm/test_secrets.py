@@ -81,3 +81,24 @@ def test_without_secrets(spark):
 def queries_rows(spark, df):
     found = secrets.scan(df, secrets.empty_ledger(spark))
     return found.select(found.path.alias("doc_id"), secrets.spans_text(found.findings).alias("spans")).collect()
+
+
+def test_rule_versions_on_a_kept_ledger(spark):
+    """A raised version's spans replace those of the version before, also of a ledger whose spans have no rule."""
+    df = spark.createDataFrame([(1, "ab12 zz9 zz8888"), (2, "zz9"), (3, "")], "doc_id long, text string")
+    one, two, other = secrets.Rule("zed", 1, "zz[0-9]+"), secrets.Rule("zed", 2, "zz[0-9]{2,}"), secrets.Rule("ab", 1, "ab[0-9]+")
+    ledger = secrets.empty_ledger(spark)
+    got = lambda *rules: {r.path: [tuple(x) for x in r.findings] for r in secrets.scan(df, ledger, rules=rules).collect()}
+    first = {1: [(5, 0, "zed", 8), (9, 0, "zed", 15)], 2: [(0, 0, "zed", 3)], 3: []}
+    assert got(one) == first
+    assert got(other, two) == {1: [(0, 0, "ab", 4), (9, 1, "zed", 15)], 2: [], 3: []}
+    assert got(one) == first
+    assert got(two, other) == {1: [(0, 1, "ab", 4), (9, 0, "zed", 15)], 2: [], 3: []}
+    assert sorted(r.doc_id for r in secrets.without_secrets(df, rules=(two,), ledger=ledger).collect()) == [2, 3]
+    old = secrets.empty_ledger(spark)
+    (spark.read.schema(secrets.LEDGER).parquet(ledger).filter("array_contains(rules, 'zed@1')")
+     .selectExpr("blob", "rules", f"cast(transform(findings, x -> struct(x.start, x.k, x.kind, x.end)) as array<{secrets.SPAN}>) as findings")
+     .write.mode("append").parquet(old))
+    ledger = old
+    assert got(one) == first
+    assert got(two) == {1: [(9, 0, "zed", 15)], 2: [], 3: []}
