@@ -62,7 +62,8 @@ MORE_RULES = (
     Rule("web_token", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", hint="eyJ"),
     Rule("bearer", 1, r"[Bb]earer\x20+[A-Za-z0-9+/_.=-]{20,}", hint="earer "),
     Rule("vendor", 1, r"(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})"),
-    Rule("url_login", 1, r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,80}:[^\s/@]{3,80}@", hint="://"),
+    # user and password of any length; of a scheme its last 21 characters at most, which changes no more than a span's start
+    Rule("url_login", 2, r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]++:[^\s/@]{3,}+@", hint="://"),
 )
 RULES = BASE_RULES + MORE_RULES
 

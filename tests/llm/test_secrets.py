@@ -102,3 +102,13 @@ def test_rule_versions_on_a_kept_ledger(spark):
     ledger = old
     assert got(one) == first
     assert got(two) == {1: [(9, 0, "zed", 15)], 2: [], 3: []}
+
+
+def test_url_login_of_any_length(spark):
+    long = "p" * 5000
+    texts = [f"x http://user:{long}@host/", f"x http://{long}:pass@host/", f"x http://{long}:pa@host/", f"x http://u:{long}/@host/", "x http://u:pass@h",
+             "http://" + "a:" * 9000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in queries_rows(spark, df)}
+    assert got == {0: f"url_login:2:{15 + 5000}", 1: f"url_login:2:{15 + 5000}", 2: "", 3: "", 4: "url_login:2:16", 5: ""}
+    assert [r.doc_id for r in secrets.without_secrets(df).orderBy("doc_id").collect()] == [2, 3, 5]
