@@ -2,7 +2,8 @@
 
 Every line is judged on its own (punctuation, navigation, boilerplate); failing
 lines are removed, and a document that loses too much of its text that way is
-rejected. The document-level base counts (repeated words, symbols, duplicate
+rejected. ``verdicts`` counts, ``clean`` returns the texts without their failing lines,
+``keep_good`` only rejects documents. The document-level base counts (repeated words, symbols, duplicate
 lines) come from the same pass over the text.
 
 Defined cases: a null text has no words; a document of fewer than
@@ -138,6 +139,12 @@ def verdicts(docs: DataFrame, text: str = "text", rules: LineRules = LineRules()
     return docs.withColumn(name, judge(F.col(text)))
 
 
+def clean(docs: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
+    """``docs`` with the failing lines taken out of ``text``; a null stays null, and no row goes."""
+    cut = c.row_results([("text", *c.STRING)], lambda t: (clean_text(t, rules),))
+    return docs.withColumn(text, cut(F.col(text))["text"])
+
+
 def keep_good(docs: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
     """The rows of ``docs`` that the rules keep, columns unchanged."""
     name = c.own_name(docs, "quality")

@@ -55,6 +55,21 @@ def test_quality_lines_and_keep(spark):
     assert quality.keep_good(df.limit(0)).count() == 0
 
 
+def test_quality_clean(spark, docs):
+    """Cleaned texts come out of a DataFrame; what the verdict counts as removed is gone, the rest stays."""
+    both = "first line here.\n\nHome | About | Contact\nfirst line here.\n# $ %\nlast one."
+    df = spark.createDataFrame([(1, both, 5), (1, both, 5), (2, None, 6), (3, "", 7)], "doc_id long, text string, n_lines int")
+    got = quality.clean(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id, str(r.text), r.n_lines) for r in got.collect()) == [(1, "first line here.\n\nlast one.", 5)] * 2 + [
+        (2, "None", 6), (3, "", 7)]
+    lost = {r.doc_id: r.quality.lost_chars for r in quality.verdicts(docs).collect()}
+    chars = lambda t: len(re.sub(r"[\x20\x09-\x0D]", "", t or ""))
+    new = {r.doc_id: r.text for r in quality.clean(docs).collect()}
+    assert all(chars(r.text) - chars(new[r.doc_id]) == lost[r.doc_id] for r in docs.collect())
+    assert any(lost.values())
+
+
 def brute_hits(text, items):
     norm = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or ""))
     w = norm(text)
