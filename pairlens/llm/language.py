@@ -3,9 +3,10 @@
 A text's letters are lower-cased, everything else is a blank; its byte 3-grams and
 4-grams (blanks mark word ends) are hashed to ``buckets`` embeddings, averaged over
 the whole text, and a linear softmax gives the language. Embeddings and weights are
-trained by stochastic gradient descent in numpy on a bounded, documented sample:
-about ``per_class`` labelled passages for each of the ``max_classes`` most frequent
-languages, drawn by a hash of id and text. A part of the sample is held back to fit
+trained by stochastic gradient descent in numpy on a bounded, documented sample: of
+every language the ``per_class`` distinct labelled rows (id and text) that come first
+by a hash, or all it has. The driver holds about ``per_class * passage_chars`` for each
+language. A part of the sample is held back to fit
 the temperature of the scores and the rejection threshold: the lowest score above
 which at most ``max_error`` of the held-back passages are wrong.
 
@@ -37,7 +38,6 @@ LETTER = re.compile(r"[^\W\d_]")
 @dataclass(frozen=True)
 class Training:
     per_class: int = 800
-    max_classes: int = 200
     passage_chars: int = 1500
     buckets: int = 1 << 15
     dim: int = 16
@@ -167,22 +167,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, doc_id: str, text: str, lang: str, t: Training) -> list[tuple[str, str]]:
-    """The training passages: for each of the most frequent languages about ``per_class`` rows, by a
-    hash of id and text, each a passage of ``passage_chars`` at a place drawn by that hash."""
+    """The training passages: for each language the first ``per_class`` rows by rank of a hash of id and
+    text, copies once, each a passage of ``passage_chars`` at a place drawn by that hash."""
     rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")) \
         .filter(~held_out(F.col("i")) & F.col("l").isNotNull() & F.col("t").isNotNull())
-    counts = rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(t.max_classes).collect()
-    if not counts:
-        return []
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("l") == r.l, F.lit(min(1.0, t.per_class / r.n))).otherwise(share)
-    h = F.xxhash64("i", "t")
-    at = F.pmod(h, F.greatest(F.lit(1), F.length("t") - t.passage_chars)) + 1
-    drawn = (rows.filter(F.pmod(F.xxhash64("i", "t", F.lit(t.seed)), F.lit(1_000_000)) < share * 1_000_000)
-             .select("l", "i", F.substring("t", at.cast("int"), F.lit(t.passage_chars)).alias("p"))
-             .limit(2 * t.per_class * len(counts)))
-    return [(r.l, r.p) for r in sorted(drawn.collect(), key=lambda r: (r.l, r.p))]
+    rows = rows.withColumn("h", F.xxhash64("i", "t", F.lit(t.seed)))
+    # an estimate of the distinct rows gives a hash range that surely has enough; its first rows are the draw
+    shares = rows.groupBy("l").agg(F.least(F.lit(1.0), 1.3 * t.per_class / F.approx_count_distinct("h", 0.02)).alias("share"))
+    place = F.xxhash64("i", "t")
+    at = F.pmod(place, F.greatest(F.lit(1), F.length("t") - t.passage_chars)) + 1
+    span = 1 << 52
+    drawn = (rows.withColumn("u", F.pmod(F.col("h"), F.lit(span))).join(F.broadcast(shares), "l").filter(F.col("u") < F.col("share") * span)
+             .groupBy("l", "u", "h").agg(F.min(F.substring("t", at.cast("int"), F.lit(t.passage_chars))).alias("p")))
+    first: dict[str, list[tuple[int, int, str]]] = {}
+    for r in drawn.collect():
+        first.setdefault(r.l, []).append((r.u, r.h, r.p))
+    return sorted((lang, p) for lang, own in first.items() for _, _, p in sorted(own)[:t.per_class])
 
 
 OUT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])

@@ -173,6 +173,23 @@ def test_language_learns_nothing_from_held_out_rows(spark):
     assert sorted(x for _, x in used) == sorted(want)
 
 
+def test_language_sample(spark):
+    """Every language is drawn from, each up to its bound; a large group of copies counts once."""
+    rows = [(i, f"text {i}", f"l{i % 230}") for i in range(230 * 6)] + [(i, f"much {i}", "de") for i in range(2000)] + [(7, "copy", "en")] * 3000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    used = language.sample(df, "doc_id", "text", "lang", language.Training(per_class=20))
+    by = {}
+    for lang, p in used:
+        by.setdefault(lang, []).append(p)
+    want = {}
+    for i, p, lang in set(rows):
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            want.setdefault(lang, []).append(p)
+    assert set(by) == set(want) and len(by) > 200
+    assert all(len(by[x]) == len(set(by[x])) == min(20, len(want[x])) and set(by[x]) <= set(want[x]) for x in by)
+    assert used == language.sample(df.repartition(3), "doc_id", "text", "lang", language.Training(per_class=20))
+
+
 # ------------------------------------------------------------------ 9
 
 def brute_url(u):
