@@ -13,7 +13,9 @@ the bins that hold duplicates, and places the displaced items by best fit,
 largest first. After each epoch an island's best solution migrates to the next
 island of its ring. The best solution of a block wins; its badly filled bins are
 dissolved, and their items form the (far fewer) blocks of the next level, until one
-block is left. Nothing is gathered beyond a block, whatever the input's size.
+block is left. Where nearly all bins are badly filled (lengths that don't add up to a
+sequence), only the emptiest bins of each block go on, into half as many blocks at most,
+so a block's part-filled rest always meets those of the others. Nothing is gathered beyond a block, whatever the input's size.
 
 Defined cases: a null or empty text is one end id; repeated rows and repeated or
 null doc_ids are packed row by row; an empty table gives no rows.
@@ -26,7 +28,7 @@ import zlib
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlens.llm import common as c
@@ -42,7 +44,8 @@ class Search:
     epochs: int = 2
     population: int = 4
     children: int = 6
-    #: bins at least this full are worth inheriting, and final at the end of a level
+    #: bins at least this full, compared with the parent's fullest, are worth inheriting; compared with a
+    #: sequence, final at the end of a level
     well_filled: float = 0.995
     seed: int = 17
 
@@ -133,9 +136,10 @@ def packed(order: list[int], lens: list[int], capacity: int) -> Packing:
 
 
 def crossover(a: Packing, b: Packing, lens: list[int], capacity: int, well: float, rng: random.Random) -> Packing:
-    """Whole well-filled bins of ``a`` go into ``b``; bins of ``b`` that share an item with them
+    """Whole well-filled bins of ``a`` go into ``b`` (well-filled: against the parent's fullest bin); bins of ``b`` that share an item with them
     are removed, and their other items find a place by best fit, largest first."""
-    full = [k for k, f in enumerate(a.fill) if f >= well * capacity and rng.random() < 0.5]
+    worth = well * max(a.fill, default=0)
+    full = [k for k, f in enumerate(a.fill) if f >= worth and rng.random() < 0.5]
     taken = bytearray(len(lens))
     bins, fill = [], []
     for k in full:
@@ -144,7 +148,7 @@ def crossover(a: Packing, b: Packing, lens: list[int], capacity: int, well: floa
         for i in a.bins[k]:
             taken[i] = 1
     displaced: list[int] = []
-    weak = capacity * well
+    weak = well * max(b.fill, default=0)
     for k, own in enumerate(b.bins):
         if any(taken[i] for i in own) or b.fill[k] < weak and rng.random() < 0.5:
             displaced += [i for i in own if not taken[i]]
@@ -255,6 +259,14 @@ def _solve_level(items: DataFrame, n_blocks: int, level: int, capacity: int, s:
     return won.mapInArrow(_placed_rows(level, capacity), "uid bigint, length int, sequence_id bigint, offset bigint, fill bigint")
 
 
+def _emptiest(solved: DataFrame) -> DataFrame:
+    """``sequence_id`` of the emptiest sixteenth of each block's bins, one at least."""
+    bins = solved.groupBy("sequence_id").agg(F.first("fill").alias("fill")).withColumn("block", F.shiftright("sequence_id", 20))
+    of_block = Window.partitionBy("block")
+    return (bins.withColumn("k", F.row_number().over(of_block.orderBy("fill", "sequence_id"))).withColumn("n", F.count("*").over(of_block))
+            .filter("k <= greatest(1, n div 16)").select("sequence_id"))
+
+
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = SEQUENCE, path: str | None = None,
          search: Search = Search()) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
@@ -262,18 +274,24 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: in
     items = cut.filter(F.col("length") < length).select("uid", F.col("length").cast("int").alias("length"))
     n = items.count()
     final: list[DataFrame] = []
-    level = 0
+    level, most = 0, n
     while n:
-        n_blocks = -(-n // search.block_items)
+        n_blocks = min(most, -(-n // search.block_items))
         solved = c.stored(_solve_level(items, n_blocks, level, length, search), "packed")
         full = F.col("fill") >= search.well_filled * length
         left = solved.filter(~full)
         m = left.count() if n_blocks > 1 else 0
-        # a level that leaves nearly everything badly filled can't be helped by another
-        if n_blocks == 1 or m > 0.9 * n:
+        if n_blocks == 1:
             final.append(solved)
             break
-        final.append(solved.filter(full))
+        if m > 0.9 * n:
+            # another level can't help them all, but the blocks' rests
+            picked = c.stored(_emptiest(solved), "emptiest")
+            left = c.stored(solved.join(picked, "sequence_id", "left_semi"), "rests")
+            m, most = left.count(), n_blocks // 2
+            final.append(solved.join(picked, "sequence_id", "left_anti").select(solved.columns))
+        else:
+            final.append(solved.filter(full))
         items, n, level = left.select("uid", "length"), m, level + 1
     own = cut.filter(F.col("length") == length).withColumn("sequence_id", -1 - F.col("uid")).withColumn("offset", F.lit(0).cast("bigint")).drop("uid")
     if not final:

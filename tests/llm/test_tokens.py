@@ -109,6 +109,24 @@ def test_packing_levels(spark):
     assert n <= 1.06 * least
 
 
+def test_packing_merges_the_rests_of_blocks(spark):
+    """Equal lengths, two to a sequence: all bins are 69% full, and still no block keeps a half one of its own."""
+    rows = [(i, " ".join(["the"] * 43)) for i in range(161)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack(df, length=128, search=packing.Search(block_items=20)).collect()
+    assert {r.length for r in got} == {44}
+    assert check_packing(got, dict(rows), 128) == 81
+
+
+def test_crossover_inherits_the_best_bins_there_are():
+    lens = [34] * 40
+    a = packing.from_assignment([i // 2 for i in range(40)], lens, 100)
+    b = packing.from_assignment([min(i, 39 - i) for i in range(40)], lens, 100)
+    child = packing.crossover(a, b, lens, 100, 0.995, random.Random(1))
+    assert sum(sorted(x) in a.bins for x in child.bins) > 3
+    assert sorted(i for x in child.bins for i in x) == list(range(40))
+
+
 def test_packing_edges(spark):
     df = spark.createDataFrame([(1, None, 2), (1, "a", 3), (None, "a", 4), (1, "a", 5)], "doc_id long, text string, piece int")
     got = packing.pack(df).collect()
