@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import (contamination, conversations, language, packing, prefix_counts, quality, secrets, simhash, substrings,
+from pairlens.llm import (contamination, conversations, language, lexical, packing, prefix_counts, quality, secrets, simhash, substrings,
                           token_codes, urls)
 from pairlens.llm.common import fresh_path, stored, table
 from pairlens.llm.sql import SQL  # noqa: F401  (registered by __spark_entry__)
@@ -80,6 +80,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.contract_rows(table(spark, sf_dir, "conversations"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build(table(spark, sf_dir, "documents"))
+    return lexical.search(index, table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_codes, op2_substring_dedup, op3_language, op4_decontaminate, op5_packing, op6_secrets, op7_quality_rules,
-    op8_token_counts, op9_url_filters, op10_simhash, op11_conversation_repair)}
+    op8_token_counts, op9_url_filters, op10_simhash, op11_conversation_repair, op12_lexical_search)}

@@ -1,5 +1,5 @@
 """DuckDB SQL for the operators that SQL can express: substring dedup (2), decontamination (4),
-secret scans (6), quality rules (7) and URL filters (9, with 20 rounds of the link graph). Patterns
+secret scans (6), quality rules (7), URL filters (9, with 20 rounds of the link graph) and lexical search (12). Patterns
 and thresholds are written out again here. Token ids (1, 5, 8), XXH64 (10) and a trained model (3)
 can't be expressed; their queries are tested against plain Python."""
 
@@ -168,3 +168,25 @@ links AS (
 blocked AS (SELECT bad.host FROM bad LEFT JOIN good ON good.host = bad.host WHERE bad > 0.75 * (bad + coalesce(good, 0.0)))
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+SQL["op12_lexical_search"] = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_TERM}') AS words FROM documents),
+total AS (SELECT count(*) AS big_n, CAST(sum(len(words)) AS BIGINT) AS big_l FROM d WHERE len(words) > 0),
+norm AS (SELECT r, doc_id, 100 - 25 + (25 * len(words) * big_n) // big_l AS m FROM d, total WHERE len(words) > 0),
+post AS (SELECT r, word, count(*) AS tf FROM (SELECT r, unnest(words) AS word FROM d) GROUP BY r, word),
+weight AS (
+  SELECT word, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT word, count(*) AS df FROM post GROUP BY word), total),
+ask AS (
+  SELECT k, item_id, word, count(*) AS times
+  FROM (SELECT k, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_TERM}')) AS word
+        FROM (SELECT row_number() OVER () AS k, item_id, text FROM benchmark))
+  GROUP BY k, item_id, word),
+hit AS (
+  SELECT k, item_id, doc_id, r, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM ask JOIN weight USING (word) JOIN post USING (word) JOIN norm USING (r) GROUP BY k, item_id, doc_id, r),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM hit WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20"""
