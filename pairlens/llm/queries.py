@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import (contamination, conversations, language, lexical, packing, prefix_counts, quality, secrets, simhash, substrings,
-                          token_codes, urls)
+from pairlens.llm import (contamination, conversations, language, lexical, packing, prefix_counts, quality, secrets, simhash,
+                          substrings, token_codes, toxicity, urls)
 from pairlens.llm.common import fresh_path, stored, table
 from pairlens.llm.sql import SQL  # noqa: F401  (registered by __spark_entry__)
 
@@ -85,6 +85,14 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(index, table(spark, sf_dir, "benchmark"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str, threshold: float = 0.3) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.detect(docs, table(spark, sf_dir, "labels"), name="score")
+    return scored.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_codes, op2_substring_dedup, op3_language, op4_decontaminate, op5_packing, op6_secrets, op7_quality_rules,
-    op8_token_counts, op9_url_filters, op10_simhash, op11_conversation_repair, op12_lexical_search)}
+    op8_token_counts, op9_url_filters, op10_simhash, op11_conversation_repair, op12_lexical_search,
+    op13_toxicity)}
