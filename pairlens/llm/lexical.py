@@ -39,9 +39,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from pairlens.llm import common as c
 
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: bytes of terms stay (A-Z in lower case), all others become blanks
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+_IN_TERM = np.frombuffer(_TERM_BYTES, np.uint8) != 32
 SLICE = 1 << 20
 SHARD_BYTES = 16 << 20
 SHARD_DOCS = 1 << 16
@@ -61,6 +61,27 @@ def term_counts(text: str) -> Counter:
     return out
 
 
+@F.arrow_udf(T.LongType())
+def term_totals(texts: pa.Array) -> pa.Array:
+    """Number of terms of each text, counted over the bytes of the whole column: a term starts
+    at a byte of a term behind another byte or at the start of its text."""
+    raw = texts.cast(pa.large_binary())
+    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
+    ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset:raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int64)
+    total = np.zeros(len(raw), np.int64)
+    for a in range(int(ends[0]), int(ends[-1]), SLICE):
+        b = min(a + SLICE, int(ends[-1]))
+        inside = _IN_TERM[data[a:b]]
+        behind = np.empty_like(inside)
+        behind[1:] = inside[:-1]
+        behind[0] = _IN_TERM[data[a - 1]] if a else False
+        behind[ends[(ends >= a) & (ends < b)] - a] = False
+        starts = np.concatenate([[0], np.cumsum(inside & ~behind)])
+        at = starts[np.clip(ends, a, b) - a]
+        total += at[1:] - at[:-1]
+    return pa.array(total)
+
+
 def impact(tf, m):
     return (1_000_000_000 * tf) // (1000 * tf + 12 * m)
 
@@ -130,8 +151,7 @@ def _batch(schema: pa.Schema, **columns: pa.Array) -> pa.RecordBatch:
 def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES, shard_docs: int = SHARD_DOCS) -> Index:
     """The index of every term of every document, in the shared folder."""
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    n = F.regexp_count("text", F.lit(TERM))
-    total = rows.select(n.alias("n")).filter("n > 0").agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
+    total = rows.select(term_totals("text").alias("n")).filter("n > 0").agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
     schema = T.StructType([
         T.StructField("shard", T.LongType()), T.StructField("term", T.StringType()), T.StructField("df", T.LongType()),
         T.StructField("docs", T.ArrayType(T.IntegerType())), T.StructField("tfs", T.ArrayType(T.LongType())),

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from pairlens.llm import lexical, queries
@@ -87,6 +88,16 @@ def test_long_text_and_slices(monkeypatch):
         assert lexical.term_counts(text) == whole
 
 
+def test_term_totals(texts, monkeypatch):
+    column = pa.array([*texts, None, "", "ab", "cd", "é", "-a-", "x"])
+    want = [len(terms(t)) for t in column.to_pylist()]
+    for size in (1, 5, 1000, 1 << 20):
+        monkeypatch.setattr(lexical, "SLICE", size)
+        some = column if size > 100 else column[-40:]
+        assert lexical.term_totals.func(some).to_pylist() == want[-len(some):]
+    assert lexical.term_totals.func(column[:0]).to_pylist() == []
+
+
 def test_query_and_sql(spark, save, docs):
     benchmark = spark.createDataFrame([(1, "w1 w2 w3."), (2, "Two words ß"), (3, None)], "item_id long, text string")
     folder = save(documents=docs, benchmark=benchmark)
