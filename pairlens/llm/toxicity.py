@@ -82,6 +82,8 @@ class Model:
         return float(self.vectors[both[0]] @ self.vectors[both[1]])
 
     def score(self, text: str | None) -> float:
+        if not self.slope:
+            return 0.0
         return float(_logistic(self.slope * self.margin(term_ids(text, self.bits)) + self.shift))
 
 
