@@ -451,6 +451,10 @@ def q_dataset_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.dataset_scan(spark, sf_dir).select(_long("pair_id"), "chosen", "rejected")
 
 
+def q_dataset_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rt.dataset_rows(spark, sf_dir).select(_long("pair_id"), "chosen", "rejected")
+
+
 def q_variant_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.variant_scan(spark, sf_dir, P).select(
         "variant", _long("pair_id"), _long("rank"), "chosen", "rejected", _dbl("saescore"))
@@ -487,6 +491,7 @@ QUERIES.update({
     "interpretation_json": q_interpretation_json,
     "score_scan": q_score_scan,
     "dataset_scan": q_dataset_scan,
+    "dataset_rows": q_dataset_rows,
     "variant_scan": q_variant_scan,
     "preference_sequences": q_preference_sequences,
     "dictionary_scan": q_dictionary_scan,

@@ -664,6 +664,8 @@ SQL["score_scan"] = SQL["pair_scores"]
 SQL["dataset_scan"] = with_(PAIRS) + """
 SELECT CAST(pair_id AS BIGINT) AS pair_id, chosen, rejected FROM pairs"""
 
+SQL["dataset_rows"] = SQL["dataset_scan"]
+
 SQL["variant_scan"] = f"SELECT * FROM ({SQL['flip_variants']}) UNION ALL SELECT * FROM ({SQL['drop_variants']})"
 
 SQL["preference_sequences"] = SQL["pairs_to_sequences"]

@@ -15,6 +15,7 @@ from pairlens.operators import features as feat
 from pairlens.operators import interpret as itp
 from pairlens.plans import corpus, discovery, inputs
 from pairlens.sinks import files as sink
+from pairlens.sources import arrow_dataset
 from pairlens.sources import files as src
 
 
@@ -96,18 +97,27 @@ def score_scan(spark: SparkSession, sf_dir: str, p: Params = TEST) -> DataFrame:
 
 
 def dataset_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S3: a preference dataset folder with a ``train`` split."""
+    """S3: a preference dataset folder with a ``train`` and a ``test`` split."""
     path = sink.scratch_path(spark, "dataset")
-    inputs.pairs(spark, sf_dir).write.mode("overwrite").parquet(path + "/train")
+    pairs = inputs.pairs(spark, sf_dir)
+    arrow_dataset.write_splits({"train": pairs, "test": pairs.limit(0)}, path)
     return src.read_preference_dataset(spark, path)
 
 
+def dataset_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3 without ids: pairs in order, their number is their place in the dataset."""
+    path = sink.scratch_path(spark, "dataset-rows")
+    arrow_dataset.write(inputs.pairs(spark, sf_dir).orderBy("pair_id").select("chosen", "rejected"), path)
+    rows = arrow_dataset.numbered(spark, path, ["chosen", "rejected"])
+    return rows.select((F.col("row") + 1).alias("pair_id"), "chosen", "rejected")
+
+
 def preference_sequences(spark: SparkSession, sf_dir: str, p: Params = TEST) -> DataFrame:
     """S3 on message arrays through T11, T12 and T13: a preference dataset with
     chosen and rejected conversations, written with a ``train`` split, read back,
     rendered, tokenized and laid out as reward-model sequences."""
     path = sink.scratch_path(spark, "messages")
-    chat.conversation_pairs(inputs.table(spark, sf_dir, "conversations")).write.parquet(path + "/train")
+    arrow_dataset.write_splits({"train": chat.conversation_pairs(inputs.table(spark, sf_dir, "conversations"))}, path)
     return chat.pairs_to_sequences(chat.tokenize_pairs(src.read_preference_dataset(spark, path), p.rm_max_length))
 
 
@@ -118,10 +128,10 @@ def variant_scan(spark: SparkSession, sf_dir: str, p: Params = TEST) -> DataFram
     run = corpus.run_pairs(spark, sf_dir, p)
     scored = curate.attach_scores(inputs.pairs_from_keys(spark, sf_dir, run.keys), corpus.corpus_scores(run, spark, sf_dir))
     flips, drops = sink.scratch_path(spark, "flip-variants"), sink.scratch_path(spark, "drop-variants")
-    sink.write_variants(curate.flip_variants(scored), flips)
-    sink.write_variants(curate.drop_variants(scored), drops)
-    return (src.read_variants(spark, flips, [curate.flip_name(s) for s in FLIP_SHARES])
-            .unionByName(src.read_variants(spark, drops, [curate.drop_name(s) for s in DROP_SHARES])))
+    flip_names, drop_names = [curate.flip_name(s) for s in FLIP_SHARES], [curate.drop_name(s) for s in DROP_SHARES]
+    sink.write_variants(curate.flip_variants(scored), flips, flip_names)
+    sink.write_variants(curate.drop_variants(scored), drops, drop_names)
+    return src.read_variants(spark, flips, flip_names).unionByName(src.read_variants(spark, drops, drop_names))
 
 
 def dictionary_scan(spark: SparkSession, sf_dir: str, p: Params = TEST):

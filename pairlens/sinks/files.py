@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pairlens.session import checkpoint_dir
 from pairlens.operators.vectors import FeatureDictionary
+from pairlens.sources import arrow_dataset
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -77,30 +78,11 @@ def write_pair_scores(scores: DataFrame, path: str, placeholder: bool = True) ->
     rows.write.mode("overwrite").option("sep", " ").csv(path)
 
 
-def write_variants(tagged: DataFrame, path: str) -> None:
-    """K6: one dataset per variant under ``path``, each in a folder of the variant's name
-    (``flip_5.00%``, ``remove_2.0%``).
-
-    All variants are written in one partitioned pass beside the target; Spark
-    escapes ``%`` in the folder names of a partitioned write, so the finished
-    folders are then renamed (no data moves)."""
-    spark = tagged.sparkSession
-    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
-    tagged.write.partitionBy("variant").parquet(staged)
-    jvm = spark.sparkContext._jvm
-    to_path = jvm.org.apache.hadoop.fs.Path
-    fs = to_path(staged).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    unescape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
-    fs.mkdirs(to_path(path))
-    for status in fs.listStatus(to_path(staged)):
-        name = status.getPath().getName()
-        if name.startswith("variant="):
-            target = to_path(path, unescape(name[len("variant="):]))
-            if fs.exists(target):
-                fs.delete(target, True)
-            if not fs.rename(status.getPath(), target):
-                raise OSError(f"could not put {name} at {target}")
-    fs.delete(to_path(staged), True)
+def write_variants(tagged: DataFrame, path: str, names: list[str] = ()) -> None:
+    """K6: one Arrow dataset per variant under ``path``, each in a folder of the variant's name
+    (``flip_5.00%``, ``remove_2.0%``), all in one pass. The folders of ``names`` are made even
+    if no row has that variant."""
+    arrow_dataset.write(tagged, path, folder_column="variant", folders=names)
 
 
 def write_dictionary(d: FeatureDictionary, path: str) -> None:

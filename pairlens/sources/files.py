@@ -1,23 +1,21 @@
 """File sources.
 
 Line order matters for several inputs (pair identity comes from the line
-number; id lists are ranked by line order). Spark's text source gives no line
-numbers, so ``numbered_lines`` derives them without gathering a file in one
-place, from one tagged copy of the lines in the shared folder.
+number; id lists are ranked by line order): ``sources.lines`` numbers lines
+while it reads them.
 """
 
 from __future__ import annotations
 
 import os
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlens.operators.ranking import global_rank
 from pairlens.operators.vectors import FeatureDictionary
-from pairlens.session import checkpoint_dir
+from pairlens.sources import arrow_dataset
+from pairlens.sources.lines import numbered_lines
 
 
 def _text_lines(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
@@ -27,48 +25,6 @@ def _text_lines(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
     return reader.text(path)
 
 
-def _file_order(file: str) -> list[F.Column]:
-    """Files in order of their folder, then part number (part-100000 comes after
-    part-99999), then name."""
-    folder = F.regexp_extract(file, r"^(.*)/[^/]*$", 1)
-    part = F.expr("try_cast(regexp_extract(" + file + r", '/part-(\\d+)[^/]*$', 1) as bigint)")
-    return [folder.alias("_folder"), part.alias("_part"), F.col(file)]
-
-
-def numbered_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """``line_no`` (1-based, over all files in ``_file_order``), ``file`` (full path), ``value``.
-
-    One scan tags each line with its file, its split's offset and an id that
-    increases along the split, and is written to the shared folder; everything
-    else reads that copy, so a change of split settings (or of the number of
-    cores) between building and running can't move a line. A line's number is
-    the number of lines in the splits before its own plus its place in the
-    split. Split offsets come from two small windows, inside each file over its
-    splits and over the files; they are joined back, never collected. A line
-    without a match would show up as an error, not as a missing row.
-    """
-    tagged = _text_lines(spark, path, glob).select(
-        "value",
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_seq"),
-    )
-    copy = os.path.join(checkpoint_dir(spark), "lines", uuid.uuid4().hex)
-    tagged.write.parquet(copy)
-    lines = spark.read.schema("value STRING, file STRING, _block BIGINT, _seq BIGINT").parquet(copy)
-    splits = lines.groupBy("file", "_block").agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
-    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_block")) - F.col("_n")
-    in_file = splits.select("file", "_block", "_first", before.alias("_in_file"))
-    files = splits.groupBy("file").agg(F.sum("_n").alias("_n")).select("*", *_file_order("file")[:2])
-    by_file = files.select("file", (F.sum("_n").over(Window.orderBy("_folder", F.col("_part").asc_nulls_first(), "file"))
-                                    - F.col("_n")).alias("_before"))
-    offsets = in_file.join(by_file, "file")
-    number = F.col("_before") + F.col("_in_file") + F.col("_seq") - F.col("_first") + 1
-    return (lines.join(offsets, ["file", "_block"], "left")
-            .select(F.when(number.isNull(), F.raise_error(F.concat(F.lit("no split found for a line of "), F.col("file"))).cast("bigint"))
-                    .otherwise(number).alias("line_no"), "file", "value"))
-
-
 #: JSON as the original's parser takes it
 _STRICT = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false",
            "allowUnquotedFieldNames": "false", "allowComments": "false"}
@@ -118,7 +74,10 @@ def line_pairs(corpus: DataFrame) -> DataFrame:
 
 
 def read_preference_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """S3: a preference dataset folder; its ``train`` split when there is one."""
+    """S3: a preference dataset folder, its ``train`` split when there is one. Arrow dataset
+    folders are known by their state file, others hold Parquet files."""
+    if arrow_dataset.is_dataset(path) or arrow_dataset.is_dataset(os.path.join(path, "train")):
+        return arrow_dataset.read(spark, path)
     train = os.path.join(path, "train")
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(train)
     fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -127,7 +86,7 @@ def read_preference_dataset(spark: SparkSession, path: str) -> DataFrame:
 
 def read_variants(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """K6 read back: the datasets of the named variants, tagged with ``variant``."""
-    parts = [spark.read.parquet(f"{path.rstrip('/')}/{n}").withColumn("variant", F.lit(n)) for n in names]
+    parts = [arrow_dataset.read(spark, f"{path.rstrip('/')}/{n}", split=None).withColumn("variant", F.lit(n)) for n in names]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -142,11 +101,8 @@ def read_feature_values(spark: SparkSession, path: str) -> DataFrame:
 def read_id_list(spark: SparkSession, path: str) -> DataFrame:
     """One id per line; rank = line order (1-based over kept lines), blank
     lines skipped, the leading integer of a line is the id."""
-    lines = numbered_lines(spark, path)
-    ids = lines.select("line_no", F.regexp_extract("value", r"^\s*(\d+)", 1).alias("id"))
-    kept = ids.filter(F.col("id") != "").select("line_no", F.col("id").cast("int").alias("latent"))
-    ranked = global_rank(kept.select("line_no", "latent"), [F.col("line_no")], "_r")
-    return ranked.select((F.col("_r") + 1).alias("rank"), "latent")
+    lines = numbered_lines(spark, path, keep=r"[ \t\n\x0b\f\r]*[0-9]")
+    return lines.select(F.col("line_no").alias("rank"), F.regexp_extract("value", r"^\s*(\d+)", 1).cast("int").alias("latent"))
 
 
 def read_contrast(spark: SparkSession, path: str) -> DataFrame:
