@@ -7,6 +7,7 @@ while it reads them.
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,33 +19,21 @@ from pairlens.sources import arrow_dataset
 from pairlens.sources.lines import numbered_lines
 
 
-def _text_lines(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
-    reader = spark.read
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path)
-
-
-#: JSON as the original's parser takes it
-_STRICT = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false",
-           "allowUnquotedFieldNames": "false", "allowComments": "false"}
-
-
-def _parsed_lines(lines: DataFrame, field: str) -> DataFrame:
-    """``line_no, file, record`` with a null record for lines that don't parse.
-
-    ``from_json`` stops after a complete value and ignores what follows it, so
-    the line is parsed inside an array and inside an object: no text after the
-    closing brace fits both.
-    """
-    record = T.StructType([T.StructField(field, T.StringType())])
-    inside = lambda kind, text: F.from_json(text, T.StructType([T.StructField("v", kind), T.StructField("_corrupt", T.StringType())]), _STRICT)
-    value = F.trim(F.regexp_replace("value", r"^[\s\x1c-\x1f\x85\xa0\u2028\u2029\u3000]+|[\s\x1c-\x1f\x85\xa0\u2028\u2029\u3000]+$", ""))
-    one = inside(T.ArrayType(record), F.concat(F.lit('{"v":['), value, F.lit("]}")))
-    two = inside(record, F.concat(F.lit('{"v":'), value, F.lit("}")))
-    good = (value.startswith("{") & one["_corrupt"].isNull() & two["_corrupt"].isNull() & (F.size(one["v"]) == 1)
-            & two["v"].isNotNull())
-    return lines.select("line_no", "file", F.when(good, two["v"]).alias("record"))
+def json_field(line: bytes, field: str) -> str | None:
+    """A field of a JSON line as the original's parser reads it: '' if the field is missing, None if
+    the line does not parse or is no object. Values that are no strings come as JSON."""
+    try:
+        record = json.loads(line.decode("utf-8", "replace").strip())
+    except (ValueError, RecursionError):
+        return None
+    if not isinstance(record, dict):
+        return None
+    value = record.get(field)
+    if value is None:
+        return ""
+    # a lone surrogate (an escape without its partner) is no text
+    value = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    return value.encode("utf-8", "replace").decode("utf-8")
 
 
 def read_jsonl_corpus(spark: SparkSession, path: str, field: str = "text",
@@ -52,17 +41,14 @@ def read_jsonl_corpus(spark: SparkSession, path: str, field: str = "text",
     """JSON-lines corpus. Every line takes a number, bad lines included;
     lines that do not parse are dropped; a missing field gives ''.
     Output ``line_no, file, text``."""
-    parsed = _parsed_lines(numbered_lines(spark, path, glob), field)
-    return parsed.filter("record is not null").select(
-        "line_no", "file", F.coalesce(F.col("record")[field], F.lit("")).alias("text"))
+    lines = numbered_lines(spark, path, glob, each=lambda line: json_field(line, field))
+    return lines.withColumnRenamed("value", "text")
 
 
 def bad_lines(spark: SparkSession, path: str, field: str = "text", glob: str = "*.jsonl") -> DataFrame:
     """S1's report: per file the number of lines and of those that do not parse."""
-    lines = _text_lines(spark, path, glob).select(
-        F.lit(0).alias("line_no"), F.col("_metadata.file_path").alias("file"), "value")
-    return _parsed_lines(lines, field).groupBy("file").agg(
-        F.count("*").alias("n_lines"), F.count_if(F.col("record").isNull()).alias("n_bad"))
+    lines = numbered_lines(spark, path, glob, each=lambda line: "bad" if json_field(line, field) is None else "")
+    return lines.groupBy("file").agg(F.count("*").alias("n_lines"), F.count_if(F.col("value") == "bad").alias("n_bad"))
 
 
 def line_pairs(corpus: DataFrame) -> DataFrame:

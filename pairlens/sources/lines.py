@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import fnmatch
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -162,8 +162,10 @@ def index_lines(spark: SparkSession, path: str, glob: str | None = None, keep: s
     return stored(first.select("file_no", "file", "size", "start", "stop", "first"), "line-index")
 
 
-def numbered_lines(spark: SparkSession, path: str, glob: str | None = None, keep: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``line_no`` (from 1, over all files in order), ``file``, ``value`` of every line."""
+def numbered_lines(spark: SparkSession, path: str, glob: str | None = None, keep: str | None = None, block_bytes: int = BLOCK_BYTES,
+                   each: Callable[[bytes], str | None] | None = None) -> DataFrame:
+    """``line_no`` (from 1, over all files in order), ``file``, ``value`` of every line. ``each`` turns a line
+    into its value as it is read; lines it gives None for take a number and don't come out."""
     index = index_lines(spark, path, glob, keep, block_bytes)
     n = index.count()
     schema = pa.schema([("line_no", pa.int64()), ("file", pa.string()), ("value", pa.string())])
@@ -173,8 +175,14 @@ def numbered_lines(spark: SparkSession, path: str, glob: str | None = None, keep
             system, _ = open_path(path)
             for lines in block_lines(system, file, start, stop, size):
                 own = _kept(lines, keep)
-                if len(own):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(own))), pa.array([file] * len(own), pa.string()), _text(own)], schema=schema)
+                numbers, values = np.arange(first, first + len(own)), None
+                if each is None:
+                    values = _text(own)
+                else:
+                    made = pa.array([each(x.as_py()) for x in own], pa.string())
+                    numbers, values = numbers[made.is_valid().to_numpy(zero_copy_only=False)], made.drop_null()
+                if len(values):
+                    yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array([file] * len(values), pa.string()), values], schema=schema)
                 first += len(own)
 
     return index.repartition(max(1, min(n, 100_000))).mapInArrow(read, "line_no bigint, file string, value string")

@@ -108,8 +108,9 @@ def test_equal_names_in_subfolders_and_long_part_numbers(spark, tmp_path):
 
 
 BAD_JSON = ["{'text': 'single'}", '{"text": "x"} trailing', '{"text": "x"}{"text": "y"}', '{"text": "x"},{"text": "y"}', '{"text": "x"}]',
-            '{"text": "x"}}', '{"text": "x"}] }', '{"text": "x"}} {', '{text: "x"}', '{"text": "x"', "", "nothing", '{"text": "x"} // c']
-GOOD_JSON = [('{"text": "a\\u00e9\\n"}', "a\u00e9\n"), ('  {"text": "b", "more": [1, {"x": "}"}]} \u00a0', "b"), ('{"other": 1}', ""), ("{}", "")]
+            '{"text": "x"}}', '{"text": "x"}] }', '{"text": "x"}} {', '{text: "x"}', '{"text": "x"', "", "nothing", '{"text": "x"} // c', "[1]", '"text"', "[" * 100_000]
+GOOD_JSON = [('{"text": "a\\u00e9\\n"}', "a\u00e9\n"), ('  {"text": "b", "more": [1, {"x": "}"}]} \u00a0', "b"), ('{"other": 1}', ""), ("{}", ""), ('{"text": null}', ""),
+             ('{"text": {"a": [1, "é"]}}', '{"a":[1,"é"]}'), ('{"text": 7, "text": 8}', "8"), ('{"text": "\\ud800x"}', "?x")]
 
 
 def test_json_lines_are_strict(spark, tmp_path):
