@@ -1,10 +1,11 @@
 """Activation contexts (T14, T15), strongest contexts per feature.
 
 A context is the window of chunk tokens around an activated position,
-bounded by end tokens, with the activated token replaced by a mark. The
-activations are joined to their chunk on the chunk key (an equi-join), the
-window is cut with array functions inside the row, and only the window text
-goes on. The per-feature top-10 is a ranked window whose row limit Spark
+bounded by end tokens, with the activated token replaced by a mark. It depends
+on the position only, so the activations of a chunk are gathered (at most k per
+segment) and meet the chunk's tokens in one row: each token array is joined once, each
+window is cut once, whatever the number of features that fire there, and only
+the window texts go on. The per-feature top-10 is a ranked window whose row limit Spark
 applies map-side (WindowGroupLimit) before the shuffle, so a feature that
 fires on a third of all rows still ships at most 10 rows per task.
 """
@@ -46,8 +47,8 @@ def _trim_ends(arr: Column, values) -> Column:
     return F.when(F.arrays_overlap(arr, F.array(*[F.lit(v) for v in values])), trimmed).otherwise(arr)
 
 
-def with_context(df: DataFrame, tokens: str, pos: str, window: int, out: str = "context") -> DataFrame:
-    """T14 for one activation per row: adds ``out`` (null when there is no valid context).
+def context_of(t: Column, p: Column, window: int) -> Column:
+    """The context of position ``p`` in the tokens ``t`` (null when there is no valid one).
 
     Bounds: scan left at most window//2 + 1 tokens and right at most
     window//2 + 1 (end exclusive), stopping at end tokens; if the span is longer
@@ -58,7 +59,6 @@ def with_context(df: DataFrame, tokens: str, pos: str, window: int, out: str = "
     multiply the expression when it pushes the validity filter down.
     """
     half = window // 2
-    t, p = F.col(tokens), F.col(pos)
 
     def bounds(b):
         lo, hi = b["lo"], b["hi"]
@@ -89,26 +89,59 @@ def with_context(df: DataFrame, tokens: str, pos: str, window: int, out: str = "
 
     lo_hi = F.struct(F.greatest(p - (half + 1), F.lit(0)).alias("lo"),
                      F.least(F.size(t) - 1, p + half + 1).alias("hi"))
-    return df.withColumn(out, let(let(let(lo_hi, bounds), window_of), render))
+    return let(let(let(lo_hi, bounds), window_of), render)
+
+
+def with_context(df: DataFrame, tokens: str, pos: str, window: int, out: str = "context") -> DataFrame:
+    """T14 for one position per row: adds ``out``."""
+    return df.withColumn(out, context_of(F.col(tokens), F.col(pos), window))
+
+
+def cut_contexts(acts: DataFrame, chunks: DataFrame, chunk_keys: list[str], window: int) -> DataFrame:
+    """T14 for every activation row (``chunk_keys``, end_pos and any other columns): adds ``context`` and drops
+    rows without one. ``chunks`` holds ``chunk_keys`` and ``tokens``; what follows the real tokens may be cut
+    to one end token. One row per chunk takes part in the join; its number of activations is bounded by the
+    segments of a chunk times k."""
+    carried = [c for c in acts.columns if c not in chunk_keys]
+    by_chunk = acts.groupBy(*chunk_keys).agg(F.collect_list(F.struct(*carried)).alias("_acts"))
+
+    def rows(ends: Column) -> Column:
+        cut = F.transform(ends, lambda e: context_of(F.col("tokens"), e, window))
+        return let(cut, lambda own: F.transform("_acts", lambda a: F.struct(
+            *[a[c].alias(c) for c in carried], F.get(own, F.array_position(ends, a["end_pos"]).cast("int") - 1).alias("context"))))
+
+    ends = F.array_distinct(F.transform("_acts", lambda a: a["end_pos"]))
+    return (by_chunk.join(chunks.select(*chunk_keys, "tokens"), chunk_keys)
+            .select(*chunk_keys, F.inline(let(ends, rows))).filter(F.col("context").isNotNull()))
+
+
+def token_class(token: Column) -> Column:
+    """The class of an activated token."""
+    return F.lower(F.trim(token))
+
+
+def with_token_class(acts: DataFrame, chunks: DataFrame, chunk_keys: list[str]) -> DataFrame:
+    """T15 for activations that don't carry the class of their token: it is looked up once per position."""
+    at = acts.select(*chunk_keys, "end_pos").distinct().join(chunks.select(*chunk_keys, "tokens"), chunk_keys)
+    classes = at.select(*chunk_keys, "end_pos", token_class(F.element_at("tokens", F.col("end_pos") + 1)).alias("token_class"))
+    return acts.join(classes, [*chunk_keys, "end_pos"])
+
+
+def _classed(acts: DataFrame, chunks: DataFrame, chunk_keys: list[str], class_from_token: bool) -> DataFrame:
+    """The mark replaces the activated token before its class is read, so the original's class is always empty."""
+    if not class_from_token:
+        return acts.withColumn("token_class", F.lit(""))
+    return acts if "token_class" in acts.columns else with_token_class(acts, chunks, chunk_keys)
 
 
 def activation_contexts(acts: DataFrame, chunks: DataFrame, chunk_keys: list[str], window: int,
                         class_from_token: bool = False) -> DataFrame:
     """T14 + T15 for every activation row (``chunk_keys``, end_pos, latent, value).
 
-    ``chunks`` holds ``chunk_keys`` and ``tokens``. Output adds ``context`` and
-    ``token_class``; activations without a valid context are dropped.
+    Output adds ``context`` and ``token_class``; activations without a valid
+    context are dropped.
     """
-    joined = with_context(acts.join(chunks.select(*chunk_keys, "tokens"), chunk_keys),
-                          "tokens", "end_pos", window)
-    if class_from_token:
-        cls = F.lower(F.trim(F.element_at("tokens", F.col("end_pos") + 1)))
-    else:
-        # The mark replaces the activated token before its class is read, so the
-        # class is always empty.
-        cls = F.lit("")
-    return (joined.withColumn("token_class", cls)
-            .drop("tokens").filter(F.col("context").isNotNull()))
+    return cut_contexts(_classed(acts, chunks, chunk_keys, class_from_token), chunks, chunk_keys, window)
 
 
 def top_contexts(contexts: DataFrame, per_class: int) -> DataFrame:
@@ -126,29 +159,27 @@ def top_contexts(contexts: DataFrame, per_class: int) -> DataFrame:
 
 def strongest_contexts(acts: DataFrame, chunks: DataFrame, chunk_keys: list[str], window: int,
                        per_class: int, class_from_token: bool = False) -> DataFrame:
-    """T14 + T15 + W4 with windows cut only for candidates (class '' as in the original).
+    """T14 + T15 + W4 with windows cut only for candidates (class '' as in the original, or with
+    ``class_from_token`` that of the activated token: any number of classes).
 
     ``acts`` carries ``end_ok`` (the segment end has a window: see
     operators.text.segments). Among valid activations, the top ``per_class``
-    by (activation, context) are at least as large as the feature's
+    by (activation, context) of a feature and class are at least as large as its
     ``per_class``-th largest activation. That bound comes from a window that each
-    task limits to ``per_class`` rows per feature, so ties are never gathered;
+    task limits to ``per_class`` rows per group, so ties are never gathered;
     then only activations that reach it (ties included, spread over all tasks)
     are joined to their chunk and cut, and W4 limits those per task again.
     """
-    if class_from_token:
-        # the class comes from the token, so every context is needed to know its group
-        return top_contexts(activation_contexts(acts, chunks, chunk_keys, window, True), per_class)
-    ok = acts.filter(F.col("end_ok"))
-    w_val = Window.partitionBy("latent").orderBy(F.col("_v").desc())
-    least = (ok.select("latent", F.round("value", 9).alias("_v"))
+    group = ["latent", "token_class"] if class_from_token else ["latent"]
+    ok = _classed(acts, chunks, chunk_keys, class_from_token).filter(F.col("end_ok"))
+    w_val = Window.partitionBy(*group).orderBy(F.col("_v").desc())
+    least = (ok.select(*group, F.round("value", 9).alias("_v"))
              .withColumn("_n", F.row_number().over(w_val)).filter(F.col("_n") <= per_class)
-             .groupBy("latent").agg(F.min("_v").alias("_least")))
-    # one row per feature (at most L)
-    cand = (ok.join(F.broadcast(least), "latent").filter(F.round("value", 9) >= F.col("_least")).drop("_least")
-            .withColumn("token_class", F.lit("")))
-    joined = with_context(cand.join(chunks.select(*chunk_keys, "tokens"), chunk_keys), "tokens", "end_pos", window)
-    return top_contexts(joined.drop("tokens").filter(F.col("context").isNotNull()), per_class)
+             .groupBy(*group).agg(F.min("_v").alias("_least")))
+    # one row per feature (at most L); features and classes have no such bound
+    least = least if class_from_token else F.broadcast(least)
+    cand = ok.join(least, group).filter(F.round("value", 9) >= F.col("_least")).drop("_least")
+    return top_contexts(cut_contexts(cand, chunks, chunk_keys, window), per_class)
 
 
 def context_features(top: DataFrame, max_classes: int, min_lines: int) -> DataFrame:

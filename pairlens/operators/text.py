@@ -89,13 +89,13 @@ def segment_ends(seqs: DataFrame, gap: int) -> DataFrame:
     return seqs.withColumn("cands", cands).withColumn("ends", ends)
 
 
-def segments(seqs: DataFrame, keys: list[str], width: int | None = None) -> DataFrame:
+def segments(seqs: DataFrame, keys: list[str], width: int | None = None, end_token: bool = False) -> DataFrame:
     """T9 + T10: one row per selected segment end, keyed by keys + chunk_id +
     seg_no. A segment spans the tokens after the previous end up to this end.
 
     With ``width``, the real words of the segment (mask 1) are hashed into
     ``buckets`` (their bucket ids, 0..width-1). ``bucket_counts`` turns those
-    into the sparse count vector.
+    into the sparse count vector. ``end_token`` adds the token at the segment's end.
     Each chunk hashes its tokens once and builds all its segments in one
     expression, so nothing is recomputed per segment.
     """
@@ -108,6 +108,8 @@ def segments(seqs: DataFrame, keys: list[str], width: int | None = None) -> Data
             # token and not an end token itself (see operators.contexts)
             end_ok = (e < F.size(toks) - 1) & ~F.element_at(toks, e + 1).isin(*SENTENCE_ENDERS)
             fields = [j.alias("seg_no"), begin.alias("begin_pos"), e.alias("end_pos"), end_ok.alias("end_ok")]
+            if end_token:
+                fields.append(F.element_at(toks, e + 1).alias("end_token"))
             if width is not None:
                 part = F.filter(F.slice(bk, begin + 1, e - begin + 1), lambda b: b >= 0)
                 fields.append(part.alias("buckets"))

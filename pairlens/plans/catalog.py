@@ -20,6 +20,7 @@ from pairlens.operators import chat, curate
 from pairlens.operators import contexts as ctx
 from pairlens.operators import evaluate as ev
 from pairlens.operators import interpret as itp
+from pairlens.operators import scoring as sco
 from pairlens.operators import text as txo
 from pairlens.operators import vectors as vec
 from pairlens.operators.ranking import sample_ids, seeded_shuffle
@@ -186,7 +187,7 @@ def q_corpus_feature_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_segment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = corpus.corpus_segment_counts(corpus.run_pairs(spark, sf_dir, P, chunks_only=True))
+    c = sco.segment_counts(corpus.segment_ends_of_pairs(spark, sf_dir, P))
     return c.select(_long("pair_id"), _long("n_chosen"), _long("n_rejected"))
 
 
@@ -211,6 +212,11 @@ def q_top_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(_long("latent"), "token_class", _long("ctx_rank"), _dbl("value"), "context")
 
 
+def q_token_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = corpus.corpus_token_contexts(corpus.run_pairs(spark, sf_dir, P, token_class=True))
+    return t.select(_long("latent"), "token_class", _long("ctx_rank"), _dbl("value"), "context")
+
+
 def q_context_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = corpus.run_pairs(spark, sf_dir, P)
     f = ctx.context_features(corpus.corpus_top_contexts(run), P.max_classes, P.min_lines)
@@ -267,6 +273,7 @@ QUERIES.update({
     "pair_scores": q_pair_scores,
     "activation_contexts": q_activation_contexts,
     "top_contexts": q_top_contexts,
+    "token_contexts": q_token_contexts,
     "context_features": q_context_features,
     "feature_prompts": q_feature_prompts,
     "interpretation_results": q_interpretation_results,

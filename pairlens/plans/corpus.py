@@ -51,12 +51,17 @@ def padded(chunks: DataFrame, p: Params) -> DataFrame:
     return chunks.select(*CHUNK_KEYS, "n_tokens", tokens.alias("tokens"), mask.alias("mask"), "ends")
 
 
+def context_tokens(chunks: DataFrame, p: Params) -> DataFrame:
+    """Tokens for context windows, from the stored chunk table: of the pads only the first can bound one."""
+    bound = F.when(F.col("n_tokens") < p.max_length, F.array(F.lit(EOS))).otherwise(F.array().cast("array<string>"))
+    return chunks.select(*CHUNK_KEYS, F.concat("words", bound).alias("tokens"))
+
+
 @dataclass
 class PairRun:
     """One run over the corpus; the small tables are made when first asked for."""
     keys: DataFrame
     chunks: DataFrame    # stored chunk table
-    seqs: DataFrame      # the same with pads and masks
     acts: DataFrame      # stored active sparse activations
     p: Params
     derived: dict
@@ -67,17 +72,23 @@ class PairRun:
         return self.derived[name]
 
 
-def run_pairs(spark: SparkSession, sf_dir: str, p: Params = TEST, chunks_only: bool = False) -> PairRun:
-    """Chunk the pair corpus and (unless ``chunks_only``) encode its segments."""
+def run_pairs(spark: SparkSession, sf_dir: str, p: Params = TEST, token_class: bool = False) -> PairRun:
+    """Chunk the pair corpus and encode its segments; with ``token_class`` the activations
+    carry the class of their segment's last token."""
     keys = inputs.pair_keys(spark, sf_dir)
     chunks = stored_chunks(pair_sequences(inputs.pair_side_texts(spark, sf_dir, keys), p))
-    seqs = padded(chunks, p)
-    acts = None
-    if not chunks_only:
-        segs = txo.segments(seqs, PAIR_KEYS, p.vector_width)
-        acts = stored(vec.active(vec.encode(segs, inputs.test_dictionary(spark, sf_dir, p.latent_size), p.k, keys=SEG_KEYS,
-                                            vec_col="buckets", counts_width=p.vector_width, eps=p.eps)), "activations")
-    return PairRun(keys, chunks, seqs, acts, p, {})
+    segs, seg_keys = txo.segments(padded(chunks, p), PAIR_KEYS, p.vector_width, token_class), SEG_KEYS
+    if token_class:
+        segs, seg_keys = segs.withColumn("token_class", ctx.token_class(F.col("end_token"))), [*SEG_KEYS, "token_class"]
+    acts = stored(vec.active(vec.encode(segs, inputs.test_dictionary(spark, sf_dir, p.latent_size), p.k, keys=seg_keys,
+                                        vec_col="buckets", counts_width=p.vector_width, eps=p.eps)), "activations")
+    return PairRun(keys, chunks, acts, p, {})
+
+
+def segment_ends_of_pairs(spark: SparkSession, sf_dir: str, p: Params = TEST) -> DataFrame:
+    """``pair_id, side, n_ends`` of every chunk; nothing is written."""
+    texts = inputs.pair_side_texts(spark, sf_dir, inputs.pair_keys(spark, sf_dir))
+    return pair_sequences(texts, p).select("pair_id", "side", F.size("ends").alias("n_ends"))
 
 
 def corpus_sums(run: PairRun) -> DataFrame:
@@ -96,7 +107,7 @@ def corpus_top(run: PairRun) -> DataFrame:
 def corpus_contexts(run: PairRun) -> DataFrame:
     """T14 + T15 for activations of the ranked features (J2 first)."""
     acts = feat.keep_listed(run.acts, corpus_top(run))
-    return ctx.activation_contexts(acts, run.seqs, CHUNK_KEYS, run.p.window)
+    return ctx.activation_contexts(acts, context_tokens(run.chunks, run.p), CHUNK_KEYS, run.p.window)
 
 
 def corpus_top_contexts(run: PairRun) -> DataFrame:
@@ -104,7 +115,13 @@ def corpus_top_contexts(run: PairRun) -> DataFrame:
     ranked feature, so the table is small; it is stored on first use and
     shared by the interpretation, safety and scoring steps."""
     return run.once("top-contexts", lambda: ctx.strongest_contexts(
-        feat.keep_listed(run.acts, corpus_top(run)), run.seqs, CHUNK_KEYS, run.p.window, run.p.contexts_per_class))
+        feat.keep_listed(run.acts, corpus_top(run)), context_tokens(run.chunks, run.p), CHUNK_KEYS, run.p.window, run.p.contexts_per_class))
+
+
+def corpus_token_contexts(run: PairRun) -> DataFrame:
+    """T15 with real token classes and W4: the strongest contexts per ranked feature and token."""
+    return ctx.strongest_contexts(feat.keep_listed(run.acts, corpus_top(run)), context_tokens(run.chunks, run.p), CHUNK_KEYS,
+                                  run.p.window, run.p.contexts_per_class, class_from_token=True)
 
 
 def context_feature_set(run: PairRun) -> DataFrame:

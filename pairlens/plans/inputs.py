@@ -50,17 +50,17 @@ def test_dictionary(spark: SparkSession, sf_dir: str, n_latents: int = 32) -> Fe
 def pair_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, pair_id, good``: consecutive documents by doc_id are the chosen
     (``good``) and the rejected side of a pair, as consecutive lines are in a
-    pair corpus. Every document takes part; of an odd number the last one has no
-    partner. Only keys are ranked and checkpointed, never texts.
+    pair corpus. Every document takes part; of an odd number the last one is the
+    chosen side of a pair without a rejected one. Only keys are ranked and
+    checkpointed, never texts.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id")
-    ranked = global_rank(docs, [F.col("doc_id")], "r", "_n")
-    return (ranked.filter("r < _n - _n % 2")
-            .select("doc_id", F.expr("r div 2 + 1").alias("pair_id"), (F.col("r") % 2 == 0).alias("good")))
+    ranked = global_rank(docs, [F.col("doc_id")], "r")
+    return ranked.select("doc_id", F.expr("r div 2 + 1").alias("pair_id"), (F.col("r") % 2 == 0).alias("good"))
 
 
 def pair_ids(keys: DataFrame) -> DataFrame:
-    """Pair ids (no text read)."""
+    """Pair ids, also of a pair with a chosen side only (no text read)."""
     return keys.filter("good").select("pair_id")
 
 
@@ -71,16 +71,20 @@ def pair_side_texts(spark: SparkSession, sf_dir: str, keys: DataFrame) -> DataFr
     return keys.join(docs, "doc_id").select("pair_id", side.alias("side"), "text")
 
 
-def pairs_from_keys(spark: SparkSession, sf_dir: str, keys: DataFrame) -> DataFrame:
-    """``pair_id, chosen, rejected``."""
+def pairs_from_keys(spark: SparkSession, sf_dir: str, keys: DataFrame, in_order: bool = False) -> DataFrame:
+    """``pair_id, chosen, rejected`` of the pairs with both sides: the dataset's rows. Texts are dealt once,
+    by pair; ``in_order`` deals them by range, so that the rows come out in order of the pair."""
     texts = pair_side_texts(spark, sf_dir, keys)
-    return (texts.filter("side = 'chosen'").select("pair_id", F.col("text").alias("chosen"))
-            .join(texts.filter("side = 'rejected'").select("pair_id", F.col("text").alias("rejected")), "pair_id"))
+    if in_order:
+        texts = texts.repartitionByRange("pair_id")
+    own = lambda side: F.first(F.when(F.col("side") == side, F.col("text")), ignorenulls=True).alias(side)
+    both = texts.groupBy("pair_id").agg(own("chosen"), own("rejected"), F.count("*").alias("_n")).filter("_n = 2").drop("_n")
+    return both.sortWithinPartitions("pair_id") if in_order else both
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pairs(spark: SparkSession, sf_dir: str, in_order: bool = False) -> DataFrame:
     """Preference pairs ``pair_id, chosen, rejected`` of all documents."""
-    return pairs_from_keys(spark, sf_dir, pair_keys(spark, sf_dir))
+    return pairs_from_keys(spark, sf_dir, pair_keys(spark, sf_dir), in_order)
 
 
 def response_keys(spark: SparkSession, sf_dir: str) -> DataFrame:

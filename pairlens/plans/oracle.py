@@ -285,10 +285,10 @@ FROM sv"""
 
 
 PAIRS = """numbered AS (
-  SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS r, count(*) OVER () AS n FROM documents),
+  SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM documents),
 ptext AS (
   SELECT r // 2 + 1 AS pair_id, CASE WHEN r % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side, text
-  FROM numbered WHERE r < n - n % 2),
+  FROM numbered),
 pairs AS (
   SELECT c.pair_id, c.text AS chosen, j.text AS rejected
   FROM ptext c JOIN ptext j ON c.pair_id = j.pair_id WHERE c.side = 'chosen' AND j.side = 'rejected')"""
@@ -418,7 +418,7 @@ pscores AS (
   SELECT p.pair_id,
          coalesce(s.s_chosen, 0.0) / greatest(coalesce(c.n_chosen, 0), 1)
          - coalesce(s.s_rejected, 0.0) / greatest(coalesce(c.n_rejected, 0), 1) AS saescore
-  FROM pairs p LEFT JOIN pcounts c ON c.pair_id = p.pair_id LEFT JOIN psums_pair s ON s.pair_id = p.pair_id)"""]
+  FROM (SELECT DISTINCT pair_id FROM ptext) p LEFT JOIN pcounts c ON c.pair_id = p.pair_id LEFT JOIN psums_pair s ON s.pair_id = p.pair_id)"""]
 
 SQL["corpus_feature_contrast"] = with_(*P_CHAIN) + f"""
 SELECT CAST(latent AS BIGINT) AS latent, {R6('diff')} AS diff,
@@ -445,6 +445,15 @@ SQL["top_contexts"] = with_(*P_CHAIN, CONTEXTS) + f"""
 SELECT CAST(latent AS BIGINT) AS latent, token_class, CAST(ctx_rank AS BIGINT) AS ctx_rank, {R6('value')} AS value, context
 FROM ptopctx"""
 
+SQL["token_contexts"] = with_(*P_CHAIN, CONTEXTS, f"""ptokctx AS (
+  SELECT * FROM (
+    SELECT c.* EXCLUDE (token_class), lower(trim(s.tokens[c.end_pos + 1], ' ')) AS token_class,
+           row_number() OVER (PARTITION BY latent, lower(trim(s.tokens[c.end_pos + 1], ' ')) ORDER BY round(value, 9) DESC, context DESC) AS ctx_rank
+    FROM pctxv c JOIN psq s ON s.pair_id = c.pair_id AND s.side = c.side AND s.chunk_id = c.chunk_id)
+  WHERE ctx_rank <= {P.contexts_per_class})""") + f"""
+SELECT CAST(latent AS BIGINT) AS latent, token_class, CAST(ctx_rank AS BIGINT) AS ctx_rank, {R6('value')} AS value, context
+FROM ptokctx"""
+
 SQL["context_features"] = with_(*P_CHAIN, CONTEXTS) + """
 SELECT CAST(latent AS BIGINT) AS latent, CAST(n_classes AS BIGINT) AS n_classes, CAST(n_contexts AS BIGINT) AS n_contexts
 FROM pfeat"""

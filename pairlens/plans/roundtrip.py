@@ -107,7 +107,7 @@ def dataset_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dataset_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S3 without ids: pairs in order, their number is their place in the dataset."""
     path = sink.scratch_path(spark, "dataset-rows")
-    arrow_dataset.write(inputs.pairs(spark, sf_dir).orderBy("pair_id").select("chosen", "rejected"), path)
+    arrow_dataset.write(inputs.pairs(spark, sf_dir, in_order=True).select("chosen", "rejected"), path)
     rows = arrow_dataset.numbered(spark, path, ["chosen", "rejected"])
     return rows.select((F.col("row") + 1).alias("pair_id"), "chosen", "rejected")
 

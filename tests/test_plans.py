@@ -52,10 +52,46 @@ def test_reconstruction_metrics_need_no_join(spark):
         assert "Join" not in _plan(QUERIES[name](spark, SF))
 
 
-def test_segment_counts_read_keys_and_the_count_only(spark):
-    plan = QUERIES["segment_counts"](spark, SF)._jdf.queryExecution().explainString(
-        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
-    assert "ReadSchema: struct<pair_id:bigint,side:string,n_ends:int>" in plan
+def test_segment_counts_write_nothing(spark, tmp_path):
+    import os
+    from pairlens.session import checkpoint_dir
+    folder = os.path.join(checkpoint_dir(spark).removeprefix("file:"), "tables")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    QUERIES["segment_counts"](spark, SF).collect()
+    assert (set(os.listdir(folder)) if os.path.isdir(folder) else set()) == before
+
+
+def test_one_token_array_per_chunk_in_the_context_join(spark, tmp_path):
+    """Forty activations on each chunk: the join that brings the tokens has a row per chunk."""
+    n = 300
+    chunks = spark.range(n).select(F.col("id").alias("chunk_id"), F.array(*[F.concat(F.lit(f"w{i}x"), F.col("id").cast("string")) for i in range(20)]).alias("tokens"))
+    acts = spark.range(n * 40).select((F.col("id") % n).alias("chunk_id"), (F.col("id") % 5 * 3 + 1).cast("int").alias("end_pos"),
+                                      (F.col("id") % 7).cast("int").alias("latent"), (F.col("id") / 3).alias("value"))
+    chunks.write.parquet(f"{tmp_path}/chunks")
+    acts.write.parquet(f"{tmp_path}/acts")
+    df = ctx.activation_contexts(spark.read.parquet(f"{tmp_path}/acts"), spark.read.parquet(f"{tmp_path}/chunks"), ["chunk_id"], 128)
+    assert df.count() == n * 40
+    plan = _plan(df)
+    assert plan.index("Generate inline") < plan.index("Join") < plan.index("ObjectHashAggregate")
+    got = {(r.chunk_id, r.end_pos): r.context for r in df.collect()}
+    plain = ctx.with_context(spark.read.parquet(f"{tmp_path}/acts").distinct().join(spark.read.parquet(f"{tmp_path}/chunks"), "chunk_id"), "tokens", "end_pos", 128)
+    assert got == {(r.chunk_id, r.end_pos): r.context for r in plain.collect()}
+
+
+def test_token_classes_are_known_before_windows_are_cut(spark, tmp_path):
+    """A hundred classes: only each class's strongest activations reach the join."""
+    n = 5000
+    acts = spark.range(n).select(F.col("id").alias("chunk_id"), F.lit(1).alias("end_pos"), F.lit(0).alias("latent"), (F.col("id") / 8).alias("value"),
+                                 F.lit(True).alias("end_ok"), F.concat(F.lit("c"), F.col("id") % 100).alias("token_class"))
+    chunks = spark.range(n).select(F.col("id").alias("chunk_id"), F.array(F.lit("a"), F.concat(F.lit("C"), F.col("id") % 100), F.lit("b"), F.lit("x")).alias("tokens"))
+    acts.write.parquet(f"{tmp_path}/acts")
+    known = spark.read.parquet(f"{tmp_path}/acts")
+    top = ctx.strongest_contexts(known, chunks, ["chunk_id"], 128, 3, class_from_token=True)
+    assert {(r.token_class, r.ctx_rank, r.chunk_id) for r in top.collect()} == {(f"c{k}", j, n - 100 * j + k) for k in range(100) for j in (1, 2, 3)}
+    looked_up = ctx.strongest_contexts(known.drop("token_class"), chunks, ["chunk_id"], 128, 3, class_from_token=True)
+    assert sorted(map(tuple, looked_up.select("token_class", "ctx_rank", "chunk_id").collect())) == sorted(map(tuple, top.select("token_class", "ctx_rank", "chunk_id").collect()))
+    plan = _plan(top)
+    assert plan.index("WindowGroupLimit") < plan.index("collect_list")
 
 
 def test_ties_of_a_feature_are_never_gathered(spark, tmp_path):
