@@ -14,7 +14,9 @@ words, 31 - 1 + 20 = 50) that starts at a cover position on both sides. Only tho
 2. Shared anchors go back to their documents (a join on the hash).
 3. Extension: each window around a shared anchor is hashed as a whole (two
    independent 64-bit hashes of its words), grouped to its smallest doc_id, and
-   joined back; windows of a larger doc_id are repeats.
+   joined back; windows of a larger doc_id are repeats. A word's own hash is a
+   polynomial up to ``LONG_WORD`` bytes and XXH3 with a seed beyond: polynomials modulo
+   2^64 have common collisions, but only between strings of hundreds of bytes.
    The hashes are worked off in ``PASSES`` rounds, so that only one round's shuffle
    is on disk at a time.
 4. Repeats go back to their documents, whose words are then kept or removed.
@@ -37,6 +39,7 @@ import gc
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +75,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+#: bytes of a word that the polynomials hash
+LONG_WORD = 32
+
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 
@@ -106,10 +112,13 @@ class Words:
                 raw, starts = self.raw[lo:hi], self.starts[a:b] - lo
                 sizes = self.ends[a:b] - self.starts[a:b]
                 inside = np.arange(len(raw)) - np.repeat(starts, np.diff(starts, append=len(raw)))
-                table = _power_table(_BYTE_R[which], int(sizes.max()))
+                table = _power_table(_BYTE_R[which], LONG_WORD)
                 terms = (raw.astype(_U) + _U(1)) * table[np.minimum(inside, len(table) - 1)]
                 terms[_BLANK[raw]] = 0
-                parts.append(_mixed(np.add.reduceat(terms, starts) + sizes.astype(_U) * _U(_BYTE_R[1 - which])))
+                own = _mixed(np.add.reduceat(terms, starts) + sizes.astype(_U) * _U(_BYTE_R[1 - which]))
+                for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+                    own[i] = xxhash.xxh3_64_intdigest(raw[starts[i]:starts[i] + sizes[i]], _BYTE_R[which])
+                parts.append(own)
             self._hash[which] = np.concatenate(parts) if parts else np.zeros(0, _U)
         return self._hash[which]
 
