@@ -1,14 +1,15 @@
 """Chat rendering and reward-model sequences.
 
-A conversation is rendered from its turn rows: the turns of one conversation
-are gathered (a conversation is a handful of turns, bounded by the chat
-format) and joined in turn order. Tokens are words; sequences keep the last
-``max_length`` tokens (left truncation).
+A conversation is rendered from its turn rows, joined in turn order. Tokens are
+words; sequences keep the last ``max_length`` tokens (left truncation). Every
+rendered turn holds a blank, so those words lie in the last turns: where only
+sequences are wanted, ``last_turns`` drops the others before the shuffle and no
+conversation is gathered whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlens.config import BOS, END_OF_TURN, HEADER_END, HEADER_START
@@ -24,6 +25,18 @@ def render_messages(messages: F.Column) -> F.Column:
     return F.replace(F.array_join(pieces, ""), F.lit(BOS), F.lit(""))
 
 
+def last_turns(turns: DataFrame, n: int) -> DataFrame:
+    """The last ``n`` turns of each conversation; every task ships at most ``n`` rows of one."""
+    back = Window.partitionBy("conv_id").orderBy(F.col("turn").desc(), F.col("role").desc(), F.col("text").desc())
+    return turns.withColumn("_back", F.row_number().over(back)).filter(F.col("_back") <= n).drop("_back")
+
+
+def turns_for(max_length: int) -> int:
+    """Turns that surely hold the last ``max_length`` words with and without the last turn: the first
+    word kept may be cut, and each turn ends one word at least."""
+    return max_length + 2
+
+
 def conversation_pairs(turns: DataFrame) -> DataFrame:
     """Chat preference pairs from a turn table: the whole conversation is
     chosen, the conversation without its last turn is rejected.

@@ -130,3 +130,20 @@ def bucket_counts(buckets: str = "buckets") -> F.Column:
     """Sparse count vector: array<struct<bucket, n>> over the distinct buckets."""
     return let(F.col(buckets), lambda b: F.transform(
         F.array_distinct(b), lambda u: F.struct(u.alias("bucket"), F.size(F.filter(b, lambda x: x == u)).alias("n"))))
+
+
+def store_vectors(vectors: DataFrame, name: str, keys: list[str], buckets: int, path: str | None = None) -> DataFrame:
+    """Given vectors (any columns beside ``keys`` and ``pos``) as a table with buckets by chunk and position,
+    dealt and sorted once. Returns the table."""
+    at = [*keys, "pos"]
+    writer = vectors.repartition(buckets, *at).write.bucketBy(buckets, at[0], *at[1:]).sortBy(*at).mode("overwrite").format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return vectors.sparkSession.table(name)
+
+
+def gather_vectors(segs: DataFrame, vectors: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """T9 on given vectors: each segment with the vector at its end. ``vectors`` is a table of ``store_vectors`` with
+    the same keys and number of buckets: its files are read bucket by bucket and never shuffled; only the
+    segments' small keys are dealt to the buckets."""
+    ends = segs.repartition(buckets, *keys, "end_pos")
+    return ends.join(vectors.withColumnRenamed("pos", "end_pos").hint("merge"), [*keys, "end_pos"])

@@ -7,16 +7,15 @@ parameter that does not grow with the data.
 
 Encoding multiplies every vector with the whole encoder (n x d x L
 multiply-adds). That is dense linear algebra, so it runs as one Arrow-batched
-NumPy step per partition (``mapInArrow``). The weights are written once to
-matrix files that Spark hands to every executor (``addFile``); its Python
-workers map them into memory, so a dictionary of any size is held once per
-machine. Inside the step the latents are worked off in blocks with a running
+NumPy step per partition (``mapInArrow``). Tasks write the weights once as tiles
+of rows into the shared folder, Spark hands the tiles to every executor
+(``addFile``) and its Python workers map them into memory, so a dictionary of any
+size is held once per machine and never in the driver. Inside the step the latents are worked off in blocks with a running
 top-k: one pass over the vectors, no shuffle, whatever the dictionary's size.
 """
 
 from __future__ import annotations
 
-import io
 import uuid
 from dataclasses import dataclass
 
@@ -25,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlens.session import checkpoint_dir, shared_file
 from pairlens.functions.arrays import array_mean, array_norm, array_std, as_double_array, let
+from pairlens.session import checkpoint_dir, stored
+from pairlens.sources.paths import open_path
 
-# Latents whose pre-activations are computed at a time; also the rows of the
-# dictionary that the driver holds while it writes the matrix files.
+# Latents whose pre-activations are computed at a time; also the rows of a tile.
 BLOCK_LATENTS = 8192
 # Scratch bound for one rows x block matrix of pre-activations inside a task.
 _SCRATCH_BYTES = 1 << 26
@@ -93,46 +92,73 @@ def undo_zscore(df: DataFrame, col: str = "x_hat", out_col: str = "y_hat") -> Da
 
 @dataclass
 class WeightFiles:
-    """Names of the matrix files on each executor, and the small vectors beside them."""
-    enc: str
-    dec: str | None
+    """Names of the tiles on each executor (rows in order of latent), and the small vectors beside them."""
+    enc: list[str]
+    dec: list[str]
     ids: np.ndarray
     bias: np.ndarray
     pre_bias: np.ndarray
 
-    def matrix(self, name: str) -> np.ndarray:
+    def tiles(self, names: list[str]) -> list[np.ndarray]:
         from pyspark import SparkFiles
-        return np.load(SparkFiles.get(name), mmap_mode="r")
+        return [np.load(SparkFiles.get(n), mmap_mode="r") for n in names]
+
+
+def _tile_writer(folder: str, sizes: list[int], width: int, columns: list[str]):
+    """Rows come by tile and latent; each tile's matrices are written as they stream through.
+    A file's name is its attempt's own, and only a finished task's names are used."""
+    import pyarrow as pa
+    schema = pa.schema([("tile", pa.int32()), ("column", pa.string()), ("name", pa.string()), ("n", pa.int64())])
+
+    def run(batches):
+        system, at = open_path(folder)
+        system.create_dir(at)
+        open_: dict = {}
+        done: dict = {}
+        for batch in batches:
+            tiles = batch.column("tile").to_numpy()
+            for tile in np.unique(tiles).tolist():
+                rows = batch.slice(int(np.searchsorted(tiles, tile)), int((tiles == tile).sum()))
+                if tile not in open_:
+                    open_[tile] = {c: (f"{c}-{tile}-{uuid.uuid4().hex}.npy",) for c in columns}
+                    for c in columns:
+                        out = system.open_output_stream(f"{at}/{open_[tile][c][0]}")
+                        np.lib.format.write_array_header_1_0(out, {"descr": "<f8", "fortran_order": False, "shape": (sizes[tile], width)})
+                        open_[tile][c] += (out,)
+                    done[tile] = 0
+                for c in columns:
+                    open_[tile][c][1].write(_dense_rows(rows.column(c)).astype("<f8", copy=False).tobytes())
+                done[tile] += rows.num_rows
+        for tile, files in open_.items():
+            for c, (name, out) in files.items():
+                out.close()
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((tile, c, name, done[tile]), schema)], schema=schema)
+    return run
 
 
 def _weight_files(d: FeatureDictionary, with_dec: bool, block: int) -> WeightFiles:
-    """Write the dictionary as matrix files (rows in order of latent) into the
-    shared folder, ``block`` latents at a time, and add them to the application."""
+    """Let tasks write the dictionary as tiles of ``block`` latents into the shared folder, and add them to the
+    application. The driver sees ids, biases and the tiles' names."""
     spark = d.latents.sparkSession
     pre_bias = np.asarray(d.pre_bias.first()["pre_bias"], dtype=np.float64)
-    width = len(pre_bias)
-    small = d.latents.select("latent", "latent_bias").orderBy("latent").toArrow()
+    latents = stored(d.latents, "dictionary")
+    small = latents.select("latent", "latent_bias").orderBy("latent").toArrow()
     ids = small.column("latent").to_numpy().astype(np.int32)
     bias = small.column("latent_bias").to_numpy().astype(np.float64)
-    tag = uuid.uuid4().hex
-    names = {c: f"{c}-{tag}.npy" for c in (("enc", "dec") if with_dec else ("enc",))}
+    columns = ["enc", "dec"] if with_dec else ["enc"]
+    firsts = ids[::block].tolist()
+    sizes = [min(block, len(ids) - s) for s in range(0, len(ids), block)]
     folder = f"{checkpoint_dir(spark).rstrip('/')}/weights"
-    files = {c: shared_file(spark, f"{folder}/{n}") for c, n in names.items()}
-    header = io.BytesIO()
-    np.lib.format.write_array_header_1_0(header, {"descr": "<f8", "fortran_order": False, "shape": (len(ids), width)})
-    for out in files.values():
-        out.write(bytearray(header.getvalue()))
-    for s in range(0, len(ids), block):
-        lo, hi = int(ids[s]), int(ids[min(s + block, len(ids)) - 1])
-        rows = d.latents.filter(F.col("latent").between(lo, hi)).select("latent", *names).orderBy("latent").toArrow()
-        for c, out in files.items():
-            raw = _dense_rows(rows.column(c).combine_chunks()).astype("<f8").tobytes()
-            for i in range(0, len(raw), 1 << 23):
-                out.write(bytearray(raw[i:i + (1 << 23)]))
-    for c, out in files.items():
-        out.close()
-        spark.sparkContext.addFile(f"{folder}/{names[c]}")
-    return WeightFiles(names["enc"], names.get("dec"), ids, bias, pre_bias)
+    # a handful of bounds: the number of the last tile that begins at or before the latent
+    tile = sum([(F.col("latent") >= f).cast("int") for f in firsts[1:]], F.lit(0))
+    rows = (latents.select(tile.alias("tile"), "latent", *columns).repartition(max(1, len(firsts)), "tile")
+            .sortWithinPartitions("tile", "latent"))
+    written = rows.mapInArrow(_tile_writer(folder, sizes, len(pre_bias), columns), "tile int, column string, name string, n bigint").collect()
+    names = {(r.tile, r.column): r.name for r in written if r.n == sizes[r.tile]}
+    out = {c: [names[k, c] for k in range(len(firsts))] for c in columns}
+    for n in names.values():
+        spark.sparkContext.addFile(f"{folder}/{n}")
+    return WeightFiles(out["enc"], out.get("dec", []), ids, bias, pre_bias)
 
 
 # --------------------------------------------------------------------------- V2, V3
@@ -204,29 +230,42 @@ def _zscored_counts(width: int, eps: float):
     return to_matrix
 
 
-def _running_topk(xs: np.ndarray, enc: np.ndarray, bias: np.ndarray, k: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+def _running_topk(xs: np.ndarray, tiles: list[np.ndarray], bias: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row top-k over all latents as (latent rows in ascending order, values); the
-    candidates so far stand before each block, so among equal values the lower latent wins."""
+    candidates so far stand before each tile, so among equal values the lower latent wins."""
     idx = np.zeros((len(xs), 0), np.int64)
     vals = np.zeros((len(xs), 0))
-    for s in range(0, len(enc), block):
-        pre = xs @ enc[s:s + block].T + bias[s:s + block]
+    s = 0
+    for enc in tiles:
+        pre = xs @ enc.T + bias[s:s + len(enc)]
         vals = np.concatenate([vals, pre], axis=1)
         idx = np.concatenate([idx, np.broadcast_to(np.arange(s, s + pre.shape[1]), pre.shape)], axis=1)
         own, vals = _topk(vals, k)
         idx = np.take_along_axis(idx, own, axis=1)
         order = np.argsort(idx, axis=1)
         idx, vals = np.take_along_axis(idx, order, axis=1), np.take_along_axis(vals, order, axis=1)
+        s += len(enc)
     return idx, vals
 
 
+def _decoded(idx: np.ndarray, vals: np.ndarray, tiles: list[np.ndarray], pre_bias: np.ndarray) -> np.ndarray:
+    """pre_bias plus each row's values times their decoder rows, in order of latent."""
+    x_hat = np.tile(pre_bias, (len(idx), 1))
+    starts = np.cumsum([0, *(len(t) for t in tiles)])
+    for j in range(idx.shape[1]):
+        where = np.searchsorted(starts, idx[:, j], "right") - 1
+        for k in np.unique(where).tolist():
+            own = np.flatnonzero(where == k)
+            x_hat[own] += vals[own, j, None] * tiles[k][idx[own, j] - starts[k]]
+    return x_hat
+
+
 def _encode_fn(keys: list[str], vec_col: str, to_matrix, k: int, w: WeightFiles, emit_dense: bool, block: int):
     """Arrow batches in, Arrow batches out: keys are carried with ``take``."""
     import pyarrow as pa
 
     def run(batches):
-        enc = w.matrix(w.enc)
-        dec = w.matrix(w.dec) if emit_dense else None
+        enc, dec = w.tiles(w.enc), w.tiles(w.dec)
         rows_per_step = max(1, _SCRATCH_BYTES // max(8 * min(block, len(w.ids)), 1))
         for batch in batches:
             if batch.num_rows == 0:
@@ -235,12 +274,10 @@ def _encode_fn(keys: list[str], vec_col: str, to_matrix, k: int, w: WeightFiles,
             key_cols = batch.select(keys)
             for s in range(0, batch.num_rows, rows_per_step):
                 xs = x[s:s + rows_per_step]
-                idx, vals = _running_topk(xs - w.pre_bias, enc, w.bias, k, block)
+                idx, vals = _running_topk(xs - w.pre_bias, enc, w.bias, k)
                 part = key_cols.slice(s, len(xs))
                 if emit_dense:
-                    x_hat = np.tile(w.pre_bias, (len(xs), 1))
-                    for j in range(idx.shape[1]):
-                        x_hat += vals[:, j, None] * dec[idx[:, j]]
+                    x_hat = _decoded(idx, vals, dec, w.pre_bias)
                     offs = pa.array(np.arange(0, x_hat.size + 1, x_hat.shape[1], dtype=np.int32))
                     arr = pa.ListArray.from_arrays(offs, pa.array(x_hat.ravel()))
                     yield pa.RecordBatch.from_arrays(list(part.columns) + [arr], names=keys + ["x_hat"])

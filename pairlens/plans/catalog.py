@@ -27,6 +27,7 @@ from pairlens.operators.ranking import sample_ids, seeded_shuffle
 from pairlens.operators.validate import violations
 from pairlens.plans import corpus, discovery, inputs
 from pairlens.plans import roundtrip as rt
+from pairlens.sinks.files import scratch_path
 from pairlens.sources.tables import spread
 from pairlens.streaming import feature_stream as fs
 
@@ -165,7 +166,23 @@ def q_segment_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
                     _long("bucket"), _long("n")))
 
 
+def q_given_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T9 on vectors that come from outside: one for every candidate position, here 8 numbers of the position."""
+    seqs = txo.segment_ends(_doc_sequences(spark, sf_dir), P.gap)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = F.col("doc_id") * 31 + F.col("chunk_id") * 7 + F.col("pos") * 3
+    given = seqs.select("doc_id", "chunk_id", F.explode("cands").alias("pos")).withColumn(
+        "vec", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.pmod(at + i * 11, F.lit(97)) / 97.0))
+    name = f"given_vectors_{uuid.uuid4().hex}"
+    stored = txo.store_vectors(given, name, ["doc_id", "chunk_id"], n, scratch_path(spark, name))
+    segs = seqs.select("doc_id", "chunk_id", F.posexplode("ends").alias("seg_no", "end_pos"))
+    v = txo.gather_vectors(segs, stored, ["doc_id", "chunk_id"], n)
+    return (v.select("doc_id", "chunk_id", "seg_no", "end_pos", F.posexplode("vec").alias("dim", "value"))
+            .select(_long("doc_id"), _long("chunk_id"), _long("seg_no"), _long("end_pos"), _long("dim"), _dbl("value")))
+
+
 QUERIES.update({
+    "given_vectors": q_given_vectors,
     "normalize_text": q_normalize_text,
     "mark_boundaries": q_mark_boundaries,
     "chunk_words": q_chunk_words,
@@ -344,7 +361,17 @@ def q_kl_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.select(_dbl("kl"), _long("n_sequences"))
 
 
+def q_kl_divergence_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8 with the logits in blocks of 16 entries."""
+    rows = _reconstructed(spark, sf_dir)
+    block = F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda b: F.struct(
+        F.slice("x", b * 16 + 1, F.lit(16)).alias("x"), F.slice("x_hat", b * 16 + 1, F.lit(16)).alias("x_hat"))))
+    k = ev.kl_divergence_blocks(rows.select("vec_id", "seq", block.alias("b")).select("vec_id", "seq", "b.*"), "vec_id", "seq", "x", "x_hat")
+    return k.select(_dbl("kl"), _long("n_sequences"))
+
+
 QUERIES.update({
+    "kl_divergence_blocks": q_kl_divergence_blocks,
     "reconstruct": q_reconstruct,
     "normalized_mse": q_normalized_mse,
     "kl_divergence": q_kl_divergence,
@@ -360,6 +387,12 @@ def _chat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_pairs(turns)
 
 
+def _chat_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs with only the turns that the last tokens come from."""
+    turns = inputs.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.conversation_pairs(chat.last_turns(turns, chat.turns_for(P.rm_max_length)))
+
+
 def q_render_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _chat_pairs(spark, sf_dir)
     return c.select(_long("pair_id"), _long("n_turns"),
@@ -368,14 +401,14 @@ def q_render_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_tokenize_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = chat.tokenize_pairs(_chat_pairs(spark, sf_dir), P.rm_max_length)
+    t = chat.tokenize_pairs(_chat_tails(spark, sf_dir), P.rm_max_length)
     return t.select(_long("pair_id"),
                     F.size("tokens_j").cast("long").alias("n_j"), F.size("tokens_k").cast("long").alias("n_k"),
                     F.array_join("tokens_j", " ").alias("tokens_j"), F.array_join("tokens_k", " ").alias("tokens_k"))
 
 
 def q_pairs_to_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = chat.pairs_to_sequences(chat.tokenize_pairs(_chat_pairs(spark, sf_dir), P.rm_max_length))
+    s = chat.pairs_to_sequences(chat.tokenize_pairs(_chat_tails(spark, sf_dir), P.rm_max_length))
     return s.select(_long("pair_id"), "side", F.size("tokens").cast("long").alias("n_tokens"),
                     F.array_join("tokens", " ").alias("tokens"),
                     F.aggregate("mask", F.lit(0), lambda a, m: a + m).cast("long").alias("mask_sum"))
@@ -405,7 +438,17 @@ def q_pairwise_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select(_dbl("loss"), _long("n_pairs"))
 
 
+def q_pairwise_loss_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A12 on a long table: rewards in row order, chosen and rejected in turn."""
+    r = _rewards(spark, sf_dir).select(F.explode(F.array(
+        F.struct((F.col("pair_id") * 2).alias("row"), F.col("r_chosen").alias("reward")),
+        F.struct((F.col("pair_id") * 2 + 1).alias("row"), F.col("r_rejected").alias("reward")))).alias("x")).select("x.*")
+    a = ev.pairwise_loss(ev.adjacent_pairs(r, "row"))
+    return a.select(_dbl("loss"), _long("n_pairs"))
+
+
 QUERIES.update({
+    "pairwise_loss_rows": q_pairwise_loss_rows,
     "render_chat": q_render_chat,
     "tokenize_pairs": q_tokenize_pairs,
     "pairs_to_sequences": q_pairs_to_sequences,
@@ -445,6 +488,11 @@ def q_context_json(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                       _long("total_latents"), _long("lines"))
 
 
+def q_context_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rt.context_file(spark, sf_dir, P).select(_long("latent_key"), "token_class", "context", _dbl("activation"),
+                                                    _long("total_latents"), _long("lines"))
+
+
 def q_interpretation_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.interpretation_json(spark, sf_dir, P).select(
         "latent_key", _long("score"), "explanation", "engine", _long("features_scored"), _dbl("average_score"), _dbl("cost"))
@@ -495,6 +543,7 @@ QUERIES.update({
     "id_lists": q_id_lists,
     "contrast_scan": q_contrast_scan,
     "context_json": q_context_json,
+    "context_file": q_context_file,
     "interpretation_json": q_interpretation_json,
     "score_scan": q_score_scan,
     "dataset_scan": q_dataset_scan,

@@ -281,6 +281,13 @@ SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(chunk_id AS BIGINT) AS chunk_id, C
 FROM sv"""
 
 
+SQL["given_vectors"] = with_(*DOC_TEXT) + f"""
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(chunk_id AS BIGINT) AS chunk_id, CAST(seg_no AS BIGINT) AS seg_no, CAST(end_pos AS BIGINT) AS end_pos,
+       CAST(dim AS BIGINT) AS dim, {R6('((doc_id * 31 + chunk_id * 7 + end_pos * 3 + dim * 11) % 97) / 97.0')} AS value
+FROM (SELECT doc_id, chunk_id, seg_no, ends[seg_no + 1] AS end_pos, unnest(range(8)) AS dim
+      FROM (SELECT doc_id, chunk_id, ends, unnest(range(len(ends))) AS seg_no FROM en))"""
+
+
 # ---------------------------------------------------------------- pair corpus fragments
 
 
@@ -570,6 +577,9 @@ klr AS (
 SELECT {R6('sum(kl) / count(DISTINCT seq)')} AS kl, CAST(count(DISTINCT seq) AS BIGINT) AS n_sequences FROM klr"""
 
 
+SQL["kl_divergence_blocks"] = SQL["kl_divergence"]
+
+
 # ---------------------------------------------------------------- chat, ordering, reward metrics
 
 
@@ -640,6 +650,8 @@ SELECT {R6('avg(greatest(r_rejected - r_chosen, 0.0) + ln(1 + exp(-abs(r_rejecte
        CAST(count(*) AS BIGINT) AS n_pairs FROM rw"""
 
 
+SQL["pairwise_loss_rows"] = SQL["pairwise_loss"]
+
 # ---------------------------------------------------------------- sources and sinks (round trips)
 
 SQL["jsonl_scan"] = """
@@ -661,6 +673,8 @@ SELECT CAST(latent AS BIGINT) AS latent_key, token_class, context, {R6('value')}
        (SELECT count(*) FROM pfeat) AS total_latents, CAST({P.min_lines} AS BIGINT) AS lines
 FROM ptopctx WHERE latent IN (SELECT latent FROM pfeat)"""
 
+SQL["context_file"] = SQL["context_json"]
+
 SQL["interpretation_json"] = with_(RESPONSES, RESPONSE_KEYS, parse_fragment("rkeys"), COSTS) + f"""
 SELECT latent_key, CAST(score AS BIGINT) AS score, explanation, '{P.engine}' AS engine,
        (SELECT CAST(count(score) AS BIGINT) FROM results) AS features_scored,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pairlens.config import DROP_SHARES, FLIP_SHARES, TEST, Params
 from pairlens.operators import chat
+from pairlens.operators import contexts as ctx
 from pairlens.operators import features as feat
 from pairlens.operators import interpret as itp
 from pairlens.plans import corpus, discovery, inputs
@@ -63,17 +64,29 @@ def contrast_scan(spark: SparkSession, sf_dir: str, p: Params = TEST) -> DataFra
     return src.read_contrast(spark, path)
 
 
+def _contexts(spark: SparkSession, sf_dir: str, p: Params) -> tuple[DataFrame, DataFrame, dict]:
+    top = corpus.corpus_top_contexts(corpus.run_pairs(spark, sf_dir, p))
+    return top, ctx.context_features(top, p.max_classes, p.min_lines), {
+        "threshold": 0.0, "max_length": p.window, "max_per_token": p.contexts_per_class, "lines": p.min_lines}
+
+
+def _read_contexts(spark: SparkSession, path: str) -> DataFrame:
+    # the metadata row goes with every context
+    return src.read_context_map(spark, path).crossJoin(F.broadcast(src.read_context_meta(spark, path).select("total_latents", "lines")))
+
+
 def context_json(spark: SparkSession, sf_dir: str, p: Params = TEST) -> DataFrame:
     """K3 + S7: the context map as nested JSON, flattened back."""
-    run = corpus.run_pairs(spark, sf_dir, p)
-    top = corpus.corpus_top_contexts(run)
-    from pairlens.operators import contexts as ctx
-    kept = ctx.context_features(top, p.max_classes, p.min_lines)
     path = sink.scratch_path(spark, "context")
-    sink.write_context_map(top, kept, {"threshold": 0.0, "max_length": p.window,
-                                       "max_per_token": p.contexts_per_class, "lines": p.min_lines}, path)
-    # the metadata row goes with every context
-    return src.read_context_map(spark, path).crossJoin(F.broadcast(src.read_context_meta(spark, path).select("total_latents", "lines")))
+    sink.write_context_map(*_contexts(spark, sf_dir, p), path)
+    return _read_contexts(spark, path)
+
+
+def context_file(spark: SparkSession, sf_dir: str, p: Params = TEST) -> DataFrame:
+    """K3 + W9 + S7: the context map as one sorted JSON file, flattened back."""
+    path = sink.scratch_path(spark, "context-file") + ".json"
+    sink.write_context_file(*_contexts(spark, sf_dir, p), path)
+    return _read_contexts(spark, path)
 
 
 def interpretation_json(spark: SparkSession, sf_dir: str, p: Params = TEST) -> DataFrame:

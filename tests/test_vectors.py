@@ -54,7 +54,8 @@ def test_blocks_of_latents_give_the_same_reconstruction(spark):
 def test_ties_across_blocks_go_to_the_lower_latent():
     enc = np.ones((7, 2))
     for block in (1, 2, 3, 7):
-        idx, vals = vec._running_topk(np.array([[1.0, 1.0], [0.0, 2.0]]), enc, np.array([0, 0, 0, 0, 0, 0, 1.0]), 3, block)
+        tiles = [enc[s:s + block] for s in range(0, 7, block)]
+        idx, vals = vec._running_topk(np.array([[1.0, 1.0], [0.0, 2.0]]), tiles, np.array([0, 0, 0, 0, 0, 0, 1.0]), 3)
         assert idx.tolist() == [[0, 1, 6], [0, 1, 6]] and vals.tolist() == [[2, 2, 3], [2, 2, 3]]
 
 
