@@ -29,8 +29,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairlens.functions.arrays import let
 from pairlens.llm import common as c
 
+#: matches of a text that are placed together
+BLOCK = 256
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -78,13 +82,13 @@ LEDGER = T.StructType([T.StructField("blob", T.StringType()), T.StructField("rul
 
 
 def rule_spans(text: Column, rule: Rule, order: int) -> Column:
-    """All spans of one rule as an array, in order; code point offsets, end exclusive."""
+    """All spans of one rule as an array, in order; code point offsets, end exclusive. Matches are placed in
+    blocks of ``BLOCK``, whose starts are summed first: the work grows with the number of matches."""
     none = F.array().cast(f"array<{KEPT_SPAN}>")
     matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else matches
     found = F.zip_with(F.zip_with(F.split(text, rule.pattern, -1), matches, lambda p, m: F.struct(p.alias("p"), m.alias("m"))),
                        values, lambda x, v: F.struct(F.length(x["p"]).alias("gap"), F.length(x["m"]).alias("n"), F.length(v).alias("own")))
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
         first, end = acc["at"] + x["gap"], acc["at"] + x["gap"] + x["n"]
@@ -93,11 +97,27 @@ def rule_spans(text: Column, rule: Rule, order: int) -> Column:
         return F.when(x["n"].isNull(), acc).otherwise(F.struct(
             end.alias("at"), F.when(x["own"] >= rule.least, F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans")))
 
-    spans = F.aggregate(found, start, step, lambda acc: acc["spans"])
+    def in_block(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+
+    def starts(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + x["gap"] + F.coalesce(x["n"], F.lit(0))))
+        return F.aggregate(sizes, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda acc, n: F.struct(
+            (acc["at"] + n).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")), lambda acc: acc["all"])
+
+    def cut(every: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), ((F.size(every) - 1) / BLOCK).cast("int")), lambda b: F.slice(every, b * BLOCK + 1, BLOCK))
+
+    spans = let(let(found, cut), lambda blocks: F.flatten(F.zip_with(blocks, starts(blocks), in_block)))
     may = F.contains(text, F.lit(rule.hint)) if rule.hint else F.lit(True)
     return F.when(may & text.rlike(rule.pattern), spans).otherwise(none)
 
 
+def ordered(spans: Column) -> Column:
+    """Spans in order, each once: equal ones lie side by side then."""
+    return let(F.array_sort(spans), lambda own: F.filter(own, lambda x, i: (i == 0) | (x != F.get(own, i - 1))))
+
+
 def empty_ledger(spark: SparkSession) -> str:
     """A new ledger in the shared folder; returns its path."""
     path = c.fresh_path(spark, "ledger")
@@ -117,7 +137,7 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """One row per blob: rules that ran and all findings."""
     return ledger_rows(spark, path).groupBy("blob").agg(
         F.array_distinct(F.flatten(F.collect_list("rules"))).alias("rules"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("findings")))).alias("findings"))
+        ordered(F.flatten(F.collect_list("findings"))).alias("findings"))
 
 
 def scan(docs: DataFrame, ledger: str, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -145,7 +165,7 @@ def scan(docs: DataFrame, ledger: str, path: str = "doc_id", text: str = "text",
     spans = F.transform(asked, lambda x: F.struct(
         x["start"].alias("start"), (F.array_position(wanted, x["rule"]) - 1).cast("int").alias("k"), x["kind"].alias("kind"), x["end"].alias("end")))
     hits = (ledger_rows(spark, ledger).select("blob", spans.alias("findings")).filter(F.size("findings") > 0).groupBy("blob")
-            .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("findings")))).alias("findings")))
+            .agg(ordered(F.flatten(F.collect_list("findings"))).alias("findings")))
     return paths.join(hits, "blob", "left").select(
         "path", "blob", F.coalesce("findings", F.array().cast(f"array<{SPAN}>")).alias("findings"))
 

@@ -112,3 +112,31 @@ def test_url_login_of_any_length(spark):
     got = {r.doc_id: r.spans for r in queries_rows(spark, df)}
     assert got == {0: f"url_login:2:{15 + 5000}", 1: f"url_login:2:{15 + 5000}", 2: "", 3: "", 4: "url_login:2:16", 5: ""}
     assert [r.doc_id for r in secrets.without_secrets(df).orderBy("doc_id").collect()] == [2, 3, 5]
+
+
+def test_many_matches_in_one_text(spark, save):
+    """200000 matches of one kind: the work grows with them."""
+    import time
+    text = "".join(f"{i:032x}\n" for i in range(200_000))
+    df = spark.createDataFrame([(1, text), (2, text[:40]), (3, text)], "doc_id long, text string")
+    started = time.monotonic()
+    got = {r.doc_id: r for r in queries.op6_secrets(spark, save(documents=df)).collect()}
+    assert time.monotonic() - started < 90
+    assert got[1].n_hex == got[3].n_hex == 200_000 and got[2].n_hex == 1
+    assert got[1].base_sha256 == digest([(33 * i, 2, "hex", 33 * i + 32) for i in range(200_000)])
+
+
+def test_a_second_scan_reuses_the_ledger(spark, save, monkeypatch):
+    """The query over new rows and a ledger that holds old ones: only new blobs are added, results are the same."""
+    df = frame(spark)
+    ledger = secrets.empty_ledger(spark)
+    secrets.scan(df.filter("doc_id < 9"), ledger)
+    blobs = lambda: {r.blob for r in spark.read.schema(secrets.LEDGER).parquet(ledger).select("blob").collect()}
+    seen, n = blobs(), spark.read.parquet(ledger).count()
+    folder = save(documents=df)
+    want = sorted(queries.op6_secrets(spark, folder).collect())
+    monkeypatch.setattr(secrets, "empty_ledger", lambda s: ledger)
+    assert sorted(queries.op6_secrets(spark, folder).collect()) == want
+    assert len(blobs()) > len(seen) and spark.read.parquet(ledger).count() == n + len(blobs() - seen)
+    n = spark.read.parquet(ledger).count()
+    assert sorted(queries.op6_secrets(spark, folder).collect()) == want and spark.read.parquet(ledger).count() == n
