@@ -16,7 +16,8 @@ builds each automaton once; every pass is written, and the passes' hits are merg
 document.
 
 Defined cases: null texts and null items have no words; an item without words
-is no pattern; repeated items count once by item_id; a null item_id is ignored;
+is no pattern; repeated items count once by item_id; the words of an item without an id
+are hit like any other, only its id is missing among the items found;
 a document without words is clean. The scan is row-local, over whole texts.
 """
 
@@ -58,13 +59,15 @@ def normal_text(text: str | None) -> tuple[int, str]:
     return len(words), b" ".join([b"", *words, b""]).decode("utf-8", "surrogatepass") if words else ""
 
 
-def item_patterns(items: list[tuple[str, str | None]], window: int = WINDOW) -> dict[str, set[str]]:
-    """pattern text -> ids of the items that have it."""
+def item_patterns(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> dict[str, set[str]]:
+    """pattern text -> ids of the items that have it (none for an item without an id)."""
     found: dict[str, set[str]] = {}
     for item_id, text in items:
         words = [w.decode("utf-8", "surrogatepass") for w in normal_words(text) if w]
         for i in range(max(1, len(words) - window + 1) if words else 0):
-            found.setdefault(" " + " ".join(words[i:i + window]) + " ", set()).add(item_id)
+            ids = found.setdefault(" " + " ".join(words[i:i + window]) + " ", set())
+            if item_id is not None:
+                ids.add(item_id)
     return found
 
 
@@ -137,7 +140,7 @@ def _item_pieces(window: int, piece_bytes: int):
                 at = 0
                 while words:
                     end = min(len(words), max(at + window, int(np.searchsorted(ends, ends[at] + piece_bytes, "right")) - 1))
-                    yield pa.RecordBatch.from_arrays([pa.array([item_id]), pa.array([b" ".join(words[at:end]).decode("utf-8")])], ["i", "t"])
+                    yield pa.RecordBatch.from_arrays([pa.array([item_id], pa.string()), pa.array([b" ".join(words[at:end]).decode("utf-8")])], ["i", "t"])
                     if end == len(words):
                         break
                     at = end - window + 1
@@ -149,8 +152,8 @@ def item_shards(benchmark: DataFrame, item_id: str, text: str, shard_bytes: int,
     """The benchmark's items in shards of at most ``shard_bytes`` of text (one window at least);
     the number of shards follows from the measured sizes."""
     items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")) \
-        .filter("i is not null and t is not null")
-    size = F.octet_length("t") + F.octet_length("i") + F.lit(16)
+        .filter("t is not null")
+    size = F.octet_length("t") + F.coalesce(F.octet_length("i"), F.lit(0)) + F.lit(16)
     total = items.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     if total <= shard_bytes:
         yield [(r.i, r.t) for r in items.collect()]
@@ -201,7 +204,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     spark = docs.sparkSession
 
     def hits(items: list[tuple[str, str]]):
-        key = hashlib.sha256(repr((window, sorted(items))).encode()).hexdigest()
+        key = hashlib.sha256(repr((window, sorted(items, key=repr))).encode()).hexdigest()
         return _scanner(key, spark.sparkContext.broadcast(items), window, spans)(F.col(text))
 
     shards = item_shards(benchmark, item_id, item_text, shard_bytes, window)

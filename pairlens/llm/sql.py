@@ -33,7 +33,7 @@ WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_NORMAL}') AS words FROM documents),
 b AS (
   SELECT CAST(item_id AS VARCHAR) AS id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_NORMAL}') AS words
-  FROM benchmark WHERE item_id IS NOT NULL),
+  FROM benchmark),
 p AS (
   SELECT DISTINCT id, n, array_to_string(words[i : i + n - 1], ' ') AS win
   FROM (SELECT id, words, least(13, len(words)) AS n, unnest(range(1, greatest(len(words) - 12, 1) + 1)) AS i FROM b WHERE len(words) > 0)),
@@ -42,7 +42,7 @@ dw AS (
   FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM p))),
 hit AS (SELECT doc_id, i, dw.n, id FROM dw JOIN p ON p.win = dw.win AND p.n = dw.n),
 pos AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS spot FROM hit) GROUP BY doc_id),
-ids AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, id FROM hit) GROUP BY doc_id)
+ids AS (SELECT doc_id, count(id) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, id FROM hit) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
 FROM d LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN ids ON ids.doc_id = d.doc_id"""
@@ -56,7 +56,7 @@ _KINDS = (
     ("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
     ("bearer", r"[Bb]earer\x20+[A-Za-z0-9+/_.=-]{20,}", 0, 0),
     ("vendor", r"(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})", 0, 0),
-    ("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s\x0b/:@]{1,80}:[^\s\x0b/@]{3,80}@", 0, 0),
+    ("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s\x0b/:@]+:[^\s\x0b/@]{3,}@", 0, 0),
 )
 
 

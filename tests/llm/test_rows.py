@@ -76,14 +76,14 @@ def brute_hits(text, items):
     hit, ids = set(), set()
     for i, t in items:
         v = norm(t)
-        if i is None or not v:
+        if not v:
             continue
         n = min(13, len(v))
         for s in range(len(v) - n + 1):
             for p in range(len(w) - n + 1):
                 if w[p:p + n] == v[s:s + n]:
                     hit |= set(range(p, p + n))
-                    ids.add(str(i))
+                    ids |= {str(i)} - {"None"}
     return (len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(),
             bool(hit) and 20 * len(hit) >= len(w))
 
