@@ -5,13 +5,14 @@ A text's letters are lower-cased, everything else is a blank; its byte 3-grams a
 the whole text, and a linear softmax gives the language. Embeddings and weights are
 trained by stochastic gradient descent in numpy on a bounded, documented sample: of
 every language the ``per_class`` distinct labelled rows (id and text) that come first
-by a hash, or all it has. The driver holds about ``per_class * passage_chars`` for each
-language. A part of the sample is held back to fit
+by a hash, or all it has; with many languages so much fewer of each that all of them
+together are at most ``max_rows``, one of each at least. A part of the sample is held back to fit
 the temperature of the scores and the rejection threshold: the lowest score above
 which at most ``max_error`` of the held-back passages are wrong.
 
-Embedding times weights is one table of buckets x languages; that table is what is
-broadcast (size fixed by the parameters). Prediction is row-local, over whole texts.
+What is broadcast is buckets x ``dim`` numbers at most, and ``dim`` for each language:
+with fewer languages than ``dim`` embeddings times weights, one table of buckets x
+languages, else the two factors. Prediction is row-local, over whole texts.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; a null
 doc_id counts as held out; without any labelled row every text is ``und``; repeated
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +39,7 @@ LETTER = re.compile(r"[^\W\d_]")
 @dataclass(frozen=True)
 class Training:
     per_class: int = 800
+    max_rows: int = 40_000
     passage_chars: int = 1500
     buckets: int = 1 << 15
     dim: int = 16
@@ -65,10 +67,13 @@ def grams(text: str, buckets: int) -> np.ndarray:
 
 
 class Model:
-    """Languages, the table of embeddings times weights, bias, temperature and rejection threshold."""
+    """Languages, embeddings and weights (or their product where it is the smaller one), bias, temperature
+    and rejection threshold."""
 
-    def __init__(self, langs: list[str], table: np.ndarray, bias: np.ndarray, temperature: float = 1.0, threshold: float = 0.0):
-        self.langs, self.table, self.bias, self.temperature, self.threshold = langs, table, bias, temperature, threshold
+    def __init__(self, langs: list[str], embeddings: np.ndarray, weights: np.ndarray, bias: np.ndarray):
+        small = len(langs) <= embeddings.shape[1]
+        self.langs, self.bias, self.temperature, self.threshold = langs, bias, 1.0, 0.0
+        self.table, self.weights = (embeddings @ weights, None) if small else (embeddings, weights)
 
     def logits(self, text: str) -> np.ndarray:
         h = grams(text, len(self.table))
@@ -76,6 +81,8 @@ class Model:
             total = np.bincount(h, minlength=len(self.table)) @ self.table
         else:
             total = self.table[h].sum(axis=0, dtype=np.float64)
+        if self.weights is not None:
+            total = total @ self.weights
         return total / len(h) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
@@ -93,7 +100,7 @@ def train(rows: list[tuple[str, str]], t: Training = Training()) -> Model:
     """Fit on (language, passage) rows; the same rows in the same order give the same model."""
     langs = sorted({x for x, _ in rows})
     if not langs:
-        return Model([], np.zeros((t.buckets, 0)), np.zeros(0))
+        return Model([], np.zeros((t.buckets, 0)), np.zeros((0, 0)), np.zeros(0))
     number = {x: k for k, x in enumerate(langs)}
     rng = np.random.default_rng(t.seed)
     rows = [rows[i] for i in rng.permutation(len(rows))]
@@ -134,7 +141,7 @@ def train(rows: list[tuple[str, str]], t: Training = Training()) -> Model:
             order_ = np.argsort(where, kind="stable")
             first = np.searchsorted(where[order_], np.arange(len(touched)))
             emb[touched] -= rate * np.add.reduceat(grad[order_], first, axis=0)
-    model = Model(langs, (emb @ weights), bias)
+    model = Model(langs, emb, weights, bias)
     calibrate(model, [(number[x], text) for x, text in held if LETTER.search(text)], t.max_error)
     model.table = model.table.astype(np.float32)
     return model
@@ -173,16 +180,20 @@ def sample(docs: DataFrame, doc_id: str, text: str, lang: str, t: Training) -> l
         .filter(~held_out(F.col("i")) & F.col("l").isNotNull() & F.col("t").isNotNull())
     rows = rows.withColumn("h", F.xxhash64("i", "t", F.lit(t.seed)))
     # an estimate of the distinct rows gives a hash range that surely has enough; its first rows are the draw
-    shares = rows.groupBy("l").agg(F.least(F.lit(1.0), 1.3 * t.per_class / F.approx_count_distinct("h", 0.02)).alias("share"))
+    found = c.stored(rows.groupBy("l").agg(F.approx_count_distinct("h", 0.02).alias("n")), "languages")
+    per_class = max(1, min(t.per_class, t.max_rows // max(1, found.count())))
+    shares = found.select("l", F.least(F.lit(1.0), (1.3 * per_class + 20) / F.col("n")).alias("share"))
     place = F.xxhash64("i", "t")
     at = F.pmod(place, F.greatest(F.lit(1), F.length("t") - t.passage_chars)) + 1
     span = 1 << 52
     drawn = (rows.withColumn("u", F.pmod(F.col("h"), F.lit(span))).join(F.broadcast(shares), "l").filter(F.col("u") < F.col("share") * span)
              .groupBy("l", "u", "h").agg(F.min(F.substring("t", at.cast("int"), F.lit(t.passage_chars))).alias("p")))
+    drawn = (drawn.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("u", "h")))
+             .filter(F.col("n") <= per_class).drop("n"))
     first: dict[str, list[tuple[int, int, str]]] = {}
     for r in drawn.collect():
         first.setdefault(r.l, []).append((r.u, r.h, r.p))
-    return sorted((lang, p) for lang, own in first.items() for _, _, p in sorted(own)[:t.per_class])
+    return sorted((lang, p) for lang, own in first.items() for _, _, p in sorted(own))
 
 
 OUT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
