@@ -43,7 +43,7 @@ from pairlens.llm import common as c
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _IN_TERM = np.frombuffer(_TERM_BYTES, np.uint8) != 32
 SLICE = 1 << 20
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 10 << 20
 SHARD_DOCS = 1 << 16
 BLOCK_CHARS = 4_000_000
 
@@ -122,7 +122,7 @@ class _Shard:
         docs = np.repeat(place, self.sizes)
         terms, tfs = np.concatenate(self.terms), np.concatenate(self.tfs)
         by = np.lexsort((docs, tfs, np.searchsorted(first, docs, "right"), terms))
-        df = np.bincount(terms, minlength=len(self.vocabulary))
+        self.terms, self.tfs, df = [], [], np.bincount(terms, minlength=len(self.vocabulary))
         ends = np.concatenate([[0], np.cumsum(df)]).astype(np.int32)
         docs, tfs = docs[by], tfs[by]
         names = [t.decode("utf-8", "surrogatepass") for t in self.vocabulary]
