@@ -10,7 +10,9 @@ Items are dealt by a hash of their row number into blocks of about
 ``ISLANDS`` islands (one task each). An island evolves a small population:
 crossover injects whole well-filled bins of one parent into the other, removes
 the bins that hold duplicates, and places the displaced items by best fit,
-largest first. After each epoch an island's best solution migrates to the next
+largest first; then the child's open bins are regrouped with a few full ones, each refilled
+as far as any subset of their items can, so that what is left over gathers in one bin and
+empties it. After each epoch an island's best solution migrates to the next
 island of its ring. The best solution of a block wins; its badly filled bins are
 dissolved, and their items form the (far fewer) blocks of the next level, until one
 block is left. Where nearly all bins are badly filled (lengths that don't add up to a
@@ -18,7 +20,8 @@ sequence), only the emptiest bins of each block go on, into half as many blocks
 so a block's part-filled rest always meets those of the others. Nothing is gathered beyond a block, whatever the input's size.
 
 Defined cases: a null or empty text is one end id; repeated rows and repeated or
-null doc_ids are packed row by row; an empty table gives no rows.
+null doc_ids are packed row by row; an empty table gives no rows. Only doc_id and text are
+read, whatever further columns are called; a long text is encoded whole, then cut.
 """
 
 from __future__ import annotations
@@ -44,6 +47,10 @@ class Search:
     epochs: int = 2
     population: int = 4
     children: int = 6
+    #: regroupings of a child, each of so many open and other bins
+    regroupings: int = 3000
+    open_bins: int = 3
+    other_bins: int = 6
     #: bins at least this full, compared with the parent's fullest, are worth inheriting; compared with a
     #: sequence, final at the end of a level
     well_filled: float = 0.995
@@ -160,6 +167,53 @@ def crossover(a: Packing, b: Packing, lens: list[int], capacity: int, well: floa
     return Packing(bins, fill, capacity)
 
 
+def subset(sizes: list[int], capacity: int) -> list[int]:
+    """Places (descending) of a subset with the largest sum up to ``capacity``; bit n of ``reach`` is set if some
+    subset of the sizes so far has the sum n."""
+    reach, mask, steps = 1, (1 << capacity + 1) - 1, []
+    for n in sizes:
+        steps.append(reach)
+        reach |= (reach << n) & mask
+        if reach >> capacity:
+            break
+    left, taken = reach.bit_length() - 1, []
+    for k in range(len(steps) - 1, -1, -1):
+        if not steps[k] >> left & 1:
+            taken.append(k)
+            left -= sizes[k]
+    return taken
+
+
+def regroup(p: Packing, lens: list[int], capacity: int, least: int, s: Search, rng: random.Random) -> Packing:
+    """Refill a few bins at a time, fullest first, each with the best subset of the items of all of them; the
+    rest goes to the emptiest. A regrouping is kept if no item is left over and the fills get no more even."""
+    bins, fill = [b[:] for b in p.bins], p.fill[:]
+    n, open_ = len(bins), [k for k, f in enumerate(fill) if f < capacity]
+    for t in range(s.regroupings):
+        if n <= least or len(open_) <= s.open_bins:
+            break
+        own = rng.sample(open_, s.open_bins) + [rng.randrange(len(bins)) for _ in range(s.other_bins)]
+        if t % 2:  # the emptiest bin of all, or of these
+            own.append(min(open_, key=fill.__getitem__))
+        own = sorted({k for k in own if bins[k]}, key=lambda k: (-fill[k], k))
+        items = sorted((i for k in own for i in bins[k]), key=lambda i: (-lens[i], i))
+        even = sum(fill[k] ** 2 for k in own)
+        new = []
+        for _ in own[:-1]:
+            new.append([items.pop(k) for k in subset([lens[i] for i in items], capacity)])
+        new.append(items)
+        sums = [sum(lens[i] for i in b) for b in new]
+        if sums[-1] > capacity or sum(f * f for f in sums) < even:
+            continue
+        for k, b, f in zip(own, new, sums):
+            bins[k], fill[k] = b, f
+        n = n - sum(not b for b in new)
+        open_ = [k for k in set(open_).union(own) if bins[k] and fill[k] < capacity]
+        open_.sort()
+    kept = [k for k, b in enumerate(bins) if b]
+    return Packing([bins[k] for k in kept], [fill[k] for k in kept], capacity)
+
+
 def from_assignment(assigned: list[int], lens: list[int], capacity: int) -> Packing:
     bins: list[list[int]] = [[] for _ in range(max(assigned, default=-1) + 1)]
     fill = [0] * len(bins)
@@ -183,6 +237,8 @@ def evolve(lens: list[int], seeds: list[list[int]], capacity: int, s: Search, rn
     people = [from_assignment(x, lens, capacity) for x in seeds]
     if not people:
         people.append(packed(sorted(range(len(lens)), key=lambda i: -lens[i]), lens, capacity))
+    if -max(p.score for p in people)[0] > least:
+        people.append(regroup(max(people, key=lambda p: p.score), lens, capacity, least, s, rng))
     while len(people) < s.population and -max(p.score for p in people)[0] > least:
         key = [-n * (0.85 + 0.3 * rng.random()) for n in lens]
         people.append(packed(sorted(range(len(lens)), key=key.__getitem__), lens, capacity))
@@ -192,6 +248,7 @@ def evolve(lens: list[int], seeds: list[list[int]], capacity: int, s: Search, rn
             break
         a, b = rng.sample(range(len(people)), 2)
         child = crossover(people[min(a, b)], people[max(a, b)], lens, capacity, s.well_filled, rng)
+        child = regroup(child, lens, capacity, least, s, rng)
         if child.score > people[-1].score:
             people[-1] = child
     return max(people, key=lambda p: p.score)

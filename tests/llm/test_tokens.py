@@ -136,6 +136,47 @@ def test_packing_edges(spark):
     assert [(r.length, r.offset) for r in packing.pack(full, length=64).collect()] == [(64, 0)] * 4
 
 
+def least_bins(lens, capacity):
+    return -(-sum(lens) // capacity)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_search_reaches_the_lower_bound(seed):
+    """Lengths of documents, where best fit needs a sequence more than the total."""
+    rng = random.Random(seed)
+    lens = [n for n in (int(rng.lognormvariate(6, 1.1)) % 2048 for _ in range(2300)) if n][:2000]
+    first = packing.packed(sorted(range(len(lens)), key=lambda i: -lens[i]), lens, 2048)
+    best = packing.evolve(lens, [], 2048, packing.Search(), random.Random(7))
+    assert sorted(i for b in best.bins for i in b) == list(range(len(lens)))
+    assert len(best.bins) == least_bins(lens, 2048) <= len(first.bins)
+
+
+def test_search_on_full_triplets():
+    """Items cut from full sequences, three each: best fit is 6 % over, the search within 2 %."""
+    rng = random.Random(11)
+    lens = []
+    for _ in range(1000):
+        a = rng.randrange(500, 900)
+        b = rng.randrange(500, 2048 - a - 400)
+        lens += [a, b, 2048 - a - b]
+    rng.shuffle(lens)
+    first = packing.packed(sorted(range(len(lens)), key=lambda i: -lens[i]), lens, 2048)
+    best = packing.evolve(lens, [], 2048, packing.Search(), random.Random(3))
+    assert len(first.bins) > 1040 and len(best.bins) <= 1020
+    assert all(sum(lens[i] for i in b) == f <= 2048 for b, f in zip(best.bins, best.fill))
+
+
+def test_subset_against_brute_force():
+    from itertools import combinations
+    rng = random.Random(2)
+    for _ in range(200):
+        sizes = [rng.randrange(1, 30) for _ in range(rng.randrange(0, 9))]
+        cap = rng.randrange(0, 60)
+        got = packing.subset(sizes, cap)
+        assert got == sorted(set(got), reverse=True)
+        assert sum(sizes[k] for k in got) == max(x for n in range(len(sizes) + 1) for x in map(sum, combinations(sizes, n)) if x <= cap)
+
+
 def test_crossover_keeps_every_item():
     rng = random.Random(4)
     lens = [rng.randrange(1, 100) for _ in range(300)]
