@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.config import MARKER, TEST
+from pairlens.config import MARKER, REFERENCE, TEST, Params
 from pairlens.functions.arrays import explode_indexed, round6
 from pairlens.operators import chat, curate
 from pairlens.operators import contexts as ctx
@@ -127,9 +127,9 @@ def q_chunk_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(_long("doc_id"), _long("chunk_id"), _long("start"), "chunk")
 
 
-def _doc_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = txo.chunk_words(_docs(spark, sf_dir), DOC_KEYS, P.chunk_words, P.min_tail)
-    return txo.to_sequences(c, P.max_length)
+def _doc_sequences(spark: SparkSession, sf_dir: str, p: Params = P) -> DataFrame:
+    c = txo.chunk_words(_docs(spark, sf_dir), DOC_KEYS, p.chunk_words, p.min_tail)
+    return txo.to_sequences(c, p.max_length)
 
 
 def q_fixed_length_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,12 +148,17 @@ def q_plain_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows[0].union(rows[1])
 
 
-def q_segment_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = txo.segment_ends(_doc_sequences(spark, sf_dir), P.gap)
+def q_segment_ends(spark: SparkSession, sf_dir: str, p: Params = P) -> DataFrame:
+    s = txo.segment_ends(_doc_sequences(spark, sf_dir, p), p.gap)
     return s.select(_long("doc_id"), _long("chunk_id"), F.size("cands").cast("long").alias("n_cands"),
                     _csv("cands").alias("cands"), _csv("ends").alias("ends"))
 
 
+def q_reference_segment_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1-T8 at the original's settings: 944 words, 1024 tokens."""
+    return q_segment_ends(spark, sf_dir, REFERENCE)
+
+
 def doc_segment_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     seqs = txo.segment_ends(_doc_sequences(spark, sf_dir), P.gap)
     return txo.segments(seqs, DOC_KEYS, P.vector_width)
@@ -190,6 +195,7 @@ QUERIES.update({
     "fixed_length_sequences": q_fixed_length_sequences,
     "plain_sequences": q_plain_sequences,
     "segment_ends": q_segment_ends,
+    "reference_segment_ends": q_reference_segment_ends,
     "segment_vectors": q_segment_vectors,
 })
 

@@ -88,25 +88,32 @@ def pairs(spark: SparkSession, sf_dir: str, in_order: bool = False) -> DataFrame
 
 
 def response_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One feature key per conversation."""
-    return table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("latent_key")).distinct()
+    """One feature key per conversation, and for every 7th one a key without a response and one that is no number."""
+    ids = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    more = F.when(F.col("conv_id") % 7 == 0, F.array((-F.col("conv_id") - 1).cast("string"), F.concat(F.lit("x"), F.col("conv_id").cast("string"))))
+    own = F.array(F.col("conv_id").cast("string"))
+    return ids.select(F.explode(F.concat(own, F.coalesce(more, F.array().cast("array<string>")))).alias("latent_key"))
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interpretation responses ``latent, response, n_in, n_out`` from all
-    conversations: the feature is the conversation, the explanation its first
-    assistant turn. Every 7th conversation has no response, the next one after
-    it only that turn, which can't be parsed."""
-    turns = table(spark, sf_dir, "conversations").filter("role = 'assistant' and conv_id % 7 <> 0")
-    first = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("t"))
+    """Interpretation responses ``latent, response, n_in, n_out`` from all turns of all conversations: the
+    feature is the conversation, the explanation its first assistant turn, the request as long as its other
+    turns and the response as long as all assistant turns. After every 7th conversation one
+    has only that turn, which can't be parsed; without an assistant turn there is no response."""
+    turns = table(spark, sf_dir, "conversations")
+    said = F.col("role") == "assistant"
+    size = F.coalesce(F.length("text"), F.lit(0))
+    first = turns.groupBy("conv_id").agg(
+        F.min_by(F.when(said, F.col("text")), F.when(said, F.col("turn"))).alias("t"), F.count_if(said).alias("n"),
+        F.sum(F.when(~said, size).otherwise(0)).alias("asked"), F.sum(F.when(said, size).otherwise(0)).alias("told")).filter("n > 0")
     t = F.coalesce("t", F.lit(""))
     text = F.when(F.col("conv_id") % 7 == 1, t).otherwise(
         F.concat(F.lit("Score: "), (F.lit(1) + F.col("conv_id") % 5).cast("string"), F.lit("\nExplanation: "), t, F.lit("\u00a0 ")))
     return first.select(
         F.col("conv_id").cast("int").alias("latent"),
         text.alias("response"),
-        (F.lit(100) + F.col("conv_id") % 1000 * 2).cast("int").alias("n_in"),
-        (F.lit(10) + F.length(t)).cast("int").alias("n_out"),
+        (F.lit(100) + F.col("asked")).alias("n_in"),
+        (F.lit(10) + F.col("told")).alias("n_out"),
     )
 
 

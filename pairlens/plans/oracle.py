@@ -275,6 +275,11 @@ SELECT CAST(doc_id AS BIGINT) AS doc_id, chunk_id, CAST(len(cands) AS BIGINT) AS
        array_to_string(cands, ',') AS cands, array_to_string(ends, ',') AS ends
 FROM en"""
 
+SQL["reference_segment_ends"] = with_(*text_chain("documents", "doc_id", 944, 5, 1024, 5)) + """
+SELECT CAST(doc_id AS BIGINT) AS doc_id, chunk_id, CAST(len(cands) AS BIGINT) AS n_cands,
+       array_to_string(cands, ',') AS cands, array_to_string(ends, ',') AS ends
+FROM en"""
+
 SQL["segment_vectors"] = with_(*DOC_TEXT, seg_fragment("doc_id", P.vector_width)) + """
 SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(chunk_id AS BIGINT) AS chunk_id, CAST(seg_no AS BIGINT) AS seg_no,
        CAST(end_pos AS BIGINT) AS end_pos, CAST(bucket AS BIGINT) AS bucket, CAST(n AS BIGINT) AS n
@@ -376,9 +381,11 @@ RESPONSES = """resp AS (
   SELECT CAST(conv_id AS INTEGER) AS latent,
          CASE WHEN conv_id % 7 = 1 THEN t
               ELSE concat('Score: ', CAST(1 + conv_id % 5 AS VARCHAR), chr(10), 'Explanation: ', t, chr(160), ' ') END AS response,
-         CAST(100 + conv_id % 1000 * 2 AS INTEGER) AS n_in, CAST(10 + length(t) AS INTEGER) AS n_out
-  FROM (SELECT conv_id, coalesce(min_by(text, turn), '') AS t FROM conversations
-        WHERE role = 'assistant' AND conv_id % 7 <> 0 GROUP BY conv_id))"""
+         100 + asked AS n_in, 10 + told AS n_out
+  FROM (SELECT conv_id, coalesce(min_by(text, turn) FILTER (WHERE role = 'assistant'), '') AS t,
+               CAST(sum(CASE WHEN role = 'assistant' THEN 0 ELSE coalesce(length(text), 0) END) AS BIGINT) AS asked,
+               CAST(sum(CASE WHEN role = 'assistant' THEN coalesce(length(text), 0) ELSE 0 END) AS BIGINT) AS told
+        FROM conversations GROUP BY conv_id HAVING count_if(role = 'assistant') > 0))"""
 
 
 def parse_fragment(keys_src: str, name: str = "results") -> str:
@@ -489,7 +496,9 @@ SQL["signed_feature_lists"] = with_(*P_CHAIN, CONTEXTS, *SCORING) + f"""
 SELECT CAST(rank AS BIGINT) AS rank, CAST(latent AS BIGINT) AS latent, {R6('diff')} AS diff, CAST(sign AS BIGINT) AS sign
 FROM psigned"""
 
-RESPONSE_KEYS = "rkeys AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS latent_key FROM conversations)"
+RESPONSE_KEYS = """rkeys AS (
+  SELECT unnest([CAST(conv_id AS VARCHAR)] || CASE WHEN conv_id % 7 = 0 THEN [CAST(-conv_id - 1 AS VARCHAR), 'x' || conv_id] ELSE [] END) AS latent_key
+  FROM (SELECT DISTINCT conv_id FROM conversations))"""
 
 SQL["parse_scores"] = with_(RESPONSES, RESPONSE_KEYS, parse_fragment("rkeys")) + """
 SELECT latent_key, CAST(latent AS BIGINT) AS latent, CAST(score AS BIGINT) AS score, explanation FROM results"""
@@ -708,8 +717,8 @@ WHERE NOT (latent >= 0 AND latent < {P.latent_size}) OR NOT (value > 0)"""
 # ---------------------------------------------------------------- streaming feature sums
 
 LDOCS = """ldocs AS (
-  SELECT d.doc_id, CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 'chosen' ELSE 'rejected' END AS side, d.text
-  FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+  SELECT d.doc_id, CASE WHEN coalesce(l.quality = 1 AND l.toxic = 0, d.doc_id % 2 = 0) THEN 'chosen' ELSE 'rejected' END AS side, d.text
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 DK = "doc_id, side"
 DSEGK = "doc_id, side, chunk_id, seg_no"

@@ -7,6 +7,7 @@ a fresh scratch folder when it is unset (local runs and tests).
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import io
 import os
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
 _SHIPPED: set[str] = set()
+#: what queries store below the checkpoint folder
+_STORES = ("tables", "io", "weights", "llm")
 
 
 def get_spark(master: str | None = None, app: str = "pairlens",
@@ -97,6 +100,7 @@ def ship_package(spark: SparkSession, folder: str) -> None:
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
+    atexit.register(_remove_stores, folder, os.getpid())
     root = os.path.dirname(os.path.abspath(__file__))
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
@@ -117,6 +121,25 @@ def ship_package(spark: SparkSession, folder: str) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def _remove_stores(folder: str, pid: int) -> None:
+    """Stored tables live as long as the driver's process. Folders that only Spark opens are left."""
+    from pairlens.sources.paths import exists, open_path
+    if os.getpid() != pid:
+        return
+    for name in _STORES:
+        try:
+            system, at = open_path(f"{folder.rstrip('/')}/{name}")
+            if exists(system, at):
+                system.delete_dir(at)
+        except OSError:
+            pass
+
+
+def release(spark: SparkSession) -> None:
+    """Remove what the queries of this session have stored; their results must have been read by then."""
+    _remove_stores(checkpoint_dir(spark), os.getpid())
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by writing Parquet into the shared folder and reading it back:
     later steps read only the columns they need, and a lost executor costs

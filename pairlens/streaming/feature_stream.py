@@ -26,13 +26,15 @@ DOC_SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BI
 
 def labelled_documents(stream: DataFrame, labels: DataFrame, partitions: int) -> DataFrame:
     """Stream-static join: good labelled documents are chosen, the other labelled
-    ones rejected. The labels are joined by a shuffle on doc_id (the label table
+    ones rejected; those without a label take the side of their id as in the pair
+    corpus (even: chosen). The labels are joined by a shuffle on doc_id (the label table
     grows with the corpus, so it is not broadcast); the same shuffle spreads the
     text work of a micro-batch over ``partitions`` tasks, whatever the file
     layout of the batch."""
-    side = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit("chosen")).otherwise(F.lit("rejected"))
+    good = F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.col("doc_id") % 2 == 0)
+    side = F.when(good, F.lit("chosen")).otherwise(F.lit("rejected"))
     docs = stream.select("doc_id", "text").repartition(partitions, "doc_id")
-    return docs.join(labels.select("doc_id", "quality", "toxic"), "doc_id").select("doc_id", side.alias("side"), "text")
+    return docs.join(labels.select("doc_id", "quality", "toxic"), "doc_id", "left").select("doc_id", side.alias("side"), "text")
 
 
 def stream_activations(docs: DataFrame, dictionary: vec.FeatureDictionary, p: Params) -> DataFrame:
