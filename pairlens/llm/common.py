@@ -33,6 +33,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_in_buckets(df: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
+    """Write a table in buckets by ``keys``: joins on them deal only their other side."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = fresh_path(spark, name)
+    table_name = f"{name}_{path.rsplit('-', 1)[1]}"
+    df.repartition(n, *keys).write.bucketBy(n, keys[0], *keys[1:]).sortBy(*keys).format("parquet").option("path", path).saveAsTable(table_name)
+    return spark.table(table_name)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a table of ``fresh_path`` that no later step reads."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

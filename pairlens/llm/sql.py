@@ -1,5 +1,5 @@
 """DuckDB SQL for the operators that SQL can express: substring dedup (2), decontamination (4),
-secret scans (6), quality rules (7), URL filters (9, with 20 rounds of the link graph) and lexical search (12). Patterns
+secret scans (6), quality rules (7), URL filters (9, with 100 rounds of the link graph) and lexical search (12). Patterns
 and thresholds are written out again here. Token ids (1, 5, 8), XXH64 (10) and a trained model (3)
 can't be expressed; their queries are tested against plain Python."""
 
@@ -129,6 +129,10 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM base"""
 
 
+#: of the link graph; the operator goes on until nothing changes
+ROUNDS = 100
+
+
 def _rank(name: str, seed: str, src: str, dst: str) -> str:
     """Personalised PageRank by rounds; ``src`` passes its score on to ``dst`` by the links' counts."""
     return f"""
@@ -139,8 +143,8 @@ def _rank(name: str, seed: str, src: str, dst: str) -> str:
   SELECT k + 1, host, sum(score)
   FROM (SELECT k, dst AS host, 0.85 * score * share AS score FROM {name}_round JOIN {name}_edge ON src = host
         UNION ALL SELECT k, seeds.host, 0.15 * {seed} FROM (SELECT DISTINCT k FROM {name}_round), seeds WHERE {seed} > 0)
-  WHERE k < 20 GROUP BY k, host),
-{name} AS (SELECT host, score AS {name} FROM {name}_round WHERE k = 20)"""
+  WHERE k < {ROUNDS} GROUP BY k, host),
+{name} AS (SELECT host, score AS {name} FROM {name}_round WHERE k = {ROUNDS})"""
 
 
 SQL["op9_url_filters"] = f"""
@@ -165,7 +169,10 @@ links AS (
   WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
 {_rank('good', 'trust', 'src', 'dst')},
 {_rank('bad', 'distrust', 'dst', 'src')},
-blocked AS (SELECT bad.host FROM bad LEFT JOIN good ON good.host = bad.host WHERE bad > 0.75 * (bad + coalesce(good, 0.0)))
+sizes AS (SELECT host, count(*) AS n_pages FROM ruled GROUP BY host),
+blocked AS (
+  SELECT bad.host FROM bad LEFT JOIN good ON good.host = bad.host LEFT JOIN sizes ON sizes.host = bad.host
+  WHERE bad > 0.75 * (bad + coalesce(good, 0.0) + CAST(1e-6 AS DOUBLE) * coalesce(n_pages, 0)))
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled"""
 

@@ -5,12 +5,15 @@ rule that fits a page decides it. Other pages get their host's verdict: hosts ar
 seeded by the pages that rules allow (trust) or block (distrust). Trust follows
 links by personalised PageRank from its seeds; distrust follows links backwards,
 from blocked hosts to those that link to them. Both are in pages, and a host is
-blocked where distrust holds more than ``block_share`` of the two.
+blocked where distrust holds more than ``block_share`` of the two and of the host's own
+pages, which count ``own_weight`` each: one link of a host of a million pages to a
+blocked one blocks nothing.
 
 Host edges come from absolute links in the pages' HTML, counted per pair of hosts
-(partial counts first, so a hub is a few rows per task). Each round is a join on
-the edge's source and a grouped sum by its target; ranks are one row per host
-with any score, written to the shared folder every round. Scores only grow, and the
+(partial counts first, so a hub is a few rows per task). Edges are written once, in
+buckets by their source and one of ``SALTS`` salts (a hub's edges are in as many buckets), and
+never dealt again: a round deals the ranks to them, one row per host with any score
+and salt, sums by target, and writes the new ranks to the shared folder. Scores only grow, and the
 largest relative growth of a host never rises again once no host is new. Rounds stop
 when no host got its first score and no host's score grew by more than ``tolerance``
 of itself, so their number follows from the graph (its longest way, then a factor of
@@ -20,7 +23,8 @@ that a caller sets. Scores are doubles: one below 1e-308 is none.
 Defined cases: a null url or one without "://" has an empty host and path, fits no
 rule and is allowed; null html has no links; repeated rows are judged each; a host
 without a score is allowed; an empty table gives no rows. Rules of equal length:
-block before allow.
+block before allow. Only page_id, url and html are read, whatever further columns are called; html
+of any length is searched whole.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ from pyspark.sql import functions as F
 
 from pairlens.llm import common as c
 
+#: parts of a hub's edges
+SALTS = 16
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""
 
 
@@ -58,6 +64,8 @@ class Spread:
     #: of each host's own score
     tolerance: float = 1e-6
     block_share: float = 0.75
+    #: of a host's own page against its distrust
+    own_weight: float = 1e-6
 
 
 def lower_ascii(x: Column) -> Column:
@@ -92,18 +100,21 @@ def page_rank(edges: DataFrame, seeds: DataFrame, s: Spread = Spread()) -> DataF
     """``edges(src, dst, n)``, ``seeds(host, seed)`` -> ``host, score``: each round a host keeps
     (1 - damping) of its seed and gets its share of the scores of hosts that link to it."""
     spark = edges.sparkSession
-    out = edges.groupBy("src").agg(F.sum("n").alias("out"))
-    shares = c.stored(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("share")), "shares")
     start = seeds.select("host", (F.col("seed") * (1 - s.damping)).alias("score"))
     ranks = c.stored(start, "ranks")
-    if shares.isEmpty() or ranks.isEmpty():
+    if edges.isEmpty() or ranks.isEmpty():
         return ranks
+    out = edges.groupBy("src").agg(F.sum("n").alias("out"))
+    shares = edges.join(out, "src").select("src", F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int").alias("salt"), "dst", (F.col("n") / F.col("out")).alias("share"))
+    shares = c.stored_in_buckets(shares, "shares", ["src", "salt"])
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     none = F.lit(0.0).alias("before")
     # sums in another order differ in the last digits: no round can be asked for less
     grew = F.col("score") - F.col("before") > F.col("before") * max(s.tolerance, 1e-12)
     last, rounds = None, 0
     while s.max_rounds is None or rounds < s.max_rounds:
-        got = shares.join(ranks, shares.src == ranks.host).select(
+        sent = ranks.select(F.col("host").alias("src"), "score", salts.alias("salt"))
+        got = shares.join(sent, ["src", "salt"]).select(
             F.col("dst").alias("host"), (F.col("score") * F.col("share") * s.damping).alias("score"), none)
         new = (start.select("host", "score", none).union(got)
                .union(ranks.select("host", F.lit(0.0), F.col("score")))
@@ -121,7 +132,7 @@ def page_rank(edges: DataFrame, seeds: DataFrame, s: Spread = Spread()) -> DataF
 
 
 def host_scores(pages: DataFrame, edges: DataFrame, s: Spread = Spread()) -> DataFrame:
-    """``pages(host, verdict of a rule or null)`` -> ``host, trust, distrust, blocked``."""
+    """``pages(host, verdict of a rule or null)`` -> ``host, n_pages, trust, distrust, blocked``."""
     seeds = c.stored(pages.filter("verdict is not null").groupBy("host").agg(
         F.sum(F.when(F.col("verdict") == "allow", 1.0).otherwise(0.0)).alias("trust"),
         F.sum(F.when(F.col("verdict") == "block", 1.0).otherwise(0.0)).alias("distrust")), "seeds")
@@ -129,8 +140,11 @@ def host_scores(pages: DataFrame, edges: DataFrame, s: Spread = Spread()) -> Dat
     trust = page_rank(edges, seeds.filter("trust > 0").select("host", F.col("trust").alias("seed")), s)
     distrust = page_rank(back, seeds.filter("distrust > 0").select("host", F.col("distrust").alias("seed")), s)
     both = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full")
+    sizes = pages.groupBy("host").agg(F.count("*").alias("n_pages"))
     t, d = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    return both.select("host", t.alias("trust"), d.alias("distrust"), (d > s.block_share * (t + d)).alias("blocked"))
+    n = F.coalesce("n_pages", F.lit(0))
+    return both.join(sizes, "host", "left").select("host", n.alias("n_pages"), t.alias("trust"), d.alias("distrust"),
+                                                   (d > s.block_share * (t + d + s.own_weight * n)).alias("blocked"))
 
 
 def verdicts(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html",

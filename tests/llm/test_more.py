@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pairlens.llm import language, queries, substrings, token_codes, tokens, urls
@@ -69,6 +70,17 @@ def test_difference_cover():
     assert substrings.PERIOD - 1 + substrings.ANCHOR == substrings.WINDOW
 
 
+@pytest.mark.parametrize("size", [64, 1024, 4096])
+def test_long_words_that_polynomials_confuse(spark, size):
+    """Two documents that differ in one word only, by strings whose polynomial hashes modulo 2^64 agree."""
+    a = "".join("ab"[i.bit_count() % 2] for i in range(size))
+    b = a.translate(str.maketrans("ab", "ba"))
+    words = [f"word{i}" for i in range(60)]
+    rows = [(1, " ".join(words[:20] + [a] + words[21:])), (2, " ".join(words[:20] + [b] + words[21:])), (3, " ".join(words[:20] + [a] + words[21:]))]
+    got = substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.n_removed for r in got.collect()} == {1: 0, 2: 0, 3: 60}
+
+
 def brute_removed(rows):
     first = {}
     words = [(d, WORD.findall(t or "")) for d, t in rows]
@@ -190,6 +202,55 @@ def test_language_sample(spark):
     assert used == language.sample(df.repartition(3), "doc_id", "text", "lang", language.Training(per_class=20))
 
 
+def test_language_model_in_plain_python():
+    """Two steps of training and the forward pass, number by number."""
+    texts = [("en", "the cat and the dog"), ("de", "der hund und die katze"), ("fr", "le chat et le chien"), ("en", "a dog"), ("de", "ein hund"), ("fr", "un chat")]
+    t = language.Training(buckets=1 << 10, dim=2, epochs=2, batch=1000)
+    model = language.train(texts, t)
+    rng = np.random.default_rng(t.seed)
+    rows = [texts[i] for i in rng.permutation(len(texts))]
+    samples = []
+    for i, (lang, text) in enumerate(rows):
+        if i % 5:
+            rng.integers(0, 1, 2)  # a short text's pieces are the whole text
+            samples += [(["de", "en", "fr"].index(lang), language.grams(text, t.buckets).tolist())] * 3
+    emb = (rng.uniform(-1, 1, (t.buckets, t.dim)) / t.dim).tolist()
+    weights, bias = [[0.0] * 3 for _ in range(t.dim)], [0.0] * 3
+    mean = lambda g: [sum(emb[h][d] for h in g) / len(g) for d in range(t.dim)]
+    logits = lambda g: [sum(x * w for x, w in zip(mean(g), col)) + b for col, b in zip(zip(*weights), bias)]
+    for rate in (t.rate, t.rate / 2):
+        d_w, d_b, d_e = [[0.0] * 3 for _ in range(t.dim)], [0.0] * 3, {}
+        for y, g in samples:
+            z = logits(g)
+            e = [np.exp(v) / sum(np.exp(z)) - (k == y) for k, v in enumerate(z)]
+            for d in range(t.dim):
+                for k in range(3):
+                    d_w[d][k] += mean(g)[d] * e[k]
+                for h in g:
+                    d_e[h, d] = d_e.get((h, d), 0) + t.embedding_rate / len(g) * sum(e[k] * weights[d][k] for k in range(3))
+            d_b = [b + x for b, x in zip(d_b, e)]
+        weights = [[w - rate * x for w, x in zip(*both)] for both in zip(weights, d_w)]
+        bias = [b - rate * x / len(samples) for b, x in zip(bias, d_b)]
+        for (h, d), x in d_e.items():
+            emb[h][d] -= rate * x
+    assert model.weights is not None  # three languages, two dimensions: the factors
+    for text in ("the dog", "der chat", "und"):
+        assert model.logits(text) == pytest.approx(logits(language.grams(text, t.buckets).tolist()), abs=1e-4)
+
+
+def test_many_languages_are_bounded(spark):
+    """What is sampled and broadcast does not grow with buckets x languages."""
+    import pickle
+    rows = [(i, f"{k}x {k}y {k}z words of language {k} " * 3, f"l{k}") for i, k in enumerate(k for k in range(3000) for _ in range(3))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    t = language.Training(max_rows=3500, epochs=1)
+    used = language.sample(df, "doc_id", "text", "lang", t)
+    learned = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert {x for x, _ in used} == learned and len(used) == len(learned)
+    model = language.train(used[:2500], t)
+    assert len(model.langs) == 2500 and len(pickle.dumps(model)) < 4 << 20
+
+
 # ------------------------------------------------------------------ 9
 
 def brute_url(u):
@@ -273,3 +334,64 @@ def test_link_graph_scores_are_settled(spark):
             new[d] = new.get(d, 0.0) + 0.85 * want.get(s, 0.0) * n / sum(m for (t, _), m in links.items() if t == s)
         want = {h: v for h, v in new.items() if v}
     assert got == pytest.approx(want, rel=1e-4)
+
+
+def linked_pages():
+    """Chains towards blocked and allowed seeds, a hub, a large host with one bad link, repeated rows."""
+    link = lambda *hosts: "".join(f"<a href='https://{h}/x'>" for h in hosts)
+    rows = [("https://bad.com/de/1", link("far.net")), ("https://good.org/1", link("a0.net", "hub.net")), (None, None), ("no url", "")]
+    rows += [(f"https://c{i}.net/p", link(f"c{i + 1}.net" if i < 12 else "bad.com")) for i in range(13)]
+    rows += [(f"https://a{i}.net/p", link(f"a{i + 1}.net")) for i in range(8)]
+    rows += [("https://hub.net/p", link(*[f"s{i}.net" for i in range(60)], "bad.com"))] * 3
+    rows += [(f"https://s{i}.net/p", link("bad.com") if i % 2 else "") for i in range(60)]
+    rows += [(f"https://big.net/{i}", link("bad.com") if i == 0 else "") for i in range(400)]
+    return [(i, u, h) for i, (u, h) in enumerate(rows)]
+
+
+def test_linked_pages_against_sql(spark, save):
+    import duckdb
+
+    from pairlens.llm.sql import SQL
+    folder = save(pages=spark.createDataFrame(linked_pages(), "page_id long, url string, html string"))
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in queries.op9_url_filters(spark, folder).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet/*.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(SQL["op9_url_filters"]).fetchall()}
+    assert got == want
+    verdict = {h: v for h, _, _, v in got.values()}
+    assert verdict["c0.net"] == verdict["s1.net"] == "block" and verdict["a7.net"] == verdict["s0.net"] == "allow"
+
+
+def test_a_large_host_is_not_blocked_by_one_link(spark):
+    """The same link blocks a host of a page, and not one of many pages without trust."""
+    edges = spark.createDataFrame([("big", "bad", 1), ("small", "bad", 1)], "src string, dst string, n long")
+    pages = spark.range(3_000_000).select(F.lit("big").alias("host"), F.lit(None).cast("string").alias("verdict")).union(
+        spark.createDataFrame([("small", None), ("bad", "block")], "host string, verdict string"))
+    got = {r.host: (r.n_pages, r.blocked) for r in urls.host_scores(pages, edges).collect()}
+    assert got == {"big": (3_000_000, False), "small": (1, True), "bad": (1, True)}
+
+
+def test_edges_are_dealt_once(spark):
+    """A hundred thousand hosts: a round deals ranks, the edges stay in their buckets."""
+    import pyspark.sql.functions as P
+    n = 100_000
+    edges = spark.range(n).select(P.concat(P.lit("h"), "id").alias("src"), P.concat(P.lit("h"), P.expr("id div 7")).alias("dst"), P.lit(1).cast("long").alias("n")).filter("src <> dst")
+    seeds = spark.createDataFrame([("h99999", 1000.0), ("h54321", 10.0)], "host string, seed double")
+    got = {r.host: r.score for r in urls.page_rank(edges, seeds).collect()}
+    want = {}
+    for seed, at in ((1000.0, 99999), (10.0, 54321)):
+        score = 0.15 * seed
+        while True:
+            want[f"h{at}"] = want.get(f"h{at}", 0) + score
+            if at == 0:
+                break
+            at, score = at // 7, 0.85 * score
+    assert got.keys() == want.keys() and all(got[h] == pytest.approx(want[h], rel=1e-5) for h in want)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shares = urls.c.stored_in_buckets(edges.withColumn("salt", P.lit(0)), "test_shares", ["src", "salt"])
+        sent = spark.createDataFrame([("h1", 1.0, 0)], "src string, score double, salt int")
+        plan = shares.join(sent, ["src", "salt"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
