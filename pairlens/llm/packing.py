@@ -38,6 +38,8 @@ from pairlens.llm import common as c
 from pairlens.llm import tokens
 
 SEQUENCE = 2048
+#: tasks of one epoch at most
+TASKS = 10_000
 
 
 @dataclass(frozen=True)
@@ -47,6 +49,8 @@ class Search:
     epochs: int = 2
     population: int = 4
     children: int = 6
+    #: children in a row without fewer bins, after which an island's epoch ends
+    patience: int = 2
     #: regroupings of a child, each of so many open and other bins
     regroupings: int = 3000
     open_bins: int = 3
@@ -189,27 +193,39 @@ def regroup(p: Packing, lens: list[int], capacity: int, least: int, s: Search, r
     rest goes to the emptiest. A regrouping is kept if no item is left over and the fills get no more even."""
     bins, fill = [b[:] for b in p.bins], p.fill[:]
     n, open_ = len(bins), [k for k, f in enumerate(fill) if f < capacity]
+    place = {k: x for x, k in enumerate(open_)}
     for t in range(s.regroupings):
         if n <= least or len(open_) <= s.open_bins:
             break
+        if t % 64 == 0:
+            low = min(open_, key=fill.__getitem__)
         own = rng.sample(open_, s.open_bins) + [rng.randrange(len(bins)) for _ in range(s.other_bins)]
-        if t % 2:  # the emptiest bin of all, or of these
-            own.append(min(open_, key=fill.__getitem__))
+        if t % 2:  # what is left goes to the emptiest bin of all, or of these
+            own.append(low)
         own = sorted({k for k in own if bins[k]}, key=lambda k: (-fill[k], k))
-        items = sorted((i for k in own for i in bins[k]), key=lambda i: (-lens[i], i))
+        items = sorted((i for k in own for i in bins[k]), key=lens.__getitem__, reverse=True)
         even = sum(fill[k] ** 2 for k in own)
-        new = []
+        new, sums = [], []
         for _ in own[:-1]:
-            new.append([items.pop(k) for k in subset([lens[i] for i in items], capacity)])
-        new.append(items)
-        sums = [sum(lens[i] for i in b) for b in new]
-        if sums[-1] > capacity or sum(f * f for f in sums) < even:
+            taken = [items.pop(k) for k in subset([lens[i] for i in items], capacity)]
+            new.append(taken)
+            sums.append(sum(lens[i] for i in taken))
+        left = sum(lens[i] for i in items)
+        if left > capacity or sum(f * f for f in sums) + left * left < even:
             continue
-        for k, b, f in zip(own, new, sums):
+        for k, b, f in zip(own, [*new, items], [*sums, left]):
             bins[k], fill[k] = b, f
-        n = n - sum(not b for b in new)
-        open_ = [k for k in set(open_).union(own) if bins[k] and fill[k] < capacity]
-        open_.sort()
+            if f < capacity and b:
+                if k not in place:
+                    place[k] = len(open_)
+                    open_.append(k)
+            elif k in place:
+                last = open_.pop()
+                if last != k:
+                    open_[place[k]] = last
+                    place[last] = place[k]
+                del place[k]
+            n -= not b
     kept = [k for k, b in enumerate(bins) if b]
     return Packing([bins[k] for k in kept], [fill[k] for k in kept], capacity)
 
@@ -242,9 +258,12 @@ def evolve(lens: list[int], seeds: list[list[int]], capacity: int, s: Search, rn
     while len(people) < s.population and -max(p.score for p in people)[0] > least:
         key = [-n * (0.85 + 0.3 * rng.random()) for n in lens]
         people.append(packed(sorted(range(len(lens)), key=key.__getitem__), lens, capacity))
+    best, stale = None, 0
     for _ in range(s.children):
         people.sort(key=lambda p: p.score, reverse=True)
-        if -people[0].score[0] <= least or len(people) < 2:
+        stale = stale + 1 if best and people[0].score[0] <= best else 0
+        best = people[0].score[0]
+        if -best <= least or len(people) < 2 or stale >= s.patience:
             break
         a, b = rng.sample(range(len(people)), 2)
         child = crossover(people[min(a, b)], people[max(a, b)], lens, capacity, s.well_filled, rng)
@@ -309,7 +328,8 @@ def _solve_level(items: DataFrame, n_blocks: int, level: int, capacity: int, s:
             # the best of an island migrates to the next one of the block's ring
             ring = state.select("block", F.pmod(F.col("island") + 1, F.lit(s.islands)).alias("island"), F.col("own").alias("migrant"))
             state = state.select("block", "island", "uids", "lens", "own").join(ring, ["block", "island"])
-        state = state.select("block", "island", "uids", "lens", "own", "migrant").repartition("block", "island")
+        # rows are few and heavy: as many tasks as islands, whatever their bytes
+        state = state.select("block", "island", "uids", "lens", "own", "migrant").repartition(min(n_blocks * s.islands, TASKS), "block", "island")
         state = c.stored(state.mapInArrow(_epoch_rows(level, epoch, capacity, s), _STATE_DDL), "islands")
     best = state.groupBy("block").agg(F.min_by("island", F.struct("bins", -F.col("score"), "island")).alias("island"))
     won = state.join(best, ["block", "island"], "left_semi").select("block", "uids", "lens", "own")
