@@ -3,8 +3,9 @@
 Every line is judged on its own (punctuation, navigation, boilerplate); failing
 lines are removed, and a document that loses too much of its text that way is
 rejected. ``verdicts`` counts, ``clean`` returns the texts without their failing lines,
-``keep_good`` only rejects documents. The document-level base counts (repeated words, symbols, duplicate
-lines) come from the same pass over the text.
+``keep_good`` only rejects documents, ``clean_good`` does both. The document-level base counts (repeated words, symbols, duplicate
+lines) come from the same pass over the text; words are numbered in slices of it and their
+windows compared as numbers, so a long text is never held as a list of windows.
 
 Defined cases: a null text has no words; a document of fewer than
 ``min_words`` words, or whose repeated 3-word windows hold over half of its
@@ -16,15 +17,18 @@ row-local: no shuffle, one text in memory at a time, whole texts.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.llm import common as c
 
 SYMBOLS = "#*$%&|<>"
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
+#: bytes of a text whose words are numbered at a time
+SLICE = 1 << 20
 #: marks that end a sentence or a clause
 MARKS = re.compile("[.!?:;…。！？؟।]")
 NAV_WORDS = frozenset(
@@ -35,6 +39,10 @@ BOILERPLATE = re.compile(
     r"enable javascript|javascript is (?:disabled|required)|subscribe to our newsletter|click here|"
     r"powered by|lorem ipsum|copyright (?:©|\(c\))|released under the .{0,40}licen[cs]e", re.IGNORECASE)
 
+#: case-folded parts, one of which any boilerplate holds (without the letter i, which has odd case forms)
+BOILERPLATE_PARTS = ("reserved", "accept", "coo", "vacy pol", "terms of", "javascr", "newsletter", "ck here", "powered by", "lorem ",
+                     "copyr", "released under the ")
+
 
 @dataclass(frozen=True)
 class LineRules:
@@ -50,28 +58,64 @@ class LineRules:
     max_lost_share: float = 0.5
 
 
-def repeated_words(words: list[bytes]) -> int:
-    """Words inside 3-word windows that occur twice or more, first occurrences included."""
-    grams = list(zip(words, words[1:], words[2:]))
-    if len(set(grams)) == len(grams):
+def word_numbers(raw: bytes) -> np.ndarray:
+    """A number for every word, the same for equal words; the text is cut in slices between words."""
+    numbers: dict[bytes, int] = {}
+    parts, at = [], 0
+    while at < len(raw):
+        cut = _BLANK.search(raw, at + SLICE)
+        end = cut.start() if cut else len(raw)
+        words = raw[at:end].split()
+        for w in set(words):
+            numbers.setdefault(w, len(numbers))
+        parts.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+        at = end
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def repeated_words(words: np.ndarray) -> int:
+    """Words (numbers) inside 3-word windows that occur twice or more, first occurrences included."""
+    if len(words) < 4:
+        return 0
+    size = int(words.max()) + 1
+    pairs = words[:-2] * size + words[1:-1]
+    if size >= 1 << 21:  # three numbers don't fit one then
+        pairs = np.unique(pairs, return_inverse=True)[1]
+    grams = pairs * size + words[2:]
+    ranked = np.sort(grams)
+    if not (ranked[1:] == ranked[:-1]).any():
         return 0
-    counts = Counter(grams)
-    total, end = 0, 0
-    for i, g in enumerate(grams):
-        if counts[g] > 1:
-            total += i + 3 - max(i, end)
-            end = i + 3
-    return total
+    order = np.argsort(grams, kind="stable")
+    same = grams[order][1:] == grams[order][:-1]
+    marked = np.zeros(len(words), bool)
+    marked[order[1:][same]] = True
+    marked[order[:-1][same]] = True
+    marked[1:] |= marked[:-1]  # a window covers its first word and the two behind it
+    marked[1:] |= marked[:-1]
+    return int(marked.sum())
+
+
+def lines_of(text: str):
+    """(line, its words) of a text."""
+    odd = any(b in text for b in c.BLANKS if b not in " \n")
+    for line in text.split("\n"):
+        yield line, [w for w in (line.translate(_TO_SPACE) if odd else line).split(" ") if w]
 
 
-def line_fails(line: str, words: list[str], seen_before: bool, rules: LineRules) -> str | None:
-    """The rule that removes the line, or None."""
+def may_be_boilerplate(text: str) -> bool:
+    """False if no line of the text can be."""
+    folded = text.casefold()
+    return any(part in folded for part in BOILERPLATE_PARTS)
+
+
+def line_fails(line: str, words: list[str], seen_before: bool, rules: LineRules, boilerplate: bool = True) -> str | None:
+    """The rule that removes the line, or None; ``boilerplate`` is False where no line of the text can be."""
     if seen_before:
         return "duplicate"
     chars = sum(map(len, words))
     if sum(map(line.count, SYMBOLS)) > rules.max_symbol_share * chars:
         return "symbols"
-    if BOILERPLATE.search(line):
+    if boilerplate and BOILERPLATE.search(line):
         return "boilerplate"
     if len(words) <= rules.nav_words:
         separators = sum(w in ("|", ">", "»", "›", "·", "•", "/", "-") for w in words)
@@ -86,7 +130,7 @@ def line_fails(line: str, words: list[str], seen_before: bool, rules: LineRules)
 
 def judge_text(text: str | None, rules: LineRules) -> tuple:
     text = text or ""
-    words = text.encode("utf-8", "surrogatepass").split()
+    words = word_numbers(text.encode("utf-8", "surrogatepass"))
     n_words = len(words)
     word_chars = len(text) - sum(map(text.count, c.BLANKS))
     n_symbols = sum(map(text.count, SYMBOLS))
@@ -94,15 +138,15 @@ def judge_text(text: str | None, rules: LineRules) -> tuple:
     del words
     seen: set[str] = set()
     n_dup = n_lines = n_removed = lost = 0
-    for line in text.split("\n"):
-        own = [w for w in line.translate(_TO_SPACE).split(" ") if w]
+    boilerplate = may_be_boilerplate(text)
+    for line, own in lines_of(text):
         if not own:
             continue
         n_lines += 1
         again = line in seen
         n_dup += again
         seen.add(line)
-        if line_fails(line, own, again, rules):
+        if line_fails(line, own, again, rules, boilerplate):
             n_removed += 1
             lost += sum(map(len, own))
     base_failed = n_words < rules.min_words or 100 * n_repeat > rules.max_repeat_percent * n_words
@@ -123,9 +167,9 @@ def clean_text(text: str | None, rules: LineRules = LineRules()) -> str | None:
         return None
     seen: set[str] = set()
     out = []
-    for line in text.split("\n"):
-        own = [w for w in line.translate(_TO_SPACE).split(" ") if w]
-        if not own or not line_fails(line, own, line in seen, rules):
+    boilerplate = may_be_boilerplate(text)
+    for line, own in lines_of(text):
+        if not own or not line_fails(line, own, line in seen, rules, boilerplate):
             out.append(line)
         if own:
             seen.add(line)
@@ -149,3 +193,22 @@ def keep_good(docs: DataFrame, text: str = "text", rules: LineRules = LineRules(
     """The rows of ``docs`` that the rules keep, columns unchanged."""
     name = c.own_name(docs, "quality")
     return verdicts(docs, text, rules, name).filter(F.col(name)["kept"]).drop(name)
+
+
+def clean_good(docs: DataFrame, text: str = "text", size: str | None = None, rules: LineRules = LineRules()) -> DataFrame:
+    """The rows that the rules keep, without their failing lines, in one pass; a column ``size`` follows
+    the text's new length. Texts without a failing line stay as they are."""
+    name = c.own_name(docs, "quality")
+
+    def both(t: str | None) -> tuple:
+        judged = judge_text(t, rules)
+        n_removed, kept = judged[7], judged[-1]
+        return kept, clean_text(t, rules) if kept and n_removed else None
+
+    # once per row: a deterministic one would run for the filter and again for the text
+    judge = c.row_results([("kept", *c.BOOL), ("cleaned", *c.STRING)], both).asNondeterministic()
+    out = docs.withColumn(name, judge(F.col(text))).filter(F.col(name)["kept"])
+    cut = F.col(name)["cleaned"]
+    if size:
+        out = out.withColumn(size, F.when(cut.isNotNull(), F.length(cut).cast(docs.schema[size].dataType)).otherwise(F.col(size)))
+    return out.withColumn(text, F.coalesce(cut, F.col(text))).drop(name)
