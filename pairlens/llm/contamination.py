@@ -3,17 +3,19 @@
 Benchmark items are normalised to words (A-Z lower-cased; words are runs of
 digits, letters a-z and everything beyond ASCII); a pattern is a window of 13
 consecutive item words, or the whole item if it has fewer. Every document is
-normalised the same way and scanned once by the automaton; hits are counted in
-words and can be mapped back to code point offsets of the original text.
+normalised the same way; where the 64-bit hash of any of its windows is that of a pattern, the
+automaton scans it once; hits are counted in words and can be mapped back to code point
+offsets of the original text.
 
 The automaton is built on each worker from the benchmark's patterns and takes about
 ``AUTOMATON_PER_BYTE`` times the items' text. So those are broadcast only in shards of
 at most ``shard_bytes`` of item text, which keeps an automaton within
 ``AUTOMATON_BYTES``; sizes are measured before anything is collected, and a long item
-is cut into pieces that share its windows (one window at least stays whole). A benchmark
-of several shards takes one pass over the stored documents for each shard, so a worker
-builds each automaton once; every pass is written, and the passes' hits are merged per
-document.
+is cut into pieces that share its windows (one window at least stays whole). The hashes
+take 8 bytes for a word of the benchmark. So a benchmark of several shards reads all documents
+once for each ``HASH_BLOCK`` of its windows (some 25 MB of text), and only the documents with a hash
+of a pattern are scanned, once by the automaton of each shard; every pass is written, and the
+passes' hits are merged per document.
 
 Defined cases: null texts and null items have no words; an item without words
 is no pattern; repeated items count once by item_id; the words of an item without an id
@@ -37,12 +39,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlens.llm import common as c
+from pairlens.llm.substrings import Words
 
 WINDOW = 13
 #: of memory in each Python worker
 AUTOMATON_BYTES = 320 << 20
 #: automaton bytes for a byte of item text: 13 windows over each word, about 45 bytes a node
 AUTOMATON_PER_BYTE = 600
+#: hashes of patterns that are broadcast at a time (32 MB)
+HASH_BLOCK = 4_000_000
+#: texts are hashed in slices of so many characters (one text at least)
+SLICE_CHARS = 250_000
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _UPPER = bytes(range(65, 91))
 #: byte table: A-Z lower-cased, ASCII other than digits and letters to a blank, bytes beyond ASCII unchanged
@@ -177,24 +184,90 @@ _KINDS = pa.struct([("n_words", pa.int64()), ("ranges", pa.list_(pa.int32())), (
                     ("spans", pa.list_(pa.int32()))])
 
 
+# ------------------------------------------------------------------ hashes of windows
+
+def _normal_batch(texts: list[str]) -> Words:
+    return Words([t.encode("utf-8", "surrogatepass").translate(_NORMAL) for t in texts])
+
+
+def pattern_hashes(texts: list[str], window: int) -> dict[int, np.ndarray]:
+    """Number of words -> sorted distinct hashes of the patterns of item texts."""
+    w = _normal_batch(texts)
+    counts = np.diff(w.first)
+    out = {}
+    for n in np.unique(np.minimum(counts[counts > 0], window)).tolist():
+        own = np.flatnonzero(counts >= window if n == window else counts == n)
+        sizes = counts[own] - n + 1
+        at = np.repeat(w.first[own] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        out[n] = np.unique(w.window_hashes(at, n))
+    return out
+
+
+def with_patterns(texts: list[str], hashes: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(words of each text, whether one of its windows has the hash of a pattern)."""
+    w = _normal_batch(texts)
+    counts = np.diff(w.first)
+    may = np.zeros(len(counts), bool)
+    text = np.repeat(np.arange(len(counts)), counts)
+    left = w.first[1:][text] - np.arange(len(text))
+    for n, known in hashes.items():
+        at = np.flatnonzero(left >= n)
+        if len(at) and len(known):
+            h = w.window_hashes(at, n)
+            may[text[at[known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h]]] = True
+    return counts, may
+
+
+def _hash_rows(window: int):
+    def run(batches):
+        for batch in batches:
+            for _, texts in c.text_batches(batch.column(0), 1_000_000):
+                for n, h in pattern_hashes(texts, window).items():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), n, np.int32)), pa.array(h.view(np.int64))], ["n", "h"])
+    return run
+
+
+def hash_blocks(items: DataFrame, window: int, most: int = HASH_BLOCK) -> Iterator[dict[int, np.ndarray]]:
+    """The pattern hashes of all items, at most about ``most`` at a time."""
+    found = c.stored(items.select("t").mapInArrow(_hash_rows(window), "n int, h bigint").distinct(), "pattern-hashes")
+    blocks = max(1, -(-found.count() // most))
+    for k in range(blocks):
+        rows = found.filter(F.pmod("h", F.lit(blocks)) == k).toArrow()
+        n, h = rows["n"].to_numpy(), rows["h"].to_numpy().view(np.uint64)
+        yield {int(x): np.sort(h[n == x]) for x in np.unique(n)}
+
+
+# ------------------------------------------------------------------ scans
+
 def _scanner(key: str, sent, window: int, spans: bool):
-    """The column function that scans texts for the patterns of one broadcast shard."""
+    """The column function that scans texts for the patterns of one broadcast shard. ``sent``: items
+    and the hashes of their patterns."""
     @F.arrow_udf(FIELDS)
     def run(texts: pa.Array) -> pa.Array:
-        a = _automaton(key, sent.value, window)
+        items, hashes = sent.value
         rows = []
-        for x in texts:
-            t = x.as_py()
-            n, normal = normal_text(t)
-            ranges, found = scan(a, normal)
-            at = original_spans(lower_ascii(t), ranges) if spans and ranges else []
-            rows.append({"n_words": n, "ranges": [v for r in ranges for v in r], "items": sorted(found),
-                         "spans": [v for r in at for v in r]})
+        for _, own in c.text_batches(texts, SLICE_CHARS):
+            for t, n, may in zip(own, *(x.tolist() for x in with_patterns(own, hashes))):
+                ranges, found = scan(_automaton(key, items, window), normal_text(t)[1]) if may else ([], ())
+                at = original_spans(lower_ascii(t), ranges) if spans and ranges else []
+                rows.append({"n_words": n, "ranges": [v for r in ranges for v in r], "items": sorted(found),
+                             "spans": [v for r in at for v in r]})
         return pa.array(rows, _KINDS)
 
     return run
 
 
+def _finder(sent):
+    """The column function that counts words and finds the hashes of one block."""
+    @F.arrow_udf("n_words bigint, may boolean")
+    def find(texts: pa.Array) -> pa.Array:
+        parts = [with_patterns(own, sent.value) for _, own in c.text_batches(texts, SLICE_CHARS)]
+        n, may = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, bool))
+        return pa.StructArray.from_arrays([pa.array(n.astype(np.int64)), pa.array(may)], ["n_words", "may"])
+
+    return find
+
+
 def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
          window: int = WINDOW, shard_bytes: int = AUTOMATON_BYTES // AUTOMATON_PER_BYTE, name: str = "hits",
          spans: bool = False) -> DataFrame:
@@ -205,7 +278,8 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
 
     def hits(items: list[tuple[str, str]]):
         key = hashlib.sha256(repr((window, sorted(items, key=repr))).encode()).hexdigest()
-        return _scanner(key, spark.sparkContext.broadcast(items), window, spans)(F.col(text))
+        sent = spark.sparkContext.broadcast((items, pattern_hashes([t for _, t in items], window)))
+        return _scanner(key, sent, window, spans)(F.col(text))
 
     shards = item_shards(benchmark, item_id, item_text, shard_bytes, window)
     head = list(islice(shards, 2))
@@ -213,17 +287,20 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
         return docs.withColumn(name, hits(head[0] if head else []))
     uid, part = c.own_name(docs, "uid"), c.own_name(docs, "part")
     rows = c.stored(docs.withColumn(uid, F.monotonically_increasing_id()), "documents")
-    found = []
-    for items in chain(head, shards):
-        one = c.stored(rows.select(uid, hits(items).alias("h")).select(uid, "h.*"), "hits")
-        # the first pass has every document
-        found.append(one.filter(F.size("ranges") > 0) if found else one)
-    merged = reduce(DataFrame.union, found).groupBy(uid).agg(
-        F.max("n_words").alias("n_words"), *(F.flatten(F.collect_list(x)).alias(x) for x in ("ranges", "items", "spans")))
-    merged = merged.select(uid, F.struct(
-        "n_words", _union(F.col("ranges")).alias("ranges"), F.array_sort(F.array_distinct("items")).alias("items"),
-        _union(F.col("spans")).alias("spans")).alias(part))
-    return rows.join(merged, uid).withColumn(name, F.col(part)).drop(uid, part)
+    counted, flagged = None, None
+    for hashes in hash_blocks(benchmark.select(F.col(item_text).alias("t")).filter("t is not null"), window):
+        one = c.stored(rows.select(uid, _finder(spark.sparkContext.broadcast(hashes))(F.col(text)).alias("f")).select(uid, "f.*"), "found")
+        counted = counted or one.select(uid, "n_words")
+        own = one.filter("may").select(uid)
+        flagged = own if flagged is None else flagged.union(own)
+    some = c.stored(rows.select(uid, text).join(flagged.distinct(), uid, "left_semi"), "candidates")
+    found = [c.stored(some.select(uid, hits(items).alias("h")).select(uid, "h.*"), "hits").filter(F.size("ranges") > 0) for items in chain(head, shards)]
+    merged = reduce(DataFrame.union, found).groupBy(uid).agg(*(F.flatten(F.collect_list(x)).alias(x) for x in ("ranges", "items", "spans")))
+    merged = merged.select(uid, _union(F.col("ranges")).alias("ranges"), F.array_sort(F.array_distinct("items")).alias("items"),
+                           _union(F.col("spans")).alias("spans"))
+    none = lambda x: F.coalesce(x, F.array().cast(FIELDS[x].dataType)).alias(x)
+    whole = counted.join(merged, uid, "left").select(uid, F.struct("n_words", *(none(x) for x in ("ranges", "items", "spans"))).alias(part))
+    return rows.join(whole, uid).withColumn(name, F.col(part)).drop(uid, part)
 
 
 @F.arrow_udf(T.ArrayType(T.IntegerType()))

@@ -44,6 +44,28 @@ def test_quality_counts(spark, docs, save):
         assert not (g.base_failed and g.kept)
 
 
+def test_boilerplate_parts_miss_nothing():
+    """Every form that the pattern takes holds one of the parts, odd case forms included."""
+    forms = ["All Rights Reserved", "ACCEPT COOKIES", "accept all cook\u0131es", "Cookie Policy", "PR\u0130VACY POL\u0130CY", "Terms of Use", "term\u017f of service",
+             "enable JavaScript", "javascript is disabled", "Java\u017fcr\u0130pt is required", "Subscribe to our newsletter", "CLIC\u212a HERE", "cl\u0131ck here",
+             "powered by x", "Lorem \u0130psum", "copyr\u0131ght \u00a9 2020", "Copyright (C)", "released under the MIT licence"]
+    for t in forms:
+        assert quality.BOILERPLATE.search(t) and quality.may_be_boilerplate(t), t
+    assert not quality.may_be_boilerplate("nothing of that kind")
+
+
+def test_repeated_words_in_numbers(monkeypatch):
+    rng = __import__("random").Random(4)
+    for k in range(300):
+        t = " ".join(rng.choice(["a", "b", "c", "dd", "e\n", "é"][:rng.randrange(1, 7)]) for _ in range(rng.randrange(0, 30)))
+        monkeypatch.setattr(quality, "SLICE", rng.choice([1, 5, 1 << 20]))
+        got = quality.judge_text(t, quality.LineRules())
+        assert (got[0], got[4]) == (brute_quality(t)[0], brute_quality(t)[4]), t
+    size = (1 << 21) + 5  # more distinct words than fit three in a number
+    many = quality.np.concatenate([quality.np.arange(size), [7, 8, 9, 1, 3, 5]])
+    assert quality.repeated_words(many) == 6
+
+
 def test_quality_lines_and_keep(spark):
     good = "\n".join(" ".join(f"word{i}x{k}" for k in range(8)) + "." for i in range(12))
     nav = "\n".join(["Home | About | Contact | Login"] * 3 + ["w%d no end mark here at all" % i for i in range(20)])
@@ -53,6 +75,10 @@ def test_quality_lines_and_keep(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 1]
     assert quality.clean_text(good + "\nHome | About | Contact") == good
     assert quality.keep_good(df.limit(0)).count() == 0
+    both = good + "\nHome | About | Contact"
+    sized = spark.createDataFrame([(1, both, len(both)), (2, nav, 5), (3, None, 0), (4, good, -1)], "doc_id long, text string, n_chars long")
+    assert quality.clean_good(sized, size="n_chars")._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(map(tuple, quality.clean_good(sized, size="n_chars").collect())) == [(1, good, len(good)), (4, good, -1)]
 
 
 def test_quality_clean(spark, docs):
@@ -128,6 +154,44 @@ def test_shards_bound_the_automaton(spark):
     assert together == contamination.item_patterns(items)
 
 
+def test_pattern_hashes_against_patterns():
+    import random
+    rng = random.Random(3)
+    items = [(str(k), " ".join(rng.choice("a b, C\n dé 12".split()) for _ in range(rng.randrange(0, 30)))) for k in range(40)] + [("x", ""), ("y", "..")]
+    sizes = {}
+    for p in contamination.item_patterns(items):
+        sizes.setdefault(p.count(" ") - 1, set()).add(p)
+    got = contamination.pattern_hashes([t for _, t in items], 13)
+    assert {n: len(h) for n, h in got.items()} == {n: len(p) for n, p in sizes.items()}
+    texts = [t for _, t in items] + ["a", "zz", "", "q a b c q", " ".join("z" for _ in range(50))]
+    for known in (got, {n: h[::3] for n, h in got.items() if n > 5}, {}):
+        n, may = contamination.with_patterns(texts, known)
+        words = [[w.decode() for w in contamination.normal_words(t) if w] for t in texts]
+        assert n.tolist() == list(map(len, words))
+        if known is got:
+            assert may.tolist() == [any(f" {' '.join(w[i:i + n])} " in p for n, p in sizes.items() for i in range(len(w) - n + 1)) for w in words]
+
+
+def test_large_benchmark_scans_only_candidates(spark, monkeypatch):
+    """Many shards and blocks of hashes: same hits as one automaton, and few documents reach them."""
+    import random
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    items = [(k, " ".join(word() for _ in range(40))) for k in range(60)]
+    docs = [(i, " ".join([word() for _ in range(30)] + (items[i % 60][1].split()[5:25] if i % 10 == 0 else []))) for i in range(400)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    rows = lambda out: sorted((r.doc_id, r.hits.n_words, r.hits.ranges, r.hits["items"]) for r in out.collect())
+    one = rows(contamination.mark(df, bench))
+    kept, seen = contamination.c.stored, []
+    monkeypatch.setattr(contamination.c, "stored", lambda d, n: seen.append((n, kept(d, n))) or seen[-1][1])
+    blocks = contamination.hash_blocks
+    monkeypatch.setattr(contamination, "hash_blocks", lambda items, window: blocks(items, window, 500))
+    assert rows(contamination.mark(df, bench, shard_bytes=2000)) == one
+    names = [n for n, _ in seen]
+    assert names.count("found") >= 3 and names.count("hits") >= 5 and dict(seen)["candidates"].count() == 40
+
+
 def test_one_shard_a_pass(spark):
     """No plan has two automata side by side; repeated rows and other columns stay."""
     words = [f"w{i}" for i in range(60)]
