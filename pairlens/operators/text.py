@@ -127,9 +127,14 @@ def segments(seqs: DataFrame, keys: list[str], width: int | None = None, end_tok
 
 
 def bucket_counts(buckets: str = "buckets") -> F.Column:
-    """Sparse count vector: array<struct<bucket, n>> over the distinct buckets."""
-    return let(F.col(buckets), lambda b: F.transform(
-        F.array_distinct(b), lambda u: F.struct(u.alias("bucket"), F.size(F.filter(b, lambda x: x == u)).alias("n"))))
+    """Sparse count vector: array<struct<bucket, n>> over the distinct buckets, from the ends of the runs of the
+    sorted ids."""
+    def runs(ids):
+        last = F.size(ids) - 1
+        ends = F.when(last >= 0, F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: (i == last) | (F.get(ids, i + 1) != F.get(ids, i))))
+        return let(F.coalesce(ends, F.array().cast("array<int>")), lambda own: F.transform(own, lambda e, j: F.struct(
+            F.get(ids, e).alias("bucket"), (e - F.when(j == 0, F.lit(-1)).otherwise(F.get(own, j - 1))).alias("n"))))
+    return let(F.sort_array(buckets), runs)
 
 
 def store_vectors(vectors: DataFrame, name: str, keys: list[str], buckets: int, path: str | None = None) -> DataFrame:

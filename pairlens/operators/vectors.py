@@ -142,7 +142,7 @@ def _weight_files(d: FeatureDictionary, with_dec: bool, block: int) -> WeightFil
     spark = d.latents.sparkSession
     pre_bias = np.asarray(d.pre_bias.first()["pre_bias"], dtype=np.float64)
     latents = stored(d.latents, "dictionary")
-    small = latents.select("latent", "latent_bias").orderBy("latent").toArrow()
+    small = latents.select("latent", "latent_bias").toArrow().sort_by("latent")
     ids = small.column("latent").to_numpy().astype(np.int32)
     bias = small.column("latent_bias").to_numpy().astype(np.float64)
     columns = ["enc", "dec"] if with_dec else ["enc"]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
 _SHIPPED: set[str] = set()
 #: what queries store below the checkpoint folder
-_STORES = ("tables", "io", "weights", "llm")
+_STORES = ("tables", "io", "weights")
 
 
 def get_spark(master: str | None = None, app: str = "pairlens",
