@@ -15,7 +15,9 @@ questions are answered from that table. Special strings inside a text become
 their special token, as the library does by default.
 
 Defined cases: null and empty texts have no code points and 0 tokens; repeated
-rows are counted each; the work is row-local, whole texts, one at a time.
+rows are counted each; the work is row-local, whole texts, one at a time, in time that grows
+with the text, however many special strings it holds; further columns are kept, one of
+the result's name is replaced.
 """
 
 from __future__ import annotations
@@ -186,22 +188,25 @@ class PrefixCounter:
 
     def counts(self, text: str) -> list[int]:
         """Counts at every code point prefix of any text."""
-        at, token = min(((i, t) for t in self.special if (i := text.find(t)) >= 0), default=(-1, ""),
-                        key=lambda x: (x[0], -len(x[1])))
+        def special(start: int) -> tuple[int, str]:
+            """The next special string, the longest at its place."""
+            return min(((i, t) for t in self.special if (i := text.find(t, start)) >= 0), default=(-1, ""), key=lambda x: (x[0], -len(x[1])))
+
+        at, token = special(0)
         if at < 0:
             return self.plain_counts(text)
         out: list[int] = []
+        start = 0
         while at >= 0:
             base = out[-1] if out else 0
             # inside the special string a prefix still reads as ordinary text
-            inside = self.plain_counts(text[:at + len(token) - 1])
+            inside = self.plain_counts(text[start:at + len(token) - 1])
             out += [base + x for x in inside]
-            out.append(base + (inside[at - 1] if at else 0) + 1)
-            text = text[at + len(token):]
-            at, token = min(((i, t) for t in self.special if (i := text.find(t)) >= 0), default=(-1, ""),
-                            key=lambda x: (x[0], -len(x[1])))
+            out.append(base + (inside[at - start - 1] if at > start else 0) + 1)
+            start = at + len(token)
+            at, token = special(start)
         base = out[-1]
-        return out + [base + x for x in self.plain_counts(text)]
+        return out + [base + x for x in self.plain_counts(text[start:])]
 
     def deltas(self, text: str) -> bytes:
         counts = self.counts(text) if text else []
