@@ -156,8 +156,9 @@ def verdicts(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     best = judged(F.col("host"), F.col("path"), rules)
     ruled = cut.select("page_id", "host", "path", best.alias("r")).select(
         "page_id", "host", "path", F.col("r")["rule"].alias("rule"), F.col("r")["verdict"].alias("verdict"))
-    # only blocked hosts are joined: a page of any other host is allowed
-    blocked = host_scores(ruled.select("host", "verdict"), edges, s).filter("blocked").select(
-        F.col("host").alias("bad"), F.lit("block").alias("of_host"))
-    return ruled.join(blocked, ruled.host == blocked.bad, "left").select(
+    # only blocked hosts are joined: a page of any other host is allowed; the pages of a host are in SALTS parts
+    blocked = c.stored(host_scores(ruled.select("host", "verdict"), edges, s).filter("blocked").select("host"), "blocked-hosts").select(
+        F.col("host").alias("bad"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"), F.lit("block").alias("of_host"))
+    part = F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int")
+    return ruled.join(blocked, (ruled.host == blocked.bad) & (part == blocked.part), "left").select(
         "page_id", "host", "path", "rule", F.coalesce("verdict", "of_host", F.lit("allow")).alias("verdict"))
