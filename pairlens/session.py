@@ -131,7 +131,7 @@ def _remove_stores(folder: str, pid: int) -> None:
             system, at = open_path(f"{folder.rstrip('/')}/{name}")
             if exists(system, at):
                 system.delete_dir(at)
-        except OSError:
+        except (OSError, ValueError):
             pass
 
 
