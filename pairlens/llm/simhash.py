@@ -26,11 +26,15 @@ in 2 bits or fewer, so nothing is lost or added.
 
 Defined cases: a null, empty or wordless text has the fingerprint zero, linked
 like any other; repeated rows share a component; a null doc_id gets its
-fingerprint and, as its component, the smallest non-null id of its group.
+fingerprint and, as its component, the smallest non-null id of its group; an empty table
+gives no rows; further columns, whatever they are called, are kept by ``keep_first``. The shingles
+of a long text are hashed in slices, all of them.
 """
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -46,6 +50,8 @@ MAX_BITS = 2
 SEED = 42
 N_PIVOTS = 16
 BUCKET_LIMIT = 2048
+#: shingles of a text that are hashed at a time
+SLICE = 65536
 BLOCKS = 4
 
 
@@ -56,14 +62,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         return 0
     digest, join = xxhash.xxh64_digest, b" ".join
     if len(words) < shingle:
-        grams = [join(words)]
+        grams = iter([join(words)])
     else:
-        grams = map(join, zip(*(words[i:] for i in range(shingle))))
+        grams = map(join, zip(*(islice(words, i, None) for i in range(shingle))))
     n = max(1, len(words) - shingle + 1)
-    raw = np.frombuffer(b"".join([digest(g, SEED) for g in grams]), np.uint8).reshape(n, 8)
     ones = np.zeros(64, np.int64)
-    for i in range(0, n, 65536):
-        ones += np.unpackbits(raw[i:i + 65536], axis=1).sum(axis=0, dtype=np.int64)
+    for i in range(0, n, SLICE):
+        raw = b"".join([digest(g, SEED) for g in islice(grams, SLICE)])
+        ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
