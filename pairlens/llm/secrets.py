@@ -18,7 +18,10 @@ Positions come from the pieces between the matches: ``split`` and
 matches add up to code point offsets.
 
 Defined cases: a null text is empty and has no findings; copies and repeated rows
-share a blob and its findings; an empty table gives no rows and an empty ledger.
+share a blob and its findings; an empty table gives no rows and an empty ledger. Further
+columns, whatever they are called, are not read by a scan and kept by ``without_secrets``. Long
+texts are scanned whole; a rule's matches are placed in blocks, so work and memory grow
+with the text.
 """
 
 from __future__ import annotations

@@ -20,7 +20,9 @@ Documents are dealt by ranges of doc_id; each shard is written in order, and a
 shard's first position is the sum of the shards before it (one row per shard).
 
 Defined cases: a null or empty text is the end id alone; a null doc_id comes
-first; rows with one doc_id are ordered by text; an empty table gives no rows.
+first; rows with one doc_id are ordered by text; an empty table gives no rows. Only
+doc_id and text are read, whatever further columns are called; a text of any length is
+encoded whole and goes into one segment.
 """
 
 from __future__ import annotations
