@@ -1,5 +1,10 @@
 """Cleaning pipeline over ``documents``: quality rules, near-duplicates, benchmark
-decontamination, secret scans, packing. Each stage is written as Parquet and reread."""
+decontamination, secret scans, packing. Each stage is written as Parquet and reread.
+
+Defined cases, for every stage: a null text reads as an empty one; repeated rows and null ids are
+judged row by row, and of a group of near-duplicates one row, with the smallest doc_id, stays; texts of any length go through whole; further columns are
+kept, whatever they are called, up to the packing, which returns its own columns; an empty table
+gives no rows."""
 
 from __future__ import annotations
 
@@ -10,8 +15,8 @@ from pairlens.llm.common import stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line-first quality rules keep."""
-    return quality.keep_good(docs)
+    """Documents that the line-first quality rules keep, without their failing lines."""
+    return quality.clean_good(docs, size="n_chars" if "n_chars" in docs.columns else None)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
