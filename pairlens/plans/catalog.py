@@ -27,6 +27,7 @@ from pairlens.operators.ranking import sample_ids, seeded_shuffle
 from pairlens.operators.validate import violations
 from pairlens.plans import corpus, discovery, inputs
 from pairlens.plans import roundtrip as rt
+from pairlens.session import stored
 from pairlens.sinks.files import scratch_path
 from pairlens.sources.tables import spread
 from pairlens.streaming import feature_stream as fs
@@ -173,15 +174,16 @@ def q_segment_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_given_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T9 on vectors that come from outside: one for every candidate position, here 8 numbers of the position."""
-    seqs = txo.segment_ends(_doc_sequences(spark, sf_dir), P.gap)
+    # positions only, read by both sides
+    seqs = stored(txo.segment_ends(_doc_sequences(spark, sf_dir), P.gap).select("doc_id", "chunk_id", "cands", "ends"), "ends")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     at = F.col("doc_id") * 31 + F.col("chunk_id") * 7 + F.col("pos") * 3
     given = seqs.select("doc_id", "chunk_id", F.explode("cands").alias("pos")).withColumn(
         "vec", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.pmod(at + i * 11, F.lit(97)) / 97.0))
     name = f"given_vectors_{uuid.uuid4().hex}"
-    stored = txo.store_vectors(given, name, ["doc_id", "chunk_id"], n, scratch_path(spark, name))
+    vectors = txo.store_vectors(given, name, ["doc_id", "chunk_id"], n, scratch_path(spark, name))
     segs = seqs.select("doc_id", "chunk_id", F.posexplode("ends").alias("seg_no", "end_pos"))
-    v = txo.gather_vectors(segs, stored, ["doc_id", "chunk_id"], n)
+    v = txo.gather_vectors(segs, vectors, ["doc_id", "chunk_id"], n)
     return (v.select("doc_id", "chunk_id", "seg_no", "end_pos", F.posexplode("vec").alias("dim", "value"))
             .select(_long("doc_id"), _long("chunk_id"), _long("seg_no"), _long("end_pos"), _long("dim"), _dbl("value")))
 
