@@ -97,7 +97,7 @@ def response_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interpretation responses ``latent, response, n_in, n_out`` from all turns of all conversations: the
-    feature is the conversation, the explanation its first assistant turn, the request as long as its other
+    feature is the conversation, the explanation its first assistant turn, the request twice as long as its other
     turns and the response as long as all assistant turns. After every 7th conversation one
     has only that turn, which can't be parsed; without an assistant turn there is no response."""
     turns = table(spark, sf_dir, "conversations")
@@ -112,7 +112,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select(
         F.col("conv_id").cast("int").alias("latent"),
         text.alias("response"),
-        (F.lit(100) + F.col("asked")).alias("n_in"),
+        (F.lit(100) + F.col("asked") * 2).alias("n_in"),
         (F.lit(10) + F.col("told")).alias("n_out"),
     )
 

@@ -381,7 +381,7 @@ RESPONSES = """resp AS (
   SELECT CAST(conv_id AS INTEGER) AS latent,
          CASE WHEN conv_id % 7 = 1 THEN t
               ELSE concat('Score: ', CAST(1 + conv_id % 5 AS VARCHAR), chr(10), 'Explanation: ', t, chr(160), ' ') END AS response,
-         100 + asked AS n_in, 10 + told AS n_out
+         100 + asked * 2 AS n_in, 10 + told AS n_out
   FROM (SELECT conv_id, coalesce(min_by(text, turn) FILTER (WHERE role = 'assistant'), '') AS t,
                CAST(sum(CASE WHEN role = 'assistant' THEN 0 ELSE coalesce(length(text), 0) END) AS BIGINT) AS asked,
                CAST(sum(CASE WHEN role = 'assistant' THEN coalesce(length(text), 0) ELSE 0 END) AS BIGINT) AS told
