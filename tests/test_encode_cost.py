@@ -8,6 +8,7 @@ from pairlens.config import EOS, MARKER
 from pairlens.operators import contexts as ctx
 from pairlens.operators import text as txo
 from pairlens.operators import vectors as vec
+from pairlens.plans import corpus
 
 
 def test_windows_of_activations_are_cut_in_arrow_batches(spark):
@@ -68,3 +69,20 @@ def test_activations_below_the_strongest_are_not_sorted(spark, monkeypatch):
     assert total > 3000 and sum(sorted_[:4]) < total / 2
     top = lambda own: {j: sorted((round(x["value"], 9) for x in own if x["latent"] == j), reverse=True)[:2] for j in range(6)}
     assert top(rows(out)) == top(rows(every)) and len(rows(out)) < total / 2
+
+
+def test_token_contexts_are_cut_in_the_rows_and_dealt_once(spark):
+    words = ["alpha", "beta", "alpha", "gamma", MARKER, "delta", "beta"]
+    strong = [(0, 2, 0, 0.5, "Alpha"), (1, 5, 0, 0.25, "delta"), (1, 5, 1, 0.125, "delta")]
+    schema = ("pair_id long, side string, chunk_id int, repeated boolean, n_tokens int, words array<string>, "
+              "strong array<struct<seg_no: int, end_pos: int, latent: int, value: double, end_token: string>>")
+    rows = spark.createDataFrame([(1, "chosen", 0, False, 7, words, strong), (2, "chosen", 0, True, 7, words, strong[:1]),
+                                  (2, "chosen", 0, True, 7, [w.upper() for w in words], strong[:1])], schema)
+    run = corpus.PairRun(None, rows, None, corpus.TEST, {"listed": spark.createDataFrame([(0,)], "latent int")})
+    got = corpus.corpus_token_contexts(run)
+    assert sorted((r.latent, r.token_class, r.ctx_rank, r.context) for r in got.collect()) == sorted(
+        [(0, "alpha", k + 1, c) for k, c in enumerate(sorted(  # each of the repeated text's activations meets both texts
+            ["alpha beta <ACTIVATED>  gamma delta beta"] + 2 * ["alpha beta <ACTIVATED>  gamma delta beta", "ALPHA BETA <ACTIVATED>  GAMMA DELTA BETA"], reverse=True))]
+        + [(0, "delta", 1, "alpha beta alpha gamma <ACTIVATED>  beta")])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") + plan.count("ShuffledHashJoin") <= 1 and "WindowGroupLimit" in plan
