@@ -77,7 +77,7 @@ def test_token_contexts_are_cut_in_the_rows_and_dealt_once(spark):
     schema = ("pair_id long, side string, chunk_id int, repeated boolean, n_tokens int, words array<string>, "
               "strong array<struct<seg_no: int, end_pos: int, latent: int, value: double, end_token: string>>")
     rows = spark.createDataFrame([(1, "chosen", 0, False, 7, words, strong), (2, "chosen", 0, True, 7, words, strong[:1]),
-                                  (2, "chosen", 0, True, 7, [w.upper() for w in words], strong[:1])], schema)
+                                  (2, "chosen", 0, True, 7, [w if w == MARKER else w.upper() for w in words], strong[:1])], schema)
     run = corpus.PairRun(None, rows, None, corpus.TEST, {"listed": spark.createDataFrame([(0,)], "latent int")})
     got = corpus.corpus_token_contexts(run)
     assert sorted((r.latent, r.token_class, r.ctx_rank, r.context) for r in got.collect()) == sorted(
