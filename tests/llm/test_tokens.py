@@ -186,3 +186,11 @@ def test_crossover_keeps_every_item():
     assert sorted(i for b in again.bins for i in b) == list(range(300))
     assert all(sum(lens[i] for i in b) == f <= 100 for b, f in zip(again.bins, again.fill))
     assert len(again.bins) <= len(best.bins)
+
+
+def test_plain_ascii_words_need_no_table():
+    enc = tokens.Encoder(PATH)
+    enc.letters = {}  # only characters beyond ASCII are looked up there
+    every = ["some plain words\nhere 12 34, now. (x)\n", " lead", "\na", "pneumonoultramicroscopicsilicovolcanoconiosis 123456789012345678901234567890"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(every)] == [ids(t) for t in every]
+    assert [np.frombuffer(tokens._packed(list(range(n))), "<u4").tolist() for n in (0, 1, 8, 9, 40)] == [list(range(n)) for n in (0, 1, 8, 9, 40)]
