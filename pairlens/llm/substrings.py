@@ -222,9 +222,16 @@ def removed_mask(n: int, positions: np.ndarray) -> np.ndarray:
 
 
 def _kept(batches):
+    """Kept words of each document, in batches of about ``SLICE_CHARS`` bytes."""
+    def rows(doc_ids, out):
+        return pa.RecordBatch.from_arrays(
+            [doc_ids, pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()).cast(pa.string())],
+            ["doc_id", "n_words", "n_removed", "kept"])
+
     for batch in batches:
         out: tuple[list, ...] = ([], [], [])
-        for t, r in zip(batch.column(1), batch.column(2)):
+        first = size = 0
+        for i, (t, r) in enumerate(zip(batch.column(1), batch.column(2)), 1):
             words = (t.as_py() or "").encode("utf-8", "surrogatepass").split()
             n = 0
             if r.is_valid:
@@ -236,9 +243,10 @@ def _kept(batches):
             out[0].append(len(words))
             out[1].append(n)
             out[2].append(b" ".join(kept))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()).cast(pa.string())],
-            ["doc_id", "n_words", "n_removed", "kept"])
+            size += len(out[2][-1])
+            if size >= SLICE_CHARS or i == batch.num_rows:
+                yield rows(batch.column(0).slice(first, i - first), out)
+                out, first, size = ([], [], []), i, 0
 
 
 # ------------------------------------------------------------------ steps between tasks
@@ -255,18 +263,19 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", passes:
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).filter("doc is not null")
     keyed = rows.withColumn("key", F.xxhash64("text"))
-    shared = c.stored(rows.mapInArrow(_anchor_groups, "h bigint, lo bigint, hi bigint").groupBy("h")
-                      .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("h"), "shared-anchors")
-    _release(spark)
-    by_doc = c.stored(keyed.mapInArrow(_anchors, "h bigint, doc bigint, key bigint").join(shared, "h")
-                      .groupBy("doc", "key").agg(F.collect_set("h").alias("hs")), "anchors-by-document")
-    _release(spark)
-    found = (keyed.join(by_doc, ["doc", "key"]).select("doc", "text", "key", "hs")
-             .mapInArrow(_windows, "k1 bigint, k2 bigint, doc bigint, key bigint, pos int")
-             .withColumn("part", F.pmod("k1", F.lit(passes)).cast("int")))
-    path, schema = c.fresh_path(spark, "windows"), found.schema
-    found.write.partitionBy("part").parquet(path)
-    _release(spark)
+    with c.small_batches(spark):
+        shared = c.stored(rows.mapInArrow(_anchor_groups, "h bigint, lo bigint, hi bigint").groupBy("h")
+                          .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("h"), "shared-anchors")
+        _release(spark)
+        by_doc = c.stored(keyed.mapInArrow(_anchors, "h bigint, doc bigint, key bigint").join(shared, "h")
+                          .groupBy("doc", "key").agg(F.collect_set("h").alias("hs")), "anchors-by-document")
+        _release(spark)
+        found = (keyed.join(by_doc, ["doc", "key"]).select("doc", "text", "key", "hs")
+                 .mapInArrow(_windows, "k1 bigint, k2 bigint, doc bigint, key bigint, pos int")
+                 .withColumn("part", F.pmod("k1", F.lit(passes)).cast("int")))
+        path, schema = c.fresh_path(spark, "windows"), found.schema
+        found.write.partitionBy("part").parquet(path)
+        _release(spark)
     out = None
     for part in range(passes):
         own = spark.read.schema(schema).parquet(path).filter(F.col("part") == part)

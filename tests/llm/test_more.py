@@ -6,11 +6,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pairlens.llm import language, queries, substrings, token_codes, tokens, urls
+from pairlens.llm import common, language, queries, substrings, token_codes, tokens, urls
 
 LIB = Tokenizer.from_file(tokens.tokenizer_path())
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -395,3 +396,34 @@ def test_edges_are_dealt_once(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+
+
+def test_substrings_send_small_batches(spark, monkeypatch):
+    """Whole texts go to Python and come back in bounded batches, whatever the session's rows a batch."""
+    monkeypatch.setattr(common, "BATCH_BYTES", 50_000, raising=False)
+    key, own = "spark.sql.execution.arrow.maxBytesPerBatch", substrings._windows
+    before = spark.conf.get(key, None)
+
+    def watched(batches):
+        def small(b):
+            assert b.nbytes < 200_000, b.nbytes
+            return b
+        return own(small(b) for b in batches)
+
+    monkeypatch.setattr(substrings, "_windows", watched)
+    passage = " ".join(f"v{i}" for i in range(800))
+    rows = [(i, f"{passage} own{i}") for i in range(300)]
+    got = substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(1)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(i, 801, 0 if i == 0 else 800) for i in range(300)]
+    assert spark.conf.get(key, None) == before
+
+
+def test_kept_words_come_in_slices(monkeypatch):
+    monkeypatch.setattr(substrings, "SLICE_CHARS", 100)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([3, None, 5, 6]), pa.array(["a " * 60, None, "b " * 60, "c"]), pa.array([[0], None, None, None], pa.list_(pa.int32()))],
+        ["doc_id", "text", "positions"])
+    got = list(substrings._kept([batch, batch.slice(0, 0)]))
+    assert [b.num_rows for b in got] == [3, 1]
+    assert [r for b in got for r in map(tuple, zip(*b.to_pydict().values()))] == [
+        (3, 60, 50, " ".join("a" * 10)), (None, 0, 0, ""), (5, 60, 0, " ".join("b" * 60)), (6, 1, 0, "c")]
