@@ -151,7 +151,7 @@ def _segments(path: str, per_segment: int):
             own, kind = batch.column(0).to_pylist(), batch.column(0).type
             if len(own):
                 shard = batch.column(2)[0].as_py()
-            for first, texts in c.text_batches(batch.column(1), 2_000_000):
+            for first, texts in c.text_batches(batch.column(1), 4_000_000):
                 for k, raw in enumerate(enc.encode(texts), first):
                     doc_ids.append(own[k])
                     starts.append(n)
@@ -184,7 +184,9 @@ def _documents(batches):
             codes = Codes(row["code"].as_buffer())
             starts = np.array(row["starts"].values, np.int64)
             counts = np.diff(starts, append=len(codes))
-            crcs = [zlib.crc32(codes.ids(s, n).tobytes()) for s, n in zip(starts.tolist(), counts.tolist())]
+            # every id of the segment is asked for, so its levels are read once and not once a document
+            raw, cuts = memoryview(codes.ids(0, len(codes)).tobytes()), [*(4 * starts).tolist(), 4 * len(codes)]
+            crcs = [zlib.crc32(raw[a:b]) for a, b in zip(cuts, cuts[1:])]
             m = len(crcs)
             yield pa.RecordBatch.from_arrays(
                 [row["doc_ids"].values, pa.array([row["shard"].as_py()] * m, pa.int32()),

@@ -398,6 +398,21 @@ def test_edges_are_dealt_once(spark):
     assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
 
 
+def test_a_segment_is_read_once(monkeypatch):
+    """Reading files back goes through each level of a segment once, not once a document."""
+    ids = np.array([5, 70_000, 0, 0, 300, 1 << 31, 0], "<u4")
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([2], pa.int32()), pa.array([100], pa.int64()), pa.array([[7, 8, 9]]), pa.array([[0, 3, 4]]), pa.array([token_codes.encode(ids)])],
+        ["shard", "shard_start", "doc_ids", "starts", "code"])
+    own, calls = token_codes.Codes.ids, []
+    monkeypatch.setattr(token_codes.Codes, "ids", lambda self, start, n, level=0: calls.append(level) or own(self, start, n, level))
+    got, = token_codes._documents([batch])
+    assert got.to_pydict() == {
+        "doc_id": [7, 8, 9], "shard": [2] * 3, "at": [100, 103, 104], "n_tokens": [3, 1, 3],
+        "ids_crc32": [zlib.crc32(ids[a:b].tobytes()) for a, b in ((0, 3), (3, 4), (4, 7))]}
+    assert sorted(calls) == [0, 1, 2, 3]
+
+
 def test_substrings_send_small_batches(spark, monkeypatch):
     """Whole texts go to Python and come back in bounded batches, whatever the session's rows a batch."""
     monkeypatch.setattr(common, "BATCH_BYTES", 50_000, raising=False)

@@ -194,3 +194,26 @@ def test_plain_ascii_words_need_no_table():
     every = ["some plain words\nhere 12 34, now. (x)\n", " lead", "\na", "pneumonoultramicroscopicsilicovolcanoconiosis 123456789012345678901234567890"]
     assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(every)] == [ids(t) for t in every]
     assert [np.frombuffer(tokens._packed(list(range(n))), "<u4").tolist() for n in (0, 1, 8, 9, 40)] == [list(range(n)) for n in (0, 1, 8, 9, 40)]
+
+
+def test_distinct_runs_are_looked_up_once_a_slice():
+    enc, asked = tokens.Encoder(PATH), []
+
+    class Asked(tokens.RunCache):
+        def __getitem__(self, run):
+            asked.append(run)
+            return super().__getitem__(run)
+
+    enc.runs = Asked(enc._run)
+    every = ["the cat, the cat\nthe 12 12 the cat", "", " the cat é ÿ9!! the", "don't  cut", "the"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(every)] == [ids(t) for t in every]
+    assert " cat" in asked and len(asked) == len(set(asked))
+
+
+def test_runs_of_several_texts():
+    rng = random.Random(3)
+    every = ["", " ", "x"] + ["".join(rng.choice("abZÀß÷×09.,-|  \n") for _ in range(rng.randrange(12))) for _ in range(600)]
+    every = [t for t in every if tokens.plain(t)] + [""]
+    runs, first = tokens.runs_of([t.encode() for t in every])
+    assert [[r.decode() for r in runs[a:b].to_pylist()] for a, b in zip(first, first[1:])] == [tokens.RUNS.findall(t) for t in every]
+    assert len(first) == len(every) + 1 > 200 and len(tokens.runs_of([])[0]) == 0
