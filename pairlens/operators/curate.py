@@ -3,7 +3,8 @@
 Each variant set is one tagged DataFrame (column ``variant``): the ranked
 dataset is computed once (G1) and every share only moves a cut, so all
 variants come out of a single pass and can be written with
-``partitionBy('variant')``.
+``partitionBy('variant')``. Most rows are the same in all variants of a set: ``grouped``
+gives such a row once, with its variants in a list (``variants``).
 """
 
 from __future__ import annotations
@@ -48,30 +49,37 @@ def _ranked(scored: DataFrame, order: list[F.Column]) -> DataFrame:
     return scored.join(keys.select("pair_id", "rank", "_n"), "pair_id")
 
 
-def _variants(names_shares) -> F.Column:
-    return F.explode(F.array(*[F.struct(F.lit(name).alias("variant"), F.lit(share).alias("share"))
-                               for name, share in names_shares])).alias("v")
+def _variants(names_shares, inside) -> F.Column:
+    """Names of the variants whose cut the row is ``inside`` of."""
+    return F.array_compact(F.array(*[F.when(inside(_cut(F.col("_n"), F.lit(share))), F.lit(name)) for name, share in names_shares]))
 
 
-def flip_variants(scored: DataFrame, shares=FLIP_SHARES) -> DataFrame:
+def _tagged(rows: DataFrame, grouped: bool) -> DataFrame:
+    if grouped:
+        return rows.filter(F.size("variants") > 0)
+    return rows.select(F.explode("variants").alias("variant"), *[c for c in rows.columns if c != "variants"])
+
+
+def flip_variants(scored: DataFrame, shares=FLIP_SHARES, grouped: bool = False) -> DataFrame:
     """W5 + U3: rank by score desc (pair_id breaks ties); in each variant swap
     chosen/rejected and negate the score of the first floor(n * share) rows."""
     ranked = _ranked(scored, [F.round("saescore", _RANK_DIGITS).desc(), F.col("pair_id")])
-    tagged = ranked.select("*", _variants([(flip_name(s), s) for s in shares]))
-    flip = F.col("rank") < _cut(F.col("_n"), F.col("v.share"))
-    return tagged.select(
-        F.col("v.variant").alias("variant"), "pair_id",
+    named = [(flip_name(s), s) for s in shares]
+    ways = F.array(F.struct(F.lit(True).alias("flip"), _variants(named, lambda cut: F.col("rank") < cut).alias("variants")),
+                   F.struct(F.lit(False).alias("flip"), _variants(named, lambda cut: F.col("rank") >= cut).alias("variants")))
+    tagged = ranked.select("*", F.explode(F.filter(ways, lambda w: F.size(w["variants"]) > 0)).alias("v"))
+    flip = F.col("v.flip")
+    return _tagged(tagged.select(
+        F.col("v.variants").alias("variants"), "pair_id",
         F.when(flip, F.col("rejected")).otherwise(F.col("chosen")).alias("chosen"),
         F.when(flip, F.col("chosen")).otherwise(F.col("rejected")).alias("rejected"),
         F.when(flip, -F.col("saescore")).otherwise(F.col("saescore")).alias("saescore"),
-        "rank")
+        "rank"), grouped)
 
 
-def drop_variants(scored: DataFrame, shares=DROP_SHARES) -> DataFrame:
+def drop_variants(scored: DataFrame, shares=DROP_SHARES, grouped: bool = False) -> DataFrame:
     """Rank by score asc (pair_id breaks ties); each variant drops the
     first floor(n * share) rows."""
     ranked = _ranked(scored, [F.round("saescore", _RANK_DIGITS), F.col("pair_id")])
-    tagged = ranked.select("*", _variants([(drop_name(s), s) for s in shares]))
-    keep = F.col("rank") >= _cut(F.col("_n"), F.col("v.share"))
-    return tagged.filter(keep).select(F.col("v.variant").alias("variant"), "pair_id", "chosen",
-                                      "rejected", "saescore", "rank")
+    kept = _variants([(drop_name(s), s) for s in shares], lambda cut: F.col("rank") >= cut)
+    return _tagged(ranked.select(kept.alias("variants"), "pair_id", "chosen", "rejected", "saescore", "rank"), grouped)
